@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
 from .mixing import mix_sources, mixing_oracle
 from .token_counts import token_counts
+from .toxicity import judge_toxicity
 from .url_filter import filter_urls
 
 
@@ -18,6 +20,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,7 +55,16 @@ FROM norm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op6_license_scan, op7_source_mixing, op10_token_counts)}
+    made = (
+        op1_url_filter,
+        op2_decontamination,
+        op3_exact_dedup,
+        op6_license_scan,
+        op7_source_mixing,
+        op8_toxicity,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracles() -> dict[str, str]:
