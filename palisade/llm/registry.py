@@ -11,6 +11,7 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
 from .mixing import mix_sources, mixing_oracle
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import judge_toxicity
 from .url_filter import filter_urls
@@ -40,6 +41,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_license_scan,
         op7_source_mixing,
         op8_toxicity,
+        op9_substring_dedup,
         op10_token_counts,
     )
     return {f.__name__: f for f in made}
