@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
 from .mixing import mix_sources, mixing_oracle
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import judge_toxicity
 from .url_filter import filter_urls
@@ -29,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_url_filter,
         op2_decontamination,
         op3_exact_dedup,
+        op4_suffix_dedup,
         op6_license_scan,
         op7_source_mixing,
         op8_toxicity,
