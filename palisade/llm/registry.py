@@ -11,6 +11,7 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
 from .mixing import mix_sources, mixing_oracle
+from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -34,6 +35,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_decontamination,
         op3_exact_dedup,
         op4_suffix_dedup,
+        op5_ngram_join,
         op6_license_scan,
         op7_source_mixing,
         op8_toxicity,
