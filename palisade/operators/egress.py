@@ -85,7 +85,7 @@ def cards(c: Column) -> Column:
     )
 
 
-_CARD, _PHONE = re.compile(CARD, re.ASCII), re.compile(PHONE.replace(r"\s", r"[\s﻿]"))
+_CARD, _PHONE = re.compile(CARD, re.ASCII), re.compile(PHONE.replace(r"\s", "\\s\ufeff"))
 
 
 @F.pandas_udf(ArrayType(StringType()))
