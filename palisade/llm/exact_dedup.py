@@ -70,7 +70,8 @@ def exact_dedup(
 
 def _collisions(hashed: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of groups whose text isn't the keeper's: doc_id, _h, _norm. Nearly always empty."""
-    members = written(hashed.join(groups, "_h"), "exact-members")
+    # merged at every size: broadcasting small sets of groups would only make runs differ
+    members = written(hashed.join(groups.hint("merge"), "_h"), "exact-members")
     salts = F.ceil(F.col("_n") / SALT_ROWS).cast("int")
     keepers = (
         members.where(F.col("doc_id").eqNullSafe(F.col("_keep")))
