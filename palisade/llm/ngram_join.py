@@ -5,8 +5,8 @@
    sampled shingles aren't repeated often enough have no partner. The bound is exact: no link is lost.
 2. Documents with one set form a class. Over the classes left, shingles are ordered by their number of
    classes. Of two similar sets each has a common shingle among its rarest n - ceil(0.8 n) + 1.
-   Shingles of the same classes are one key, so a pair of near copies meets once, not for
-   each of its shingles.
+   Shingles of the same classes are one key. Ids, sizes and places of keys are dealt first, and only
+   classes that may link there by their sizes and the key's places go on, with their sets.
 3. The classes of a key meet in one task, or, if there are many, block by block with each pair of
    blocks in a task. There a trie of their ordered sets is probed (see prefix_tree.py), and the links
    that connect what all similar pairs connect are kept.
@@ -262,16 +262,12 @@ def _holders(buckets: int):
     return packed.gathered(each, list(_TOKENS))
 
 
-_MEETING = {"bucket": pa.int32(), "key": pa.int64(), "pair": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary()}
-_MEETING_SCHEMA = "bucket int, key long, pair long, doc_id long, tokens binary"
-
-
 def _prefixes(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """A bucket of classes: each one's shared tokens, once for all keys: (doc_id, tokens, held, mark)."""
+    """A bucket of classes: (doc_id, tokens, held, mark) of each, in the global order: rare tokens first."""
     h, ids = _unpack_tokens(cells)
     held = np.concatenate([packed.from_planes(c, np.int32) for c in cells["held"]])
     mark = np.concatenate([packed.from_planes(c, np.uint64) for c in cells["mark"]])
-    order = np.lexsort((h, held, ids))  # the global order: rare first
+    order = np.lexsort((h, held, ids))
     h, ids, held, mark = h[order], ids[order], held[order], mark[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     for s, e in zip(first, np.append(first[1:], len(ids)), strict=True):
@@ -281,21 +277,147 @@ def _prefixes(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, size, tokens, held, mark) -> (doc_id, size, tokens, keys, at): the marks of the prefix's
+    tokens, and how many tokens of the set come before each one's first."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, size, tokens, held, mark in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            alone = size - len(held) // 4  # tokens that no other class has come first
+            prefix = size - (size * PERCENT + 99) // 100 + 1 - alone
+            if prefix > 0:
+                keys, at = np.unique(np.frombuffer(mark, np.uint64)[:prefix], return_index=True)
+                out.append((doc, size, tokens, keys.tobytes(), (at + alone).astype(np.int32).tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "tokens", "keys", "at"])
+
+
+_KEYS = {"bucket": pa.int32(), "key": pa.binary(), "ids": pa.binary(), "size": pa.binary(), "at": pa.binary(), "label": pa.binary()}
+_KEYS_SCHEMA = "bucket int, key binary, ids binary, size binary, at binary, label binary"
+
+
+def _keys_out(buckets: int, first_only: bool):
+    """Rows (doc_id, size, keys, at, label): the keys, dealt by key; the rarest one only, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, ids, size, at, label = [], [], [], [], []
+            for doc, n, keys, places, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                keys, places = np.frombuffer(keys, np.uint64), np.frombuffer(places, np.int32)
+                if first_only:
+                    keys, places = keys[[places.argmin()]], places[[places.argmin()]]
+                key.append(keys)
+                at.append(places)
+                for many, value in ((ids, doc), (size, n), (label, own)):
+                    many.append(np.full(len(keys), value))
+            if not key:
+                continue
+            key, at = np.concatenate(key), np.concatenate(at)
+            ids, size, label = (np.concatenate(x).astype(np.int64) for x in (ids, size, label))
+            by, starts = packed.parts(packed.bucket_of(bt.mix(key.copy()), buckets), buckets)
+            out: dict[str, list] = {k: [] for k in _KEYS}
+            for k in np.flatnonzero(np.diff(starts)):
+                own = by[starts[k] : starts[k + 1]]
+                for name, x in (("key", key), ("ids", ids), ("size", size.astype(np.int32)), ("at", at), ("label", label)):
+                    out[name].append(packed.planes(x[own]))
+                out["bucket"].append(int(k))
+            yield packed.batch(out, _KEYS)
+
+    return run
+
+
+def _may_link(size: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of a key's classes, sorted by size, may link with one of another label. If the key is the pair's first
+    common one, their overlap is at most what each has from there on; both bounds limit the partner's size."""
+    most = (size - at) * (100 + PERCENT) // PERCENT - size  # size of the largest partner
+    best, other, holder = np.empty(len(size) + 1, np.int64), np.empty(len(size) + 1, np.int64), np.empty(len(size) + 1, np.int64)
+    top, second, who = -1, -1, -1
+    best[0], other[0], holder[0] = top, second, who
+    for k, (m, own) in enumerate(zip(most.tolist(), label.tolist(), strict=True)):
+        if own == who:
+            top = max(top, m)
+        elif m > top:
+            top, second, who = m, top, own
+        elif m > second:
+            second = m
+        best[k + 1], other[k + 1], holder[k + 1] = top, second, who
+    reach = np.searchsorted(size, most, side="right")
+    return np.where(holder[reach] == label, other[reach], best[reach]) >= size
+
+
+def _partnered(buckets: int):
+    """A bucket of keys: to each class the keys at which it may link, named anew by who is left there."""
+
+    def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": np.uint64, "ids": np.int64, "size": np.int32, "at": np.int32, "label": np.int64}
+        key, ids, size, at, label = (np.concatenate([packed.from_planes(c, kind) for c in cells[k]]) for k, kind in kinds.items())
+        order = np.lexsort((size, key))
+        key, ids, size, at, label = key[order], ids[order], size[order].astype(np.int64), at[order].astype(np.int64), label[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        docs, marks, counts, seen = [], [], [], set()
+        for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
+            if e - s < 2:
+                continue
+            own = ids[s:e][_may_link(size[s:e], at[s:e], label[s:e])]
+            if len(own) < 2:
+                continue
+            mark = np.bitwise_xor.reduce(bt.mix(own.view(np.uint64) + np.uint64(77))) + np.uint64(len(own))
+            if mark not in seen:  # the same classes met at another key of this bucket
+                seen.add(mark)
+                docs.append(own)
+                marks.append(np.full(len(own), mark))
+                counts.append(np.full(len(own), len(own)))
+        if not docs:
+            return
+        ids, mark, many = np.concatenate(docs), np.concatenate(marks), np.concatenate(counts)
+        by, starts = packed.parts(packed.bucket_of(bt.mix(ids.view(np.uint64).copy()), buckets), buckets)
+        out: dict[str, list] = {k: [] for k in _KEYS}
+        for k in np.flatnonzero(np.diff(starts)):
+            own = by[starts[k] : starts[k + 1]]
+            for name, x in (("key", mark), ("ids", ids), ("size", many.astype(np.int32))):
+                out[name].append(packed.planes(x[own]))
+            out["at"].append(b"")
+            out["label"].append(b"")
+            out["bucket"].append(int(k))
+        yield packed.batch(out, _KEYS)
+
+    return packed.gathered(each, list(_KEYS))
+
+
+def _keys_by_class(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, keys, many) of a bucket of classes."""
+    key, ids, many = (np.concatenate([packed.from_planes(c, kind) for c in cells[k]]) for k, kind in (("key", np.uint64), ("ids", np.int64), ("size", np.int32)))
+    order = np.lexsort((key, ids))
+    key, ids, many = key[order], ids[order], many[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    ends = np.append(first[1:], len(ids))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids[first]),
+            pa.array([key[s:e].tobytes() for s, e in zip(first, ends, strict=True)], pa.binary()),
+            pa.array([many[s:e].tobytes() for s, e in zip(first, ends, strict=True)], pa.binary()),
+        ],
+        ["doc_id", "keys", "many"],
+    )
+
+
+_MEETING = {"bucket": pa.int32(), "key": pa.int64(), "pair": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary()}
+_MEETING_SCHEMA = "bucket int, key long, pair long, doc_id long, tokens binary"
+
+
 def _meetings(buckets: int):
-    """Rows (doc_id, size, tokens, held, mark): a row per key at which the class meets others."""
+    """Rows (doc_id, size, tokens, keys, many): a row per key, and per pair of blocks, where the class meets others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _MEETING}
-            for doc, size, tokens, held, mark in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                held, mark = np.frombuffer(held, np.int32), np.frombuffer(mark, np.uint64)
-                prefix = size - (size * PERCENT + 99) // 100 + 1 - (size - len(held))  # after tokens of its own
-                if prefix <= 0:
-                    continue
-                keys, at = np.unique(mark[:prefix], return_index=True)
+            for row in range(batch.num_rows):
+                doc, size, tokens, keys, many = (batch.column(k)[row].as_py() for k in range(5))
                 cell = np.int32(size).tobytes() + tokens
-                for key, many in zip(keys, held[at], strict=True):
-                    blocks = -(-int(many) // BLOCK)
+                names, at = np.unique(np.frombuffer(keys, np.uint64), return_index=True)
+                for key, held in zip(names, np.frombuffer(many, np.int32)[at], strict=True):
+                    blocks = -(-int(held) // BLOCK)
                     mine = int(bt.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(blocks))
                     for other in range(blocks):
                         low, high = min(mine, other), max(mine, other)
@@ -303,7 +425,7 @@ def _meetings(buckets: int):
                         spread = bt.mix(np.array([int(key) ^ pair * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64))
                         for k, v in zip(_MEETING, (int(packed.bucket_of(spread, buckets)[0]), int(key.view(np.int64)), pair, doc, cell), strict=True):
                             out[k].append(v)
-                if len(out["key"]) >= 2000:
+                if len(out["key"]) >= 500:
                     yield packed.batch(out, _MEETING)
                     out = {k: [] for k in _MEETING}
             yield packed.batch(out, _MEETING)
@@ -330,6 +452,18 @@ def _linked(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _links(keyed: DataFrame, labelled: DataFrame, first_only: bool, buckets: int) -> DataFrame:
+    """(a, b): links between classes of different labels, enough to connect what they connect."""
+    keys = labelled.select("doc_id", "size", "keys", "at", "label").mapInArrow(_keys_out(buckets, first_only), _KEYS_SCHEMA)
+    left = packed.dealt(keys).mapInArrow(_partnered(buckets), _KEYS_SCHEMA)
+    chosen = packed.dealt(left).mapInArrow(
+        packed.gathered(_keys_by_class, list(_KEYS)), "doc_id long, keys binary, many binary"
+    )
+    met = keyed.select("doc_id", "size", "tokens").join(chosen.hint("shuffle_hash"), "doc_id")
+    meetings = met.select("doc_id", "size", "tokens", "keys", "many").mapInArrow(_meetings(buckets), _MEETING_SCHEMA)
+    return packed.dealt(meetings).mapInArrow(packed.gathered(_linked, list(_MEETING)), "a long, b long")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links).
 
@@ -364,9 +498,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         packed.gathered(_prefixes, list(_TOKENS)), "doc_id long, tokens binary, held binary, mark binary"
     )
     sized = shared.join(heads.select("doc_id", "size").hint("shuffle_hash"), "doc_id")
-    meetings = sized.select("doc_id", "size", "tokens", "held", "mark").mapInArrow(_meetings(buckets), _MEETING_SCHEMA)
-    links = packed.dealt(meetings).mapInArrow(packed.gathered(_linked, list(_MEETING)), "a long, b long")
-    found = components(written(links, "join-links"))
+    keyed = sized.select("doc_id", "size", "tokens", "held", "mark").mapInArrow(
+        _keyed, "doc_id long, size int, tokens binary, keys binary, at binary"
+    )
+    keyed = written(keyed, "join-keyed")
+    # First each class meets others at its rarest key only, which connects most of what is to be connected;
+    # then at all keys, with those that aren't connected yet.
+    links = written(_links(keyed, keyed.withColumn("label", F.col("doc_id")), True, buckets), "join-links")
+    labels = components(links).select(F.col("id").alias("_id"), "component")
+    labelled = keyed.join(labels.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").withColumn(
+        "label", F.coalesce("component", "doc_id")
+    )
+    more = written(_links(keyed, labelled, False, buckets), "join-links")
+    found = components(links.unionByName(more))
     named = member.join(found, member["rep"] == found["id"], "left").select(
         F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component")
     )
