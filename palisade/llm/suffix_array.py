@@ -160,6 +160,8 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, at: np.ndarray, most: in
 
     In text order that length falls by at most one a step, so each ``every``-th position bounds those
     after it and only what the bound leaves open is compared, 8 bytes at once."""
+    if not len(at):
+        return np.zeros(0, np.int64)
     before = np.full(len(sa), -1)
     before[sa[1:]] = sa[:-1]
     padded = np.concatenate([text, np.zeros(most + every + 16, np.uint8)])
