@@ -58,7 +58,7 @@ def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries whose key occurs again, ordered by key, and each one's group number."""
     order = np.argsort(key)
     sorted_key = key[order]
-    same = np.append(False, sorted_key[1:] == sorted_key[:-1])
+    same = np.append(False, sorted_key[1:] == sorted_key[:-1])[: len(key)]
     again = same | np.append(same[1:], False)
     return order[again], np.cumsum(~same[again])
 

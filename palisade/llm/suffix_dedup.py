@@ -176,6 +176,8 @@ def _classes(buckets: int):
         ids, at, count = ids[~done], at[~done], count[~done]
         anchor = np.concatenate([packed.from_planes(c, np.uint32) for c in cells["anchor"]])
         content = np.concatenate([packed.from_planes(c, np.uint64) for c in cells["content"]])
+        if not len(anchor):
+            return
         order = np.argsort(anchor)
         same = np.append(False, anchor[order][1:] == anchor[order][:-1])
         again = order[same | np.append(same[1:], False)]

@@ -54,7 +54,9 @@ class ViterbiCounter:
         self.cache: dict[str, int] = {}
 
     def of_word(self, word: str) -> int:
-        """Pieces of the marked word."""
+        """Pieces of the marked word; a mark inside it starts anew, as in the library."""
+        if MARK in word:
+            return sum(map(self.of_word, word.split(MARK)))
         s = MARK + word
         n = len(s)
         score, count = [0.0] * (n + 1), [0] * (n + 1)

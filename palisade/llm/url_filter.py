@@ -33,6 +33,7 @@ free-bets best-bets-today sports-bets-win slots-jackpot mega-slots cheap-pills b
 discount-pharma-pills adult-videos adult-cams xxx-adult sexy-adult-chat hot-xxx porn-tube freeporn adult-dating-x
 spam-links spamsite spam-mailer link-farm seo-farm content-farm-links click-farm ads-server ads-track adstracker
 popup-ads track-clicks ad-click-track tracker-pixel free-money-win win-prize-now claim-prize fast-loans payday-loans
+poker-room poker-night holdem-poker pills-market pill-store pharmacy-pills shop-pills
 replica-watches crack-keygen warez-download torrent-crack fake-login phish-login free-iphone-win
 """
 _ALLOWED = """
@@ -41,6 +42,7 @@ sciencejournal localradio theatre choir bookshop publishers opendata statistics
 hikingclub birdwatch astronomy chemistry physics biology linguistics translators poetry essays recipes bakery
 farmhouse winery trackandfield railways timetable betterhomes alphabet winter windmill pillow adults-education
 advent address therapists thinking thatcher theory tionary nation station motion ration ocean
+bookshops flowershop kingfisher starlight
 thstone ndhouse erington ingham hereford anderson onslow redhill orchard
 """
 _TOP = ("example.com", "example.net", "example.org")

@@ -58,7 +58,8 @@ def test_suffix_dedup(spark, data):
     assert got == brute.bytes_removed([tuple(r) for r in docs.collect()])
     assert suffix_dedup.suffix_dedup(made(spark, [])).count() == 0
     nameless = suffix_dedup.suffix_dedup(made(spark, [(None, "x" * 300), (1, "x" * 300), (1, "x" * 300)])).collect()
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in nameless) == [(0, 0), (1, 300 - 0), (1, 300)] or {r["n_removed"] for r in nameless if r["doc_id"]} == {299}
+    # the run of one letter repeats within its own text, but not in the row that repeats it
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in nameless) == [(0, 0), (1, 299), (1, 299)]
 
 
 def test_substring_dedup(spark, data):
