@@ -666,13 +666,13 @@ def _load_letters():
     return _letters
 
 
-@query("ml_gate_fold", f"WITH {SCORED_SQL}, g AS (SELECT *, CASE WHEN would = 'flag' THEN round((length(m) - length(replace(m, 'e', ''))) / length(m), 6) END AS ml FROM judged) SELECT doc_id, would, ml, round(1.0::DOUBLE - (1.0::DOUBLE - score) * (1.0::DOUBLE - CASE WHEN coalesce(ml, 0) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE ml END), 6) AS score FROM g")
+@query("ml_gate_fold", f"WITH {SCORED_SQL}, g AS (SELECT *, CASE WHEN would = 'flag' THEN round((length(m) - length(replace(m, 'e', ''))) / length(m), 6) END AS ml FROM judged) SELECT doc_id, would, ml, round(1.0::DOUBLE - (1.0::DOUBLE - score) * (1.0::DOUBLE - CASE WHEN coalesce(ml, 0) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE ml END), 4) AS score FROM g")
 def ml_gate_fold(spark, sf_dir):
     scorer = F.pandas_udf(lambda s: s.map(lambda t: _letters([t])[0]), "double")
     d = judged(spark, sf_dir).select("doc_id", "would", "score", "m")
     d = escalation.gated_apply(d, escalation.ml_gate(F.col("would"), F.lit(False), F.lit(False)), lambda x: x.withColumn("ml", scorer("m")), {"ml": "double"})
     w = F.when(F.coalesce("ml", F.lit(0.0)) < 0.05, 0.0).otherwise(F.col("ml"))
-    return d.select("doc_id", "would", "ml", F.round(1.0 - (1.0 - F.col("score")) * (1.0 - w), 6).alias("score"))
+    return d.select("doc_id", "would", "ml", F.round(1.0 - (1.0 - F.col("score")) * (1.0 - w), 4).alias("score"))
 
 
 @query("ml_chunk_max")
