@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles as sql
 from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
@@ -59,16 +60,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-OP3_SQL = r"""
-WITH norm AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
-)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-FROM norm
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_url_filter,
@@ -86,4 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_source_mixing": mixing_oracle()}
+    return {
+        "op3_exact_dedup": sql.OP3_SQL,
+        "op4_suffix_dedup": sql.OP4_SQL,
+        "op5_ngram_join": sql.OP5_SQL,
+        "op7_source_mixing": mixing_oracle(),
+        "op9_substring_dedup": sql.OP9_SQL,
+    }
