@@ -30,10 +30,10 @@ from . import bytetools as bt
 
 #: An item leaks where 1 - distance / item length reaches this.
 SIMILARITY = 0.8
-REPETITIONS = 4
+REPETITIONS = 10
 #: Steps of a walk, by the bytes that an item must have for it; an item uses the longest it can.
 WALKS = (64, 24, 8)
-SAMPLES = 16
+SAMPLES = 11
 #: Items that are searched at once; more are taken block by block.
 BLOCK_BYTES = 8 << 20
 

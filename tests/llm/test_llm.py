@@ -168,6 +168,20 @@ def test_decontamination_recall_and_precision(spark, data):
     assert [x["item_id"] for x in decontamination.find_leaks(made(spark, [(1, "here Twenty four\nbytes of it are")]), odd).collect()] == [4]
 
 
+def test_decontamination_recall_at_edited_characters(spark, data):
+    items = [tuple(x) for x in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    edit = lambda c, rate: c if r.random() >= rate else r.choice(("", r.choice(letters), c + r.choice(letters)))
+    low = {k: " ".join(t.split()).translate(brute.LOW) for k, t in items}
+    for rate in (0.08, 0.15):
+        rows = [(k, "words before it " + "".join(edit(c, rate) for c in t) + " words after it") for k, t in items]
+        near = {k for k, t in rows if brute.edit_distance_within(low[k].encode(), " ".join(t.split()).translate(brute.LOW).encode()) <= 0.2 * len(low[k].encode())}
+        found = decontamination.find_leaks(made(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+        got = {x["doc_id"] for x in found if x["doc_id"] == x["item_id"]}
+        assert len(near) >= 20 and len(near & got) >= 0.9 * len(near)
+
+
 def test_urls(spark):
     urls = [
         (1, None), (2, ""), (3, "no scheme/en/"), (4, "http://A.Example.COM/en/71?x"), (5, "https://example.com/en/9"), (6, "https://x.example.net/de/8"),
