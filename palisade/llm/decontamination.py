@@ -10,7 +10,8 @@ the word, so documents and items choose alike; different repetitions choose diff
 The sampled bytes are compared in the order of the walk, and starts that agree with no item so far
 leave it early: the result is that of the full walk. A collision at some word of an item fixes
 where the item-sized window of the document lies; there the exact edit distance (least
-over the window's substrings, by a bit-parallel recurrence) decides.
+over the window's substrings, by a bit-parallel recurrence) decides, unless the window lacks more
+of the item's trigrams than the allowed edits could change.
 
 Texts are compared after lower-casing A-Z and collapsing white space, in UTF-8 bytes.
 """
@@ -66,7 +67,11 @@ def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     full, top = (1 << n) - 1, 1 << (n - 1)
     up, down, score = full, 0, n
     best, end = (n, 0) if n <= most else (most + 1, -1)
+    left = len(text)
     for k, c in enumerate(text):
+        if score - left >= best:  # a column lowers the score by one at most
+            break
+        left -= 1
         same = at.get(c, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         plus = down | (full & ~(diagonal | up))
@@ -83,6 +88,12 @@ def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+def trigrams(b: np.ndarray) -> np.ndarray:
+    """A 16-bit code of the three bytes from each place on."""
+    w = b.astype(np.uint16)
+    return (w[:-2] << np.uint16(10)) ^ (w[1:-1] << np.uint16(5)) ^ w[2:] if len(b) > 2 else w[:0]
+
+
 @dataclass
 class Repetition:
     """One walk, its sampled steps, and the items' sampled bytes as sorted keys."""
@@ -111,10 +122,10 @@ class Repetition:
     def walk(self, b: np.ndarray, start: np.ndarray, known: bool) -> tuple[np.ndarray, np.ndarray | list]:
         """b ends with as many zeros as there are steps. For documents (known): which starts agree with
         an item, and their keys; for items: all keys, and the keys so far after each sample."""
-        at, index, h = start.astype(np.int32), np.arange(len(start)), np.zeros(len(start), np.uint32)
+        at, index, h = start.astype(np.int64), np.arange(len(start)), np.zeros(len(start), np.uint32)
         so_far, k = [], 0
         for step in range(int(self.samples[-1]) + 1):
-            c = b[at]
+            c = b.take(at)
             if step == self.samples[k]:
                 h = (h ^ c) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
                 h ^= h >> np.uint32(13)
@@ -126,14 +137,14 @@ class Repetition:
                     at, index, h, c = at[on], index[on], h[on], c[on]
                     if not len(at):
                         break
-            at += self.moves[step][c]
+            at += np.frombuffer(c.tobytes().translate(self.moves[step].tobytes()), np.uint8)
         return (index, h) if known else (h, so_far)
 
     def learn(self, b: np.ndarray, start: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
         h, so_far = self.walk(b, start, known=False)
         order = np.argsort(h, kind="stable")
         self.keys, self.item, self.offset = h[order], item[order], offset[order]
-        for k in range(min(3, len(so_far)), len(so_far) + 1):
+        for k in range(min(2, len(so_far)), len(so_far) + 1):
             seen = np.zeros(1 << 16, bool)
             seen[so_far[k - 1] & np.uint32(0xFFFF)] = True
             if seen.mean() < 0.5 or k == len(so_far):
@@ -150,6 +161,7 @@ class ItemIndex:
         self.ids = [k for k, _ in items]
         self.texts = [b[s:e].tobytes().rstrip(b" ") for s, e in zip(offsets, offsets[1:], strict=False)]
         self.most = [math.floor((1 - similarity) * len(t) + 1e-9) for t in self.texts]
+        self.grams = [trigrams(np.frombuffer(t, np.uint8)) for t in self.texts]
         start, item, h = word_starts(b, offsets)
         size = np.array([len(t) for t in self.texts], np.int64)
         left = offsets[item] + size[item] - start if len(start) else start
@@ -182,9 +194,9 @@ class ItemIndex:
             begin = start[word] - r.offset[entry]
             for t, i, s in set(zip(text[word].tolist(), r.item[entry].tolist(), (begin // 16).tolist(), strict=True)):
                 spots.setdefault((t, i), set()).add(s * 16)
-        found = []
+        found, codes = [], trigrams(b) if spots else None
         for (t, i), begins in spots.items():
-            item, most = self.texts[i], self.most[i]
+            item, most, grams = self.texts[i], self.most[i], self.grams[i]
             best, end, done = most + 1, -1, -1
             for s in sorted(begins):
                 low = max(int(offsets[t]), s - most - 16)
@@ -192,6 +204,10 @@ class ItemIndex:
                 if high <= done:  # this window was searched with the last
                     continue
                 done = high - most
+                here = np.zeros(1 << 16, bool)
+                here[codes[low : max(high - 2, low)]] = True
+                if np.count_nonzero(~here[grams]) > 3 * most:  # an edit changes three trigrams at most
+                    continue
                 d, e = least_distance(item, b[low:high].tobytes(), most)
                 if d < best:
                     best, end = d, low - int(offsets[t]) + e
