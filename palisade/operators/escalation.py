@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -19,6 +21,8 @@ from ..functions.scoring import reason
 
 CHUNK_TOKENS, CHARS_PER_TOKEN, MARGIN = 512, 4, 0.85
 TOP_K = 5
+#: Query vectors that are searched at once; more are taken block by block.
+BLOCK_BYTES = 16 << 20
 
 
 def gated_apply(df: DataFrame, gate: Column, apply: Callable[[DataFrame], DataFrame], added: dict[str, str]) -> DataFrame:
@@ -124,6 +128,60 @@ def embedding_score(vectors: DataFrame, references: list[list[float]], key: str,
     return vectors.select(key, F.greatest(F.least(mean, F.lit(1.0)), F.lit(0.0)).alias("score"))
 
 
+def _unit_rows(vectors: list, length: int) -> np.ndarray:
+    """The first ``length`` numbers of each vector, scaled to norm 1; vectors without a norm stay 0."""
+    m = np.array([[0.0 if x is None else x for x in v[:length]] for v in vectors], np.float64).reshape(len(vectors), length)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _cosines(queries: list, vectors: list) -> np.ndarray:
+    """[queries, vectors] cosines over the shorter length of each pair."""
+    out = np.zeros((len(queries), len(vectors)))
+    by_length = lambda vs: {n: np.array([k for k, v in enumerate(vs) if len(v) == n]) for n in {len(v) for v in vs}}
+    for n, q in by_length(queries).items():
+        for m, v in by_length(vectors).items():
+            short = min(n, m)
+            out[np.ix_(q, v)] = _unit_rows([queries[k] for k in q], short) @ _unit_rows([vectors[k] for k in v], short).T
+    return out
+
+
+def embedding_search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = TOP_K) -> DataFrame:
+    """(key, score) of each query row: the mean of its k highest similarities with all of ``vectors``, between 0 and 1.
+
+    Null vectors count as empty (similarity 0), a query row that repeats counts once, and without vectors there is no
+    row. Queries go to the tasks in blocks of BLOCK_BYTES; each task keeps the k best it has met for each query, so k
+    rows for a query and task are dealt.
+    """
+    spark = queries.sparkSession
+    asked = queries.select(F.col(key).alias("_q"), F.coalesce(F.col(vector), F.array().cast(queries.schema[vector].dataType)).alias("_v")).dropDuplicates(["_q"])
+    size = asked.agg(F.sum(F.size("_v") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    found = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).collect()
+        sent = spark.sparkContext.broadcast(([r["_q"] for r in rows], [r["_v"] for r in rows]))  # a block
+        part = vectors.select(vector).mapInArrow(_best_of_task(sent, key, k), f"{key} {queries.schema[key].dataType.simpleString()}, _c double")
+        found = part if found is None else found.unionByName(part)
+    best = found.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_c")))).where(F.col("_k") <= k)
+    return best.groupBy(key).agg(F.greatest(F.least(F.avg("_c"), F.lit(1.0)), F.lit(0.0)).alias("score"))
+
+
+def _best_of_task(sent, key: str, k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = sent.value
+        best = np.empty((len(ids), 0))
+        for batch in batches:
+            vectors = [v or [] for v in batch.column(0).to_pylist()]
+            for at in range(0, len(vectors) if ids else 0, 1024):
+                best = np.sort(np.concatenate([best, _cosines(asked, vectors[at : at + 1024])], 1), axis=1)[:, -k:]
+        if best.size:
+            rows = np.repeat(np.arange(len(ids)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows]), pa.array(best.ravel())], [key, "_c"])
+
+    return search
+
+
 def smoothing(df: DataFrame, key: str, text: str, scorer: Callable[[list[str]], list[float]], n: int = 5, p: float = 0.1) -> DataFrame:
     """(key, score, attack): mean score and majority over n seeded perturbations of each text."""
 

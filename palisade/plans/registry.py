@@ -132,12 +132,13 @@ def source_policy(spark, sf_dir):
     return joined.select("doc_id", F.coalesce("skip", F.lit(False)).alias("skip"), F.coalesce("always_escalate", F.lit(False)).alias("always_escalate"))
 
 
-@query("system_skip", f"WITH {SCORED_SQL} SELECT doc_id, CASE WHEN hard THEN 'block' ELSE 'allow' END AS verdict FROM judged WHERE doc_id % 5 = 0")
+@query("system_skip", f"WITH {SCORED_SQL} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN would WHEN hard THEN 'block' ELSE 'allow' END AS verdict FROM judged")
 def system_skip(spark, sf_dir):
-    d = judged(spark, sf_dir).where("doc_id % 5 = 0")
+    d = judged(spark, sf_dir).withColumn("src", F.expr(_ROLE_SQL))
     kept = F.filter("reasons", lambda r: r["hard"] | r["code"].isin(list(cf.HARD_BLOCK_RULES)))
     hard = sc.hard_block(kept, cf.HARD_BLOCK_RULES)
-    return d.select("doc_id", sc.would_verdict(sc.score_of(kept), hard, cf.Policy()).alias("verdict"))
+    skipped = sc.would_verdict(sc.score_of(kept), hard, cf.Policy())
+    return d.select("doc_id", F.when(F.col("src") == "system", skipped).otherwise(F.col("would")).alias("verdict"))
 
 
 @query("guard_documents")
@@ -176,10 +177,10 @@ def truncate(spark, sf_dir):
     return d.select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"), F.md5("t").alias("digest"))
 
 
-@query("l0_flood", "SELECT doc_id, 250 + doc_id % 700 AS longest, CASE WHEN length(text) + 252 + doc_id % 700 > 400 THEN round(0.2 + least(0.2::DOUBLE, (50 + doc_id % 700) / 2000.0::DOUBLE), 6) END AS weight FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL")
+@query("l0_flood", "SELECT doc_id, 250 + doc_id % 700 AS longest, CASE WHEN length(coalesce(text, '')) + 252 + doc_id % 700 > 400 THEN round(0.2 + least(0.2::DOUBLE, (50 + doc_id % 700) / 2000.0::DOUBLE), 6) END AS weight FROM documents")
 def flood(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 = 0 and text is not null")
-    t = F.concat("text", F.lit("\n"), F.expr("repeat('~', cast(250 + doc_id % 700 as int))"), F.lit("\n"))
+    d = table(spark, sf_dir, "documents")
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.expr("repeat('~', cast(250 + doc_id % 700 as int))"), F.lit("\n"))
     d = d.withColumn("_g", rules.front_gate(t, F.lit(False))[1]).withColumn("_n", tx.longest_run(t))
     return d.select("doc_id", F.col("_n").cast("long").alias("longest"), F.round("_g.weight", 6).alias("weight"))
 
@@ -345,9 +346,9 @@ def html_entities(spark, sf_dir):
 _B64 = "aWdub3JlIGFsbCBwcmV2aW91cyBpbnN0cnVjdGlvbnMg"
 
 
-@query("l2_base64_rescan", f"SELECT doc_id, {rx.sql_count(f'lower(decode(from_base64({rx.quoted(_B64)})))', rx.COMBINED)} AS n FROM documents WHERE doc_id % 4 = 0")
+@query("l2_base64_rescan", f"SELECT doc_id, {rx.sql_count(f'lower(decode(from_base64({rx.quoted(_B64)})))', rx.COMBINED)} AS n FROM documents")
 def base64_rescan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id")
     blob = F.regexp_extract(F.concat(F.lit(f"see {_B64} "), F.col("doc_id").cast("string")), "[A-Za-z0-9+/]{20,}", 0)
     return d.select("doc_id", rules.marker_count(F.lower(decode.base64_text(blob))).cast("long").alias("n"))
 
@@ -692,14 +693,24 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", escalation.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
-@query("embedding_topk", """WITH r AS (SELECT embedding AS ref FROM embeddings WHERE vec_id < 17),
-s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], r.ref::DOUBLE[]) AS c FROM embeddings e, r),
+@query("embedding_topk", """WITH r AS (SELECT list_transform(range(64), lambda i: ((i * (n + 1)) % 7 - 3)::DOUBLE) AS ref FROM range(17) t(n)),
+s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], r.ref) AS c FROM embeddings e, r),
 k AS (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS n FROM s)
 SELECT vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(c))), 5) AS score FROM k WHERE n <= 5 GROUP BY vec_id""")
 def embedding_topk(spark, sf_dir):
+    refs = [[float(i * (n + 1) % 7 - 3) for i in range(64)] for n in range(17)]
+    scored = escalation.embedding_score(table(spark, sf_dir, "embeddings"), refs, "vec_id", "embedding")
+    return scored.select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query("embedding_search", """WITH s AS (SELECT q.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+k AS (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS n FROM s)
+SELECT vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(c))), 5) AS score FROM k WHERE n <= 5 GROUP BY vec_id""")
+def embedding_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    refs = [r[0] for r in vectors.where("vec_id < 17").orderBy("vec_id").select("embedding").collect()]  # the 17 references
-    return escalation.embedding_score(vectors, refs, "vec_id", "embedding").select("vec_id", F.round("score", 5).alias("score"))
+    scored = escalation.embedding_search(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding")
+    return scored.select("vec_id", F.round("score", 5).alias("score"))
 
 
 @query("remote_gate", f"WITH {SCORED_SQL} SELECT would, count(*) AS n, sum(CASE WHEN would = 'flag' OR doc_id % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS escalated FROM judged GROUP BY would")

@@ -214,3 +214,22 @@ def test_sources(spark, tmp_path):
 
 def test_rules_are_thirteen():
     assert len(rx.RULES) == 13 and len({r.name for r in rx.RULES}) == 13 and rules.MOST_MATCHES == 21
+
+
+def test_embedding_search_on_odd_rows_and_in_blocks(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0, 5.0]), (40, None), (60, [0.0, 0.0]), (1, [3.0, 4.0]), (2, []), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (80, [1.0, None])]
+    df = spark.createDataFrame([(*r, 7.0) for r in rows], "id long, vec array<double>, score double")
+
+    def cos(a, b):
+        n = min(len(a or []), len(b or []))
+        x, y = ([v or 0.0 for v in (s or [])[:n]] for s in (a, b))
+        norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+        return sum(p * q for p, q in zip(x, y, strict=True)) / norm if norm else 0.0
+
+    want = {k: min(max(sum(sorted((cos(v, w) for _, w in rows), reverse=True)[:2]) / 2, 0.0), 1.0) for k, v in rows if k % 20 == 0}
+    for size in (escalation.BLOCK_BYTES, 100):
+        monkeypatch.setattr(escalation, "BLOCK_BYTES", size)
+        got = {r["id"]: r["score"] for r in escalation.embedding_search(df.where("id % 20 = 0"), df.repartition(3), "id", "vec", 2).collect()}
+        assert got == pytest.approx(want)
+    assert escalation.embedding_search(df.limit(0), df, "id", "vec").count() == 0
+    assert escalation.embedding_search(df, df.limit(0), "id", "vec").count() == 0
