@@ -446,8 +446,12 @@ def _linked(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
             continue
         sizes = np.array([np.frombuffer(cells["tokens"][k], np.int32, 1)[0] for k in own], np.int64)
         parts = [np.frombuffer(cells["tokens"][k], np.uint64, offset=4) for k in own]
-        owner = np.repeat(np.arange(len(own)), [len(p) for p in parts])
-        seen.update((int(doc[own[x]]), int(doc[own[y]])) for x, y in spanning_links(np.concatenate(parts), owner, sizes, PERCENT))
+        owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(p) for p in parts])
+        tokens = np.concatenate(parts)
+        parts.clear()
+        for k in own:
+            cells["tokens"][k] = None  # a row is in one group only
+        seen.update((int(doc[own[x]]), int(doc[own[y]])) for x, y in spanning_links(tokens, owner, sizes, PERCENT))
     a, b = zip(*sorted(seen), strict=True) if seen else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

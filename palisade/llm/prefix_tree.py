@@ -10,17 +10,38 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Tokens that are looked at together.
+RUN = 1 << 20
+
+
+def _runs(owner: np.ndarray, members: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of whole sets with about RUN tokens; a larger set has a run of its own."""
+    ends, runs, s = np.searchsorted(owner, np.arange(members), side="right"), [], 0
+    while s < len(owner):
+        at = max(int(np.searchsorted(ends, s + RUN, side="right")) - 1, int(owner[s]))
+        runs.append((s, int(ends[at])))
+        s = int(ends[at])
+    return runs
+
+
 class PrefixTree:
-    """members: the tokens of each set (distinct numbers); sizes: the sets' full sizes, which may count
-    tokens that no other set has."""
+    """tokens: those of each set (distinct numbers), by owner; sizes: the sets' full sizes, which may count
+    tokens that no other set has. Tokens are taken a run of sets at a time, so that a tree needs little
+    more memory than they do."""
 
     def __init__(self, tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int):
         m, self.sizes, self.percent = len(sizes), sizes, percent
-        own, token = np.unique(tokens, return_inverse=True)
+        runs = _runs(owner, m)
+        own = np.zeros(0, tokens.dtype)
+        for s, e in runs:
+            own = np.union1d(own, tokens[s:e])
+        token = np.empty(len(tokens), np.int32)
         r = np.random.default_rng(5).integers(0, 1 << 63, m, dtype=np.uint64)
-        mark = np.zeros(len(own), np.uint64)
-        np.add.at(mark, token, r[owner])
-        held = np.bincount(token, minlength=len(own))
+        mark, held = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
+        for s, e in runs:
+            token[s:e] = np.searchsorted(own, tokens[s:e])
+            np.add.at(mark, token[s:e], r[owner[s:e]])
+            np.add.at(held, token[s:e], 1)
         # symbols: tokens with the same holders, the most held first
         sort = np.lexsort((mark, -held))
         new = np.append(True, mark[sort][1:] != mark[sort][:-1]) if len(own) else np.zeros(0, bool)
@@ -28,17 +49,18 @@ class PrefixTree:
         symbol_of[sort] = np.cumsum(new) - 1
         many = int(new.sum())
         self.weight = np.bincount(symbol_of, minlength=many).astype(np.int64)
-        pair = np.unique(owner.astype(np.int64) * max(many, 1) + symbol_of[token])
-        self.owner, self.symbol = pair // max(many, 1), pair % max(many, 1)
-        self.begin = np.searchsorted(self.owner, np.arange(m + 1))
+        pairs = [np.unique(owner[s:e].astype(np.int64) * max(many, 1) + symbol_of[token[s:e]]) for s, e in runs]
+        pair = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        del pairs, token
+        self.begin = np.searchsorted(pair, np.arange(m + 1) * max(many, 1))
+        self.symbol = (pair % max(many, 1)).astype(np.int32)
+        del pair
         self._build(m, many)
 
     def _build(self, m: int, many: int) -> None:
         """Levels of nodes: symbol, parent, weights and sizes below, and the members that end there."""
         length = np.diff(self.begin)
-        total = np.zeros(m, np.int64)
-        np.add.at(total, self.owner, self.weight[self.symbol])
-        self.total = total
+        total = np.array([self.weight[self.symbol[s:e]].sum() for s, e in zip(self.begin, self.begin[1:], strict=False)], np.int64)
         self.levels = []
         node, alive, used = np.zeros(m, np.int64), np.flatnonzero(length > 0), np.zeros(m, np.int64)
         self.empty = np.flatnonzero(length == 0)
@@ -54,7 +76,7 @@ class PrefixTree:
             node[alive] = number
             ends = alive[length[alive] == depth + 1]
             by = np.argsort(node[ends], kind="stable")
-            self.levels.append((key % many, key // many, rest, least, ends[by], node[ends][by]))
+            self.levels.append((*(x.astype(np.int32) for x in (key % many, key // many, rest, least)), ends[by], node[ends][by]))
             alive = alive[length[alive] > depth + 1]
             depth += 1
 
@@ -75,7 +97,7 @@ class PrefixTree:
             overlap = overlap_above[parent] + has[symbol]
             reach = overlap + np.minimum(rest, beyond[symbol + 1])
             # 100 o >= p (size + n - o) for some n of at least ``least``
-            on &= (100 + p) * reach >= p * (size + least)
+            on &= (100 + p) * reach >= p * (size + least.astype(np.int64))
             if len(ends):
                 o = overlap[at]
                 fit = on[at] & (100 * o >= p * (size + self.sizes[ends] - o))

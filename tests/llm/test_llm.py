@@ -95,9 +95,10 @@ def test_ngram_join_of_a_large_group_in_blocks(spark, monkeypatch):
     assert by_id(ngram_join.ngram_join(made(spark, rows)), "n_shingles", "component_id") == brute.similar(rows)
 
 
-def test_prefix_tree_finds_all_similar_sets():
+def test_prefix_tree_finds_all_similar_sets(monkeypatch):
     r = random.Random(1)
-    for _ in range(60):
+    for turn in range(60):
+        monkeypatch.setattr(prefix_tree, "RUN", (1 << 20, 1, 25)[turn % 3])
         sets = [set(r.sample(range(30), r.randint(1, 20))) for _ in range(r.randint(2, 12))]
         sets += [set(s) ^ {r.randrange(30)} for s in sets[:3]]
         sets = [s or {1} for s in sets]
