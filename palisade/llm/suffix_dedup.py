@@ -143,7 +143,7 @@ def _region_messages(buckets: int):
                         out["ids"].append(packed.planes(ids[used]))
                         out["first"].append(packed.planes(offsets[used].astype(np.int32)))
 
-                later = _later_copies(content ^ anchor, ids[text], first)
+                later = _later_copies(content ^ anchor, ids[text], first - offsets[text])
                 done, rest = np.flatnonzero(later), np.flatnonzero(~later)
                 add(done, (done + row) // 64 % buckets, True)
                 add(rest, packed.bucket_of(anchor[rest], buckets), False)
@@ -265,11 +265,23 @@ def _judged(buckets: int):
         for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
             own = order[s:e]
             own = own[np.lexsort((at[own], ids[own]))]
+            own = own[~_repeated(text, begin[own], length[own], ids[own], at[own])]
             yield places.emitted(*_covered(text, begin[own], count[own], ids[own], at[own]), buckets)
 
     return packed.gathered(each, list(_REGIONS))
 
 
+def _repeated(text: np.ndarray, begin: np.ndarray, length: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Regions that stand before with the same id, place and bytes: those of repeated rows."""
+    tied = np.append(False, (ids[1:] == ids[:-1]) & (at[1:] == at[:-1]))
+    seen, again = set(), np.zeros(len(ids), bool)
+    for k in np.flatnonzero(tied | np.append(tied[1:], False)):
+        key = (ids[k], at[k], text[begin[k] : begin[k] + length[k]].tobytes())
+        again[k] = key in seen
+        seen.add(key)
+    return again
+
+
 def _covered(text: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray, at: np.ndarray):
     """(ids, first starts, numbers) of the covered runs of starts; regions are in corpus order."""
     length = count + LENGTH - 1

@@ -62,6 +62,15 @@ def test_suffix_dedup(spark, data):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in nameless) == [(0, 0), (1, 299), (1, 299)]
 
 
+def test_suffix_dedup_of_repeated_rows_in_one_slice(spark):
+    r = random.Random(8)
+    own = ["".join(r.choice("abcdefghijklmnop ") for _ in range(600)) for _ in range(3)]
+    rows = [(1, own[0]), (1, own[0]), (2, own[1] + own[0]), (3, own[2]), (3, own[2])]
+    for parts in (1, 5):
+        got = suffix_dedup.suffix_dedup(made(spark, rows).repartition(parts).coalesce(parts)).collect()
+        assert sorted((x["doc_id"], x["n_removed"]) for x in got) == [(1, 0), (1, 0), (2, 600), (3, 0), (3, 0)]
+
+
 def test_substring_dedup(spark, data):
     rows, cols = odd_rows(), ("n_words", "n_removed", "kept_sha256")
     assert by_id(substring_dedup.substring_dedup(made(spark, rows)), *cols) == brute.words_removed(rows)
