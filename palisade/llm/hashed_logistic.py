@@ -9,6 +9,7 @@ scoring stays inside the JVM and joins nothing.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -69,11 +70,26 @@ class HashedLogistic:
         return 1.0 / (1.0 + F.exp(-margin))
 
     def probabilities(self, features: Column) -> Column:
-        """array<double> by class, for several classes."""
-        margins = F.array(*self.margins(features))
-        top = F.array_max(margins)
-        powers = F.transform(margins, lambda m: F.exp(m - top))
-        return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+        """array<double> by class, for several classes. Each step is computed once, inside lambdas too."""
+        classes = list(zip(self.weights, self.intercepts, strict=True))
+
+        def margins(hits: Column) -> Column:
+            add = lambda w: lambda s, h: s + F.get(w, h)
+            return F.array(*[F.aggregate(hits, F.lit(float(start)), add(literal(list(own)))) for own, start in classes])
+
+        def shares(powers: Column) -> Column:
+            return bound(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(powers, lambda e: e / total))
+
+        def powers(m: Column) -> Column:
+            return bound(F.array_max(m), lambda top: F.transform(m, lambda x: F.exp(x - top)))
+
+        hits = F.transform(features, lambda g: bucket(g, len(self.weights[0])))
+        return bound(hits, lambda h: bound(margins(h), lambda m: bound(powers(m), shares)))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
 
 def fit(labelled: DataFrame, classes: list[str], buckets: int, reg: float, iterations: int = 60) -> HashedLogistic:

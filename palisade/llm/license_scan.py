@@ -22,6 +22,8 @@ BUCKETS = 4096
 REGULARISATION = 0.0005
 #: Share of a template's word bigrams that a paragraph must hold.
 CONFIRM = 0.75
+#: Words of a window, and from one to the next: each run of WINDOW - STRIDE words, more than any template has, stands whole in one.
+WINDOW, STRIDE = 32, 8
 UNKNOWN = "unknown"
 
 #: Notices by family, as their publishers word them (fixed values), a template a line.
@@ -40,6 +42,7 @@ SPDX-License-Identifier: GPL-3.0-or-later""",
     "LGPL-3.0": """Licensed under the GNU Lesser General Public License, version 3
 SPDX-License-Identifier: LGPL-3.0-or-later""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted under this license
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
 Released under the BSD 3-Clause License
 SPDX-License-Identifier: BSD-3-Clause""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0
@@ -87,7 +90,9 @@ The weather was fine and the sea was calm
 Licensed premises close at ten"""
 
 #: A stem that each template has (lower case).
-CUE = r"licen[sc]|copyright|rights reserved|permission"
+CUE = r"licen[sc]|copyright|rights[^\p{L}\p{N}]+reserved|permission|redistribution"
+#: What stands between paragraphs.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
 
 
 def words_of(line: Column) -> Column:
@@ -171,34 +176,57 @@ def scan_licences(
 ) -> DataFrame:
     """One row per input row: doc_id, license, probability, n_paragraphs, families, n_unknown.
 
-    license is the family of the surest confirmed paragraph (ties: the later name), null without
-    any; n_paragraphs counts confirmed ones and n_unknown those with a cue that are not;
-    families names all confirmed families, sorted and joined by commas (empty without any).
+    license is the family of the surest find (ties: the later name), null without any. n_paragraphs
+    counts the lines that are finds, and each family that only windows find once a paragraph;
+    n_unknown the lines with a cue that are neither finds nor in a paragraph with a find of windows;
+    families names all found families, sorted and joined by commas (empty without any).
     Null and empty texts have none. Repeated rows and null ids pass through; an empty table gives
     an empty result; other columns are ignored.
     """
     model = model or fit_licences(docs.sparkSession)
-    text = text_of(text_col)
-    lines = F.filter(F.split(text, "[\n\r]+"), lambda s: F.lower(s).rlike(CUE))
+    text = F.regexp_replace(text_of(text_col), "\r\n?", "\n")
+    cue = lambda s: F.lower(s).rlike(CUE)
     cued = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.when(F.lower(text).rlike(CUE), lines).otherwise(F.array().cast("array<string>")).alias("_lines"),
+        F.when(cue(text), F.filter(F.split(text, BLANK), cue)).otherwise(F.array().cast("array<string>")).alias("_blocks"),
+    )
+    unit = lambda w, k, line: F.struct(w.alias("w"), k.alias("k"), F.lit(line).alias("line"))
+    lines = F.flatten(F.transform("_blocks", lambda b, k: F.transform(F.filter(F.split(b, "\n"), cue), lambda s: unit(words_of(s), k, True))))
+    several = F.transform("_blocks", lambda b: F.struct(words_of(b).alias("w"), b.contains("\n").alias("wrapped")))
+    worded = cued.withColumn("_several", several)
+    windows = F.flatten(
+        F.transform("_several", lambda x, k: F.transform(window_starts(x["w"], x["wrapped"]), lambda at: unit(F.slice(x["w"], at, WINDOW), k, False)))
+    )
+    worded = worded.withColumn("_units", F.concat(lines, windows))
+    judged = worded.withColumn(
+        "_best", F.transform("_units", lambda u: F.struct(model.best(u["w"]).alias("b"), u["w"].alias("w"), u["k"].alias("k"), u["line"].alias("line")))
     )
-    worded = cued.withColumn("_words", F.transform("_lines", words_of))
-    judged = worded.withColumn("_best", F.transform("_words", lambda w: F.struct(model.best(w).alias("b"), w.alias("w"))))
     sure = F.filter(
         "_best",
         lambda x: (x["b"]["family"] != UNKNOWN)
         & (x["b"]["p"] >= model.threshold)
         & (template_share(x["w"], x["b"]["family"]) >= CONFIRM),
     )
-    found = judged.withColumn("_sure", F.transform(sure, lambda x: x["b"]))
-    top = F.array_max("_sure")
+    found = judged.withColumn("_sure", F.transform(sure, lambda x: F.struct(x["b"].alias("b"), x["k"].alias("k"), x["line"].alias("line"))))
+    of = lambda line: F.transform(
+        F.filter("_sure", lambda x: x["line"] == line), lambda x: F.struct(x["k"].alias("k"), x["b"]["family"].alias("family"))
+    )
+    wrapped = F.array_except(of(False), of(True))
+    alone = lambda c: F.size(F.filter(c, lambda x: x["line"] & ~F.array_contains("_blocks_found", x["k"])))
+    found = found.withColumn("_wrapped", wrapped).withColumn("_blocks_found", F.transform("_wrapped", lambda x: x["k"]))
+    top = F.array_max(F.transform("_sure", lambda x: x["b"]))
     return found.select(
         "doc_id",
         top["family"].alias("license"),
         top["p"].alias("probability"),
-        F.size("_sure").cast("long").alias("n_paragraphs"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_sure", lambda b: b["family"]))), ",").alias("families"),
-        (F.size("_lines") - F.size("_sure")).cast("long").alias("n_unknown"),
+        (F.size(of(True)) + F.size("_wrapped")).cast("long").alias("n_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_sure", lambda x: x["b"]["family"]))), ",").alias("families"),
+        (alone("_best") - alone("_sure")).cast("long").alias("n_unknown"),
     )
+
+
+def window_starts(words: Column, wrapped: Column) -> Column:
+    """From 1, a window each STRIDE words; none for a line of its own that one window holds."""
+    n = F.size(words)
+    last = F.greatest(F.ceil((n - WINDOW) / STRIDE).cast("int"), F.lit(0)) * STRIDE + 1
+    return F.when(wrapped | (n > WINDOW), F.sequence(F.lit(1), last, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))

@@ -228,6 +228,41 @@ def test_licences(spark):
     assert got[3]["n_unknown"] == 1 and license_scan.scan_licences(made(spark, [])).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+"""
+
+
+def test_wrapped_licences(spark):
+    prose = "The weather was fine and nobody at the lake wanted to go home before the evening.\n"
+    texts = {"MIT": MIT_TEXT, "GPL-3.0": GPL_TEXT, "BSD-3-Clause": BSD_TEXT, "Apache-2.0": APACHE_TEXT}
+    rows, want = [], {}
+    for family, t in texts.items():
+        for form in (t, prose + "\n" + t + "\n" + prose, t.replace("\n", "\r\n"), "# " + t.replace("\n", "\n# "), prose * 9 + t + prose * 9, (prose * 9 + t + prose * 9).replace("\n", " ")):
+            want[len(rows)] = family
+            rows.append((len(rows), form))
+    got = {r["doc_id"]: r for r in license_scan.scan_licences(made(spark, rows)).collect()}
+    assert {k: got[k]["license"] for k in want} == want
+    plain = [(1, "The licence\nof the driver\nwas lost.\n" + prose * 20), (2, "He asked\npermission to go.\n\n" + prose)]
+    assert [(r["license"], r["n_paragraphs"], r["n_unknown"]) for r in license_scan.scan_licences(made(spark, plain)).orderBy("doc_id").collect()] == [(None, 0, 1)] * 2
+
+
 def test_token_counts_equal_the_public_library(spark, data):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
