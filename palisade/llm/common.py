@@ -26,10 +26,12 @@ def text_of(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is a folder made and set.
+    Only where the session has none and runs in one process (tests) is a folder made and set.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='palisade-')}"
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -52,6 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as keep them apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """How many parts the owner of the session wants data to be dealt into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,20 +4,55 @@ Some operators look up a hash for every word of a corpus. As rows these would co
 the numbers themselves, so a task sorts its numbers by bucket and emits one row (bucket,
 cells...) per bucket; the rows of a bucket meet in one task, which unpacks them into arrays.
 Spark does the dealing, spilling and retrying. There are as many buckets as the session has
-shuffle partitions, so a bucket's size follows from that setting and not from the input.
-A key that is frequent within a batch is resolved or reduced there, before it is dealt.
+shuffle partitions, or more where the input has over BUCKET_BYTES of text for each, so that what
+a task holds doesn't grow with the input. A key that is frequent within a batch is resolved or
+reduced there, before it is dealt.
+
+Places go back to documents by id. Where one id stands for rows of different texts (the layout
+tells), a mark of 64 bits of the text goes with the id; else it costs nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
+#: Bytes of text for each bucket at most.
+BUCKET_BYTES = 48 << 20
+#: Bytes of text that a task packs at once: these for each bucket, within bounds.
+PER_BUCKET, MOST_SLICE = 400, 64 << 20
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a table is dealt: the number of buckets, and whether each id stands for one text only."""
+
+    buckets: int
+    unique: bool
+
+    def slice_bytes(self, least: int) -> int:
+        """More buckets take longer slices, so that their cells don't shrink to nothing."""
+        return max(least, min(PER_BUCKET * self.buckets, MOST_SLICE))
+
+    def mark(self, text: str = "text") -> Column:
+        """What tells rows of one id apart: nothing where ids are unique."""
+        return F.lit(0).cast("long") if self.unique else F.xxhash64(text)
+
+
+def layout(rows: DataFrame) -> Layout:
+    """Of rows (doc_id, text), by one pass over them that deals an id and two hashes a row."""
+    h = rows.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n"))
+    per_id = h.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("n").alias("n"))
+    size, several = per_id.agg(F.sum("n"), F.max(F.col("low") != F.col("high"))).first()
+    return Layout(max(shuffle_partitions(rows.sparkSession), -(-(size or 0) // BUCKET_BYTES)), not several)
+
 
 def planes(numbers: np.ndarray) -> bytes:
     """Bytes of an array, all lowest bytes first, so that a compressing shuffle meets runs of zeros."""
@@ -26,6 +61,8 @@ def planes(numbers: np.ndarray) -> bytes:
 
 
 def from_planes(cell: bytes, kind) -> np.ndarray:
+    if not cell:
+        return np.zeros(0, kind)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
@@ -55,10 +92,18 @@ def batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kinds[k]) for k in kinds], list(kinds))
 
 
-def dealt(messages: DataFrame, column: str = "bucket") -> DataFrame:
+def dealt(messages: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
     """One partition per bucket."""
-    n = shuffle_partitions(messages.sparkSession)
-    return messages.repartitionById(n, messages[column].cast("int"))
+    return messages.repartitionById(buckets, messages[column].cast("int"))
+
+
+def marks_cell(marks: np.ndarray) -> bytes:
+    """Marks of documents; nothing where there are none."""
+    return planes(marks) if marks.any() else b""
+
+
+def from_marks_cell(cell: bytes, many: int) -> np.ndarray:
+    return from_planes(cell, np.int64) if cell else np.zeros(many, np.int64)
 
 
 def gathered(each: Callable[[dict[str, list]], Iterator[pa.RecordBatch]], names: list[str]):

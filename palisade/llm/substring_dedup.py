@@ -6,9 +6,9 @@ BLOCK from its document's start, as 2 * BLOCK - 1 <= WINDOW. So:
 1. each document's non-overlapping blocks are indexed by hash, and each rolling window of
    BLOCK words of every document probes the index. A probe hits if the block stands in a document
    with a smaller id; both ends of the hits are anchors (40 bits and more: a filter);
-2. anchors are extended: each WINDOW-word window around one is looked up by a 64-bit hash
-   within buckets of a second, independent hash, and is covered if a smaller document has it. The
-   union of a document's covered windows are its maximal exact repeats.
+2. anchors are extended: each WINDOW-word window around one is looked up by two independent
+   64-bit hashes, and is covered if a smaller document has it. The union of a document's covered
+   windows are its maximal exact repeats.
 
 Hashes travel packed (see packed.py). A block or window that is frequent within a batch of texts is
 resolved there, and only what that leaves open is dealt, so a passage with a third of all
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from . import bytetools as bt
 from . import packed, places
-from .common import shuffle_partitions, written
+from .common import written
 
 WINDOW, BLOCK = 13, 7
 _SECOND = 0xAF251AF3B0F025B5
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
-_KINDS = {"bucket": pa.int32(), "done": pa.bool_(), "hash": pa.binary(), "at": pa.binary(), "ids": pa.binary(), "first": pa.binary()}
-_SCHEMA = "bucket int, done boolean, hash binary, at binary, ids binary, first binary"
+_KINDS = {"bucket": pa.int32(), "done": pa.bool_(), "hash": pa.binary(), "other": pa.binary(), "at": pa.binary(), "ids": pa.binary(), "mark": pa.binary(), "first": pa.binary()}
+_SCHEMA = "bucket int, done boolean, hash binary, other binary, at binary, ids binary, mark binary, first binary"
 
 
 class Words:
@@ -54,13 +54,20 @@ class Words:
         return np.flatnonzero((self.text[:m] == self.text[width - 1 :]) & (self.per[self.text[:m]] >= WINDOW))
 
 
-def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries whose key occurs again, ordered by key, and each one's group number."""
+def _repeats(key: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose key (and other key) occurs again, ordered by key, and each one's group number."""
     order = np.argsort(key)
     sorted_key = key[order]
     same = np.append(False, sorted_key[1:] == sorted_key[:-1])[: len(key)]
     again = same | np.append(same[1:], False)
-    return order[again], np.cumsum(~same[again])
+    own, group = order[again], np.cumsum(~same[again])
+    if other is None or not len(own):
+        return own, group
+    by = np.lexsort((other[own], group))
+    own, group = own[by], group[by]
+    same = np.append(False, (group[1:] == group[:-1]) & (other[own][1:] == other[own][:-1]))
+    again = same | np.append(same[1:], False)
+    return own[again], np.cumsum(~same[again])
 
 
 def _least(group: np.ndarray, values: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -85,11 +92,11 @@ class Messages:
     Open entries are looked up in their hash's bucket; done ones only have their places passed on, and
     go to any bucket."""
 
-    def __init__(self, w: Words, ids: np.ndarray, buckets: int):
-        self.w, self.ids, self.buckets = w, ids.astype(np.int64), buckets
+    def __init__(self, w: Words, ids: np.ndarray, mark: np.ndarray, buckets: int):
+        self.w, self.ids, self.mark, self.buckets = w, ids.astype(np.int64), mark, buckets
         self.out: dict[str, list] = {k: [] for k in _KINDS}
 
-    def add(self, bucket: np.ndarray, h: np.ndarray | None, at: np.ndarray) -> None:
+    def add(self, bucket: np.ndarray, h: np.ndarray | None, at: np.ndarray, other: np.ndarray | None = None) -> None:
         order, starts = packed.parts(bucket, self.buckets)
         first = self.w.first
         for k in np.flatnonzero(np.diff(starts)):
@@ -98,57 +105,61 @@ class Messages:
             self.out["bucket"].append(int(k))
             self.out["done"].append(h is None)
             self.out["hash"].append(b"" if h is None else packed.planes(h[own]))
+            self.out["other"].append(b"" if other is None else packed.planes(other[own]))
             self.out["at"].append(packed.planes(np.diff(at[own].astype(np.int32), prepend=np.int32(0))))
             self.out["ids"].append(packed.planes(self.ids[used]))
+            self.out["mark"].append(packed.marks_cell(self.mark[used]))
             self.out["first"].append(packed.planes(first[used].astype(np.int32)))
 
     def batch(self) -> pa.RecordBatch:
         return packed.batch(self.out, _KINDS)
 
 
-def _unpacked(cells: dict[str, list], done: bool, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, document id and number in the document of all entries that are done or aren't."""
-    hs, docs, ats = [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for is_done, h, at, ids, first in zip(*(cells[k] for k in ("done", "hash", "at", "ids", "first")), strict=True):
+def _unpacked(cells: dict[str, list], done: bool, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, other hash, document id and mark and number in the document of all entries that are done or aren't."""
+    hs, others, docs, marks, ats = [np.zeros(0, kind)], [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for is_done, h, other, at, ids, mark, first in zip(*(cells[k] for k in ("done", "hash", "other", "at", "ids", "mark", "first")), strict=True):
         if is_done != done:
             continue
         at, first = np.cumsum(packed.from_planes(at, np.int32)), packed.from_planes(first, np.int32)
         document = np.searchsorted(first, at, side="right") - 1
         hs.append(packed.from_planes(h, kind))
+        others.append(packed.from_planes(other, kind))
         docs.append(packed.from_planes(ids, np.int64)[document])
+        marks.append(packed.from_marks_cell(mark, len(first))[document])
         ats.append((at - first[document]).astype(np.int32))
-    return np.concatenate(hs), np.concatenate(docs), np.concatenate(ats)
+    return tuple(np.concatenate(x) for x in (hs, others, docs, marks, ats))
 
 
 def _looked_up(kind, chosen, buckets: int):
     """A bucket's work: chosen(group, ids, at) tells the entries whose places go on."""
 
     def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        _, ids, at = _unpacked(cells, True, kind)
+        _, _, ids, mark, at = _unpacked(cells, True, kind)
         if len(ids):
-            yield places.emitted(ids, at, np.zeros(len(at), np.int32), buckets)
-        h, ids, at = _unpacked(cells, False, kind)
-        own, group = _repeats(h)
+            yield places.emitted(ids, mark, at, np.zeros(len(at), np.int32), buckets)
+        h, other, ids, mark, at = _unpacked(cells, False, kind)
+        own, group = _repeats(h, other if len(other) else None)
         if len(own):
-            ids, at = ids[own], at[own]
+            ids, mark, at = ids[own], mark[own], at[own]
             found = chosen(group, ids, at)
-            yield places.emitted(ids[found], at[found], np.zeros(int(found.sum()), np.int32), buckets)
+            yield places.emitted(ids[found], mark[found], at[found], np.zeros(int(found.sum()), np.int32), buckets)
 
     return packed.gathered(each, list(_KINDS))
 
 
-def _block_messages(buckets: int):
+def _block_messages(buckets: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
+            all_ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for row, end, b, offsets in bt.text_slices(batch.column(2), slice_bytes):
                 w = Words(b, offsets)
                 at = w.whole(BLOCK)
                 if not len(at):
                     continue
                 g = bt.window_hashes(w.hash, BLOCK)[at]
                 ids = all_ids[row:end][w.text[at]]
-                is_open, message = np.ones(len(at), bool), Messages(w, all_ids[row:end], buckets)
+                is_open, message = np.ones(len(at), bool), Messages(w, all_ids[row:end], marks[row:end], buckets)
                 own, group = _repeats(g)
                 if len(own):
                     anchor, least = _anchors(group, ids[own], (at - w.first[w.text[at]])[own] % BLOCK == 0)
@@ -161,14 +172,14 @@ def _block_messages(buckets: int):
     return run
 
 
-def _window_messages(buckets: int):
-    """Rows of doc_id, text and the document's anchors: windows around these."""
+def _window_messages(buckets: int, slice_bytes: int):
+    """Rows of doc_id, mark, text and the document's anchors: windows around these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            anchors = batch.column(2)
-            for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
+            all_ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            anchors = batch.column(3)
+            for row, end, b, offsets in bt.text_slices(batch.column(2), slice_bytes):
                 w = Words(b, offsets)
                 near = np.zeros(len(w.text) + 1, bool)
                 for k in range(row, end):
@@ -182,14 +193,14 @@ def _window_messages(buckets: int):
                     continue
                 h, other = bt.window_hashes(w.hash, WINDOW)[at], bt.window_hashes(w.hash, WINDOW, _SECOND)[at]
                 ids = all_ids[row:end][w.text[at]]
-                is_open, message = np.ones(len(at), bool), Messages(w, all_ids[row:end], buckets)
-                own, group = _repeats(h)
+                is_open, message = np.ones(len(at), bool), Messages(w, all_ids[row:end], marks[row:end], buckets)
+                own, group = _repeats(h, other)
                 if len(own):
                     least = _least(group, ids[own], np.ones(len(own), bool))
                     is_open[own] = ids[own] <= least
                     done = np.sort(own[ids[own] > least])
                     message.add((at[done] + row) // 64 % buckets, None, at[done])
-                message.add(packed.bucket_of(other[is_open], buckets), h[is_open], at[is_open])
+                message.add(packed.bucket_of(other[is_open], buckets), h[is_open], at[is_open], other[is_open])
                 yield message.batch()
 
     return run
@@ -246,19 +257,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller id; windows are judged on the input. ids are integers.
 
     * null and empty texts have no words; texts under WINDOW words lose none; very long ones count whole.
-    * repeated rows (one id, one text) aren't smaller than each other and get equal results; a row
-      with a null id neither removes nor loses words. An empty table gives an empty result; other
-      columns are ignored.
+    * rows with one id aren't smaller than each other, whether their texts are equal (equal results)
+      or not (each row is judged by itself); a row with a null id neither removes nor loses words.
+      An empty table gives an empty result; other columns are ignored.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = narrow.where("doc_id is not null and text is not null")
-    blocks = known.mapInArrow(_block_messages(buckets), _SCHEMA)
-    hits = packed.dealt(blocks).mapInArrow(_looked_up(np.uint32, _blocks_hit, buckets), places.SCHEMA)
-    anchors = written(places.by_document(hits).select("doc_id", "at"), "substring-anchors")
-    texts = known.join(anchors.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at")
-    windows = texts.mapInArrow(_window_messages(buckets), _SCHEMA)
-    later = packed.dealt(windows).mapInArrow(_looked_up(np.uint64, _later, buckets), places.SCHEMA)
-    covers = written(places.by_document(later).select("doc_id", "at"), "substring-covers")
-    judged = narrow.join(covers.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "at")
+    plan = packed.layout(known)
+    buckets, size = plan.buckets, plan.slice_bytes(SLICE)
+    narrow, known = (d.select("doc_id", plan.mark().alias("mark"), "text") for d in (narrow, known))
+    blocks = known.mapInArrow(_block_messages(buckets, size), _SCHEMA)
+    hits = packed.dealt(blocks, buckets).mapInArrow(_looked_up(np.uint32, _blocks_hit, buckets), places.SCHEMA)
+    anchors = written(places.by_document(hits, buckets).select("doc_id", "mark", "at"), "substring-anchors")
+    texts = known.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "at")
+    windows = texts.mapInArrow(_window_messages(buckets, size), _SCHEMA)
+    later = packed.dealt(windows, buckets).mapInArrow(_looked_up(np.uint64, _later, buckets), places.SCHEMA)
+    covers = written(places.by_document(later, buckets).select("doc_id", "mark", "at"), "substring-covers")
+    judged = narrow.join(covers.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "at")
     return judged.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
