@@ -1,4 +1,9 @@
-"""Connected components of a link table, by joins that halve distances; links stay distributed."""
+"""Connected components of a link table, by alternating stars; links stay distributed.
+
+A large star ties a vertex's larger neighbours to the least of its neighbours and itself; a small star ties
+its smaller ones, and itself, to it. Both keep what is connected, and by turns they leave each component as
+one star around its least vertex, in a number of rounds that grows with the logarithm of its size.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +13,42 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _large_star(links: DataFrame) -> DataFrame:
+    """Links (a, b), a > b."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+    tied = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return tied.distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """The same, of links with a > b."""
+    least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    tied = links.join(least, F.col("a") == F.col("u"))
+    tied = tied.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
+    return tied.select("l.a", "l.b").where("a <> b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """links (a, b), in either direction and with repeats -> (id, component): the least id reachable.
 
-    Each round every vertex takes the least label among its neighbours and itself, then the label
-    of its label. Ends when a round changes nothing; a round's table is written, so that lost
-    executors cost a round at most. Vertices without a link don't appear; null ends are ignored.
+    Ends when each vertex but the centres of stars has one link, to a centre. A round's table is
+    written, so that lost executors cost a round at most. Vertices without a link don't appear;
+    null ends are ignored. A vertex with very many links is joined by sorting, where adaptive
+    execution splits it.
     """
-    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        near = (
-            both.join(labels, F.col("b") == F.col("id"))
-            .groupBy(F.col("a").alias("id2"))
-            .agg(F.min("component").alias("near"))
-        )
-        least = labels.join(near, F.col("id") == F.col("id2"), "left").select(
-            "id", "component", F.least("component", F.coalesce("near", "component")).alias("new")
-        )
-        jump = labels.select(F.col("id").alias("at"), F.col("component").alias("beyond"))
-        moved = written(
-            least.join(jump, F.col("new") == F.col("at"), "left").select(
-                "id", F.least("new", F.coalesce("beyond", "new")).alias("component"), F.col("component").alias("old")
-            ),
-            "labels",
-        )
-        labels = moved.select("id", "component")
-        if moved.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle; raise `rounds`")
+    known = links.where("a is not null and b is not null and a <> b")
+    stars = written(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _settled(stars):
+        stars = written(_small_star(_large_star(stars)), "links")
+    centres = stars.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(centres)
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether no vertex has two links to smaller ones, or one from a larger and one to a smaller vertex."""
+    ends = stars.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        stars.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    per = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up > 0 and down > 0)").isEmpty()

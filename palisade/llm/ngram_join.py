@@ -7,9 +7,13 @@
    classes. Of two similar sets each has a common shingle among its rarest n - ceil(0.8 n) + 1.
    Shingles of the same classes are one key. Ids, sizes and places of keys are dealt first, and only
    classes that may link there by their sizes and the key's places go on, with their sets.
-3. The classes of a key meet in one task, or, if there are many, block by block with each pair of
-   blocks in a task. There a trie of their ordered sets is probed (see prefix_tree.py), and the links
-   that connect what all similar pairs connect are kept.
+3. The classes of a key meet in one task, or, if there are more than BLOCK, in several. There a trie of
+   their ordered sets is probed (see prefix_tree.py), and the links that connect what all similar
+   pairs connect are kept. It takes three turns, each between classes that aren't connected yet: at
+   each class's rarest key, in blocks that don't meet; at all keys with several blocks, dealt anew; and
+   at all keys, where the blocks of what is connected most at a key meet the blocks of all else
+   there, and these meet each other. By then large groups of near copies are connected, so that few
+   of their classes go to more than one block.
 4. Connected components of the links (see components.py).
 
 Shingles are 64-bit hashes; a set's identity is 128 bits of them.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytetools as bt
 from . import packed
-from .common import shuffle_partitions, written
+from .common import fresh, written
 from .components import components
 from .prefix_tree import spanning_links
 
@@ -35,7 +39,7 @@ SLICE = 1 << 20
 #: Share of the shingles that the filter looks up; at least a fifth more than may be missing.
 SAMPLED = 0.4
 #: Classes of one key that meet in one task; more are dealt in blocks.
-BLOCK = 2048
+BLOCK = 512
 _KINDS = {"bucket": pa.int32(), "kind": pa.int32(), "hash": pa.binary(), "ids": pa.binary(), "count": pa.binary(), "size": pa.binary()}
 _SCHEMA = "bucket int, kind int, hash binary, ids binary, count binary, size binary"
 #: Kinds of rows: shingles that ask whether they are repeated; that only tell; sizes and counts by document.
@@ -74,14 +78,14 @@ def _add(out: dict[str, list], bucket: int, kind: int, h: np.ndarray | None, ids
     out["size"].append(b"" if size is None else packed.planes(size.astype(np.int32)))
 
 
-def _sampled(buckets: int):
+def _sampled(buckets: int, slice_bytes: int):
     bound = np.uint64(int(SAMPLED * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in batches:
             all_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
+            for row, end, b, offsets in bt.text_slices(batch.column(1), slice_bytes):
                 ids = all_ids[row:end]
                 text, h = shingles(b, offsets)
                 size = np.bincount(text, minlength=len(ids))
@@ -346,8 +350,10 @@ def _may_link(size: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.ndarray
     return np.where(holder[reach] == label, other[reach], best[reach]) >= size
 
 
-def _partnered(buckets: int):
-    """A bucket of keys: to each class the keys at which it may link, named anew by who is left there."""
+def _partnered(buckets: int, least: int, block: int):
+    """A bucket of keys: to each class the keys at which it may link, named anew by who is left there, with (main, rest,
+    side): how many classes there have the most frequent label and how many another, and which it is. Where they
+    all meet at once, they count as main. Keys with fewer classes than ``least`` are left out."""
 
     def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
         kinds = {"key": np.uint64, "ids": np.int64, "size": np.int32, "at": np.int32, "label": np.int64}
@@ -357,17 +363,22 @@ def _partnered(buckets: int):
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         docs, marks, counts, seen = [], [], [], set()
         for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
-            if e - s < 2:
+            if e - s < least:
                 continue
-            own = ids[s:e][_may_link(size[s:e], at[s:e], label[s:e])]
-            if len(own) < 2:
+            may = _may_link(size[s:e], at[s:e], label[s:e])
+            own, labels = ids[s:e][may], label[s:e][may]
+            if len(own) < least:
                 continue
             mark = np.bitwise_xor.reduce(bt.mix(own.view(np.uint64) + np.uint64(77))) + np.uint64(len(own))
             if mark not in seen:  # the same classes met at another key of this bucket
                 seen.add(mark)
                 docs.append(own)
                 marks.append(np.full(len(own), mark))
-                counts.append(np.full(len(own), len(own)))
+                side, main = np.zeros(len(own), np.int32), len(own)
+                if len(own) > block:
+                    _, number, many = np.unique(labels, return_inverse=True, return_counts=True)
+                    side, main = (number != many.argmax()).astype(np.int32), int(many.max())
+                counts.append(np.stack([np.full(len(own), main), np.full(len(own), len(own) - main), side], 1).astype(np.int32))
         if not docs:
             return
         ids, mark, many = np.concatenate(docs), np.concatenate(marks), np.concatenate(counts)
@@ -375,10 +386,8 @@ def _partnered(buckets: int):
         out: dict[str, list] = {k: [] for k in _KEYS}
         for k in np.flatnonzero(np.diff(starts)):
             own = by[starts[k] : starts[k + 1]]
-            for name, x in (("key", mark), ("ids", ids), ("size", many.astype(np.int32))):
+            for name, x in (("key", mark), ("ids", ids), ("size", many[:, 0]), ("at", many[:, 1]), ("label", many[:, 2])):
                 out[name].append(packed.planes(x[own]))
-            out["at"].append(b"")
-            out["label"].append(b"")
             out["bucket"].append(int(k))
         yield packed.batch(out, _KEYS)
 
@@ -386,10 +395,11 @@ def _partnered(buckets: int):
 
 
 def _keys_by_class(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys, many) of a bucket of classes."""
-    key, ids, many = (np.concatenate([packed.from_planes(c, kind) for c in cells[k]]) for k, kind in (("key", np.uint64), ("ids", np.int64), ("size", np.int32)))
+    """(doc_id, keys, many) of a bucket of classes; many: main, rest and side of each key, one after another."""
+    kinds = {"key": np.uint64, "ids": np.int64, "size": np.int32, "at": np.int32, "label": np.int32}
+    key, ids, *many = (np.concatenate([packed.from_planes(c, kind) for c in cells[k]]) for k, kind in kinds.items())
     order = np.lexsort((key, ids))
-    key, ids, many = key[order], ids[order], many[order]
+    key, ids, many = key[order], ids[order], np.stack(many, 1)[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     ends = np.append(first[1:], len(ids))
     yield pa.RecordBatch.from_arrays(
@@ -402,28 +412,44 @@ def _keys_by_class(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
     )
 
 
-_MEETING = {"bucket": pa.int32(), "key": pa.int64(), "pair": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary()}
-_MEETING_SCHEMA = "bucket int, key long, pair long, doc_id long, tokens binary"
+_MEETING = {"bucket": pa.int32(), "key": pa.int64(), "pair": pa.int64(), "doc_id": pa.int64(), "label": pa.int64(), "tokens": pa.binary()}
+_MEETING_SCHEMA = "bucket int, key long, pair long, doc_id long, label long, tokens binary"
 
 
-def _meetings(buckets: int):
-    """Rows (doc_id, size, tokens, keys, many): a row per key, and per pair of blocks, where the class meets others."""
+def meetings_of(doc: int, main: int, rest: int, side: int, block: int, turn: int) -> Iterator[int]:
+    """Numbers of the meetings at a key that a class goes to. In all turns but the last (0) that is one.
+
+    In the last one, all go to meeting 0 if there are few; else the meetings are those of a main and a rest
+    block, in which both and the rest block's own classes meet, and those of two rest blocks."""
+    draw = int(bt.mix(np.array([doc ^ turn * 0x2545F491], np.int64).view(np.uint64))[0])
+    if turn:
+        yield draw % -(-(main + rest) // block)
+    elif main + rest <= block:
+        yield 0
+    else:
+        mains, rests = (-(-n // (block // 2)) for n in (main, rest))
+        if side == 0:
+            yield from (draw % mains * rests + k for k in range(rests))
+            return
+        mine = draw % rests
+        yield from (k * rests + mine for k in range(mains))
+        yield from (mains * rests + min(mine, k) * rests + max(mine, k) for k in range(rests) if k != mine)
+
+
+def _meetings(buckets: int, block: int, turn: int):
+    """Rows (doc_id, label, size, tokens, keys, many): a row per key and meeting there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _MEETING}
             for row in range(batch.num_rows):
-                doc, size, tokens, keys, many = (batch.column(k)[row].as_py() for k in range(5))
+                doc, label, size, tokens, keys, many = (batch.column(k)[row].as_py() for k in range(6))
                 cell = np.int32(size).tobytes() + tokens
                 names, at = np.unique(np.frombuffer(keys, np.uint64), return_index=True)
-                for key, held in zip(names, np.frombuffer(many, np.int32)[at], strict=True):
-                    blocks = -(-int(held) // BLOCK)
-                    mine = int(bt.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(blocks))
-                    for other in range(blocks):
-                        low, high = min(mine, other), max(mine, other)
-                        pair = low * blocks + high
+                for key, held in zip(names, np.frombuffer(many, np.int32).reshape(-1, 3)[at].tolist(), strict=True):
+                    for pair in meetings_of(doc, *held, block, turn):
                         spread = bt.mix(np.array([int(key) ^ pair * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64))
-                        for k, v in zip(_MEETING, (int(packed.bucket_of(spread, buckets)[0]), int(key.view(np.int64)), pair, doc, cell), strict=True):
+                        for k, v in zip(_MEETING, (int(packed.bucket_of(spread, buckets)[0]), int(key.view(np.int64)), pair, doc, label, cell), strict=True):
                             out[k].append(v)
                 if len(out["key"]) >= 500:
                     yield packed.batch(out, _MEETING)
@@ -435,7 +461,7 @@ def _meetings(buckets: int):
 
 def _linked(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
     """A bucket of meetings: links between classes."""
-    key, pair, doc = (np.array(cells[k], np.int64) for k in ("key", "pair", "doc_id"))
+    key, pair, doc, label = (np.array(cells[k], np.int64) for k in ("key", "pair", "doc_id", "label"))
     order = np.lexsort((doc, pair, key))
     new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0))
     first = np.flatnonzero(new)
@@ -451,40 +477,66 @@ def _linked(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
         parts.clear()
         for k in own:
             cells["tokens"][k] = None  # a row is in one group only
-        seen.update((int(doc[own[x]]), int(doc[own[y]])) for x, y in spanning_links(tokens, owner, sizes, PERCENT))
+        seen.update((int(doc[own[x]]), int(doc[own[y]])) for x, y in spanning_links(tokens, owner, sizes, PERCENT, label[own]))
     a, b = zip(*sorted(seen), strict=True) if seen else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(keyed: DataFrame, labelled: DataFrame, first_only: bool, buckets: int) -> DataFrame:
-    """(a, b): links between classes of different labels, enough to connect what they connect."""
-    keys = labelled.select("doc_id", "size", "keys", "at", "label").mapInArrow(_keys_out(buckets, first_only), _KEYS_SCHEMA)
-    left = packed.dealt(keys).mapInArrow(_partnered(buckets), _KEYS_SCHEMA)
-    chosen = packed.dealt(left).mapInArrow(
+def _links(labelled: DataFrame, buckets: int, block: int, turn: int) -> DataFrame:
+    """(a, b): links between classes of different labels; in the last turn (0) enough to connect what they connect."""
+    keys = labelled.select("doc_id", "size", "keys", "at", "label").mapInArrow(_keys_out(buckets, turn == 1), _KEYS_SCHEMA)
+    left = packed.dealt(keys, buckets).mapInArrow(_partnered(buckets, block + 1 if turn == 2 else 2, block), _KEYS_SCHEMA)
+    chosen = packed.dealt(left, buckets).mapInArrow(
         packed.gathered(_keys_by_class, list(_KEYS)), "doc_id long, keys binary, many binary"
     )
-    met = keyed.select("doc_id", "size", "tokens").join(chosen.hint("shuffle_hash"), "doc_id")
-    meetings = met.select("doc_id", "size", "tokens", "keys", "many").mapInArrow(_meetings(buckets), _MEETING_SCHEMA)
-    return packed.dealt(meetings).mapInArrow(packed.gathered(_linked, list(_MEETING)), "a long, b long")
+    met = labelled.select("doc_id", "label", "size", "tokens").join(chosen.hint("shuffle_hash"), "doc_id")
+    meetings = met.select("doc_id", "label", "size", "tokens", "keys", "many").mapInArrow(_meetings(buckets, block, turn), _MEETING_SCHEMA)
+    return packed.dealt(meetings, buckets).mapInArrow(packed.gathered(_linked, list(_MEETING)), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _labelled(keyed: DataFrame, links: DataFrame | None) -> DataFrame:
+    """With the component that each class is in so far."""
+    if links is None:
+        return keyed.withColumn("label", F.col("doc_id"))
+    labels = components(links).select(F.col("id").alias("_id"), "component")
+    found = keyed.join(labels.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    return written(found.select(*keyed.columns, F.coalesce("component", "doc_id").alias("label")), "join-labelled")
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links).
 
     Two documents link where the Jaccard similarity of their sets of WORDS-word shingles (lower-cased
     A-Z; a text with fewer words is one shingle) reaches PERCENT, ties included. ids are integers.
 
     * null and empty texts have no shingle and link with nothing; very long texts count whole.
-    * repeated rows (one id, one text) get equal results; a row with a null id links with nothing
-      and has a null component. An empty table gives an empty result; other columns are ignored.
+    * repeated rows (one id, one text) get equal results; rows with one id and different texts are
+      documents of their own. A row with a null id links with nothing and has a null component.
+      An empty table gives an empty result; other columns are ignored.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     known = narrow.where("doc_id is not null")
-    asked = packed.dealt(known.mapInArrow(_sampled(buckets), _SCHEMA)).mapInArrow(_repeated(buckets), _SCHEMA)
-    decided = packed.dealt(asked).mapInArrow(
+    plan = packed.layout(known)
+    if plan.unique:
+        out = _joined(known, plan, block)
+    else:  # numbers tell the rows apart; written, so that they stay the same
+        numbered = written(known.select("doc_id", "text", F.monotonically_increasing_id().alias("_n")), "join-numbered")
+        found = _joined(numbered.select(F.col("_n").alias("doc_id"), "text"), plan, block)
+        found = found.select(F.col("doc_id").alias("_n"), "n_shingles", F.col("component_id").alias("_c"))
+        named = written(found.join(numbered.select("doc_id", "_n"), "_n"), "join-named")
+        least = named.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+        out = named.join(least, "_c").select("doc_id", "n_shingles", "component_id")
+    nameless = narrow.where("doc_id is null").mapInArrow(_counted, "doc_id long, n_shingles long, component_id long")
+    return out.unionByName(nameless)
+
+
+def _joined(known: DataFrame, plan: packed.Layout, block: int) -> DataFrame:
+    """ngram_join of rows (doc_id, text) whose ids stand for one text each."""
+    buckets = plan.buckets
+    asked = packed.dealt(known.mapInArrow(_sampled(buckets, plan.slice_bytes(SLICE)), _SCHEMA), buckets).mapInArrow(_repeated(buckets), _SCHEMA)
+    decided = packed.dealt(asked, buckets).mapInArrow(
         packed.gathered(_decided, list(_KINDS)), "doc_id long, n_shingles long, active boolean"
     )
     decided = written(decided, "join-decided")
@@ -496,8 +548,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     member = written(member, "join-members")
     heads = sets.join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     heads = written(heads.select("doc_id", "size", "tokens"), "join-heads")
-    sent = packed.dealt(heads.select("doc_id", "tokens").mapInArrow(_tokens_out(buckets), _TOKENS_SCHEMA))
-    held = packed.dealt(sent.mapInArrow(_holders(buckets), _TOKENS_SCHEMA))
+    sent = packed.dealt(heads.select("doc_id", "tokens").mapInArrow(_tokens_out(buckets), _TOKENS_SCHEMA), buckets)
+    held = packed.dealt(sent.mapInArrow(_holders(buckets), _TOKENS_SCHEMA), buckets)
     shared = held.mapInArrow(
         packed.gathered(_prefixes, list(_TOKENS)), "doc_id long, tokens binary, held binary, mark binary"
     )
@@ -506,23 +558,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _keyed, "doc_id long, size int, tokens binary, keys binary, at binary"
     )
     keyed = written(keyed, "join-keyed")
-    # First each class meets others at its rarest key only, which connects most of what is to be connected;
-    # then at all keys, with those that aren't connected yet.
-    links = written(_links(keyed, keyed.withColumn("label", F.col("doc_id")), True, buckets), "join-links")
-    labels = components(links).select(F.col("id").alias("_id"), "component")
-    labelled = keyed.join(labels.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").withColumn(
-        "label", F.coalesce("component", "doc_id")
-    )
-    more = written(_links(keyed, labelled, False, buckets), "join-links")
-    found = components(links.unionByName(more))
+    labelled = _labelled(keyed, None)
+    links = written(_links(labelled, buckets, block, turn=1), "join-links")
+    labelled = _labelled(keyed, links)
+    more = written(_links(labelled, buckets, block, turn=2), "join-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labelled = _labelled(keyed, links)
+    last = written(_links(labelled, buckets, block, turn=0), "join-links")
+    found = components(links.unionByName(last))
     named = member.join(found, member["rep"] == found["id"], "left").select(
         F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component")
     )
-    out = decided.join(named, F.col("doc_id") == F.col("_id"), "left").select(
+    return decided.join(named, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
     )
-    nameless = narrow.where("doc_id is null").mapInArrow(_counted, "doc_id long, n_shingles long, component_id long")
-    return out.unionByName(nameless)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,6 +584,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the least id, with all its columns."""
-    stay = ngram_join(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay.distinct(), docs[id_col] == F.col("_stays"), "left_semi")
+    """One row of each component, with all its columns: the one with the least id, nulls last; of rows with one
+    id any one, the same each time. Texts without words link with nothing, so all of these rows stay."""
+    row, given, n = fresh(docs, "_row", "_given", "_n")
+    per_id = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias(n))
+    if docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte") and per_id.where((F.col(n) > 1) | F.col(id_col).isNull()).isEmpty():
+        numbered = docs.withColumn(row, F.col(id_col).cast("long"))
+    else:  # numbers tell the rows apart; written, so that they stay the same
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "join-rows")
+    found = ngram_join(numbered, row, text_col).select("doc_id", "component_id")
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias(given))
+    first = F.min(F.struct(F.col(given).isNull(), given, "doc_id")).alias("_first")
+    stay = found.join(ids, "doc_id").groupBy("component_id").agg(first).select(F.col("_first.doc_id").alias("_stays"))
+    return numbered.join(stay, F.col(row) == F.col("_stays"), "left_semi").drop(row)

@@ -106,19 +106,20 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def spanning_links(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (between members' numbers) that connect just what all similar pairs connect. A member whose
-    links can't join anything any more isn't probed."""
-    tree, m = PrefixTree(tokens, owner, sizes, percent), len(sizes)
-    root = np.arange(m)
-    links, parts = [], m
-    for x in range(m):
+def spanning_links(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links (between members' numbers) that connect just what all similar pairs connect, where members of one
+    label are connected already. Each link between labels has an end outside the most frequent label, so
+    only members there are probed, until all is connected."""
+    tree = PrefixTree(tokens, owner, sizes, percent)
+    _, root, many = np.unique(labels, return_inverse=True, return_counts=True)
+    links, parts = [], len(many)
+    for x in np.flatnonzero(root != many.argmax()):
         if parts == 1:
             break
         for y in tree.similar(x):
             if root[y] != root[x]:
                 old, new = max(root[x], root[y]), min(root[x], root[y])
                 root[root == old] = new
-                links.append((x, int(y)))
+                links.append((int(x), int(y)))
                 parts -= 1
     return links
