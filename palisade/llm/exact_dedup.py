@@ -5,7 +5,8 @@ The narrow fingerprint table decides the groups; whole texts move once, and only
 groups with more than one member go on to the byte comparison. There the text that stays is
 copied to as many salts as the group needs, so a group with a third of all rows is compared
 by many tasks. Rows that differ from their keeper (a hash collision) are grouped anew by
-hash and text.
+hash and text. Rows meet their group by a shuffle; those of the groups that hold over one in
+HOT of all rows, which are fewer than HOT groups, meet it by a broadcast and are spread evenly.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_of, written
+from .common import SPACES, fresh, text_of, written
 
+#: A group with more than this part of all rows is hot.
+HOT = 2000
+#: Keys that the rows of hot groups are spread over.
+SPREAD = 4096
 #: Rows of a group that are compared with one copy of the keeper's text.
 SALT_ROWS = 256
 
@@ -48,8 +53,11 @@ def exact_dedup(
     groups = prints.groupBy("_h").agg(
         F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")
     )
-    wrong = _collisions(hashed, written(groups.where("_n > 1"), "exact-groups"))
-    rows = prints.join(groups, "_h")
+    groups = written(groups.where("_n > 1"), "exact-groups")
+    hot = groups.where(F.col("_n") > F.lit(max(prints.count() // HOT, 1)))
+    wrong = _collisions(_with_groups(hashed, groups, hot).where("_n is not null"))
+    rows = _with_groups(prints, groups, hot)
+    rows = rows.withColumn("_keep", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))).withColumn("_n", F.coalesce("_n", F.lit(1)))
     keep, size = F.col("_keep"), F.col("_n")
     if not wrong.isEmpty():
         again = wrong.groupBy("_h", F.sha2("_norm", 256).alias("text_sha256"), "_norm").agg(
@@ -68,10 +76,20 @@ def exact_dedup(
     )
 
 
-def _collisions(hashed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of groups whose text isn't the keeper's: doc_id, _h, _norm. Nearly always empty."""
+def _with_groups(rows: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
+    """With _keep and _n of each row's group, null where it is alone."""
+    near = F.broadcast(hot.select(F.col("_h").alias("_hot"), F.col("_keep").alias("_hot_keep"), F.col("_n").alias("_hot_n")))  # under HOT rows
+    spread = F.concat(F.lit("hot "), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("string"))
+    keyed = rows.join(near, F.col("_h") == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_h")).otherwise(spread))
     # merged at every size: broadcasting small sets of groups would only make runs differ
-    members = written(hashed.join(groups.hint("merge"), "_h"), "exact-members")
+    met = keyed.join(groups.withColumnRenamed("_h", "_key").hint("merge"), "_key", "left")
+    keep = F.when(F.col("_hot").isNull(), F.col("_keep")).otherwise(F.col("_hot_keep"))
+    return met.select(*rows.columns, keep.alias("_keep"), F.coalesce("_hot_n", "_n").alias("_n"))
+
+
+def _collisions(members: DataFrame) -> DataFrame:
+    """Members (with _keep, _n) whose text isn't the keeper's: doc_id, _h, _norm. Nearly always empty."""
+    members = written(members, "exact-members")
     salts = F.ceil(F.col("_n") / SALT_ROWS).cast("int")
     keepers = (
         members.where(F.col("doc_id").eqNullSafe(F.col("_keep")))
@@ -88,6 +106,18 @@ def _collisions(hashed: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
+    """One row of each group of equal texts, with all its columns: the one with the smallest id, nulls last; of
+    rows with one id the one whose columns hash to less, and of wholly repeated rows one. Null texts count as
+    empty, and of all empty texts one row stays."""
+    one, other, key, n = fresh(docs, "_one", "_other", "_row", "_n")
+    cols = [F.to_json(F.struct(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in docs.schema]
+    nulls = [F.col(c).isNull() for c in docs.columns]
+    rows = docs.withColumns({one: F.xxhash64(F.lit(1), *cols, *nulls), other: F.xxhash64(F.lit(2), *cols, *nulls)})  # 128 bits tell rows apart
+    keyed = rows.withColumn(key, F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(one).alias("one"), F.col(other).alias("other")))
+    kept = exact_dedup(keyed, key, text_col).where("kept").groupBy(F.col("doc_id.one").alias(one), F.col("doc_id.other").alias(other))
+    stay = written(kept.agg(F.count(F.lit(1)).alias(n)), "exact-kept")
+    out = rows.join(stay.where(F.col(n) == 1).hint("merge"), [one, other], "left_semi")
+    repeated = stay.where(F.col(n) > 1)
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated.hint("merge"), [one, other], "left_semi").dropDuplicates([one, other]))
+    return out.drop(one, other)
