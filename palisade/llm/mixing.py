@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: A source takes a share of the mix in proportion to its rows to this power.
 EXPONENT = 0.5
@@ -84,20 +84,24 @@ def mix_sources(
     * rows with the same id (and source) get the same count; ties of shuffle_key can't occur
       between different ids and copies, short of md5 collisions.
     * texts are never looked at: empty, null and very long ones are carried whole.
-    * columns of these three names in ``docs`` are replaced. An empty table gives an empty one.
+    * columns of these three names in ``docs`` are replaced; all others stay, whatever their names.
+      An empty table gives an empty one.
 
     The rates are written first, so that Spark knows their size: it broadcasts them below
     its threshold and otherwise joins by sorting, where adaptive execution splits hot sources.
     """
     own = ("n_copies", "copy", "shuffle_key")
     docs = docs.drop(*own)
-    rates = written(source_rates(docs, source_col, weights, exponent, target_ratio), "mix-rates")
+    source, parts, cdf = fresh(docs, "_source", "_parts", "_cdf")
+    rates = written(source_rates(docs, source_col, weights, exponent, target_ratio), "mix-rates").select(
+        F.col("_source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf)
+    )
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draws = F.transform(
-        F.sequence(F.lit(1), F.col("parts")),
-        lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), key, i.cast("string")))),
+        F.sequence(F.lit(1), F.col(parts)),
+        lambda i: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), key, i.cast("string")))),
     )
-    counted = docs.join(rates, docs[source_col].eqNullSafe(rates["_source"])).withColumn(
+    counted = docs.join(rates, F.col(source_col).eqNullSafe(F.col(source))).withColumn(
         "n_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)
     )
     copies = (
@@ -106,7 +110,7 @@ def mix_sources(
         .withColumn(
             "shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), key, F.col("copy").cast("string")))
         )
-        .drop("_source", "rate", "parts", "cdf")
+        .drop(source, parts, cdf)
     )
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
