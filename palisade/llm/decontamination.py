@@ -5,13 +5,17 @@ tells whether to go on to the next byte or to stay. Two strings at a small edit
 walks at a small Hamming distance. Each of REPETITIONS draws its own walk and its own sampled
 steps; a window of a document and a window of an item collide where all sampled bytes agree.
 
-Windows start at words. Each repetition uses half of the words as starts, chosen by a hash of
-the word, so documents and items choose alike; different repetitions choose different halves.
+Windows start at words and, within runs without a word's end (unspaced scripts), at places that the
+bytes around them choose. Each repetition uses half of the starts, chosen by a hash of the
+word, so documents and items choose alike; different repetitions choose different halves.
 The sampled bytes are compared in the order of the walk, and starts that agree with no item so far
-leave it early: the result is that of the full walk. A collision at some word of an item fixes
+leave it early: the result is that of the full walk. A collision at some start of an item fixes
 where the item-sized window of the document lies; there the exact edit distance (least
-over the window's substrings, by a bit-parallel recurrence) decides, unless the window lacks more
-of the item's trigrams than the allowed edits could change.
+over the window's substrings, by a bit-parallel recurrence over many windows at once) decides,
+unless the window lacks more of the item's trigrams than the allowed edits could change.
+
+Items with fewer than LEAST_TRIALS chances to collide (short ones, say) aren't left to chance: the
+same recurrence goes over all of each text for them.
 
 Texts are compared after lower-casing A-Z and collapsing white space, in UTF-8 bytes.
 """
@@ -19,7 +23,7 @@ Texts are compared after lower-casing A-Z and collapsing white space, in UTF-8 b
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,12 +35,18 @@ from . import bytetools as bt
 
 #: An item leaks where 1 - distance / item length reaches this.
 SIMILARITY = 0.8
-REPETITIONS = 10
+REPETITIONS = 20
 #: Steps of a walk, by the bytes that an item must have for it; an item uses the longest it can.
 WALKS = (64, 24, 8)
 SAMPLES = 11
+#: Starts of an item over all repetitions that make a search by collisions reliable.
+LEAST_TRIALS = 16
+#: Bytes of a run without a word's end from which on it has starts inside, and how far apart they are at least.
+LONG_RUN, APART = 24, 4
 #: Items that are searched at once; more are taken block by block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are searched at once; of a window where all of a text is looked through; windows at once.
+SLICE, LOOK, MANY = 4 << 20, 512, 4096
 
 
 def normalised(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,42 +62,93 @@ def normalised(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_starts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, text and hash of each word."""
-    start, end, text = bt.spans(b != 32, offsets)
-    return start, text, bt.span_hashes(b, start, end)
-
-
-def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
-    """The least edit distance of the item to a substring of the text and where that ends;
-    (most + 1, -1) if it is above ``most``. Bit-parallel over the item, exact."""
-    n = len(item)
-    at: dict[int, int] = {}
-    for k, c in enumerate(item):
-        at[c] = at.get(c, 0) | 1 << k
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    up, down, score = full, 0, n
-    best, end = (n, 0) if n <= most else (most + 1, -1)
-    left = len(text)
-    for k, c in enumerate(text):
-        if score - left >= best:  # a column lowers the score by one at most
-            break
-        left -= 1
-        same = at.get(c, 0)
-        diagonal = (((same & up) + up) ^ up) | same | down
-        plus = down | (full & ~(diagonal | up))
-        minus = up & diagonal
-        if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
-        plus, minus = plus << 1, minus << 1
-        up = (minus | ~(diagonal | plus)) & full
-        down = plus & diagonal & full
-        if score < best:
-            best, end = score, k + 1
+    """Start, text and hash of each word (a run of letters and digits), and of the places inside long ones whose
+    four bytes hash to less than those around them."""
+    start, end, text = bt.spans(((b >= 97) & (b <= 122)) | ((b >= 48) & (b <= 57)) | (b >= 128), offsets)
+    h = bt.span_hashes(b, start, end)
+    long = np.flatnonzero(end - start >= LONG_RUN)
+    if not len(long):
+        return start, text, h
+    size = end[long] - start[long] - 3
+    own = np.repeat(np.arange(len(long)), size)
+    p = start[long][own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    four = bt.span_hashes(b, p, p + 4)
+    least = np.ones(len(p), bool)
+    for k in range(1, APART):  # neighbours in this order are of one run, or count as other bytes would
+        least[k:] &= four[k:] < four[:-k]
+        least[:-k] &= four[:-k] <= four[k:]
+    inside = least & (p > start[long][own])
+    p, own, four = p[inside], own[inside], four[inside]
+    order = np.argsort(np.concatenate([start, p]), kind="stable")
+    return tuple(np.concatenate(x)[order] for x in ((start, p), (text, text[long][own]), (h, four)))
+
+
+def _letters_of(items: list[bytes], words: int) -> np.ndarray:
+    """[item, byte, word] bits of the places where a byte stands in an item. Items end at the last bit; the bits
+    before their first stand for any byte."""
+    out = np.zeros((len(items), 256, words), np.uint64)
+    for k, item in enumerate(items):
+        at = np.arange(len(item)) + 64 * words - len(item)
+        np.bitwise_or.at(out[k], (np.frombuffer(item, np.uint8), at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        out[k] |= ~_from_bit(64 * words - len(item), words)
+    return out
+
+
+def _from_bit(first: int, words: int) -> np.ndarray:
+    """Words in which the bits from ``first`` on are set."""
+    bits = ((1 << 64 * words) - 1) >> first << first
+    return np.frombuffer(bits.to_bytes(8 * words, "little"), np.uint64)
+
+
+def least_distances(items: list[bytes], which: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window (low, high) of b: the least edit distance of its item to a substring, and where that ends in the
+    window (the first of equals); (most + 1, -1) if it is above ``most``. Bit-parallel over an item's bytes in
+    words of 64, and over the windows; exact."""
+    n = np.array([len(x) for x in items], np.int64)
+    best, end = most.astype(np.int64) + 1, np.full(len(which), -1)
+    words = 1 << np.ceil(np.log2(np.maximum(-(-n[which] // 64), 1))).astype(np.int64)
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        own = own[np.argsort((high - low)[own], kind="stable")]
+        for s in range(0, len(own), MANY):
+            part = own[s : s + MANY]
+            used, item = np.unique(which[part], return_inverse=True)
+            texts = [items[k] for k in used]
+            best[part], end[part] = _least(texts, item, w, b, low[part], high[part], best[part])
     return best, end
 
 
+def _least(items: list[bytes], item: np.ndarray, w: int, b: np.ndarray, low: np.ndarray, high: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """least_distances of windows whose items have at most w words."""
+    letters, size = _letters_of(items, w), high - low
+    longest = int(size.max())
+    at = low[:, None] + np.arange(longest)
+    text = np.where(np.arange(longest) < size[:, None], b[np.minimum(at, len(b) - 1)], 255).T.copy()  # 255: in no text
+    start = np.stack([_from_bit(64 * w - len(x), w) for x in items])[item]
+    up, down = [start[:, k].copy() for k in range(w)], [np.zeros(len(item), np.uint64) for _ in range(w)]
+    score = np.array([len(x) for x in items], np.int64)[item]
+    least, where, one, last = best, np.full(len(item), -1), np.uint64(1), np.uint64(63)
+    for step in range(longest):
+        same = letters[item, text[step]].T
+        plus_in = minus_in = np.uint64(0)
+        for k in range(w):
+            v, u = down[k], up[k]
+            e = same[k] | minus_in
+            across = same[k] | v
+            diagonal = (((e & u) + u) ^ u) | e
+            plus, minus = v | ~(diagonal | u), u & diagonal
+            plus_out, minus_out = plus >> last, minus >> last
+            plus, minus = (plus << one) | plus_in, (minus << one) | minus_in
+            up[k], down[k] = minus | ~(across | plus), plus & across
+            plus_in, minus_in = plus_out, minus_out
+        score += plus_in.view(np.int64)
+        score -= minus_in.view(np.int64)
+        less = score < least
+        if less.any():
+            least, where = np.where(less, score, least), np.where(less, step + 1, where)
+    return least, where
+
+
 def trigrams(b: np.ndarray) -> np.ndarray:
     """A 16-bit code of the three bytes from each place on."""
     w = b.astype(np.uint16)
@@ -167,6 +228,7 @@ class ItemIndex:
         left = offsets[item] + size[item] - start if len(start) else start
         padded = np.append(b, np.zeros(WALKS[0], np.uint8))
         self.repetitions = []
+        trials = np.zeros(len(items), np.int64)
         for w, steps in enumerate(WALKS):
             fits = (size >= steps) & ((size < WALKS[w - 1]) if w else True)
             for k in range(repetitions if fits.any() else 0):
@@ -175,6 +237,8 @@ class ItemIndex:
                 if use.any():
                     r.learn(padded, start[use], item[use], (start - offsets[item])[use])
                     self.repetitions.append(r)
+                    trials += np.bincount(item[use], minlength=len(items))
+        self.looked_through = np.flatnonzero((trials < LEAST_TRIALS) & (size > 0))
 
     def find(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, end) of the items found in some texts, the best of each pair."""
@@ -194,26 +258,41 @@ class ItemIndex:
             begin = start[word] - r.offset[entry]
             for t, i, s in set(zip(text[word].tolist(), r.item[entry].tolist(), (begin // 16).tolist(), strict=True)):
                 spots.setdefault((t, i), set()).add(s * 16)
-        found, codes = [], trigrams(b) if spots else None
+        windows, codes = [], trigrams(b) if spots else None  # (text, item, low, high)
         for (t, i), begins in spots.items():
-            item, most, grams = self.texts[i], self.most[i], self.grams[i]
-            best, end, done = most + 1, -1, -1
+            size, most, grams = len(self.texts[i]), self.most[i], self.grams[i]
+            done = -1
             for s in sorted(begins):
                 low = max(int(offsets[t]), s - most - 16)
-                high = min(int(offsets[t + 1]), s + len(item) + most + 32)
+                high = min(int(offsets[t + 1]), s + size + most + 32)
                 if high <= done:  # this window was searched with the last
                     continue
                 done = high - most
                 here = np.zeros(1 << 16, bool)
                 here[codes[low : max(high - 2, low)]] = True
-                if np.count_nonzero(~here[grams]) > 3 * most:  # an edit changes three trigrams at most
-                    continue
-                d, e = least_distance(item, b[low:high].tobytes(), most)
-                if d < best:
-                    best, end = d, low - int(offsets[t]) + e
-            if end >= 0:
-                found.append((t, i, best, end))
-        return found
+                if np.count_nonzero(~here[grams]) <= 3 * most:  # an edit changes three trigrams at most
+                    windows.append((t, i, low, high))
+        windows += self._all_windows(offsets)
+        if not windows:
+            return []
+        t, i, low, high = np.array(windows, np.int64).T
+        best, end = least_distances(self.texts, i, b, low, high, np.array(self.most, np.int64)[i])
+        hit = np.flatnonzero(end >= 0)
+        t, i, best, end = t[hit], i[hit], best[hit], end[hit] + low[hit] - offsets[t[hit]]
+        order = np.lexsort((end, best, i, t))  # of each pair the nearest match, the first of equals
+        t, i, best, end = t[order], i[order], best[order], end[order]
+        first = np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]))[: len(t)]
+        return list(zip(*(x[first].tolist() for x in (t, i, best, end)), strict=True))
+
+    def _all_windows(self, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Overlapping windows over all texts for the items that are looked for everywhere."""
+        out = []
+        for i in self.looked_through.tolist():
+            over = len(self.texts[i]) + self.most[i]
+            step = max(LOOK, 4 * over) - over
+            for t, (s, e) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                out += [(t, i, low, min(low + step + over, e)) for low in range(s, max(e - over, s + 1), step) if e > s]
+        return out
 
 
 def find_leaks(
@@ -229,38 +308,55 @@ def find_leaks(
     """A row per document and item that leaks into it: doc_id, item_id, edit_distance, similarity,
     end_byte (where the best match ends in the normalised text; ties: the first).
 
-    * null and empty documents hold nothing; null, empty and shorter items (under 8 bytes) are
-      never found; windows that overlap a document's end are cut there; whole texts are searched.
+    * null and empty documents hold nothing; null and blank items are never found; windows that
+      overlap a document's end are cut there; whole texts are searched.
     * a repeated document row gives its rows again; repeated item rows give a row each; null
       ids pass through; empty tables give an empty result; other columns are ignored.
 
-    Items go to the tasks in blocks of at most BLOCK_BYTES, each searched over all documents.
+    Items go to the tasks in blocks of at most BLOCK_BYTES, each searched over all documents. The driver
+    holds one block at a time; a worker makes the index of a block once.
     """
-    spark = docs.sparkSession
-    known = items.select(
-        F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")
-    ).where("octet_length(text) >= 8")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = [narrow.schema["doc_id"].dataType.simpleString(), known.schema["item_id"].dataType.simpleString()]
+    kinds = [narrow.schema["doc_id"].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edit_distance int, similarity double, end_byte int"
     out = None
-    for block in range(blocks):
-        of_block = known if blocks == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        rows = sorted(((r["item_id"], r["text"]) for r in of_block.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        part = _searched(narrow, ItemIndex(rows, similarity, repetitions), schema, spark)
+    for index in _indexes(items, item_id_col, item_text_col, similarity, repetitions):
+        part = _searched(narrow, index, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _searched(narrow: DataFrame, index: ItemIndex, schema: str, spark) -> DataFrame:
-    sent = spark.sparkContext.broadcast(index)  # at most a block of items
+_made: dict[object, ItemIndex] = {}
+
+
+def _indexes(items: DataFrame, id_col: str, text_col: str, similarity: float, repetitions: int) -> Iterator[Callable[[], ItemIndex]]:
+    """For each block of items a function that gives its index in a worker."""
+    context = items.sparkSession.sparkContext
+    known = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for block in range(blocks):
+        of_block = known.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block)
+        rows = sorted(((r["item_id"], r["text"]) for r in of_block.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+        sent = context.broadcast(rows)  # a block of items
+        yield _index_of(sent, (context.applicationId, sent._jbroadcast.id()), similarity, repetitions)
+
+
+def _index_of(sent, key: object, similarity: float, repetitions: int) -> Callable[[], ItemIndex]:
+    def index() -> ItemIndex:
+        if key not in _made:
+            _made.clear()
+            _made[key] = ItemIndex(sent.value, similarity, repetitions)
+        return _made[key]
+
+    return index
 
+
+def _searched(narrow: DataFrame, index: Callable[[], ItemIndex], schema: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = index()
         for batch in batches:
-            for row, _, b, offsets in bt.text_slices(batch.column(1)):
+            for row, _, b, offsets in bt.text_slices(batch.column(1), SLICE):
                 found = own.find(b, offsets)
                 if not found:
                     continue
@@ -280,6 +376,21 @@ def _searched(narrow: DataFrame, index: ItemIndex, schema: str, spark) -> DataFr
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    leaking = find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(leaking, docs[id_col] == F.col("_leaking"), "left_anti")
+    """The rows that hold no item, with all their columns, without a shuffle. Each row is judged by its own text,
+    so null and repeated ids change nothing; null and empty texts stay."""
+    at, out = docs.columns.index(text_col), docs
+    for index in _indexes(items, "item_id", "text", SIMILARITY, REPETITIONS):
+        out = out.mapInArrow(_without(index, at), docs.schema)
+    return out
+
+
+def _without(index: Callable[[], ItemIndex], at: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index()
+        for batch in batches:
+            for row, end, b, offsets in bt.text_slices(batch.column(at), SLICE):
+                stays = np.ones(end - row, bool)
+                stays[[t for t, *_ in own.find(b, offsets)]] = False
+                yield batch.slice(row, end - row).filter(pa.array(stays))
+
+    return keep
