@@ -26,39 +26,41 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: The labelled table, a row per host pattern; each is completed to urls by _labelled().
+#: The labelled table: words that tell unwanted pages, and words of ordinary ones, in host or path.
 _BLOCKED = """
-casino-king lucky-casino casino-royal-win bestcasino777 winbig-casino poker-stars-win online-poker freebets-now
-free-bets best-bets-today sports-bets-win slots-jackpot mega-slots cheap-pills buy-pills-online pills-direct viagra-cheap
-discount-pharma-pills adult-videos adult-cams xxx-adult sexy-adult-chat hot-xxx porn-tube freeporn adult-dating-x
-spam-links spamsite spam-mailer link-farm seo-farm content-farm-links click-farm ads-server ads-track adstracker
-popup-ads track-clicks ad-click-track tracker-pixel free-money-win win-prize-now claim-prize fast-loans payday-loans
-poker-room poker-night holdem-poker pills-market pill-store pharmacy-pills shop-pills
-replica-watches crack-keygen warez-download torrent-crack fake-login phish-login free-iphone-win
+casino poker slots jackpot roulette blackjack baccarat gambling betting sportsbets bookmaker wager bingo lottery-winner
+viagra cialis pills cheap-meds steroids diet-pills buy-tablets porn xxx adult-video sexcam escorts nude-pics hookup milf
+warez keygen cracked-apps serial-keys nulled free-torrents pirated phishing verify-account confirm-login malware trojan
+spam bulk-mail link-farm backlinks clickbait adserver ads ad-network banner-ads popunder tracking-pixel tracker
+payday-loans quick-cash get-rich easy-money forex-signals crypto-doubler replica-watches fake-bags miracle-cure
+claim-prize free-iphone win-prize free-spins bonus-code
 """
 _ALLOWED = """
-library museum university cityhall weather gardening cooking mathforum openatlas history-notes citynews dailypost
-sciencejournal localradio theatre choir bookshop publishers opendata statistics parliament ministry cyclists
-hikingclub birdwatch astronomy chemistry physics biology linguistics translators poetry essays recipes bakery
-farmhouse winery trackandfield railways timetable betterhomes alphabet winter windmill pillow adults-education
-advent address therapists thinking thatcher theory tionary nation station motion ration ocean
-bookshops flowershop kingfisher starlight
-thstone ndhouse erington ingham hereford anderson onslow redhill orchard
+library museum university school college kindergarten city-hall council parliament ministry court embassy weather
+garden cooking recipes bakery farm winery maths physics biology chemistry astronomy geology linguistics history archive
+news daily herald journal magazine gazette radio theatre music choir opera cinema bookshop publisher poetry essays
+statistics open-data standards railway timetable airport harbour ferry hiking cycling football tennis chess birds forest
+river mountain island hospital dentist nursing pharmacist software docs developer compiler database forum blog diary
+travel hostel adults-learning therapist assistance advice classics passport export betterment pillow windmill trackside
+scrapbook spring-fair address adventure
 """
-_TOP = ("example.com", "example.net", "example.org")
-_BEFORE = ("", "www.", "blog.", "m.")
-_AFTER = ("/en/123", "/de/48.html", "/fr/77?page=2", "/es/900/")
+#: What stands around these words in both classes alike.
+_TOPS = ("com", "net", "org", "info", "io", "de", "fr", "co.uk")
+_PLAIN = ("site", "web", "home", "portal", "page", "main", "world", "place")
+_PATHS = ("", "/", "/en/123", "/de/48.html", "/fr/77?page=2", "/es/900/", "/index.html", "/a/2021/05")
+_BEFORE = ("", "www.", "m.", "shop.")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table: url, label. Tops, prefixes and paths rotate over both labels,
-    so that only the host's own name tells them apart."""
+    """The built-in labelled table: url, label. Each word stands alone in a host, beside another word in a host, and
+    in the path of a host that tells nothing; all else rotates over both labels."""
     rows = []
     for label, names in (("block", _BLOCKED.split()), ("allow", _ALLOWED.split())):
         for k, name in enumerate(names):
-            for j in range(2):
-                m = k + 3 * j
-                rows.append(f"{label} https://{_BEFORE[m % 4]}{name}.{_TOP[m % 3]}{_AFTER[m // 3 % 4]}")
+            top, plain, path, before = _TOPS[k % 8], _PLAIN[k // 2 % 8], _PATHS[k // 3 % 8], _BEFORE[k % 4]
+            rows.append(f"{label} https://{before}{name}.{top}{path}")
+            rows.append(f"{label} http://{plain}-{name}.{_TOPS[(k + 3) % 8]}{_PATHS[(k + 5) % 8]}")
+            rows.append(f"{label} https://{before}{plain}.{_TOPS[(k + 5) % 8]}/{'en' if k % 2 else plain}/{name}{('', '/', '-1', '.html')[k // 4 % 4]}")
     lines = spark.range(1).select(F.explode(F.split(F.lit("\n".join(rows)), "\n")).alias("_line"))
     return lines.select(F.split("_line", " ")[1].alias("url"), F.split("_line", " ")[0].alias("label"))
 
@@ -75,9 +77,9 @@ def path_of(url: Column) -> Column:
 
 
 def features(host: Column, path: Column) -> Column:
-    """Marked character n-grams of host and path; the labels of the host are bounded by dots."""
-    h, p = F.concat(F.lit("."), host, F.lit(".")), path
-    return F.concat(*[grams(h, n, f"h{n}:") for n in SIZES], *[grams(p, n, f"p{n}:") for n in SIZES[:1]])
+    """Marked character n-grams of host and path; the labels of the host are bounded by dots, a path by its end."""
+    h, p = F.concat(F.lit("."), host, F.lit(".")), F.concat(F.lower(path), F.lit("$"))
+    return F.concat(*[grams(h, n, f"h{n}:") for n in SIZES], *[grams(p, n, f"p{n}:") for n in SIZES])
 
 
 def fit_url_model(labelled: DataFrame) -> HashedLogistic:
@@ -110,7 +112,7 @@ def filter_urls(
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     * a null url, an empty one or one without '://' has an empty host and path; no rule fits it,
-      so the method decides on the intercept alone.
+      so the method decides, on next to nothing.
     * repeated rows and null ids pass through; an empty table gives an empty result; other
       columns are ignored; very long urls are judged whole.
     """
