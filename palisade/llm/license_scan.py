@@ -1,22 +1,27 @@
 """Licence scans: a paragraph classifier whose finds a template comparison confirms.
 
 Multinomial logistic regression on hashed word uni- and bigrams tells licence families and a
-class "unknown" apart. The probability that a family needs is calibrated on paragraphs that
-weren't fitted on. A find counts only if the paragraph also holds most word bigrams of one of
-the family's templates. A paragraph is a line; whole texts are read. Only lines with a cue
-(a word stem that every template has) are scored: others can't be confirmed by any template.
+class "unknown" apart. The probability that a family needs is calibrated on sentences that
+weren't fitted on. A find counts only if it also holds most word bigrams of one of the family's templates.
+
+Paragraphs stand between blank lines. Judged are each line, and, where a paragraph has several lines or
+many words, windows of it that overlap, with its lines joined; whole texts are read. Only what holds one
+of needles() is scored: the comparison can confirm nothing else, as it needs CONFIRM of a
+template's bigrams and the needles are in more than the rest of them.
 One projection over the documents: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .hashed_logistic import HashedLogistic, fit, word_grams
+from .hashed_logistic import HashedLogistic, bound, fit, word_grams
 
 BUCKETS = 4096
 REGULARISATION = 0.0005
@@ -26,27 +31,42 @@ CONFIRM = 0.75
 WINDOW, STRIDE = 32, 8
 UNKNOWN = "unknown"
 
-#: Notices by family, as their publishers word them (fixed values), a template a line.
+#: Notices by family, as their publishers word them (fixed values), a template a line, of fewer words than windows overlap.
 TEMPLATES = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS
 SPDX-License-Identifier: Apache-2.0""",
     "MIT": """Released under the MIT License
 Licensed under the MIT License
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software
+The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability
 SPDX-License-Identifier: MIT""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+The software is provided "as is" and the author disclaims all warranties with regard to this software
+SPDX-License-Identifier: ISC""",
     "GPL-3.0": """This work is licensed under the GNU General Public License, version 3
 This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+You should have received a copy of the GNU General Public License along with this program
 Licensed under the GPL version 3
 SPDX-License-Identifier: GPL-3.0-or-later""",
     "LGPL-3.0": """Licensed under the GNU Lesser General Public License, version 3
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
 SPDX-License-Identifier: LGPL-3.0-or-later""",
+    "AGPL-3.0": """Licensed under the GNU Affero General Public License, version 3
+it under the terms of the GNU Affero General Public License as published by the Free Software Foundation
+SPDX-License-Identifier: AGPL-3.0-or-later""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted under this license
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
 Released under the BSD 3-Clause License
 SPDX-License-Identifier: BSD-3-Clause""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0
 SPDX-License-Identifier: MPL-2.0""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+SPDX-License-Identifier: EPL-2.0""",
     "CC-BY-4.0": """This work is licensed under a Creative Commons Attribution 4.0 International License
 Licensed under CC BY 4.0""",
     "CC-BY-NC-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License
@@ -55,10 +75,32 @@ Licensed under CC BY-NC 4.0""",
 Licensed under CC BY-SA 4.0""",
     "CC0-1.0": """To the extent possible under law, the author has waived all copyright under Creative Commons Zero
 Released into the public domain under the CC0 1.0 license""",
+    "Unlicense": """This is free and unencumbered software released into the public domain
+SPDX-License-Identifier: Unlicense""",
     "Proprietary": """All rights reserved
 Copyright, all rights reserved. No part may be reproduced without written permission""",
 }
 
+#: Sentences of the families that are in no template, to calibrate on.
+HELD_OUT = """Apache-2.0	This project is distributed under the Apache License 2.0, see the file for its terms
+Apache-2.0	Available under the terms of the Apache License, Version 2.0
+MIT	The code is distributed under the MIT License, see the license file
+MIT	This package is licensed under the terms of the MIT license
+ISC	Permission to use, copy, modify and distribute this software is hereby granted without fee for any purpose
+GPL-3.0	This program is distributed under the GNU General Public License, either version 3 or a later one
+GPL-3.0	You can redistribute it under the terms of the GNU General Public License as published
+LGPL-3.0	The library is released under the GNU Lesser General Public License, version 3 or later
+AGPL-3.0	The server is released under the GNU Affero General Public License, version 3
+BSD-3-Clause	Distributed under the 3-Clause BSD License, redistribution and use in source form are permitted
+MPL-2.0	This file is subject to the Mozilla Public License, version 2.0
+EPL-2.0	Made available under the Eclipse Public License, version 2.0
+CC-BY-4.0	The text is available under the Creative Commons Attribution 4.0 International license
+CC-BY-NC-4.0	The images are available under a Creative Commons Attribution-NonCommercial 4.0 license
+CC-BY-SA-4.0	The text is available under a Creative Commons Attribution-ShareAlike 4.0 license
+CC0-1.0	To the extent possible under law all copyright is waived with CC0 1.0
+Unlicense	The author released this unencumbered software into the public domain
+Proprietary	All rights are reserved and no part may be reproduced without permission"""
+
 #: Lines that name licences, rights or permissions without granting any, and plain prose.
 OTHERS = """His driving license was suspended last year
 The pilot renewed her license in version 2 of the test
@@ -89,12 +131,33 @@ Please read the notice before use
 The weather was fine and the sea was calm
 Licensed premises close at ten"""
 
-#: A stem that each template has (lower case).
-CUE = r"licen[sc]|copyright|rights[^\p{L}\p{N}]+reserved|permission|redistribution"
+#: Stems of lines that speak of licences; they are scored too, and count as unknown where they are no find.
+STEMS = ("licens", "licenc", "copyright", "permission", "redistribution")
+#: Words that are needles only where others don't suffice.
+FREQUENT = frozenset("the of and or to in by for with without under from this that it may not use form source work file version program code".split())
 #: What stands between paragraphs.
 BLANK = r"\n[^\p{L}\p{N}]*\n"
 
 
+def needles() -> list[str]:
+    """Words of which each text with CONFIRM of a template's bigrams holds one: of each template as many words, long
+    ones first, as are in more bigrams than such a text may lack."""
+    chosen = list(STEMS)
+    for texts in TEMPLATES.values():
+        for text in texts.split("\n"):
+            words = _words(text)
+            pairs = set(zip(words, words[1:], strict=False))
+            covered = {p for p in pairs if any(n in w for n in chosen for w in p)}
+            for word in sorted(set(words), key=lambda w: (w in FREQUENT, -len(w), w)):
+                if len(covered) > len(pairs) - math.ceil(CONFIRM * len(pairs)):
+                    break
+                if word in chosen:
+                    continue
+                chosen.append(word)
+                covered |= {p for p in pairs if word in p}
+    return chosen
+
+
 def words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}.]+|\.(?!\d)"), lambda w: w != "")
 
@@ -108,15 +171,17 @@ def _lines(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return made.select(F.split("_r", "\t")[0].alias("label"), F.split("_r", "\t")[1].alias("line"))
 
 
-def training_rows(held_out: bool = False) -> list[tuple[str, str]]:
-    """(label, line). Each template also stands behind and before other words, as notices do; the
-    rows held out use other surroundings."""
+def training_rows() -> list[tuple[str, str]]:
+    """(label, line). Each template also stands behind and before other words, as notices do."""
     around = [("", "."), ("Notice: ", " for details."), ("", " by the authors")]
-    if held_out:
-        around = [("This document is distributed as follows. ", "."), ("", ", see the file for terms")]
-    others = OTHERS.split("\n")
     rows = [(k, a + t + b) for k, ts in TEMPLATES.items() for t in ts.split("\n") for a, b in around]
-    return rows + [(UNKNOWN, a + t + b) for t in others[held_out::2] for a, b in around]
+    return rows + [(UNKNOWN, a + t + b) for t in OTHERS.split("\n")[::2] for a, b in around]
+
+
+def held_out_rows() -> list[tuple[str, str]]:
+    """The same, of sentences that training_rows() doesn't have, in any surroundings."""
+    rows = [tuple(line.split("\t")) for line in HELD_OUT.split("\n")]
+    return rows + [(UNKNOWN, t) for t in OTHERS.split("\n")[1::2]]
 
 
 class LicenceModel:
@@ -136,17 +201,17 @@ class LicenceModel:
 
 
 def fit_licences(spark: SparkSession) -> LicenceModel:
-    """Fits on the templates and calibrates on held-out surroundings and sentences: the threshold
-    lies midway between the surest wrong family and the least sure right one, from 0.3 to 0.9."""
+    """Fits on the templates and calibrates on held-out sentences: the threshold is the probability, from 0.3 to 0.9,
+    at which the fewest of them are judged wrongly (in the middle of equals)."""
     rows = _lines(spark, training_rows()).select(features(words_of(F.col("line"))).alias("features"), "label")
     classes = [UNKNOWN, *TEMPLATES]
     model = LicenceModel(fit(rows, classes, BUCKETS, REGULARISATION), 0.5)
-    judged = _lines(spark, training_rows(held_out=True)).select("label", model.best(words_of(F.col("line"))).alias("b"))
-    right = F.col("b.family") == F.col("label")
-    wrong_p = F.max(F.when((F.col("b.family") != UNKNOWN) & ~right, F.col("b.p")))
-    right_p = F.min(F.when((F.col("label") != UNKNOWN) & right, F.col("b.p")))
-    low, high = judged.agg(F.coalesce(wrong_p, F.lit(0.0)), F.coalesce(right_p, F.lit(1.0))).first()
-    model.threshold = min(0.9, max(0.3, (low + high) / 2))
+    judged = _lines(spark, held_out_rows()).select("label", model.best(words_of(F.col("line"))).alias("b")).collect()  # some thirty
+    wrong = lambda at: sum((r["b"]["family"] if r["b"]["p"] >= at else UNKNOWN) != r["label"] for r in judged)
+    steps = [k / 100 for k in range(30, 91)]
+    fewest = min(map(wrong, steps))
+    equal = [at for at in steps if wrong(at) == fewest]
+    model.threshold = equal[len(equal) // 2]
     return model
 
 
@@ -166,8 +231,6 @@ def template_share(words: Column, family: Column) -> Column:
 
 
 def _words(text: str) -> list[str]:
-    import re
-
     return [w for w in re.split(r"[^\w.]+|\.(?!\d)", text.lower()) if w]
 
 
@@ -178,14 +241,15 @@ def scan_licences(
 
     license is the family of the surest find (ties: the later name), null without any. n_paragraphs
     counts the lines that are finds, and each family that only windows find once a paragraph;
-    n_unknown the lines with a cue that are neither finds nor in a paragraph with a find of windows;
+    n_unknown the lines with a needle that are neither finds nor in a paragraph with a find of windows;
     families names all found families, sorted and joined by commas (empty without any).
     Null and empty texts have none. Repeated rows and null ids pass through; an empty table gives
     an empty result; other columns are ignored.
     """
     model = model or fit_licences(docs.sparkSession)
     text = F.regexp_replace(text_of(text_col), "\r\n?", "\n")
-    cue = lambda s: F.lower(s).rlike(CUE)
+    words = needles()
+    cue = lambda s: bound(F.lower(s), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in words]))
     cued = docs.select(
         F.col(id_col).alias("doc_id"),
         F.when(cue(text), F.filter(F.split(text, BLANK), cue)).otherwise(F.array().cast("array<string>")).alias("_blocks"),
