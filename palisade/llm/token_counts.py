@@ -7,6 +7,9 @@ and of the paths to a position the one whose last piece starts first is tried fi
 character that no piece covers alone costs the lowest score less 10, and stands for as many
 byte pieces as it has UTF-8 bytes (with byte fallback), or else adjacent ones fuse into one.
 
+The public vocabulary taken here by default is that of a byte-pair model, whose scores are ranks: its pieces and
+scores serve as a unigram vocabulary, so counts are exact for that, and equal no published tokenizer's.
+
 White space runs are collapsed and pieces never cross words, so a text's count is the sum over
 its words, and each worker remembers the counts of words it has met (a cache of a fixed
 number of words, cleared when full: speed only, never results).

@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words (runs of letters, lower-cased) are read in overlapping windows of WINDOW words,
-a new one each STRIDE words, so that every word of a whole text is scored. A word's input is a
+A text's words (runs of letters, lower-cased; longer ones in pieces of LETTERS bytes that overlap) are
+read in overlapping windows of WINDOW words, a new one each STRIDE words, so that every byte of every
+word of a whole text is scored, in unspaced scripts too. A word's input is a
 hashed word embedding beside the mean of its hashed character n-gram embeddings; embeddings
 exist only for buckets that several training texts share. Both start from log odds counted
 on the training texts and are trained with the network. The text's score is a logistic
@@ -28,6 +29,8 @@ HIDDEN = 8
 WORD_BUCKETS, WORD_DIM = 1 << 15, 4
 GRAM_BUCKETS, GRAM_DIM = 1 << 16, 6
 GRAM_SIZES, LETTERS = (5, 8), 13
+#: From one piece of a long word to the next: each n-gram stands whole in a piece.
+PIECE = LETTERS - GRAM_SIZES[-1] + 1
 #: Training texts that must share a bucket for it to have an embedding.
 SUPPORT = 3
 #: Bounds of the labelled sample.
@@ -41,9 +44,31 @@ _TOPS = (1, 3, 8)
 
 
 def words_of(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes and the (start, end, text) of their words."""
+    """Lower-cased bytes and the (start, end, text) of their words, or of the pieces of long ones."""
     low = bt.lower_ascii(b)
-    return (low, *bt.spans(((low >= 97) & (low <= 122)) | (low >= 128), offsets))
+    start, end, text = bt.spans((((low >= 97) & (low <= 122)) | (low >= 128)) & ~_punctuation(low), offsets)
+    many = np.maximum(-(-(end - start - LETTERS) // PIECE), 0) + 1
+    if (many > 1).any():
+        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        start, end, text = np.repeat(start, many) + nth * PIECE, np.repeat(end, many), np.repeat(text, many)
+        end = np.minimum(end, start + LETTERS)
+    return low, start, end, text
+
+
+def _punctuation(b: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 punctuation beyond ASCII: of Latin-1, general, of East Asian scripts, and full-width."""
+    out = np.zeros(len(b) + 2, bool)
+    lead = np.flatnonzero(b >= 0xC2)
+    padded = np.append(b, np.zeros(2, np.uint8))
+    one, two, three = padded[lead], padded[lead + 1], padded[lead + 2]
+    between = lambda x, low, high: (x >= low) & (x <= high)
+    wide = (two == 0xBC) & (between(three, 0x81, 0x8F) | between(three, 0x9A, 0xA0) | (three >= 0xBB))
+    wide |= (two == 0xBD) & ((three == 0x80) | between(three, 0x9B, 0xA5))
+    short = (one == 0xC2) & (two >= 0xA0)
+    long = ((one == 0xE2) & between(two, 0x80, 0x81)) | ((one == 0xE3) & (two == 0x80)) | ((one == 0xEF) & wide)
+    for k in range(3):
+        out[lead[long | short if k < 2 else long] + k] = True
+    return out[: len(b)]
 
 
 def gram_codes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -370,7 +395,8 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all their columns, without a shuffle."""
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns, without a shuffle. Each row is judged
+    by its own text, so null and repeated ids change nothing; null and empty texts are judged as texts without words."""
     model = fit_toxicity(docs, labels, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
