@@ -83,3 +83,40 @@ def edit_distance_within(item, text):
             new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (p != c)))
         row, best = new, min(best, new[-1])
     return best
+
+
+def host_and_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+    return rest[:cut].translate(LOW), re.split("[?#]", rest[cut:], maxsplit=1)[0]
+
+
+def bytes_removed_by_row(rows, length=100):
+    """(n_bytes, n_removed) of each row, where ids may repeat: a place is earlier in a smaller id or in the same row."""
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for k, (d, _) in enumerate(rows):
+        b, gone, seen = texts[k], bytearray(len(texts[k])), set()
+        before = {u[i : i + length] for (e, _), u in zip(rows, texts, strict=True) if None not in (d, e) and e < d for i in range(len(u) - length + 1)}
+        for i in range(len(b) - length + 1 if d is not None else 0):
+            piece = b[i : i + length]
+            if piece in before or piece in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(piece)
+        out.append((len(b), sum(gone)))
+    return out
+
+
+def words_removed_by_row(rows, window=13):
+    """(n_words, n_removed) of each row, where ids may repeat."""
+    words, out = [WORD.findall(t or "") for _, t in rows], []
+    for k, (d, _) in enumerate(rows):
+        gone = [False] * len(words[k])
+        before = {tuple(w[i : i + window]) for (e, _), w in zip(rows, words, strict=True) if None not in (d, e) and e < d for i in range(len(w) - window + 1)}
+        for i in range(len(gone) - window + 1):
+            if tuple(words[k][i : i + window]) in before:
+                gone[i : i + window] = [True] * window
+        out.append((len(gone), sum(gone)))
+    return out

@@ -92,7 +92,7 @@ def test_ngram_join(spark, data):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in odd) == [(0, 1, None), (2, 1, 2), (2, 1, 2), (3, 1, 2)]
 
 
-def test_ngram_join_of_a_large_group_in_blocks(spark, monkeypatch):
+def test_ngram_join_of_a_large_group_in_blocks(spark):
     r = random.Random(5)
     base = [f"b{k}" for k in range(60)]
     rows = []
@@ -100,8 +100,22 @@ def test_ngram_join_of_a_large_group_in_blocks(spark, monkeypatch):
         w = list(base)
         w[r.randrange(60)] = f"x{k}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    assert by_id(ngram_join.ngram_join(made(spark, rows)), "n_shingles", "component_id") == brute.similar(rows)
+    # another group with the same words at its start, of texts that are similar to few others
+    for k in range(60, 110):
+        rows.append((k, " ".join(base[:12] + [f"y{(k + j) // 3}" for j in range(20)])))
+    for block in (2, 6, 16):
+        assert by_id(ngram_join.ngram_join(made(spark, rows), block=block), "n_shingles", "component_id") == brute.similar(rows)
+
+
+def test_meetings_bring_all_pairs_together():
+    for main, rest in ((1, 30), (20, 11), (31, 0), (5, 2), (17, 17)):
+        for block in (2, 4, 8):
+            own = [(doc, int(doc >= main)) for doc in range(main + rest)]
+            at = {doc: set(ngram_join.meetings_of(doc, main, rest, side, block, 0)) for doc, side in own}
+            for doc, side in own:
+                for other, its in own:
+                    assert at[doc] & at[other] or side == its == 0  # those of one label needn't meet
+            assert all(len(list(ngram_join.meetings_of(doc, main, rest, side, block, 1))) == 1 for doc, side in own)
 
 
 def test_prefix_tree_finds_all_similar_sets(monkeypatch):
@@ -141,12 +155,20 @@ def test_suffix_array_and_prefixes():
     suffix_array.BUCKET_ENTRIES = 400
 
 
-def test_least_distance_is_exact():
+def test_least_distances_are_exact():
     r = random.Random(1)
-    for _ in range(300):
-        item = bytes(r.choice(b"abc") for _ in range(r.randint(1, 12)))
-        text = bytes(r.choice(b"abc") for _ in range(r.randint(0, 30)))
-        assert decontamination.least_distance(item, text, len(item))[0] == brute.edit_distance_within(item, text)
+    some = lambda n: bytes(r.choice(b"abc") for _ in range(n))
+    for _ in range(25):
+        items, texts = [some(r.choice((1, 5, 12, 63, 64, 65, 130))) for _ in range(6)], [some(r.randint(0, 90)) for _ in range(20)]
+        high = np.cumsum([len(t) for t in texts])
+        which = np.array([r.randrange(6) for _ in texts])
+        size = np.array([len(items[k]) for k in which])
+        got, end = decontamination.least_distances(items, which, np.frombuffer(b"".join(texts) + b"x", np.uint8), high - [len(t) for t in texts], high, size)
+        for k, t in enumerate(texts):
+            want = brute.edit_distance_within(items[which[k]], t)
+            assert min(got[k], size[k]) == want
+            ends = [e for e in range(len(t) + 1) if brute.edit_distance_within(items[which[k]], t[:e]) == want]
+            assert end[k] == (ends[0] if want < size[k] else end[k])
 
 
 def edited(text, rate, r):
@@ -174,8 +196,28 @@ def test_decontamination_recall_and_precision(spark, data):
     assert (2002, items[0][0]) in got and not any(d >= 1000 and d != 2002 for d, _ in got)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(made(spark, rows[:3]), none).count() == 0
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "twenty four bytes of it")], "item_id long, text string")
-    assert [x["item_id"] for x in decontamination.find_leaks(made(spark, [(1, "here Twenty four\nbytes of it are")]), odd).collect()] == [4]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "twenty four bytes of it"), (5, " ? "), (6, "shirt")], "item_id long, text string")
+    found = decontamination.find_leaks(made(spark, [(1, "here Twenty four\nbytes of it are"), (2, "x" * 3000 + "(shore)" + "y" * 2000), (3, "why? " * 3)]), odd).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["edit_distance"]) for x in found) == [(1, 4, 0), (2, 3, 1), (3, 5, 0)]
+
+
+def test_decontamination_in_unspaced_and_bracketed_text(spark):
+    r = random.Random(9)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    run = lambda n: "".join(r.choice(signs) for _ in range(n))
+    items = [(k, run(40)) for k in range(20)] + [(20, "Donaudampfschifffahrt"), (21, "supercalifragilistic words follow it here")]
+    rows = [(k, run(300) + t + run(200)) for k, t in items[:20]] + [(20, 'so "(Donaudampfschifffahrt)" it is'), (21, "[supercalifragilistic words follow it here]"), (30, run(2000))]
+    got = {(x["doc_id"], x["item_id"], x["edit_distance"]) for x in decontamination.find_leaks(made(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k, 0) for k, _ in items}
+
+
+def test_decontaminated_judges_each_row_by_its_text(spark):
+    items = spark.createDataFrame([(1, "one long sentence that must not stand in the corpus")], "item_id long, text string")
+    leak = "See: one long sentence that must not stand in the corpus."
+    rows = [(None, leak), (None, "clean"), (1, leak), (1, "clean too"), (2, None), (3, "")]
+    kept = decontamination.decontaminated(made(spark, rows), items)
+    assert kept.columns == made(spark, []).columns
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in kept.collect()) == [(0, "clean"), (1, "clean too"), (2, ""), (3, "")]
 
 
 def test_decontamination_recall_at_edited_characters(spark, data):
@@ -184,12 +226,21 @@ def test_decontamination_recall_at_edited_characters(spark, data):
     letters = "abcdefghijklmnopqrstuvwxyz"
     edit = lambda c, rate: c if r.random() >= rate else r.choice(("", r.choice(letters), c + r.choice(letters)))
     low = {k: " ".join(t.split()).translate(brute.LOW) for k, t in items}
-    for rate in (0.08, 0.15):
-        rows = [(k, "words before it " + "".join(edit(c, rate) for c in t) + " words after it") for k, t in items]
-        near = {k for k, t in rows if brute.edit_distance_within(low[k].encode(), " ".join(t.split()).translate(brute.LOW).encode()) <= 0.2 * len(low[k].encode())}
-        found = decontamination.find_leaks(made(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-        got = {x["doc_id"] for x in found if x["doc_id"] == x["item_id"]}
-        assert len(near) >= 20 and len(near & got) >= 0.9 * len(near)
+    index = decontamination.ItemIndex(items, decontamination.SIMILARITY, decontamination.REPETITIONS)
+    bands = {b: [0, 0] for b in range(4)}  # of the true distance, a twentieth of the length each
+    for rate in (0.03, 0.08, 0.12, 0.15, 0.18, 0.2, 0.22, 0.24):
+        for k, t in items:
+            text = ("words before it " + "".join(edit(c, rate) for c in t) + " words after it").encode()
+            item = low[k].encode()
+            d = brute.edit_distance_within(item, " ".join(text.decode().split()).translate(brute.LOW).encode())
+            if d <= 0.2 * len(item):
+                tally = bands[min(int(d / len(item) * 20), 3)]
+                found = {i: x for _, i, x, _ in index.find(np.frombuffer(text, np.uint8), np.array([0, len(text)]))}
+                own = [n for n, (i, _) in enumerate(items) if i == k][0]
+                tally[0] += own in found
+                tally[1] += 1
+                assert found.get(own, d) == d
+    assert all(many >= 15 and got >= 0.9 * many for got, many in bands.values())
 
 
 def test_urls(spark):
@@ -210,10 +261,29 @@ def test_urls(spark):
 
 def test_url_model_on_names_it_has_not_seen(spark):
     model = url_filter.fit_url_model(url_filter.labelled_urls(spark))
-    new = [("casino-palace", 1), ("pills-shop", 1), ("adult-stars", 1), ("spam-hub", 1), ("poker-king", 1), ("gardens", 0), ("townhall", 0), ("thereton", 0), ("oldbooks", 0)]
-    df = spark.createDataFrame([(k, f"https://www.{n}.example.net/fr/5", y) for k, (n, y) in enumerate(new)], "page_id long, url string, y int")
+    new = [
+        ("https://www.casino-palace.net/fr/5", 1), ("http://pillsdirect.org/", 1), ("https://big-poker-room.example.com/x", 1), ("https://a.spamhub.io", 1),
+        ("https://site.example.org/online-casino/buy-pills", 1), ("https://page.net/en/free-porn-videos", 1), ("https://home.de/a/warez-and-keygens.html", 1),
+        ("https://gardens.org/", 0), ("https://www.townhall.fr/fr/5", 0), ("https://oldbooks.net/de/48.html", 0), ("https://universities.com/en/1", 0),
+        ("https://site.example.org/museums/opening-hours", 0), ("https://page.net/en/newspaper-archives", 0), ("https://home.de/cooking/bread.html", 0),
+        ("https://example.net/linguistics/essay-2", 0), ("https://cyclists.info/", 0),
+    ]
+    df = spark.createDataFrame([(k, u, y) for k, (u, y) in enumerate(new)], "page_id long, url string, y int")
     got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.filter_urls(df, rules=(), model=model).collect()}
-    assert sum(got[k] == bool(y) for k, (_, y) in enumerate(new)) >= len(new) - 1
+    assert sum(got[k] == bool(y) for k, (_, y) in enumerate(new)) >= len(new) - 2
+
+
+def test_urls_against_plain_rules(spark, data):
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()]
+    got = {r["page_id"]: r for r in registry.op1_url_filter(spark, data).collect()}
+    assert len(got) == len(pages)
+    for page, url in pages:
+        host, path = brute.host_and_path(url)
+        fit = [(r[1] + r[2], r[0]) for r in url_filter.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        rule, verdict = max(fit, key=lambda x: len(x[0])) if fit else (None, None)
+        row = got[page]
+        assert (row["host"], row["path"], row["rule"]) == (host, path, rule)
+        assert row["verdict"] == (verdict or ("block" if row["score"] >= 0.5 else "allow"))
 
 
 def test_licences(spark):
@@ -304,6 +374,14 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(k, "t", f"s{k % 2}", "a", 1, "b", 2.0, 3) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, parts string, cdf int, rate string, _source double, copy int")
+    got = mixing.mix_sources(df)
+    assert got.columns == ["doc_id", "text", "source", "parts", "cdf", "rate", "_source", "n_copies", "copy", "shuffle_key"]
+    assert {(r["parts"], r["cdf"], r["rate"], r["_source"]) for r in got.collect()} == {("a", 1, "b", 2.0)}
+
+
 def test_poisson_is_inverted(spark):
     from math import exp, factorial
 
