@@ -40,8 +40,10 @@ LENGTH, GRAM = 100, 32
 SLICE = 1 << 20
 #: A byte that UTF-8 text never holds; it ends each region of a shard.
 BORDER = 255
-#: Bytes of regions whose suffixes are sorted at once; anchors with more are split.
+#: Anchors with more bytes of regions than this are split.
 SHARD = 6 << 20
+#: Bytes of regions whose suffixes are sorted at once, cut between anchors; short arrays stay in the cache.
+ARRAY = 1 << 18
 #: Starts of a piece of a split anchor, and the bytes that its strings have in common.
 RUN = 9
 CORE = LENGTH - RUN + 1
@@ -286,7 +288,7 @@ def _region_texts(buckets: int, slice_bytes: int):
     return run
 
 
-def _judged(buckets: int, shard_bytes: int):
+def _judged(buckets: int):
     """A shard's regions: places and numbers of covered starts."""
 
     def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +307,12 @@ def _judged(buckets: int, shard_bytes: int):
         length = count + LENGTH - 1
         begin = np.cumsum(length) - length
         order = np.argsort(anchor, kind="stable")
-        # arrays of about shard_bytes, cut between anchors
+        # arrays of about ARRAY bytes, cut between anchors
         size = np.cumsum(length[order])
         cut = np.append(True, anchor[order][1:] != anchor[order][:-1])
         starts, used = [0], 0
         for k in np.flatnonzero(cut)[1:]:
-            if size[k - 1] - used > shard_bytes:
+            if size[k - 1] - used > ARRAY:
                 starts.append(int(k))
                 used = size[k - 1]
         for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
@@ -408,7 +410,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(places.by_document(classed, buckets), "suffix-classes")
     texts = known.join(found.hint("shuffle_hash"), row).select(*row, "text", "at", "flag")
     shards = packed.dealt(texts.mapInArrow(_region_texts(buckets, size), _REGIONS_SCHEMA), buckets)
-    more = written(places.by_document(shards.mapInArrow(_judged(buckets, shard_bytes), places.SCHEMA), buckets), "suffix-covers")
+    more = written(places.by_document(shards.mapInArrow(_judged(buckets), places.SCHEMA), buckets), "suffix-covers")
     more = more.withColumnsRenamed({"at": "at2", "flag": "flag2"})
     judged = (
         narrow.join(found.hint("shuffle_hash"), row, "left")
