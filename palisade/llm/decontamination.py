@@ -35,12 +35,12 @@ from . import bytetools as bt
 
 #: An item leaks where 1 - distance / item length reaches this.
 SIMILARITY = 0.8
-REPETITIONS = 20
+REPETITIONS = 16
 #: Steps of a walk, by the bytes that an item must have for it; an item uses the longest it can.
 WALKS = (64, 24, 8)
 SAMPLES = 11
 #: Starts of an item over all repetitions that make a search by collisions reliable.
-LEAST_TRIALS = 16
+LEAST_TRIALS = 12
 #: Bytes of a run without a word's end from which on it has starts inside, and how far apart they are at least.
 LONG_RUN, APART = 24, 4
 #: Items that are searched at once; more are taken block by block.
@@ -155,11 +155,24 @@ def trigrams(b: np.ndarray) -> np.ndarray:
     return (w[:-2] << np.uint16(10)) ^ (w[1:-1] << np.uint16(5)) ^ w[2:] if len(b) > 2 else w[:0]
 
 
+#: The class of a byte, on which a walk's moves depend, so that the classes of four bytes are a 16-bit code.
+_CLASS = np.random.default_rng(77).permutation(256).astype(np.uint16) % np.uint16(16)
+AT_ONCE = 4
+
+
+def codes_of(b: np.ndarray) -> np.ndarray:
+    """The classes of the four bytes from each place on; b ends with as many zeros as a walk has steps."""
+    kind = _CLASS[np.append(b, np.zeros(AT_ONCE, np.uint8))]
+    n = len(b)
+    return kind[:n] | kind[1 : n + 1] << np.uint16(4) | kind[2 : n + 2] << np.uint16(8) | kind[3 : n + 3] << np.uint16(12)
+
+
 @dataclass
 class Repetition:
-    """One walk, its sampled steps, and the items' sampled bytes as sorted keys."""
+    """One walk, its sampled steps, and the items' sampled bytes as sorted keys. The walk's steps are taken AT_ONCE at
+    a time, by tables of how far the first of them go from each code on."""
 
-    moves: np.ndarray  # [steps, 256] 0 or 1
+    tables: dict[tuple[int, int], np.ndarray]
     samples: np.ndarray
     salt: int
     keys: np.ndarray = field(default=None)
@@ -171,44 +184,55 @@ class Repetition:
     def drawn(steps: int, seed: int) -> Repetition:
         r = np.random.default_rng(seed)
         many = min(SAMPLES, max(4, steps // 2))
-        head = max(many * 5 // 8, 1)  # most of them soon, so that walks end soon
-        third = max(steps // 2, head)
-        rest = np.arange(third, steps)
-        samples = np.concatenate([r.choice(third, head, replace=False), r.choice(rest, min(many - head, len(rest)), replace=False)])
-        return Repetition(r.integers(0, 2, (steps, 256)).astype(np.uint8), np.sort(samples), int(seed))
+        # four of them at once, so that most walks end there, then most of the rest in the first half
+        head, half = max(many * 5 // 8 - 4, 0), max(steps // 2, 4)
+        soon = [r.choice(part, min(2, many // 2), replace=False) for part in (np.arange(4), np.arange(4, max(10, 4)))]
+        samples = np.unique(np.concatenate([*soon, r.choice(np.arange(10, max(half, 11 + head)), head, replace=False), r.choice(np.arange(half, steps), many - 4 - head, replace=False)])) if steps > 24 else np.sort(r.choice(steps, many, replace=False))
+        moves, code = r.integers(0, 2, (steps, 16)).astype(np.uint8), np.arange(1 << 16, dtype=np.uint16)
+        wanted, tables = {(t // AT_ONCE, t % AT_ONCE) for t in samples.tolist()}, {}
+        for g in range(-(-steps // AT_ONCE)):
+            gone = np.zeros(1 << 16, np.uint8)
+            for j in range(min(AT_ONCE, steps - g * AT_ONCE)):
+                if j and (g, j) in wanted:
+                    tables[g, j] = gone.copy()
+                gone += moves[g * AT_ONCE + j][(code >> (gone.astype(np.uint16) * np.uint16(4))) & np.uint16(15)]
+            tables[g, AT_ONCE] = gone
+        return Repetition(tables, np.sort(samples), int(seed))
 
     def chosen(self, word_hash: np.ndarray) -> np.ndarray:
         return (word_hash >> bt.U64(self.salt % 32)) & bt.U64(1) == 0
 
-    def walk(self, b: np.ndarray, start: np.ndarray, known: bool) -> tuple[np.ndarray, np.ndarray | list]:
+    def walk(self, b: np.ndarray, codes: np.ndarray, start: np.ndarray, known: bool) -> tuple[np.ndarray, np.ndarray | list]:
         """b ends with as many zeros as there are steps. For documents (known): which starts agree with
         an item, and their keys; for items: all keys, and the keys so far after each sample."""
         at, index, h = start.astype(np.int64), np.arange(len(start)), np.zeros(len(start), np.uint32)
-        so_far, k = [], 0
-        for step in range(int(self.samples[-1]) + 1):
-            c = b.take(at)
-            if step == self.samples[k]:
-                h = (h ^ c) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
-                h ^= h >> np.uint32(13)
-                k += 1
-                if not known:
-                    so_far.append(h.copy())
-                elif k in self.early:
-                    on = self.early[k][h & np.uint32(0xFFFF)]
-                    at, index, h, c = at[on], index[on], h[on], c[on]
-                    if not len(at):
-                        break
-            at += np.frombuffer(c.tobytes().translate(self.moves[step].tobytes()), np.uint8)
+        so_far, group, code = [], 0, codes.take(at)
+        for k, sample in enumerate(self.samples.tolist(), 1):
+            while group < sample // AT_ONCE:
+                at += self.tables[group, AT_ONCE].take(code)
+                code = codes.take(at)
+                group += 1
+            part = sample % AT_ONCE
+            c = b.take(at + self.tables[group, part].take(code) if part else at)
+            h = (h ^ c) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
+            h ^= h >> np.uint32(13)
+            if not known:
+                so_far.append(h.copy())
+            elif k in self.early:
+                on = np.flatnonzero(self.early[k].take(h & np.uint32(0xFFFF)))
+                at, index, h, code = at.take(on), index.take(on), h.take(on), code.take(on)
+                if not len(at):
+                    break
         return (index, h) if known else (h, so_far)
 
-    def learn(self, b: np.ndarray, start: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
-        h, so_far = self.walk(b, start, known=False)
+    def learn(self, b: np.ndarray, codes: np.ndarray, start: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        h, so_far = self.walk(b, codes, start, known=False)
         order = np.argsort(h, kind="stable")
         self.keys, self.item, self.offset = h[order], item[order], offset[order]
         for k in range(min(2, len(so_far)), len(so_far) + 1):
             seen = np.zeros(1 << 16, bool)
             seen[so_far[k - 1] & np.uint32(0xFFFF)] = True
-            if seen.mean() < 0.5 or k == len(so_far):
+            if k > 3 or k == len(so_far):  # the first few tell little
                 self.early[k] = seen
 
 
@@ -227,6 +251,7 @@ class ItemIndex:
         size = np.array([len(t) for t in self.texts], np.int64)
         left = offsets[item] + size[item] - start if len(start) else start
         padded = np.append(b, np.zeros(WALKS[0], np.uint8))
+        codes = codes_of(padded)
         self.repetitions = []
         trials = np.zeros(len(items), np.int64)
         for w, steps in enumerate(WALKS):
@@ -235,7 +260,7 @@ class ItemIndex:
                 r = Repetition.drawn(steps, 1000 * w + k)
                 use = fits[item] & (left >= steps // 2 + 1) & r.chosen(h) if len(start) else np.zeros(0, bool)
                 if use.any():
-                    r.learn(padded, start[use], item[use], (start - offsets[item])[use])
+                    r.learn(padded, codes, start[use], item[use], (start - offsets[item])[use])
                     self.repetitions.append(r)
                     trials += np.bincount(item[use], minlength=len(items))
         self.looked_through = np.flatnonzero((trials < LEAST_TRIALS) & (size > 0))
@@ -245,10 +270,11 @@ class ItemIndex:
         b, offsets = normalised(raw, offsets)
         start, text, h = word_starts(b, offsets)
         padded = np.append(b, np.zeros(WALKS[0], np.uint8))
+        codes = codes_of(padded)
         spots: dict[tuple[int, int], set[int]] = {}
         for r in self.repetitions:
             use = np.flatnonzero(r.chosen(h))
-            index, keys = r.walk(padded, start[use], known=True)
+            index, keys = r.walk(padded, codes, start[use], known=True)
             low = np.searchsorted(r.keys, keys, "left")
             many = np.searchsorted(r.keys, keys, "right") - low
             if not many.any():
@@ -258,7 +284,7 @@ class ItemIndex:
             begin = start[word] - r.offset[entry]
             for t, i, s in set(zip(text[word].tolist(), r.item[entry].tolist(), (begin // 16).tolist(), strict=True)):
                 spots.setdefault((t, i), set()).add(s * 16)
-        windows, codes = [], trigrams(b) if spots else None  # (text, item, low, high)
+        windows, three = [], trigrams(b) if spots else None  # (text, item, low, high)
         for (t, i), begins in spots.items():
             size, most, grams = len(self.texts[i]), self.most[i], self.grams[i]
             done = -1
@@ -269,7 +295,7 @@ class ItemIndex:
                     continue
                 done = high - most
                 here = np.zeros(1 << 16, bool)
-                here[codes[low : max(high - 2, low)]] = True
+                here[three[low : max(high - 2, low)]] = True
                 if np.count_nonzero(~here[grams]) <= 3 * most:  # an edit changes three trigrams at most
                     windows.append((t, i, low, high))
         windows += self._all_windows(offsets)
