@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .regexlib import SPACE
+from .scoring import bound
 
 #: Character classes that are counted and stripped, in order of precedence.
 CLASSES = {
@@ -40,18 +41,21 @@ def replace_all(c: Column | str, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+#: All of these in one class; most texts hold none.
+INVISIBLE = "[" + "".join(p[1:-1] for p in CLASSES.values()) + "]"
+
+
 def invisible_counts(c: Column | str) -> dict[str, Column]:
-    return {k: F.regexp_count(c, F.lit(p)) for k, p in CLASSES.items()}
+    """The counts of a text that holds none are known from one pass."""
+    c = F.col(c) if isinstance(c, str) else c
+    some = c.rlike(INVISIBLE)
+    return {k: F.when(some, F.regexp_count(c, F.lit(p))).otherwise(0) for k, p in CLASSES.items()}
 
 
 def strip_invisible(c: Column | str, bidi: str = "strip") -> Column:
     """bidi: strip all controls, isolate (keep isolates) or off (keep all)."""
-    out = c
-    for name, pattern in CLASSES.items():
-        if name == "bidi_isolate" and bidi != "strip" or name.startswith("bidi") and bidi == "off":
-            continue
-        out = replace_all(out, pattern, "")
-    return out if isinstance(out, Column) else F.col(out)
+    kept = [k for k in CLASSES if k == "bidi_isolate" and bidi != "strip" or k.startswith("bidi") and bidi == "off"]
+    return replace_all(F.col(c) if isinstance(c, str) else c, "[" + "".join(p[1:-1] for k, p in CLASSES.items() if k not in kept) + "]", "")
 
 
 def locale_base(locale: Column) -> Column:
@@ -61,24 +65,27 @@ def locale_base(locale: Column) -> Column:
 def fold_confusables(c: Column, full: bool = False) -> Column:
     """struct(text, n): letters that look like ASCII ones are folded in tokens that are mainly Latin."""
     table, to = (CONFUSABLE + CONFUSABLE_MORE, FOLDED + FOLDED_MORE) if full else (CONFUSABLE, FOLDED)
-    inside = "".join("\\" + x if x in "\\]^-" else x for x in table)
+    # a wide range of two ends is searched far faster than the table itself
+    near = r"[\x{250}-\x{52f}\x{2018}-\x{2502}]" if full else r"[\x{250}-\x{52f}]"
+    lost = lambda x, chars: F.length(x) - F.length(F.translate(x, chars, ""))
+    native_table = "".join(x for x in table if 0x370 <= ord(x) <= 0x4FF)
     tokens = F.regexp_extract_all(c, F.lit(f"[{_TOKEN_SPACE}]+|[^{_TOKEN_SPACE}]+"), 0)
 
     def judged(token: Column) -> Column:
         latin = F.regexp_count(token, F.lit("[A-Za-z]"))
-        native = F.regexp_count(token, F.lit(f"[\\x{{370}}-\\x{{3ff}}\\x{{400}}-\\x{{4ff}}&&[^{inside}]]"))
-        n = F.regexp_count(token, F.lit(f"[{inside}]"))
-        on = (latin >= 1) & (latin >= native) & (n > 0)
+        native = F.regexp_count(token, F.lit(r"[\x{370}-\x{4ff}]")) - lost(token, native_table)
+        n = lost(token, table)
+        on = token.rlike(near) & (latin >= 1) & (n > 0) & (latin >= native)
+        return F.when(on, F.struct(F.translate(token, table, to).alias("t"), n.alias("n"))).otherwise(F.struct(token.alias("t"), F.lit(0).alias("n")))
+
+    def joined(parts: Column) -> Column:
         return F.struct(
-            F.when(on, F.translate(token, table, to)).otherwise(token).alias("t"), F.when(on, n).otherwise(0).alias("n")
+            F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"),
+            F.aggregate(parts, F.lit(0), lambda a, p: a + p["n"]).alias("n"),
         )
 
-    parts = F.transform(tokens, judged)
-    folded = F.struct(
-        F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"),
-        F.aggregate(F.transform(parts, lambda p: p["n"]), F.lit(0), lambda a, x: a + x).alias("n"),
-    )
-    return F.when(c.rlike(f"[{inside}]"), folded).otherwise(F.struct(c.alias("text"), F.lit(0).alias("n")))
+    folded = bound(F.transform(tokens, judged), joined)
+    return F.when(c.rlike(near), folded).otherwise(F.struct(c.alias("text"), F.lit(0).alias("n")))
 
 
 def morse(c: Column) -> Column:
@@ -101,22 +108,26 @@ def morse(c: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """Line ends become LF; other white space runs become one space."""
-    return replace_all(replace_all(c, r"\r\n?", "\n"), f"[{SPACE}&&[^\n]]+", " ")
+    other = SPACE.replace(r"\n", "").replace(" ", "")
+    # all runs but single spaces, which stay as they are
+    return replace_all(replace_all(c, r"\r\n?", "\n"), f"[{other}][{other} ]*| [{other} ]+", " ")
 
 
 def join_split_words(c: Column) -> Column:
     """'pre.vious' -> 'previous': one separator between letters, before a lower-case part."""
-    pattern = r"([A-Za-z]{2,})[.\-\x{2010}-\x{2015}\n]([a-z]{2,})"
-    for _ in range(3):
-        c = replace_all(c, pattern, "$1$2")
+    separator = r"[.\-\x{2010}-\x{2015}\n]"
+    pattern, sign = rf"([A-Za-z]{{2,}}){separator}([a-z]{{2,}})", rf"{separator}(?<=[A-Za-z]{{2}}{separator})[a-z]{{2}}"
+    for _ in range(3):  # the sign of a match is found faster, as it begins with a separator
+        c = bound(c, lambda x: F.when(x.rlike(sign), replace_all(x, pattern, "$1$2")).otherwise(x))
     return c
 
 
 def join_spaced_letters(c: Column) -> Column:
     """'i g n o r e' -> 'ignore': separators in runs of three or more isolated letters go."""
     sep, letter = r"[ \t\n\r.\-]", "(?<![A-Za-z])[A-Za-z](?![A-Za-z])"
-    before, after = f"(?<={letter})", f"(?={letter})"
-    return replace_all(c, f"{before}{sep}(?={letter}{sep}{letter})|(?<={letter}{sep}{letter}){sep}{after}", "")
+    # separators first: few characters are one
+    between = f"{sep}(?<={letter}{sep})(?={letter}{sep}{letter})|{sep}(?<={letter}{sep}{letter}{sep})(?={letter})"
+    return replace_all(c, between, "")
 
 
 @F.pandas_udf(StringType())

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regexlib as rx
 
 MARKER = "\ue000"
+#: Characters of a mark that the automaton holds, and of all marks that are looked for in one pass.
+BEGINNING, BLOCK_CHARS = 64, 1 << 20
 
 
 def tool_allowed(calls: DataFrame, allow: DataFrame, name: str = "name") -> DataFrame:
@@ -17,31 +22,57 @@ def tool_allowed(calls: DataFrame, allow: DataFrame, name: str = "name") -> Data
 
 
 def taint_matches(
-    docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 12
+    docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, mark_seq, source): marks (mark_seq, text, source) that a document contains.
 
-    Texts meet marks through the mark's first ``gram`` characters, as an equi-join of each text's
-    distinct character windows with them, so no pair is tried without a common beginning; a
-    shorter mark is met through a window of its own length, one join per length.
+    One pass over the texts, without a shuffle, for each block of marks with at most BLOCK_CHARS characters in
+    their beginnings: an automaton of these beginnings finds all of them in a text, and the whole mark is compared
+    there. Null and empty marks and texts meet nothing; repeated rows and marks give their rows again.
     """
-    marks = marks.where("length(text) > 0").select(
-        "mark_seq", "source", F.col("text").alias("_mark"), F.least(F.length("text"), F.lit(gram)).alias("_n")
-    )
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    sizes = marks.groupBy().agg(F.sort_array(F.collect_set("_n")).alias("s")).first()["s"]  # at most ``gram`` numbers
+    marks = marks.where("length(text) > 0").select("mark_seq", "text", "source")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = marks.agg(F.sum(F.least(F.length("text"), F.lit(BEGINNING)))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    kinds = [x.simpleString() for x in (texts.schema["doc_id"].dataType, marks.schema["mark_seq"].dataType, marks.schema["source"].dataType)]
+    schema = "doc_id {}, mark_seq {}, source {}".format(*kinds)
     out = None
-    for n in sizes or [gram]:
-        own = marks.where(F.col("_n") == n).withColumn("_key", F.substring("_mark", 1, n))
-        met = texts.where(F.length("_text") >= n).withColumn("_key", F.explode(_windows(F.col("_text"), n))).join(own, "_key")
-        part = met.where(F.col("_text").contains(F.col("_mark"))).select("doc_id", "mark_seq", "source")
+    for block in range(blocks):
+        rows = marks.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])  # a block
+        part = texts.where("length(text) > 0").mapInArrow(_marks_in(sent), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _windows(text: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+def _marks_in(sent):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, by_beginning = ahocorasick.Automaton(), {}
+        for seq, mark, source in sent.value:
+            by_beginning.setdefault(mark[:BEGINNING], []).append((seq, mark, source))
+        for beginning, marks in by_beginning.items():
+            automaton.add_word(beginning, (len(beginning), marks))
+        if not by_beginning:
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            docs, seqs, sources = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = {}
+                for end, (size, marks) in automaton.iter(text):
+                    for k, (seq, mark, source) in enumerate(marks):
+                        if text.startswith(mark, end + 1 - size):
+                            found[id(marks), k] = (seq, source)
+                for seq, source in found.values():
+                    docs.append(row)
+                    seqs.append(seq)
+                    sources.append(source)
+            if docs:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(seqs), pa.array(sources)], ["doc_id", "mark_seq", "source"])
+
+    return search
 
 
 def taint_sources(matches: DataFrame) -> DataFrame:

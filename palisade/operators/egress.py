@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as tx
 from ..functions.regexlib import java
-from ..functions.scoring import reason
+from ..functions.scoring import bound, reason
 
 # Shapes of links, keys and personal data.
 URL = r"""!\[[^\]\[]*\]\(\s*[^)\s(]+(?:\s+"[^"]*")?\)|(?:https?|ftp)://[^\s)<>"']+"""
@@ -24,6 +26,9 @@ SECRETS = {
     "slack": r"\bxox[bpoa]-[A-Za-z0-9-]{10,}\b",
     "google": r"\bAIza[0-9A-Za-z_-]{35}\b",
 }
+#: Literals of which a key of each shape holds one.
+KEY_SIGNS = {"openai": ("sk-",), "github": ("gh",), "aws": ("AKIA",), "jwt": ("eyJ",), "slack": ("xox",), "google": ("AIza",)}
+# Fixed values, as above.
 LONG_RUN = r"\b[A-Za-z0-9+/=_-]{40,}\b"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+?\d[\d\s().-]{6,}\d)"
@@ -31,8 +36,15 @@ SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 CARD = r"\b(?:\d[ -]?){13,16}\b"
 
 
+#: Shorter patterns that a text with a match holds, found faster.
+SIGNS = {LONG_RUN: "(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{40}", EMAIL: "@[A-Za-z0-9.-]+[.]", SSN: r"[0-9]-[0-9]{2}-[0-9]", CARD: "[0-9](?:[ -]?[0-9]){12}"}
+
+
 def all_matches(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(java(pattern)), 0)
+    found = lambda x: F.regexp_extract_all(x, F.lit(java(pattern)), 0)
+    if pattern not in SIGNS:
+        return found(c)
+    return bound(c, lambda x: F.when(x.rlike(SIGNS[pattern]), found(x)).otherwise(F.array().cast("array<string>")))
 
 
 def _allowed(token: Column, allow: Sequence[str]) -> Column:
@@ -67,7 +79,9 @@ def strip_disallowed(c: Column, allow: Sequence[str] = ()) -> Column:
 
 def secrets(c: Column, allow: Sequence[str] = ()) -> Column:
     """Distinct key-shaped tokens, by the order of the shapes."""
-    found = F.array_distinct(F.flatten(F.array(*[all_matches(c, p) for p in SECRETS.values()])))
+    none = F.array().cast("array<string>")
+    tokens = lambda k, p: F.when(reduce(or_, [c.contains(x) for x in KEY_SIGNS[k]]), all_matches(c, p)).otherwise(none)
+    found = F.array_distinct(F.flatten(F.array(*[tokens(k, p) for k, p in SECRETS.items()])))
     return F.filter(found, lambda t: ~_allowed(t, allow))
 
 
@@ -108,7 +122,7 @@ def phones(s: pd.Series) -> pd.Series:
 
 def repeated(reason_column: Column, n: Column) -> Column:
     """n equal reasons."""
-    return F.when(n > 0, F.array_repeat(reason_column, n)).otherwise(F.array_repeat(reason_column, F.lit(0)))
+    return F.array_repeat(reason_column, n)
 
 
 def egress_reasons(

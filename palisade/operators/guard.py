@@ -1,4 +1,8 @@
-"""The whole first tier as a chain of column expressions, with two Arrow UDFs behind native gates."""
+"""The whole first tier as a chain of column expressions, with Arrow UDFs behind native gates.
+
+A CASE doesn't keep a UDF from running on a row, but it can hand it a null, which costs next to nothing; so rows
+are read and normalised once, whatever passes the gates.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,9 @@ from ..config import Policy
 from ..functions import scoring as sc
 from ..functions import text as tx
 from . import decode, rules
-from .escalation import gated_apply
+
+#: Texts with fewer different characters have less entropy than the gates ask for.
+LEAST_SYMBOLS = 28
 
 
 def with_copies(df: DataFrame, text: str, policy: Policy, locale: Column | None = None) -> DataFrame:
@@ -18,15 +24,12 @@ def with_copies(df: DataFrame, text: str, policy: Policy, locale: Column | None
     df = df.withColumn("_text", tx.truncate_bytes(raw, policy.max_scan_bytes)).withColumn(
         "truncated", F.octet_length(raw) > policy.max_scan_bytes
     )
-    if policy.nfkc:
-        df = gated_apply(
-            df, F.col("_text").rlike(r"[^\x00-\x7f]"), lambda d: d.withColumn("_norm", tx.nfkc("_text")), {"_norm": "string"}
-        ).withColumn("_norm", F.coalesce("_norm", "_text"))
-    else:
-        df = df.withColumn("_norm", F.col("_text"))
+    norm = tx.nfkc(F.when(F.col("_text").rlike(r"[^\x00-\x7f]"), F.col("_text"))) if policy.nfkc else F.lit(None)
+    df = df.withColumn("_norm", norm).withColumn("_norm", F.coalesce("_norm", "_text"))
     norm = F.col("_norm")
-    counts = tx.invisible_counts(norm)
-    df = df.withColumn("_counts", F.struct(*[v.alias(k) for k, v in counts.items()]))
+    # bound: a plain struct would be taken apart and counted anew at each use
+    counted = sc.bound(norm, lambda c: F.struct(*[v.alias(k) for k, v in tx.invisible_counts(c).items()]))
+    df = df.withColumn("_counts", counted)
     stripped = tx.strip_invisible(norm, policy.bidi)
     if locale is not None and policy.bidi == "strip":
         stripped = F.when(tx.locale_base(locale).isin(list(policy.rtl_locales)), tx.strip_invisible(norm, "isolate")).otherwise(stripped)
@@ -70,28 +73,25 @@ def guard(
         made = made.withColumn("_salad", decode.salad_runs(matching))
         n = F.col("_salad")
         second.insert(1, F.when(n >= 3, sc.reason("adversarial_suffix", "obfuscation", 0.3 + 0.05 * F.least(n - 3, F.lit(6)))))
-    # the entropy is over 4.8 bits for few texts only; those without another sign of encoding are told
-    # by the UDF, so the native gate lets through what is long enough to have so many symbols
-    symbols = F.size(F.array_distinct(F.split(F.col("decode_copy"), ""))) > 27
-    made = made.withColumn("_entropy_gate", symbols | F.col("decode_copy").rlike(r"[0-9+/=]") | decode.looks_encoded(F.col("decode_copy")))
-    added = {"_entropy": "double", "_decoded": "struct<n:int,codes:array<string>,blobs:array<string>>"}
-
-    def look(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_entropy", decode.entropy_udf("matching"))
-        if policy.decode_encoded:
-            return d.withColumn("_decoded", decode.decode_udf(policy.decode_depth)("decode_copy"))
-        return d.withColumn("_decoded", F.lit(None).cast(added["_decoded"]))
-
-    made = gated_apply(made, F.col("_entropy_gate"), look, added)
+    long_enough = lambda c: F.when(F.length(c) >= LEAST_SYMBOLS, F.col(c))
+    made = made.withColumn("_entropy", decode.entropy_udf(long_enough("matching")))
+    if policy.decode_encoded:
+        made = made.withColumn("_copy_entropy", decode.entropy_udf(long_enough("decode_copy")))
+        copy = F.col("decode_copy")
+        gate = (F.col("_copy_entropy") > 4.8) | decode.looks_encoded(copy) | (copy.rlike("[0-9=]") & copy.rlike(decode.MAY_SPLIT))
+        made = made.withColumn("_decoded", decode.decode_udf(policy.decode_depth)(F.when(gate, copy)))
+    else:
+        made = made.withColumn("_decoded", F.lit(None).cast("struct<n:int,codes:array<string>,blobs:array<string>>"))
     n = F.coalesce(F.col("_decoded.n"), F.lit(0))
     second += [
         F.when(F.col("_entropy") > 5.5, sc.reason("entropy_anomaly", "obfuscation", F.lit(0.3))),
         F.when(n > 0, sc.reason("encoded_payload", "obfuscation", 0.8 + 0.05 * n)),
     ]
-    found = F.concat(F.col("_l01"), sc.reasons(*second), rules.rule_reasons(matching))
+    made = made.withColumn("_l3", rules.rule_reasons(matching))
+    found = F.concat(F.col("_l01"), sc.reasons(*second), F.col("_l3"))
     if source:
         skipped = [s for s, (skip, _) in policy.per_source.items() if skip]
-        hard = F.concat(F.col("_l01"), rules.rule_reasons(matching))
+        hard = F.concat(F.col("_l01"), F.col("_l3"))
         kept = F.filter(hard, lambda r: r["hard"] | (F.lit(True) if policy.hard_block_rules is True else r["code"].isin(list(policy.hard_block_rules or ()))))
         found = F.when(F.col(source).isin(skipped), kept).otherwise(found)
     made = made.withColumn("reasons", found).withColumn("score", sc.score_of(F.col("reasons")))

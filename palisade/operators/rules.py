@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..config import LATIN_LOCALES, Policy
 from ..functions import regexlib as rx
 from ..functions import text as tx
-from ..functions.scoring import reason, reasons
+from ..functions.scoring import bound, reason, reasons
 
 MOST_MATCHES = 21
 
 
 def rule_count(matching: Column, rule: rx.Rule) -> Column:
-    return F.least(F.lit(MOST_MATCHES), rx.count(matching, rule.pattern))
+    return bound(matching, lambda m: F.least(F.lit(MOST_MATCHES), rx.rule_matches(m, rule)))
 
 
 def rule_weight(n: Column, rule: rx.Rule) -> Column:
@@ -22,18 +22,26 @@ def rule_weight(n: Column, rule: rx.Rule) -> Column:
 
 
 def rule_reasons(matching: Column) -> Column:
-    """Of the whole bank; texts that no rule can match pay for one scan only."""
-    found = []
-    for r in rx.RULES:
-        n = rule_count(matching, r)
-        start = F.regexp_instr(matching, F.lit(rx.java(r.pattern))) - 1
-        found.append(F.when(n > 0, reason(r.code, r.category, rule_weight(n, r), r.hard, start)))
-    return F.when(matching.rlike(rx.java(rx.COMBINED)), reasons(*found)).otherwise(reasons(F.lit(None)))
+    """Of the whole bank. A rule's pattern is tried on texts that hold its literals only, and counted once."""
+
+    def found(x: Column) -> Column:
+        out = []
+        for r in rx.RULES:
+            n, start = x[r.name], F.regexp_instr(x["m"], F.lit(rx.java(r.pattern))) - 1
+            out.append(F.when(n > 0, reason(r.code, r.category, rule_weight(n, r), r.hard, start)))
+        return reasons(*out)
+
+    def counted(m: Column) -> Column:
+        counts = [F.least(F.lit(MOST_MATCHES), rx.rule_matches(m, r)).alias(r.name) for r in rx.RULES]
+        return bound(F.struct(m.alias("m"), *counts), found)
+
+    return bound(matching, counted)
 
 
 def marker_count(matching: Column) -> Column:
     """Matches of any rule, leftmost first."""
-    return F.least(F.lit(51), rx.count(matching, rx.COMBINED))
+    count = lambda m: F.when(rx.may_match(m, *rx.RULES), rx.count(m, rx.COMBINED)).otherwise(0)
+    return F.least(F.lit(51), bound(matching, count))
 
 
 def front_gate(text: Column, truncated: Column) -> list[Column]:
@@ -64,8 +72,9 @@ _CYRILLIC, _GREEK = "а-яА-ЯёЁ", "α-ωΑ-Ω"
 
 
 def script_counts(c: Column) -> dict[str, Column]:
-    latin, cyrillic, greek = (F.regexp_count(c, F.lit(p)) for p in ("[A-Za-z]", f"[{_CYRILLIC}]", f"[{_GREEK}]"))
-    return {"latin": latin, "cyrillic": cyrillic, "greek": greek, "other": F.regexp_count(c, F.lit(r"[^\x00-\x7f]")) - cyrillic - greek}
+    # what is left without the runs of all else; fewer matches than characters
+    latin, cyrillic, greek = (F.length(tx.replace_all(c, f"[^{p}]+", "")) for p in ("A-Za-z", _CYRILLIC, _GREEK))
+    return {"latin": latin, "cyrillic": cyrillic, "greek": greek, "other": F.length(tx.replace_all(c, r"[\x00-\x7f]+", "")) - cyrillic - greek}
 
 
 def special_tokens(matching: Column, tokens: tuple[str, ...]) -> Column:
@@ -97,7 +106,8 @@ def script_mixing(matching: Column) -> Column:
 
 def language_divergence(matching: Column, locale: Column) -> Column:
     s = script_counts(matching)
-    on = tx.locale_base(locale).isin(list(LATIN_LOCALES)) & (s["other"] > s["latin"]) & (s["other"] > 10)
+    wide = F.octet_length(matching) - F.length(matching) > 10  # each character of another script takes a byte more at least
+    on = tx.locale_base(locale).isin(list(LATIN_LOCALES)) & wide & (s["other"] > 10) & (s["other"] > s["latin"])
     return F.when(on, reason("lang_divergence", "semantic", F.lit(0.2)))
 
 

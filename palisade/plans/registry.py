@@ -448,7 +448,7 @@ def _match_query(name: str, pattern: str) -> None:
 
 _match_query("egress_email", egress.EMAIL)
 _match_query("egress_ssn", egress.SSN)
-_match_query("egress_custom_pattern", r"\b[A-Z]{2}\d{2,}\b")
+_match_query("egress_custom_pattern", r"\b[A-Z][a-z]+ [a-z]+ing\b|\bssn \d{3}")
 
 _DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 _LUHN = (
@@ -582,12 +582,12 @@ def tool_allowlist(spark, sf_dir):
     return cp.tool_allowed(calls, allow).select("event_id", "name", "allowed")
 
 
-_MARKS = "marks AS (SELECT item_id AS mark_seq, substr(text, 1, 60) AS text, 'src' || (item_id % 3) AS source FROM benchmark)"
+_MARKS = "marks AS (SELECT item_id AS mark_seq, text, 'src' || (item_id % 3) AS source FROM benchmark)"
 
 
 def marks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("mark_seq"), F.substring("text", 1, 60).alias("text"), F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("source")
+        F.col("item_id").alias("mark_seq"), "text", F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("source")
     )
 
 
