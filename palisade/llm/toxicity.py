@@ -107,6 +107,26 @@ def read_words(b: np.ndarray, offsets: np.ndarray) -> Vocabulary:
     return Vocabulary(word, gram_codes(low, start[first], end[first]), code.astype(np.int64) + 1, text)
 
 
+def read_texts(raw: list[bytes], most: int = 1 << 20) -> Vocabulary:
+    """read_words() of many texts, some at a time, which takes little memory."""
+    parts, s = [], 0
+    while s < len(raw):
+        e, size = s + 1, len(raw[s])
+        while e < len(raw) and size + len(raw[e]) <= most:
+            size += len(raw[e])
+            e += 1
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw[s:e]])]).astype(np.int64)
+        low, start, end, text = words_of(np.frombuffer(b"".join(raw[s:e]), np.uint8), offsets)
+        own, first, code = np.unique(bt.span_hashes(low, start, end), return_index=True, return_inverse=True)
+        parts.append((own, gram_codes(low, start[first], end[first]), code, text + s))
+        s = e
+    hashes, grams, codes, texts = zip(*parts, strict=True)
+    shift = np.cumsum([0, *(len(h) for h in hashes)])
+    own, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    code = np.concatenate([number[c + k] for c, k in zip(codes, shift, strict=False)]).astype(np.int64) + 1
+    return Vocabulary((own % bt.U64(WORD_BUCKETS - 1)).astype(np.int32) + 1, np.concatenate(grams)[first], code, np.concatenate(texts))
+
+
 def windows_of(v: Vocabulary, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """[windows, WINDOW] word codes (0 beyond the text's end) and each window's text."""
     per = np.bincount(v.text, minlength=texts)
@@ -281,9 +301,7 @@ def train(texts: list[str], target: list[int], seed: int = 7) -> ToxicityModel:
     y = np.array(target, np.float32)
     if not len(y) or y.min() == y.max():  # nothing to tell apart
         return ToxicityModel(net, np.array([*[0.0] * len(_TOPS), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))]))
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-    v = read_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    v = read_texts([t.encode() for t in texts])
     word_odds, word_n, gram_odds, gram_n = _log_odds(v, y)
     mask = {"word": (word_n >= SUPPORT)[:, None].astype(np.float32), "gram": (gram_n >= SUPPORT)[:, None].astype(np.float32)}
     for k, odds in (("word", word_odds), ("gram", gram_odds)):
