@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Policy
 from ..functions import regexlib as rx
+from ..functions.scoring import bound, enforced, hard_block, reason, reasons, score_of, would_verdict
 
 MARKER = "\ue000"
 #: Characters of a mark that the automaton holds, and of all marks that are looked for in one pass.
@@ -21,6 +23,20 @@ def tool_allowed(calls: DataFrame, allow: DataFrame, name: str = "name") -> Data
     return calls.join(known, calls[name] == F.col("_allowed"), "left").withColumn("allowed", F.col("_allowed").isNotNull()).drop("_allowed")
 
 
+def tool_verdict(allowed: Column, tainted: Column, found: Column, policy: Policy) -> Column:
+    """struct(reasons, score, verdict) of a tool call: a name that isn't allowed blocks; otherwise the reasons found in its
+    arguments, and one for arguments that hold untrusted data, at high risk."""
+    stopped = reasons(reason("agentic_tool_hijack", "semantic", F.lit(1.0)))
+    folded = F.when(tainted, F.concat(found, reasons(reason("tainted_data_flow", "semantic", F.lit(0.9))))).otherwise(found)
+    all_found = F.when(allowed, folded).otherwise(stopped)
+
+    def judged(x: Column) -> Column:
+        would = would_verdict(score_of(x), hard_block(x, policy.hard_block_rules), policy, F.lit(True))
+        return F.struct(x.alias("reasons"), score_of(x).alias("score"), enforced(would, policy.mode).alias("verdict"))
+
+    return bound(all_found, judged)
+
+
 def taint_matches(
     docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -36,6 +36,14 @@ def rates(df: DataFrame) -> DataFrame:
     )
 
 
+def range_of(df: DataFrame, column: str, parts: int = 256) -> Column:
+    """The number of the range of ``column`` that a row is in, by approximate quantiles: bounds that are read once, so
+    that all uses of a range agree. Nulls are in the first."""
+    found = df.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 20_000)).first()[0] or []
+    bounds = sorted(set(found))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(column))), F.lit(0)) if bounds else F.lit(0)
+
+
 def curve(df: DataFrame, label: Column, score: str) -> DataFrame:
     """A row per distinct score, as a threshold that counts scores from it on as positive, and one above
     all: threshold, tp, fp, precision, recall, fpr.
@@ -44,7 +52,7 @@ def curve(df: DataFrame, label: Column, score: str) -> DataFrame:
     ranges of the score and over the ranges, so no task gets all rows.
     """
     counts = df.groupBy(F.col(score).alias("threshold")).agg(count_if(label).alias("p"), count_if(~label).alias("n"))
-    ranged = counts.repartitionByRange(F.col("threshold")).withColumn("part", F.spark_partition_id())
+    ranged = counts.withColumn("part", range_of(counts, "threshold"))
     parts = ranged.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))
     above = parts.alias("a").join(parts.alias("b"), F.col("b.part") > F.col("a.part"), "left")  # a row per range
     above = above.groupBy(F.col("a.part").alias("part")).agg(
@@ -67,21 +75,45 @@ def curve(df: DataFrame, label: Column, score: str) -> DataFrame:
     )
 
 
-def area(points: DataFrame, x: str, y: str) -> Column:
-    """Trapezoid area under points ordered by x and y, as an aggregate over sorted points."""
-    del points
-    ordered = F.sort_array(F.collect_set(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("s"))
-    step = lambda a, p: F.struct(
-        p["x"].alias("x"), p["y"].alias("y"),
-        (a["s"] + F.coalesce((p["x"] - a["x"]) * (p["y"] + a["y"]) / 2, F.lit(0.0))).alias("s"),
-    )
-    return F.aggregate(ordered, start, step, lambda a: a["s"])
+#: Parts of [0, 1] that a curve's points are dealt into.
+PARTS = 1024
+
+
+def area(points: DataFrame, x: str, y: str, name: str) -> DataFrame:
+    """One row: the trapezoid area under points ordered by x (from 0 to 1) and y. Points are ordered within parts of x;
+    the gaps between parts are closed by each part's first and last point, so no task gets all points."""
+    p = points.select(F.col(x).alias("x"), F.col(y).alias("y")).distinct().withColumn("part", F.floor(F.col("x") * PARTS))
+    w = Window.partitionBy("part").orderBy("x", "y")
+    step = (F.col("x") - F.lag("x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2
+    point = F.struct("x", "y")
+    parts = p.withColumn("s", step).groupBy("part").agg(F.sum("s").alias("s"), F.min(point).alias("first"), F.max(point).alias("last"))
+    over = Window.orderBy("part")  # at most PARTS + 1 rows
+    before = F.lag("last").over(over)
+    gap = (F.col("first.x") - before["x"]) * (F.col("first.y") + before["y"]) / 2
+    return parts.withColumn("gap", gap).agg((F.coalesce(F.sum("s"), F.lit(0.0)) + F.coalesce(F.sum("gap"), F.lit(0.0))).alias(name))
 
 
 def areas(curve_rows: DataFrame) -> DataFrame:
-    """roc_auc and pr_auc. The points of a curve are at most its distinct scores."""
-    return curve_rows.agg(area(curve_rows, "fpr", "recall").alias("roc_auc"), area(curve_rows, "recall", "precision").alias("pr_auc"))
+    """roc_auc and pr_auc, one row."""
+    return area(curve_rows, "fpr", "recall", "roc_auc").crossJoin(area(curve_rows, "recall", "precision", "pr_auc"))  # one row each
+
+
+def floor_percentile(df: DataFrame, column: str, share: float, by: list[str]) -> DataFrame:
+    """by, value: the value at index floor(share * n) of each group's sorted values, counted from 0."""
+    n = df.groupBy(*by).agg(F.count(column).alias("_n"))
+    ranked = df.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1)
+    at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
+    return ranked.join(n, by).where(F.col("_i") == at).select(*by, F.col(column).alias("value"))
+
+
+def report(df: DataFrame, label: Column, score: str, at: float, fprs: tuple[float, ...] = (0.005, 0.01, 0.05)) -> DataFrame:
+    """One row: n, confusion and rates at a threshold, areas, and the recall at each false-positive rate."""
+    points = curve(df, label, score)
+    out = rates(confusion(df, label, F.col(score) >= at)).withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+    out = out.crossJoin(areas(points))  # one row each
+    for k in fprs:
+        out = out.crossJoin(recall_at_fpr(points, k).select(F.col("recall").alias(f"recall_at_fpr_{k:g}".replace(".", "_"))))  # one row
+    return out
 
 
 def recall_at_fpr(curve_rows: DataFrame, most: float) -> DataFrame:

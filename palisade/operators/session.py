@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import config as cf
 from ..functions import regexlib as rx
-from ..functions.scoring import enforced, rank, verdict_of_rank
+from ..functions.scoring import enforced, rank, reason, reasons, verdict_of_rank
+
+
+#: Turns after which the default decay leaves less than 1e-19 of a score.
+DISTANT = 200
 
 
 def many_shot_weight(text: Column, threshold: int = cf.SESSION_MANY_SHOT) -> Column:
@@ -17,8 +21,9 @@ def many_shot_weight(text: Column, threshold: int = cf.SESSION_MANY_SHOT) -> Col
 
 
 def cumulative(df: DataFrame, keys: list[str], order: str, score: str, decay: float = cf.SESSION_DECAY) -> DataFrame:
-    """Adds ``cumulative``: c(n) = decay * c(n-1) + score(n), folded over the turns so far."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """Adds ``cumulative``: c(n) = decay * c(n-1) + score(n). A turn that lies DISTANT or more back counts for nothing:
+    what it would add is below the last digit of a score, and a bounded frame keeps a turn's work bounded."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(DISTANT - 1), 0)
     so_far = F.collect_list(F.coalesce(F.col(score), F.lit(0.0))).over(w)
     return df.withColumn("cumulative", F.aggregate(so_far, F.lit(0.0), lambda c, s: c * decay + s))
 
@@ -54,6 +59,24 @@ def session_fold(
     )
 
 
+def session_reasons() -> Column:
+    """The signals of session_signals() as reasons."""
+    named = (("manyshot_density", "w_many"), ("cumulative_risk", "w_cumulative"), ("session_escalation", "w_escalation"))
+    return reasons(*[F.when(F.col(c).isNotNull(), reason(code, "session", F.col(c))) for code, c in named])
+
+
+def live_state(turns: DataFrame, key: str, ts: str, score: str, resets: DataFrame | None = None) -> DataFrame:
+    """The state that is kept of each key: last turn's time and score, decayed sum and number of turns since its last
+    reset (key, ts); a key without a turn since has none."""
+    if resets is not None:
+        last = resets.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_reset"))
+        turns = turns.join(last, F.col(key).eqNullSafe(F.col("_k")), "left").where(F.col("_reset").isNull() | (F.col(ts) > F.col("_reset"))).drop("_k", "_reset")
+    latest = cumulative(turns.select(key, ts, score), [key], ts, score)
+    return latest.groupBy(key).agg(
+        F.max(ts).alias("last_ts"), F.max_by(score, ts).alias("last_score"), F.max_by("cumulative", ts).alias("cumulative"), F.count(F.lit(1)).alias("n_turns")
+    )
+
+
 def sessions_by_gap(df: DataFrame, key: str, ts: str, seconds: int = cf.SESSION_TTL_SECONDS) -> DataFrame:
     """Adds session_no: a new session starts after a gap longer than ``seconds``."""
     w = Window.partitionBy(key).orderBy(ts)

@@ -751,6 +751,65 @@ def dedup_cache(spark, sf_dir):
     return escalation.verdict_cache(table(spark, sf_dir, "documents"), ["source", "text"], "doc_id").select("doc_id", "cached")
 
 
+_JUDGE = "CASE WHEN score >= 0.85::DOUBLE OR hard THEN 'block' WHEN score >= 0.4::DOUBLE THEN CASE WHEN risk THEN 'block' ELSE 'flag' END ELSE 'allow' END"
+_SHARE = "round((length(m) - length(replace(m, '{0}', ''))) / length(m)::DOUBLE, 6)"
+
+
+@query("full_chain", f"""WITH {SCORED_SQL}, a AS (SELECT doc_id, ws, hard, m, doc_id % 7 = 0 AS risk, score FROM judged),
+b AS (SELECT *, {_JUDGE} AS w0 FROM a), c AS (SELECT *, w0 = 'flag' OR doc_id % 5 = 0 OR (risk AND w0 <> 'allow') AS first FROM b),
+d AS (SELECT * EXCLUDE (ws, score), list_concat(ws, CASE WHEN first THEN [{_SHARE.format('e')}] || CASE WHEN doc_id % 3 = 0 THEN [] ELSE [{_SHARE.format('a')}] END ELSE [] END) AS ws FROM c),
+e AS (SELECT *, 1.0::DOUBLE - list_product(list_prepend(1.0::DOUBLE, list_transform(ws, lambda x: 1.0::DOUBLE - x))) AS score FROM d), f AS (SELECT *, {_JUDGE} AS w1 FROM e),
+g AS (SELECT * EXCLUDE (ws, score), w1 = 'flag' OR risk AS asked, CASE WHEN w1 = 'flag' OR risk THEN list_append(ws, {_SHARE.format('o')}) ELSE ws END AS ws FROM f),
+h AS (SELECT *, 1.0::DOUBLE - list_product(list_prepend(1.0::DOUBLE, list_transform(ws, lambda x: 1.0::DOUBLE - x))) AS score FROM g)
+SELECT doc_id, round(score, 5) AS score, {_JUDGE} AS verdict, concat_ws(',', CASE WHEN first THEN 'ml' END, CASE WHEN first AND doc_id % 3 <> 0 THEN 'embedding' END, CASE WHEN asked THEN 'remote' END) AS ran FROM h""")
+def full_chain(spark, sf_dir):
+    share = lambda letter: F.round((F.length("m") - F.length(F.replace(F.col("m"), F.lit(letter), F.lit("")))) / F.length("m"), 6)
+    d = judged(spark, sf_dir)
+    risk = F.col("doc_id") % 7 == 0
+    d = d.withColumn("would", sc.would_verdict(F.col("score"), F.col("hard"), cf.Policy(), risk))
+    embedding = F.when(F.col("doc_id") % 3 != 0, share("a"))  # a scorer that fails on every third
+    out = escalation.full_chain(d, cf.Policy(), risk, share("e"), embedding, share("o"), F.col("doc_id") % 5 == 0)
+    return out.select("doc_id", F.round("score", 5).alias("score"), "verdict", F.array_join("ran", ",").alias("ran"))
+
+
+@query("degradation", f"WITH {SCORED_SQL} SELECT doc_id, CASE WHEN would = 'flag' THEN 1 END AS tier, CASE WHEN would = 'flag' THEN 'failed at ' || length(m) END AS reason FROM judged")
+def degradation(spark, sf_dir):
+    error = F.when(F.col("would") == "flag", F.concat(F.lit("failed at "), F.length("m").cast("string")))
+    d = judged(spark, sf_dir).withColumn("d", escalation.degradation(error, 1))
+    return d.select("doc_id", F.col("d.tier").alias("tier"), F.col("d.reason").alias("reason"))
+
+
+@query("tool_calls", f"""WITH {SCORED_SQL.replace('doc_id, lang, source, m,', 'doc_id, lang, source, text, m,')}, {_MARKS},
+t AS (SELECT DISTINCT d.doc_id FROM documents d JOIN marks m ON length(m.text) > 0 AND contains(d.text, m.text)),
+c AS (SELECT doc_id, lang IN ('en', 'de') AS allowed, hard, score, doc_id IN (SELECT doc_id FROM t) AS tainted FROM judged),
+x AS (SELECT *, CASE WHEN NOT allowed THEN 1.0::DOUBLE WHEN tainted THEN 1.0::DOUBLE - (1.0::DOUBLE - score) * (1.0::DOUBLE - 0.9::DOUBLE) ELSE score END AS total FROM c)
+SELECT doc_id, allowed, tainted, round(total, 6) AS score, CASE WHEN NOT allowed OR hard OR total >= 0.4::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM x""")
+def tool_calls(spark, sf_dir):
+    d = judged(spark, sf_dir)
+    allow = spark.createDataFrame([("en",), ("de",)], "lang string")
+    hit = cp.taint_matches(table(spark, sf_dir, "documents"), marks_of(spark, sf_dir)).select(F.col("doc_id").alias("_hit")).distinct()
+    d = cp.tool_allowed(d, allow, "lang").join(hit, F.col("doc_id") == F.col("_hit"), "left").withColumn("tainted", F.col("_hit").isNotNull())
+    v = cp.tool_verdict(F.col("allowed"), F.col("tainted"), F.col("reasons"), cf.Policy())
+    d = d.withColumn("v", v)
+    return d.select("doc_id", "allowed", "tainted", F.round("v.score", 6).alias("score"), F.col("v.verdict").alias("verdict"))
+
+
+@query("session_reasons", f"WITH {_SIG} SELECT conv_id, turn, concat_ws(',', CASE WHEN wc IS NOT NULL THEN 'cumulative_risk' END, CASE WHEN we IS NOT NULL THEN 'session_escalation' END) AS codes FROM sig")
+def session_reasons(spark, sf_dir):
+    d = session.session_signals(scored_turns(spark, sf_dir), ["conv_id"], "turn").withColumn("r", session.session_reasons())
+    return d.select("conv_id", "turn", F.array_join(F.transform("r", lambda x: x["code"]), ",").alias("codes"))
+
+
+@query("session_state", f"""WITH {_TURNS}, r AS (SELECT conv_id, 1 AS reset_turn FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id),
+t AS (SELECT conv_id, turn, score FROM turns LEFT JOIN r USING (conv_id) WHERE reset_turn IS NULL OR turn > reset_turn),
+c AS (SELECT *, {_CUM} AS cumulative FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, max(turn) AS last_ts, arg_max(score, turn) AS last_score, round(arg_max(cumulative, turn), 6) AS cumulative, count(*) AS n_turns FROM c GROUP BY conv_id""")
+def session_state(spark, sf_dir):
+    d = scored_turns(spark, sf_dir)
+    resets = d.where("conv_id % 3 = 0").select("conv_id", F.lit(1).cast(d.schema["turn"].dataType).alias("turn")).distinct()
+    return session.live_state(d, "conv_id", "turn", "score", resets).withColumn("cumulative", F.round("cumulative", 6))
+
+
 # ---- evaluation --------------------------------------------------------------------------------
 
 _LABELLED = "l AS (SELECT d.doc_id, d.lang, l.toxic = 1 AS attack, ((d.doc_id * 37 + l.toxic * 41) % 101)::DOUBLE / 100.0::DOUBLE AS score FROM documents d JOIN labels l USING (doc_id))"
@@ -873,6 +932,19 @@ def etl_labelled(spark, sf_dir):
     return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).cast("long").alias("shortest"))
 
 
+@query("metrics_floor_p99", "SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE i = least(floor(n * 0.99::DOUBLE)::BIGINT, n - 1)")
+def metrics_floor_p99(spark, sf_dir):
+    return metrics.floor_percentile(table(spark, sf_dir, "events"), "value", 0.99, ["event_type"])
+
+
+@query("metrics_report", f"""WITH {_LABELLED}, {_CURVE}, {_PRF} SELECT tp + fp + tn + fn AS n, tp, fp, tn, fn, round(p, 6) AS precision, round(r.r, 6) AS recall, round({_area_sql('fpr', 'recall')}, 6) AS roc_auc, round({_area_sql('recall', 'precision')}, 6) AS pr_auc,
+(SELECT round(max(recall), 6) FROM curve WHERE fpr <= 0.01::DOUBLE) AS recall_at_fpr_0_01, (SELECT round(max(recall), 6) FROM curve WHERE fpr <= 0.05::DOUBLE) AS recall_at_fpr_0_05 FROM r""")
+def metrics_report(spark, sf_dir):
+    d = metrics.report(labelled(spark, sf_dir), F.col("attack"), "score", cf.FLAG)
+    whole = ("n", "tp", "fp", "tn", "fn")
+    return d.select(*whole, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "roc_auc", "pr_auc", "recall_at_fpr_0_01", "recall_at_fpr_0_05")])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

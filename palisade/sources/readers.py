@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.metrics import range_of
+
 #: A labelled corpus entry.
 ENTRY = (
     "id string, text string, label string, category string, source string, locale string, "
@@ -52,7 +54,7 @@ def labelled(df: DataFrame, text: Column, label: str, category: str, dataset: st
 def sequence_ids(df: DataFrame, prefix: str, order: str, dense: bool = True) -> DataFrame:
     """Adds id: prefix and a number padded to five digits. Numbers are dense over the whole table: each range of
     ``order`` counts its rows and starts after those before it, so no task sorts all rows."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    ranged = df.withColumn("_part", range_of(df, order))
     parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = (
         parts.alias("a").join(parts.alias("b"), F.col("b._part") < F.col("a._part"), "left")
@@ -68,6 +70,12 @@ def distinct_texts(df: DataFrame, text: str, order: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def write_corpus(df: DataFrame, path: str) -> None:
+    """Rows as JSON files, and a manifest of their number by label and source beside them."""
+    df.write.mode("overwrite").json(f"{path}/rows")
+    df.groupBy("label", "sourceDataset").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/manifest")
+
+
 def write_snapshot(df: DataFrame, path: str, run_date: str) -> None:
     """Appends a report under its date."""
     df.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").parquet(path)
