@@ -7,11 +7,69 @@ one star around its least vertex, in a number of rounds that grows with the loga
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Links that a part of a round holds; a table of few links isn't dealt into many parts.
+PART_LINKS = 500_000
+LEAST_PARTS = 12
+#: Links that a task contracts at once.
+RUN_LINKS = 1_000_000
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_LINK = "a long, b long"
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b), a > b, that connect what the given ones connect: each vertex with the least it reaches by them."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(names))
+    while len(one):
+        one, other = root[one], root[other]
+        apart = one != other
+        one, other = one[apart], other[apart]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    tied = root != np.arange(len(names))
+    return names[tied], names[root[tied]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as a forest, RUN_LINKS at a time."""
+
+    def made(held: list[np.ndarray]) -> pa.RecordBatch:
+        links = np.concatenate(held, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*links)], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+        n += batch.num_rows
+        if n >= RUN_LINKS:
+            yield made(held)
+            held, n = [], 0
+    if held:
+        yield made(held)
+
+
+@contextmanager
+def _parts_for(spark: SparkSession, links: int):
+    """Shuffles of so many links in as many parts as these need, whatever the session takes for documents."""
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(max(LEAST_PARTS, -(-links // PART_LINKS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS, before)
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Links (a, b), a > b."""
@@ -32,15 +90,19 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b), in either direction and with repeats -> (id, component): the least id reachable.
 
-    Ends when each vertex but the centres of stars has one link, to a centre. A round's table is
-    written, so that lost executors cost a round at most. Vertices without a link don't appear;
-    null ends are ignored. A vertex with very many links is joined by sorting, where adaptive
-    execution splits it.
+    Ends when each vertex but the centres of stars has one link, to a centre. Before each round a task
+    contracts the links it reads, without a shuffle. A round's table is written, so that lost executors
+    cost a round at most. Vertices without a link don't appear; null ends are ignored. A vertex with
+    very many links is joined by sorting, where adaptive execution splits it.
     """
-    known = links.where("a is not null and b is not null and a <> b")
-    stars = written(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while not _settled(stars):
-        stars = written(_small_star(_large_star(stars)), "links")
+    spark = links.sparkSession
+    known = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    stars = written(known.mapInArrow(_contracted, _LINK).distinct(), "links")
+    while True:
+        with _parts_for(spark, stars.count()):
+            if _settled(stars):
+                break
+            stars = written(_small_star(_large_star(stars.mapInArrow(_contracted, _LINK).distinct())), "links")
     centres = stars.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(centres)
 

@@ -3,11 +3,12 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from test_llm import SCHEMA, by_id, made, odd_rows
 
 from palisade.llm import exact_dedup, license_scan, ngram_join, packed, substring_dedup, suffix_dedup, toxicity
-from palisade.llm.components import components
+from palisade.llm.components import components, forest
 
 
 def shared_ids():
@@ -174,3 +175,16 @@ def test_licences_against_a_plain_comparison(spark):
     best = {r["k"]: r["b"] for r in df.select("k", model.best(license_scan.words_of(df["line"])).alias("b")).collect()}
     judged = [best[k]["family"] if best[k]["p"] >= model.threshold else license_scan.UNKNOWN for k in range(len(sentences))]
     assert sum(a == b for a, (b, _) in zip(judged, sentences, strict=True)) >= 0.85 * len(sentences)
+
+
+def test_forest_connects_what_its_links_connect():
+    r = np.random.default_rng(5)
+    for n in [0, *range(1, 60)]:
+        ends = r.integers(0, 50, (2, n))
+        a, b = np.maximum(*ends), np.minimum(*ends)
+        least = {int(v): int(v) for v in np.append(a, b)}
+        for _ in range(n):  # labels fall along the links until they stay
+            for u, v in zip(a.tolist(), b.tolist(), strict=True):
+                least[u] = least[v] = min(least[u], least[v])
+        apart = a != b
+        assert dict(zip(*map(np.ndarray.tolist, forest(a[apart], b[apart])), strict=True)) == {u: v for u, v in least.items() if u != v}
