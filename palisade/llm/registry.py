@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles as sql
 from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .license_scan import scan_licences
 from .mixing import mix_sources, mixing_oracle
 from .ngram_join import ngram_join
@@ -60,6 +62,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_url_filter,
@@ -72,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_substring_dedup,
         op10_token_counts,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in made}
 
@@ -83,4 +92,5 @@ def oracles() -> dict[str, str]:
         "op5_ngram_join": sql.OP5_SQL,
         "op7_source_mixing": mixing_oracle(),
         "op9_substring_dedup": sql.OP9_SQL,
+        "op13_hard_negatives": sql.OP13_SQL,
     }
