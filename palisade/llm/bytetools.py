@@ -6,6 +6,7 @@ of any span costs a subtraction and a multiplication.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
+#: Longest word that is hashed in lanes; masks of a lane's first bytes.
+LONG = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -97,6 +101,25 @@ def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(h)
 
 
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words, by eight bytes at a time and without the structure of span_hashes, in which some
+    long words of few letters collide; words beyond LONG bytes by blake2b. Other seeds give other hashes."""
+    lanes = np.ndarray(len(b) + 1, "<u8", np.append(b, np.zeros(8, np.uint8)), strides=(1,))
+    size = (end - start).astype(U64)
+    h = mix(size * U64(_BASE) ^ U64(seed))
+    own = np.flatnonzero(size <= U64(LONG))
+    for at in range(0, LONG, 8):
+        own = own[size[own] > U64(at)]
+        if not len(own):
+            break
+        lane, left = lanes[start[own] + at], np.minimum(size[own] - U64(at), U64(8))
+        h[own] = mix((h[own] ^ (lane & _LOW[left])) + U64(_WORD_BASE))
+    for k in np.flatnonzero(size > U64(LONG)):
+        digest = hashlib.blake2b(b[start[k] : end[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        h[k] = U64(int.from_bytes(digest.digest(), "little"))
+    return h
+
+
 def window_hashes(word_hash: np.ndarray, width: int, base: int = _WORD_BASE) -> np.ndarray:
     """Hash of each run of ``width`` consecutive word hashes, whatever text they are in."""
     m = len(word_hash) - width + 1

@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating stars; links stay distributed.
+"""Connected components of a link table, by contraction within tasks, then by alternating stars.
 
 A large star ties a vertex's larger neighbours to the least of its neighbours and itself; a small star ties
 its smaller ones, and itself, to it. Both keep what is connected, and by turns they leave each component as
@@ -7,6 +7,7 @@ one star around its least vertex, in a number of rounds that grows with the loga
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -42,22 +43,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[tied], names[root[tied]]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's links as a forest, RUN_LINKS at a time."""
+def _contracted(run: int):
+    """A task's links as a forest, a run of links at a time."""
 
     def made(held: list[np.ndarray]) -> pa.RecordBatch:
         links = np.concatenate(held, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*links)], ["a", "b"])
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
-        n += batch.num_rows
-        if n >= RUN_LINKS:
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+            n += batch.num_rows
+            if n >= run:
+                made_now = made(held)
+                held, n = [np.stack([c.to_numpy() for c in made_now.columns])], made_now.num_rows
+                if 2 * n > run:
+                    yield made_now
+                    held, n = [], 0
+        if held:
             yield made(held)
-            held, n = [], 0
-    if held:
-        yield made(held)
+
+    return contracted
 
 
 @contextmanager
@@ -87,24 +94,34 @@ def _small_star(links: DataFrame) -> DataFrame:
     return tied.select("l.a", "l.b").where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, run: int = RUN_LINKS) -> DataFrame:
     """links (a, b), in either direction and with repeats -> (id, component): the least id reachable.
 
-    Ends when each vertex but the centres of stars has one link, to a centre. Before each round a task
-    contracts the links it reads, without a shuffle. A round's table is written, so that lost executors
-    cost a round at most. Vertices without a link don't appear; null ends are ignored. A vertex with
+    Each task contracts the links it reads to a forest, ``run`` links at a time; what is left meets in fewer
+    tasks, as long as that helps, and at last in one, if it is a run at most. No shuffle is needed for that.
+    More links than that take rounds of stars, which end when each vertex but the centres has one link, to a
+    centre. Each table is written, so that lost executors cost a round at most. Vertices without a link don't appear; null ends are ignored. A vertex with
     very many links is joined by sorting, where adaptive execution splits it.
     """
-    spark = links.sparkSession
     known = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    stars = written(known.mapInArrow(_contracted, _LINK).distinct(), "links")
+    stars = written(known.mapInArrow(_contracted(run), _LINK), "links")
+    n, before = stars.count(), math.inf
+    while run < n < 0.8 * before:  # runs of several tasks in one
+        stars = written(stars.coalesce(-(-n // run)).mapInArrow(_contracted(run), _LINK), "links")
+        before, n = n, stars.count()
+    stars = written(stars.coalesce(1).mapInArrow(_contracted(run), _LINK), "links") if n <= run else _starred(stars, run)
+    centres = stars.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(centres)
+
+
+def _starred(stars: DataFrame, run: int) -> DataFrame:
+    """Links of any number as stars, by rounds of shuffles."""
+    spark = stars.sparkSession
     while True:
         with _parts_for(spark, stars.count()):
             if _settled(stars):
-                break
-            stars = written(_small_star(_large_star(stars.mapInArrow(_contracted, _LINK).distinct())), "links")
-    centres = stars.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(centres)
+                return stars
+            stars = written(_small_star(_large_star(stars.mapInArrow(_contracted(run), _LINK).distinct())), "links")
 
 
 def _settled(stars: DataFrame) -> bool:

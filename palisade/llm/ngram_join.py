@@ -21,7 +21,7 @@ Shingles are 64-bit hashes; a set's identity is 128 bits of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,21 +42,22 @@ SAMPLED = 0.4
 BLOCK = 512
 _KINDS = {"bucket": pa.int32(), "kind": pa.int32(), "hash": pa.binary(), "ids": pa.binary(), "count": pa.binary(), "size": pa.binary()}
 _SCHEMA = "bucket int, kind int, hash binary, ids binary, count binary, size binary"
+KEYED_SCHEMA = "doc_id long, size int, tokens binary, keys binary, at binary"
 #: Kinds of rows: shingles that ask whether they are repeated; that only tell; sizes and counts by document.
 _ASK, _TELL, _COUNT = 0, 1, 2
 
 
-def shingles(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct shingles of some texts, by text and hash."""
+def shingles(b: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles of so many words of some texts, by text and hash."""
     low = bt.lower_ascii(b)
     start, end, text = bt.spans(bt.not_space(low), offsets)
-    h = bt.span_hashes(low, start, end)
+    h = bt.word_hashes(low, start, end)
     per = np.bincount(text, minlength=len(offsets) - 1)
-    m = len(text) - WORDS + 1
-    at = np.flatnonzero(text[:m] == text[WORDS - 1 :]) if m > 0 else np.zeros(0, np.int64)
-    texts, hashes = [text[at]], [bt.window_hashes(h, WORDS)[at]]
+    m = len(text) - words + 1
+    at = np.flatnonzero(text[:m] == text[words - 1 :]) if m > 0 else np.zeros(0, np.int64)
+    texts, hashes = [text[at]], [bt.window_hashes(h, words)[at]]
     first = np.cumsum(per) - per
-    for n in range(1, WORDS):  # texts with fewer words: the whole sequence
+    for n in range(1, words):  # texts with fewer words: the whole sequence
         short = np.flatnonzero(per == n)
         if len(short):
             texts.append(short)
@@ -78,7 +79,7 @@ def _add(out: dict[str, list], bucket: int, kind: int, h: np.ndarray | None, ids
     out["size"].append(b"" if size is None else packed.planes(size.astype(np.int32)))
 
 
-def _sampled(buckets: int, slice_bytes: int):
+def _sampled(buckets: int, slice_bytes: int, words: int):
     bound = np.uint64(int(SAMPLED * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def _sampled(buckets: int, slice_bytes: int):
             all_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, end, b, offsets in bt.text_slices(batch.column(1), slice_bytes):
                 ids = all_ids[row:end]
-                text, h = shingles(b, offsets)
+                text, h = shingles(b, offsets, words)
                 size = np.bincount(text, minlength=len(ids))
                 use = h < bound
                 text, h = text[use], h[use]
@@ -175,25 +176,29 @@ def _decided(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(words: int):
     """Rows (doc_id, size, one, other, tokens): sets with 128 bits of identity."""
-    for batch in batches:
-        for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
-            text, h = shingles(b, offsets)
-            at = np.searchsorted(text, np.arange(end - row + 1))
-            one, other = np.zeros(end - row, np.uint64), np.zeros(end - row, np.uint64)
-            np.add.at(one, text, bt.mix(h + np.uint64(1)))
-            np.add.at(other, text, bt.mix(h ^ np.uint64(0x6C62272E07BB0142)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(row, end - row),
-                    pa.array(np.diff(at).astype(np.int32)),
-                    pa.array(one.view(np.int64)),
-                    pa.array(other.view(np.int64)),
-                    pa.array([h[s:e].tobytes() for s, e in zip(at, at[1:], strict=False)], pa.binary()),
-                ],
-                ["doc_id", "size", "one", "other", "tokens"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
+                text, h = shingles(b, offsets, words)
+                at = np.searchsorted(text, np.arange(end - row + 1))
+                one, other = np.zeros(end - row, np.uint64), np.zeros(end - row, np.uint64)
+                np.add.at(one, text, bt.mix(h + np.uint64(1)))
+                np.add.at(other, text, bt.mix(h ^ np.uint64(0x6C62272E07BB0142)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(row, end - row),
+                        pa.array(np.diff(at).astype(np.int32)),
+                        pa.array(one.view(np.int64)),
+                        pa.array(other.view(np.int64)),
+                        pa.array([h[s:e].tobytes() for s, e in zip(at, at[1:], strict=False)], pa.binary()),
+                    ],
+                    ["doc_id", "size", "one", "other", "tokens"],
+                )
+
+    return run
 
 
 _TOKENS = {"bucket": pa.int32(), "hash": pa.binary(), "ids": pa.binary(), "count": pa.binary(), "held": pa.binary(), "mark": pa.binary()}
@@ -514,50 +519,73 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       documents of their own. A row with a null id links with nothing and has a null component.
       An empty table gives an empty result; other columns are ignored.
     """
+    return joined(docs, id_col, text_col, WORDS, prefix_keyed, block)
+
+
+def joined(docs: DataFrame, id_col: str, text_col: str, words: int, keyed: Callable[[DataFrame, int], DataFrame], block: int) -> DataFrame:
+    """doc_id, n_shingles, component_id as in ngram_join, of shingles of so many words.
+
+    ``keyed(heads, buckets)`` gives the classes (doc_id, size, tokens) that may link with others their keys:
+    (doc_id, size, tokens, keys, at), so that two classes that link share a key at least. ``at`` says how many of
+    the set's tokens come before those that both classes can share, if the key is the first that they have
+    in common."""
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     known = narrow.where("doc_id is not null")
     plan = packed.layout(known)
     if plan.unique:
-        out = _joined(known, plan, block)
+        out = _joined(known, plan, words, keyed, block)
     else:  # numbers tell the rows apart; written, so that they stay the same
         numbered = written(known.select("doc_id", "text", F.monotonically_increasing_id().alias("_n")), "join-numbered")
-        found = _joined(numbered.select(F.col("_n").alias("doc_id"), "text"), plan, block)
+        found = _joined(numbered.select(F.col("_n").alias("doc_id"), "text"), plan, words, keyed, block)
         found = found.select(F.col("doc_id").alias("_n"), "n_shingles", F.col("component_id").alias("_c"))
         named = written(found.join(numbered.select("doc_id", "_n"), "_n"), "join-named")
         least = named.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
         out = named.join(least, "_c").select("doc_id", "n_shingles", "component_id")
-    nameless = narrow.where("doc_id is null").mapInArrow(_counted, "doc_id long, n_shingles long, component_id long")
+    nameless = narrow.where("doc_id is null").mapInArrow(_counted(words), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)
 
 
-def _joined(known: DataFrame, plan: packed.Layout, block: int) -> DataFrame:
-    """ngram_join of rows (doc_id, text) whose ids stand for one text each."""
+def _joined(known: DataFrame, plan: packed.Layout, words: int, keyed: Callable[[DataFrame, int], DataFrame], block: int) -> DataFrame:
+    """joined() of rows (doc_id, text) whose ids stand for one text each."""
     buckets = plan.buckets
-    asked = packed.dealt(known.mapInArrow(_sampled(buckets, plan.slice_bytes(SLICE)), _SCHEMA), buckets).mapInArrow(_repeated(buckets), _SCHEMA)
+    sampled = known.mapInArrow(_sampled(buckets, plan.slice_bytes(SLICE), words), _SCHEMA)
+    asked = packed.dealt(sampled, buckets).mapInArrow(_repeated(buckets), _SCHEMA)
     decided = packed.dealt(asked, buckets).mapInArrow(
         packed.gathered(_decided, list(_KINDS)), "doc_id long, n_shingles long, active boolean"
     )
     decided = written(decided, "join-decided")
     active = decided.where("active").select("doc_id").distinct()
     texts = known.join(active.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    sets = written(texts.mapInArrow(_sets, "doc_id long, size int, one long, other long, tokens binary"), "join-sets")
+    sets = written(texts.mapInArrow(_sets(words), "doc_id long, size int, one long, other long, tokens binary"), "join-sets")
     classes = written(sets.groupBy("one", "other", "size").agg(F.min("doc_id").alias("rep")), "join-classes")
     member = sets.select("doc_id", "one", "other", "size").distinct().join(classes, ["one", "other", "size"]).select("doc_id", "rep")
     member = written(member, "join-members")
     heads = sets.join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     heads = written(heads.select("doc_id", "size", "tokens"), "join-heads")
+    found = _connected(written(keyed(heads, buckets), "join-keyed"), buckets, block)
+    named = member.join(found, member["rep"] == found["id"], "left").select(
+        F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component")
+    )
+    return decided.join(named, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
+    )
+
+
+def prefix_keyed(heads: DataFrame, buckets: int) -> DataFrame:
+    """The marks of the tokens in each class's prefix, in the global order of tokens."""
     sent = packed.dealt(heads.select("doc_id", "tokens").mapInArrow(_tokens_out(buckets), _TOKENS_SCHEMA), buckets)
     held = packed.dealt(sent.mapInArrow(_holders(buckets), _TOKENS_SCHEMA), buckets)
     shared = held.mapInArrow(
         packed.gathered(_prefixes, list(_TOKENS)), "doc_id long, tokens binary, held binary, mark binary"
     )
     sized = shared.join(heads.select("doc_id", "size").hint("shuffle_hash"), "doc_id")
-    keyed = sized.select("doc_id", "size", "tokens", "held", "mark").mapInArrow(
-        _keyed, "doc_id long, size int, tokens binary, keys binary, at binary"
-    )
-    keyed = written(keyed, "join-keyed")
+    return sized.select("doc_id", "size", "tokens", "held", "mark").mapInArrow(_keyed, KEYED_SCHEMA)
+
+
+def _connected(keyed: DataFrame, buckets: int, block: int) -> DataFrame:
+    """(id, component) of the classes that link with any other."""
     labelled = _labelled(keyed, None)
     links = written(_links(labelled, buckets, block, turn=1), "join-links")
     labelled = _labelled(keyed, links)
@@ -566,21 +594,18 @@ def _joined(known: DataFrame, plan: packed.Layout, block: int) -> DataFrame:
         links = links.unionByName(more)
         labelled = _labelled(keyed, links)
     last = written(_links(labelled, buckets, block, turn=0), "join-links")
-    found = components(links.unionByName(last))
-    named = member.join(found, member["rep"] == found["id"], "left").select(
-        F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component")
-    )
-    return decided.join(named, F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
-    )
+    return components(links.unionByName(last))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
-            n = np.bincount(shingles(b, offsets)[0], minlength=end - row)
-            ids = batch.column(0).slice(row, end - row)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), ids], ["doc_id", "n_shingles", "component_id"])
+def _counted(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, b, offsets in bt.text_slices(batch.column(1), SLICE):
+                n = np.bincount(shingles(b, offsets, words)[0], minlength=end - row)
+                ids = batch.column(0).slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), ids], ["doc_id", "n_shingles", "component_id"])
+
+    return run
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,7 +55,9 @@ SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN done USING (doc_id)
 """
 
-OP5_SQL = rf"""
+def _similar(words: int, columns: str = "") -> str:
+    """Components of documents by the similarity of their shingles of so many words."""
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word, len(w) AS n
   FROM (SELECT doc_id, regexp_extract_all(
@@ -64,8 +66,8 @@ WITH RECURSIVE words AS (
 ),
 grams AS (
   SELECT DISTINCT doc_id, k FROM (
-    SELECT doc_id, p, n, concat_ws(' ', word, {_leads("word", 5)}) AS k FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY p)
-  ) WHERE p = 1 OR p <= n - 4
+    SELECT doc_id, p, n, concat_ws(' ', word, {_leads("word", words)}) AS k FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+  ) WHERE p = 1 OR p <= n - {words - 1}
 ),
 sizes AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -73,10 +75,14 @@ links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n >= 80 * (x.size + y.size - n)
 ),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT d.doc_id, coalesce(any_value(size), 0) AS n_shingles, least(d.doc_id, min(r.b)) AS component_id
+SELECT d.doc_id, coalesce(any_value(size), 0) AS n_shingles, least(d.doc_id, min(r.b)) AS component_id{columns}
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
+
+OP5_SQL = _similar(5)
+OP12_SQL = _similar(4, ", d.doc_id = least(d.doc_id, min(r.b)) AS kept")
+
 OP9_SQL = rf"""
 WITH words AS (
   SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word

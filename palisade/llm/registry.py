@@ -13,6 +13,7 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
 from .license_scan import scan_licences
+from .minhash_join import minhash_join
 from .mixing import mix_sources, mixing_oracle
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
@@ -62,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_substring_dedup,
         op10_token_counts,
+        op12_minhash_join,
         op13_hard_negatives,
     )
     return {f.__name__: f for f in made}
@@ -92,5 +98,6 @@ def oracles() -> dict[str, str]:
         "op5_ngram_join": sql.OP5_SQL,
         "op7_source_mixing": mixing_oracle(),
         "op9_substring_dedup": sql.OP9_SQL,
+        "op12_minhash_join": sql.OP12_SQL,
         "op13_hard_negatives": sql.OP13_SQL,
     }
