@@ -104,6 +104,36 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN done USING (doc_id)
 """
 
+#: Phrases are lists of words here.
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+),
+cuts AS (
+  SELECT g.lang, g.k, g.p, g.f AS a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * g.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM grams g JOIN totals USING (lang), range(1, 5) t(j), grams x, grams y
+  WHERE j < g.k AND x.lang = g.lang AND x.p = g.p[1:j] AND y.lang = g.lang AND y.p = g.p[j + 1:g.k]
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT DISTINCT lang, f, p[i:i + m - 1] AS p FROM grams, range(1, 5) s(i), range(2, 5) t(m) WHERE m < k AND i + m - 1 <= k
+),
+whole AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (FROM inner_parts i WHERE i.lang = c.lang AND i.p = c.p AND i.f >= c.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+       array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM whole QUALIFY rank <= 2000
+"""
+
 #: Doubles hold these sums exactly.
 OP13_SQL = """
 WITH fine AS (

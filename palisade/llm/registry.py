@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as sql
+from .collocations import collocations
 from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
@@ -63,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_substring_dedup,
         op10_token_counts,
+        op11_collocations,
         op12_minhash_join,
         op13_hard_negatives,
     )
@@ -98,6 +104,7 @@ def oracles() -> dict[str, str]:
         "op5_ngram_join": sql.OP5_SQL,
         "op7_source_mixing": mixing_oracle(),
         "op9_substring_dedup": sql.OP9_SQL,
+        "op11_collocations": sql.OP11_SQL,
         "op12_minhash_join": sql.OP12_SQL,
         "op13_hard_negatives": sql.OP13_SQL,
     }
