@@ -7,11 +7,13 @@
 3. Signatures are split into chunks of CHUNK fields. If two are at most DISTANCE apart, the pigeonhole
    principle leaves some chunk with at most ERRORS differing fields. All ways to leave ERRORS fields out of a
    chunk are enumerated, on both sides, so such a pair shares a key: (chunk, fields left out, the others).
-   With 16 chunks of 4 fields and one error the join is complete up to distance 31 of 64; two sets of
-   similarity 0.8 differ in 12.8 fields on average, and chunks fail all at once with probability 1e-12.
-4. Classes that share a key meet, and links are confirmed on their full sets. Large groups meet in blocks, by
-   turns, and components are those of ngram_join.py.
+4. Classes meet at keys with their signatures. Those go on that have a partner there, of another component so far,
+   with a signature at most NEAR away and no earlier key in common; so a pair is looked at once.
+5. These meet with their full sets, on which links are confirmed. Large groups meet in blocks, by turns, and
+   components are those of ngram_join.py.
 
+With 12 chunks of 4 fields and one error the join is complete up to a distance of 23 of 48. Two sets of similarity 0.8
+differ in 9.6 fields on average; all chunks fail at once with probability 1e-9, and the distance passes NEAR with 1e-8.
 A signature of one bit a hash would take thousands of keys a document for the same recall: unrelated sets
 differ in half of its bits and similar ones in a tenth, while with fields of 16 bits they differ in all and in a fifth.
 """
@@ -26,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytetools as bt
-from .ngram_join import BLOCK, KEYED_SCHEMA, joined
+from .ngram_join import BLOCK, KEYED_SCHEMA, Keying, joined
 
 WORDS = 4
-FIELDS, FIELD_BITS, CHUNK, ERRORS = 64, 16, 4, 1
+FIELDS, FIELD_BITS, CHUNK, ERRORS = 48, 16, 4, 1
 #: Two signatures this far apart or less share a key: fewer errors than fill all chunks beyond ERRORS.
 DISTANCE = FIELDS // CHUNK * (ERRORS + 1) - 1
+#: Signatures further apart aren't of similar sets.
+NEAR = 26
+#: Pairs of signatures that are compared at a key; where there are more, all classes go on.
+PAIRS, PAIRS_AT_ONCE = 1 << 26, 1 << 16
 #: Odd multipliers, one for each field.
 _FACTORS = bt.mix(np.arange(1, FIELDS + 1, dtype=np.uint64)) | np.uint64(1)
 _KEPT = np.array([[k for k in range(CHUNK) if k not in out] for out in combinations(range(CHUNK), ERRORS)])
@@ -56,17 +62,40 @@ def keys_of(fields: np.ndarray) -> np.ndarray:
     return bt.mix(key ^ (place << np.uint64(64 - 10))).reshape(-1)
 
 
+def near(key: int, signs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which classes of a key have a partner there: of another label, near, and with no earlier key in common."""
+    fields = np.ascontiguousarray(signs).view(np.uint16)
+    _, label, many = np.unique(labels, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(label != many.argmax())  # a pair has an end outside the most frequent label
+    if len(rest) * len(fields) > PAIRS:
+        return np.ones(len(fields), bool)
+    place = int(np.flatnonzero(keys_of(fields[0]) == np.uint64(key))[0])
+    chunk, choice = divmod(place, len(_KEPT))
+    out, step = np.zeros(len(fields), bool), max(1, PAIRS_AT_ONCE // len(fields))
+    for s in range(0, len(rest), step):
+        own = rest[s : s + step]
+        same = fields[own, None, :] == fields[None, :, :]
+        common = same.reshape(len(own), len(fields), -1, CHUNK).sum(3) >= CHUNK - ERRORS
+        whole = same[:, :, chunk * CHUNK : (chunk + 1) * CHUNK].all(2)  # all choices of the chunk are in common
+        pair = (label[own, None] != label) & (FIELDS - same.sum(2) <= NEAR) & ~common[:, :, :chunk].any(2) & (~whole | (choice == 0))
+        out[own] |= pair.any(1)
+        out |= pair.any(0)
+    return out
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, size, tokens) -> (doc_id, size, tokens, keys, at); the keys say nothing of places in the set."""
+    """Rows (doc_id, size, tokens) with their keys and signature; the keys say nothing of places in the set."""
     for batch in batches:
-        keys = [np.unique(keys_of(signature(np.frombuffer(cell, np.uint64)))) for cell in batch.column(2).to_pylist()]
+        signs = [signature(np.frombuffer(cell, np.uint64)) for cell in batch.column(2).to_pylist()]
+        keys = [np.unique(keys_of(sign)) for sign in signs]
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(k) for k in range(3)),
                 pa.array([k.tobytes() for k in keys], pa.binary()),
                 pa.array([np.zeros(len(k), np.int32).tobytes() for k in keys], pa.binary()),
+                pa.array([sign.tobytes() for sign in signs], pa.binary()),
             ],
-            ["doc_id", "size", "tokens", "keys", "at"],
+            ["doc_id", "size", "tokens", "keys", "at", "sign"],
         )
 
 
@@ -85,5 +114,5 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
       documents of their own. A row with a null id links with nothing, has a null component and is kept.
       An empty table gives an empty result; other columns are ignored.
     """
-    out = joined(docs, id_col, text_col, WORDS, signature_keyed, block)
+    out = joined(docs, id_col, text_col, WORDS, Keying(signature_keyed, near, (1, 2)), block)
     return out.selectExpr("doc_id", "n_shingles", "component_id", "doc_id <=> component_id AS kept")

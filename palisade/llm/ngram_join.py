@@ -22,6 +22,7 @@ Shingles are 64-bit hashes; a set's identity is 128 bits of them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,26 @@ SAMPLED = 0.4
 BLOCK = 512
 _KINDS = {"bucket": pa.int32(), "kind": pa.int32(), "hash": pa.binary(), "ids": pa.binary(), "count": pa.binary(), "size": pa.binary()}
 _SCHEMA = "bucket int, kind int, hash binary, ids binary, count binary, size binary"
-KEYED_SCHEMA = "doc_id long, size int, tokens binary, keys binary, at binary"
+KEYED_SCHEMA = "doc_id long, size int, tokens binary, keys binary, at binary, sign binary"
 #: Kinds of rows: shingles that ask whether they are repeated; that only tell; sizes and counts by document.
 _ASK, _TELL, _COUNT = 0, 1, 2
 
 
+@dataclass(frozen=True)
+class Keying:
+    """How classes come to keys.
+
+    ``keyed(heads, buckets)`` gives the classes (doc_id, size, tokens) that may link with others their keys:
+    KEYED_SCHEMA, so that two classes that link share a key at least. ``at`` says how many of the set's tokens come
+    before those that both classes can share, if the key is the first that they have in common. ``sign`` is what
+    ``near(key, signs, labels)`` needs to tell which classes have a partner of another label at that key; without
+    near it is empty. In the turns of ``one_key`` a class goes to one key only."""
+
+    keyed: Callable[[DataFrame, int], DataFrame]
+    near: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None
+    one_key: tuple[int, ...] = (1,)
+
+
 def shingles(b: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles of so many words of some texts, by text and hash."""
     low = bt.lower_ascii(b)
@@ -287,7 +303,7 @@ def _prefixes(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, size, tokens, held, mark) -> (doc_id, size, tokens, keys, at): the marks of the prefix's
+    """Rows (doc_id, size, tokens, held, mark) -> (doc_id, size, tokens, keys, at, sign): the marks of the prefix's
     tokens, and how many tokens of the set come before each one's first."""
     for batch in batches:
         out: list[tuple] = []
@@ -296,30 +312,33 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix = size - (size * PERCENT + 99) // 100 + 1 - alone
             if prefix > 0:
                 keys, at = np.unique(np.frombuffer(mark, np.uint64)[:prefix], return_index=True)
-                out.append((doc, size, tokens, keys.tobytes(), (at + alone).astype(np.int32).tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "tokens", "keys", "at"])
+                out.append((doc, size, tokens, keys.tobytes(), (at + alone).astype(np.int32).tobytes(), b""))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "tokens", "keys", "at", "sign"])
 
 
-_KEYS = {"bucket": pa.int32(), "key": pa.binary(), "ids": pa.binary(), "size": pa.binary(), "at": pa.binary(), "label": pa.binary()}
-_KEYS_SCHEMA = "bucket int, key binary, ids binary, size binary, at binary, label binary"
+_KEYS = {"bucket": pa.int32(), "key": pa.binary(), "ids": pa.binary(), "size": pa.binary(), "at": pa.binary(), "label": pa.binary(), "sign": pa.binary()}
+_KEYS_SCHEMA = "bucket int, key binary, ids binary, size binary, at binary, label binary, sign binary"
 
 
-def _keys_out(buckets: int, first_only: bool):
-    """Rows (doc_id, size, keys, at, label): the keys, dealt by key; the rarest one only, or all."""
+def _keys_out(buckets: int, turn: int, how: Keying):
+    """Rows (doc_id, size, keys, at, label, sign): the keys, dealt by key; in some turns one only: the rarest, or where
+    that isn't told, another one in each turn that similar classes choose alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, ids, size, at, label = [], [], [], [], []
-            for doc, n, keys, places, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            key, ids, size, at, label, signs = [], [], [], [], [], []
+            for doc, n, keys, places, own, sign in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 keys, places = np.frombuffer(keys, np.uint64), np.frombuffer(places, np.int32)
-                if first_only:
-                    keys, places = keys[[places.argmin()]], places[[places.argmin()]]
+                if turn in how.one_key:
+                    first = [np.lexsort((bt.mix(keys ^ np.uint64(turn)), places))[0]]
+                    keys, places = keys[first], places[first]
                 key.append(keys)
                 at.append(places)
                 for many, value in ((ids, doc), (size, n), (label, own)):
                     many.append(np.full(len(keys), value))
+                signs += [b"" if turn in how.one_key else sign] * len(keys)
             if not key:
                 continue
             key, at = np.concatenate(key), np.concatenate(at)
@@ -330,6 +349,7 @@ def _keys_out(buckets: int, first_only: bool):
                 own = by[starts[k] : starts[k + 1]]
                 for name, x in (("key", key), ("ids", ids), ("size", size.astype(np.int32)), ("at", at), ("label", label)):
                     out[name].append(packed.planes(x[own]))
+                out["sign"].append(b"".join(signs[x] for x in own))
                 out["bucket"].append(int(k))
             yield packed.batch(out, _KEYS)
 
@@ -355,8 +375,8 @@ def _may_link(size: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.ndarray
     return np.where(holder[reach] == label, other[reach], best[reach]) >= size
 
 
-def _partnered(buckets: int, least: int, block: int):
-    """A bucket of keys: to each class the keys at which it may link, named anew by who is left there, with (main, rest,
+def _partnered(buckets: int, least: int, block: int, near: Callable | None):
+    """A bucket of keys: to each class the keys at which it may link by size, place and what ``near`` tells, named anew by who is left there, with (main, rest,
     side): how many classes there have the most frequent label and how many another, and which it is. Where they
     all meet at once, they count as main. Keys with fewer classes than ``least`` are left out."""
 
@@ -365,12 +385,17 @@ def _partnered(buckets: int, least: int, block: int):
         key, ids, size, at, label = (np.concatenate([packed.from_planes(c, kind) for c in cells[k]]) for k, kind in kinds.items())
         order = np.lexsort((size, key))
         key, ids, size, at, label = key[order], ids[order], size[order].astype(np.int64), at[order].astype(np.int64), label[order]
+        signs = np.frombuffer(b"".join(cells["sign"]), np.uint8)
+        signs = signs.reshape(len(order), -1) if len(signs) else None
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         docs, marks, counts, seen = [], [], [], set()
         for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
             if e - s < least:
                 continue
             may = _may_link(size[s:e], at[s:e], label[s:e])
+            if near is not None and signs is not None and may.any():
+                left = np.flatnonzero(may)
+                may[left] = near(int(key[s]), signs[order[s + left]], label[s + left])
             own, labels = ids[s:e][may], label[s:e][may]
             if len(own) < least:
                 continue
@@ -393,6 +418,7 @@ def _partnered(buckets: int, least: int, block: int):
             own = by[starts[k] : starts[k + 1]]
             for name, x in (("key", mark), ("ids", ids), ("size", many[:, 0]), ("at", many[:, 1]), ("label", many[:, 2])):
                 out[name].append(packed.planes(x[own]))
+            out["sign"].append(b"")
             out["bucket"].append(int(k))
         yield packed.batch(out, _KEYS)
 
@@ -401,7 +427,7 @@ def _partnered(buckets: int, least: int, block: int):
 
 def _keys_by_class(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
     """(doc_id, keys, many) of a bucket of classes; many: main, rest and side of each key, one after another."""
-    kinds = {"key": np.uint64, "ids": np.int64, "size": np.int32, "at": np.int32, "label": np.int32}
+    kinds = {"key": np.uint64, "ids": np.int64, "size": np.int32, "at": np.int32, "label": np.int32}  # main, rest, side
     key, ids, *many = (np.concatenate([packed.from_planes(c, kind) for c in cells[k]]) for k, kind in kinds.items())
     order = np.lexsort((key, ids))
     key, ids, many = key[order], ids[order], np.stack(many, 1)[order]
@@ -487,10 +513,11 @@ def _linked(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(labelled: DataFrame, buckets: int, block: int, turn: int) -> DataFrame:
+def _links(labelled: DataFrame, buckets: int, block: int, turn: int, how: Keying) -> DataFrame:
     """(a, b): links between classes of different labels; in the last turn (0) enough to connect what they connect."""
-    keys = labelled.select("doc_id", "size", "keys", "at", "label").mapInArrow(_keys_out(buckets, turn == 1), _KEYS_SCHEMA)
-    left = packed.dealt(keys, buckets).mapInArrow(_partnered(buckets, block + 1 if turn == 2 else 2, block), _KEYS_SCHEMA)
+    keys = labelled.select("doc_id", "size", "keys", "at", "label", "sign").mapInArrow(_keys_out(buckets, turn, how), _KEYS_SCHEMA)
+    least = block + 1 if turn == 2 and turn not in how.one_key else 2
+    left = packed.dealt(keys, buckets).mapInArrow(_partnered(buckets, least, block, how.near), _KEYS_SCHEMA)
     chosen = packed.dealt(left, buckets).mapInArrow(
         packed.gathered(_keys_by_class, list(_KEYS)), "doc_id long, keys binary, many binary"
     )
@@ -519,26 +546,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       documents of their own. A row with a null id links with nothing and has a null component.
       An empty table gives an empty result; other columns are ignored.
     """
-    return joined(docs, id_col, text_col, WORDS, prefix_keyed, block)
-
+    return joined(docs, id_col, text_col, WORDS, Keying(prefix_keyed), block)
 
-def joined(docs: DataFrame, id_col: str, text_col: str, words: int, keyed: Callable[[DataFrame, int], DataFrame], block: int) -> DataFrame:
-    """doc_id, n_shingles, component_id as in ngram_join, of shingles of so many words.
 
-    ``keyed(heads, buckets)`` gives the classes (doc_id, size, tokens) that may link with others their keys:
-    (doc_id, size, tokens, keys, at), so that two classes that link share a key at least. ``at`` says how many of
-    the set's tokens come before those that both classes can share, if the key is the first that they have
-    in common."""
+def joined(docs: DataFrame, id_col: str, text_col: str, words: int, how: Keying, block: int) -> DataFrame:
+    """doc_id, n_shingles, component_id as in ngram_join, of shingles of so many words."""
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     known = narrow.where("doc_id is not null")
     plan = packed.layout(known)
     if plan.unique:
-        out = _joined(known, plan, words, keyed, block)
+        out = _joined(known, plan, words, how, block)
     else:  # numbers tell the rows apart; written, so that they stay the same
         numbered = written(known.select("doc_id", "text", F.monotonically_increasing_id().alias("_n")), "join-numbered")
-        found = _joined(numbered.select(F.col("_n").alias("doc_id"), "text"), plan, words, keyed, block)
+        found = _joined(numbered.select(F.col("_n").alias("doc_id"), "text"), plan, words, how, block)
         found = found.select(F.col("doc_id").alias("_n"), "n_shingles", F.col("component_id").alias("_c"))
         named = written(found.join(numbered.select("doc_id", "_n"), "_n"), "join-named")
         least = named.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
@@ -547,7 +569,7 @@ def joined(docs: DataFrame, id_col: str, text_col: str, words: int, keyed: Calla
     return out.unionByName(nameless)
 
 
-def _joined(known: DataFrame, plan: packed.Layout, words: int, keyed: Callable[[DataFrame, int], DataFrame], block: int) -> DataFrame:
+def _joined(known: DataFrame, plan: packed.Layout, words: int, how: Keying, block: int) -> DataFrame:
     """joined() of rows (doc_id, text) whose ids stand for one text each."""
     buckets = plan.buckets
     sampled = known.mapInArrow(_sampled(buckets, plan.slice_bytes(SLICE), words), _SCHEMA)
@@ -564,7 +586,7 @@ def _joined(known: DataFrame, plan: packed.Layout, words: int, keyed: Callable[[
     member = written(member, "join-members")
     heads = sets.join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     heads = written(heads.select("doc_id", "size", "tokens"), "join-heads")
-    found = _connected(written(keyed(heads, buckets), "join-keyed"), buckets, block)
+    found = _connected(written(how.keyed(heads, buckets), "join-keyed"), buckets, block, how)
     named = member.join(found, member["rep"] == found["id"], "left").select(
         F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component")
     )
@@ -584,16 +606,16 @@ def prefix_keyed(heads: DataFrame, buckets: int) -> DataFrame:
     return sized.select("doc_id", "size", "tokens", "held", "mark").mapInArrow(_keyed, KEYED_SCHEMA)
 
 
-def _connected(keyed: DataFrame, buckets: int, block: int) -> DataFrame:
+def _connected(keyed: DataFrame, buckets: int, block: int, how: Keying) -> DataFrame:
     """(id, component) of the classes that link with any other."""
     labelled = _labelled(keyed, None)
-    links = written(_links(labelled, buckets, block, turn=1), "join-links")
+    links = written(_links(labelled, buckets, block, 1, how), "join-links")
     labelled = _labelled(keyed, links)
-    more = written(_links(labelled, buckets, block, turn=2), "join-links")
+    more = written(_links(labelled, buckets, block, 2, how), "join-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labelled = _labelled(keyed, links)
-    last = written(_links(labelled, buckets, block, turn=0), "join-links")
+    last = written(_links(labelled, buckets, block, 0, how), "join-links")
     return components(links.unionByName(last))
 
 

@@ -1,6 +1,7 @@
 """Plain versions of the contracts, for small inputs: rows are (doc_id, text)."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -50,11 +51,11 @@ def words_removed(rows, window=13):
     return out
 
 
-def similar(rows):
+def similar(rows, n=5):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOW))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
     where, parent = defaultdict(list), {d: d for d in sets}
 
     def root(x):
@@ -120,3 +121,46 @@ def words_removed_by_row(rows, window=13):
                 gone[i : i + window] = [True] * window
         out.append((len(gone), sum(gone)))
     return out
+
+
+def phrases(rows, least, longest=5, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of rows (lang, text)."""
+    counts, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOW)):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for k in range(1, longest + 1):
+                counts[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        found = []
+        for p, a in f.items():
+            if len(p) < 2 or a < least:
+                continue
+            inside = any(
+                len(q) > len(p) and b >= least and 100 * b >= 100 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in f.items()
+            )
+            if not inside:
+                score, k = min((1000 * a * total[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+def mined(rows, every=50):
+    """(anchor, positive, rank, negative, positive score, negative score) of rows (id, vector, label)."""
+    fine = [
+        (i, [math.floor(256 * x) for x in v], c) for i, v, c in rows if None not in (i, v, c) and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for i, v, c in fine:
+        if i % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, u, strict=False)), j, d) for j, u, d in fine if j != i)
+        for s, j, _ in [x for x in scored if x[2] == c][:5]:
+            hard = [x for x in scored if x[2] != c and 50 * -s <= 100 * -x[0] <= 95 * -s][:3]
+            out += [(i, j, rank, k, -s, -t) for rank, (t, k, _) in enumerate(hard, 1)]
+    return sorted(out)
