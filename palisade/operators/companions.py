@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import Policy
 from ..functions import regexlib as rx
 from ..functions.scoring import bound, enforced, hard_block, reason, reasons, score_of, would_verdict
+from .containment import containment
 
 MARKER = "\ue000"
-#: Characters of a mark that the automaton holds, and of all marks that are looked for in one pass.
-BEGINNING, BLOCK_CHARS = 64, 1 << 20
+#: Characters of a mark that the automaton holds, and of all marks that go to all tasks.
+BEGINNING, MOST_CHARS = 64, 4 << 20
 
 
 def tool_allowed(calls: DataFrame, allow: DataFrame, name: str = "name") -> DataFrame:
@@ -42,26 +44,23 @@ def taint_matches(
 ) -> DataFrame:
     """(doc_id, mark_seq, source): marks (mark_seq, text, source) that a document contains.
 
-    One pass over the texts, without a shuffle, for each block of marks with at most BLOCK_CHARS characters in
-    their beginnings: an automaton of these beginnings finds all of them in a text, and the whole mark is compared
-    there. Null and empty marks and texts meet nothing; repeated rows and marks give their rows again.
+    Up to MOST_CHARS characters of marks go to all tasks: one pass over the texts, without a shuffle, in which an
+    automaton of the marks' beginnings finds these in a text and the whole mark is compared there. More marks are
+    joined by their rarest grams (see containment.py). Null and empty marks and texts meet nothing; repeated rows and
+    marks give their rows again.
     """
     marks = marks.where("length(text) > 0").select("mark_seq", "text", "source")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = marks.agg(F.sum(F.least(F.length("text"), F.lit(BEGINNING)))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
+    size = marks.agg(F.sum(F.length("text").cast("long") + 64)).first()[0] or 0
+    if size > MOST_CHARS:
+        return containment(texts, marks).select("doc.doc_id", "mark.mark_seq", "mark.source")
+    arrow = [to_arrow_type(marks.schema[c].dataType) for c in ("mark_seq", "source")]
     kinds = [x.simpleString() for x in (texts.schema["doc_id"].dataType, marks.schema["mark_seq"].dataType, marks.schema["source"].dataType)]
-    schema = "doc_id {}, mark_seq {}, source {}".format(*kinds)
-    out = None
-    for block in range(blocks):
-        rows = marks.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])  # a block
-        part = texts.where("length(text) > 0").mapInArrow(_marks_in(sent), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in marks.collect()])  # MOST_CHARS at most
+    return texts.mapInArrow(_marks_in(sent, arrow), "doc_id {}, mark_seq {}, source {}".format(*kinds))
 
 
-def _marks_in(sent):
+def _marks_in(sent, kinds: list[pa.DataType]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -86,7 +85,7 @@ def _marks_in(sent):
                     seqs.append(seq)
                     sources.append(source)
             if docs:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(seqs), pa.array(sources)], ["doc_id", "mark_seq", "source"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(seqs, kinds[0]), pa.array(sources, kinds[1])], ["doc_id", "mark_seq", "source"])
 
     return search
 

@@ -14,10 +14,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType
 
 from ..config import Policy
 from ..functions.scoring import bound, enforced, hard_block, reason, reasons, score_of, would_verdict
+from .folds import Breaker, ordered_fold
 
 CHUNK_TOKENS, CHARS_PER_TOKEN, MARGIN = 512, 4, 0.85
 TOP_K = 5
@@ -101,15 +103,15 @@ def ml_gate(verdict: Column, always: Column, high_risk: Column) -> Column:
 
 
 def ml_reason(score: Column, floor: float = 0.0) -> Column:
-    return F.when(score.isNotNull(), reason("ml_classifier", "ml", F.when(score < floor, 0.0).otherwise(score)))
+    return F.when(score.isNotNull(), reason("ml_classifier", "semantic", F.when(score < floor, 0.0).otherwise(score)))
 
 
 def embedding_reason(score: Column) -> Column:
-    return F.when(score.isNotNull(), reason("embedding_match", "ml", score))
+    return F.when(score.isNotNull(), reason("embedding_match", "semantic", score))
 
 
 def remote_reason(score: Column) -> Column:
-    return F.when(score.isNotNull(), reason("remote_guard", "remote", score))
+    return F.when(score.isNotNull(), reason("remote_guard", "semantic", score))
 
 
 def folded(found: Column, more: list[Column], policy: Policy, high_risk: Column) -> Column:
@@ -198,7 +200,7 @@ def embedding_search(queries: DataFrame, vectors: DataFrame, key: str, vector: s
     row. Queries go to the tasks in blocks of BLOCK_BYTES; each task keeps the k best it has met for each query, so k
     rows for a query and task are dealt.
     """
-    spark = queries.sparkSession
+    spark, kind = queries.sparkSession, to_arrow_type(queries.schema[key].dataType)
     asked = queries.select(F.col(key).alias("_q"), F.coalesce(F.col(vector), F.array().cast(queries.schema[vector].dataType)).alias("_v")).dropDuplicates(["_q"])
     size = asked.agg(F.sum(F.size("_v") * 8 + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -206,13 +208,13 @@ def embedding_search(queries: DataFrame, vectors: DataFrame, key: str, vector: s
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).collect()
         sent = spark.sparkContext.broadcast(([r["_q"] for r in rows], [r["_v"] for r in rows]))  # a block
-        part = vectors.select(vector).mapInArrow(_best_of_task(sent, key, k), f"{key} {queries.schema[key].dataType.simpleString()}, _c double")
+        part = vectors.select(vector).mapInArrow(_best_of_task(sent, key, kind, k), f"{key} {queries.schema[key].dataType.simpleString()}, _c double")
         found = part if found is None else found.unionByName(part)
     best = found.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_c")))).where(F.col("_k") <= k)
     return best.groupBy(key).agg(F.greatest(F.least(F.avg("_c"), F.lit(1.0)), F.lit(0.0)).alias("score"))
 
 
-def _best_of_task(sent, key: str, k: int):
+def _best_of_task(sent, key: str, kind: pa.DataType, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked = sent.value
         best = np.empty((len(ids), 0))
@@ -222,7 +224,7 @@ def _best_of_task(sent, key: str, k: int):
                 best = np.sort(np.concatenate([best, _cosines(asked, vectors[at : at + 1024])], 1), axis=1)[:, -k:]
         if best.size:
             rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows]), pa.array(best.ravel())], [key, "_c"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], kind), pa.array(best.ravel())], [key, "_c"])
 
     return search
 
@@ -287,28 +289,10 @@ def degradation(error: Column, tier: int) -> Column:
 
 
 def breaker_states(attempts: DataFrame, key: str, ts: str, ok: str, failures: int = 5, cool_seconds: int = 30) -> DataFrame:
-    """(key, ts, ok, state, allowed) of each attempt by a circuit breaker per key.
-
-    An ordered fold with state, so it runs per key in Arrow batches; keys are independent.
-    """
-    kind = attempts.schema[key].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, ok])
-        run, opened, rows = 0, None, []
-        for t, good in zip(pdf[ts], pdf[ok], strict=True):
-            state = "closed" if opened is None else "half-open" if (t - opened).total_seconds() >= cool_seconds else "open"
-            allowed = state != "open"
-            if allowed and good:
-                run, opened = 0, None
-            elif allowed:
-                run += 1
-                if state == "half-open" or run >= failures:
-                    opened = t
-            rows.append((state, allowed))
-        return pd.DataFrame({key: pdf[key], ts: pdf[ts], ok: pdf[ok], "state": [s for s, _ in rows], "allowed": [a for _, a in rows]})
-
-    return attempts.select(key, ts, ok).groupBy(key).applyInPandas(fold, f"{key} {kind}, {ts} timestamp, {ok} boolean, state string, allowed boolean")
+    """(key, ts, ok, state, allowed) of each attempt by a circuit breaker per key: an ordered fold over ranges of time,
+    so that a key may hold all rows (see folds.py). Attempts at one time: failures first; a null outcome failed."""
+    log = attempts.select(key, ts, ok, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    return ordered_fold(log, [key], [ts, ok], Breaker("_t", ok, failures, cool_seconds * 1_000_000)).drop("_t")
 
 
 def verdict_cache(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cf
 from ..functions import regexlib as rx
 from ..functions.scoring import enforced, rank, reason, reasons, verdict_of_rank
+from .folds import Decayed, ordered_fold
 
 
-#: Turns after which the default decay leaves less than 1e-19 of a score.
-DISTANT = 200
+#: What is left of a score that doesn't count any more, and turns that a window may look back to until then.
+LOST, FRAME = 1e-19, 400
 
 
 def many_shot_weight(text: Column, threshold: int = cf.SESSION_MANY_SHOT) -> Column:
@@ -21,9 +24,14 @@ def many_shot_weight(text: Column, threshold: int = cf.SESSION_MANY_SHOT) -> Col
 
 
 def cumulative(df: DataFrame, keys: list[str], order: str, score: str, decay: float = cf.SESSION_DECAY) -> DataFrame:
-    """Adds ``cumulative``: c(n) = decay * c(n-1) + score(n). A turn that lies DISTANT or more back counts for nothing:
-    what it would add is below the last digit of a score, and a bounded frame keeps a turn's work bounded."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(DISTANT - 1), 0)
+    """Adds ``cumulative``: c(n) = decay * c(n-1) + score(n).
+
+    A window looks back until a score has decayed below the last digit, which takes 196 turns by default; a slower decay
+    is folded in order (see folds.py)."""
+    back = math.ceil(math.log(LOST) / math.log(decay)) if 0 < decay < 1 else 1 if decay == 0 else FRAME + 1
+    if back > FRAME:
+        return ordered_fold(df, keys, [order], Decayed(score, "cumulative", decay))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-back, 0)
     so_far = F.collect_list(F.coalesce(F.col(score), F.lit(0.0))).over(w)
     return df.withColumn("cumulative", F.aggregate(so_far, F.lit(0.0), lambda c, s: c * decay + s))
 
@@ -61,8 +69,8 @@ def session_fold(
 
 def session_reasons() -> Column:
     """The signals of session_signals() as reasons."""
-    named = (("manyshot_density", "w_many"), ("cumulative_risk", "w_cumulative"), ("session_escalation", "w_escalation"))
-    return reasons(*[F.when(F.col(c).isNotNull(), reason(code, "session", F.col(c))) for code, c in named])
+    named = (("manyshot_density", "structural", "w_many"), ("cumulative_risk", "semantic", "w_cumulative"), ("session_escalation", "semantic", "w_escalation"))
+    return reasons(*[F.when(F.col(c).isNotNull(), reason(code, category, F.col(c))) for code, category, c in named])
 
 
 def live_state(turns: DataFrame, key: str, ts: str, score: str, resets: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import config as cf
+from ..operators.streamscan import Judge, StreamScan
 
+_NAMES = ("allow", "flag", "block")
 _RANK = {"allow": 0, "flag": 1, "block": 2}
 SCANNED = "stream_id string, seq long, partial string, worst string, abort boolean"
 SESSIONS = "conv_id string, turn long, score double, cumulative double, delta double, n_turns int"
@@ -31,7 +33,7 @@ class StreamScanner(StatefulProcessor):
         buffer, worst = self.state.get() if self.state.exists() else ("", "allow")
         out = []
         for seq, chunk in zip(new["seq"], new["chunk"], strict=True):
-            buffer = (buffer + (chunk or ""))[: self.most]
+            buffer = (buffer + (chunk or "")).encode()[: self.most].decode(errors="ignore")
             worst = max(worst, self.verdict(buffer), key=_RANK.get)
             out.append((key[0], seq, chunk or "", worst, worst == "block"))
         self.state.update((buffer, worst))
@@ -41,6 +43,31 @@ class StreamScanner(StatefulProcessor):
         pass
 
 
+class RuleScanner(StatefulProcessor):
+    """The rule bank over each stream, in linear time: keeps the tail that a match may still need, see StreamScan."""
+
+    def __init__(self, judge: Judge, most: int = cf.MAX_SCAN_BYTES, collapse: bool = True):
+        self.judge, self.most, self.collapse = judge, most, collapse
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "text string, n_bytes long, cut boolean, rank int, settled array<int>, restart array<int>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("seq")
+        scan = StreamScan(self.judge, self.most, self.collapse)
+        if self.state.exists():
+            scan.of(self.state.get())
+        out = []
+        for seq, chunk in zip(new["seq"], new["chunk"], strict=True):
+            worst = scan.push(chunk)
+            out.append((key[0], seq, chunk or "", _NAMES[worst], worst == 2))
+        self.state.update(scan.state())
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "partial", "worst", "abort"])
+
+    def close(self) -> None:
+        pass
+
+
 class SessionRisk(StatefulProcessor):
     """Keeps each conversation's decayed sum, last score and number of turns, for as long as the TTL."""
 
@@ -70,6 +97,11 @@ def scan_streams(chunks: DataFrame, verdict: Callable[[str], str]) -> DataFrame:
     return chunks.groupBy("stream_id").transformWithStateInPandas(StreamScanner(verdict), SCANNED, "Append", "None")
 
 
+def scan_rules(chunks: DataFrame, judge: Judge, most: int = cf.MAX_SCAN_BYTES, collapse: bool = True) -> DataFrame:
+    """scan_streams() by the rule bank; ``judge`` is by_presence or by_policy(...)."""
+    return chunks.groupBy("stream_id").transformWithStateInPandas(RuleScanner(judge, most, collapse), SCANNED, "Append", "None")
+
+
 def session_risk(turns: DataFrame) -> DataFrame:
     """turns (conv_id string, turn long, score double), streaming -> SESSIONS rows. Needs the RocksDB state store."""
     return turns.groupBy("conv_id").transformWithStateInPandas(SessionRisk(), SESSIONS, "Append", "ProcessingTime")

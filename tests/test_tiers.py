@@ -61,7 +61,9 @@ def test_corpus_with_manifest(spark, tmp_path):
     assert {(r["label"], r["sourceDataset"]): r["n"] for r in spark.read.json(str(tmp_path / "out/manifest")).collect()} == {("attack", "d"): 1, ("benign", "d"): 1, ("benign", "e"): 1}
 
 
-def test_taint_of_odd_marks(spark):
+@pytest.mark.parametrize("most", [companions.MOST_CHARS, 0])
+def test_taint_of_odd_marks(spark, monkeypatch, most):
+    monkeypatch.setattr(companions, "MOST_CHARS", most)
     docs = spark.createDataFrame([(1, "xabcabcx" + "long mark " * 20), (2, None), (3, ""), (1, "abc")], "doc_id long, text string")
     marks = spark.createDataFrame([(1, "abc", "a"), (2, "bca", "b"), (3, "", "c"), (4, None, "d"), (5, "long mark " * 15, "e"), (6, "long mark " * 15 + "!", "f"), (7, "abc", "g")], "mark_seq long, text string, source string")
     got = sorted((r["doc_id"], r["mark_seq"]) for r in companions.taint_matches(docs, marks).collect())
