@@ -33,7 +33,7 @@ from .common import shuffle_partitions, text_of, written
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNKNOWN_LANG = "und"
 #: Bytes of text of a slice, candidates that are ranked together at first.
-SLICE, RANKED = 4 << 20, 100_000
+SLICE, RANKED = 1 << 20, 100_000
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[*b".,;:!?", 10, 11, 12, 13]] = True
 _BLANK = np.zeros(256, bool)
@@ -73,6 +73,15 @@ def _bytes_of(strings: pa.Array) -> tuple[bytes, np.ndarray]:
     return (data.to_pybytes()[ends[0] : ends[-1]] if data is not None else b""), np.diff(ends).astype(np.int32)
 
 
+def _steps(at: np.ndarray) -> bytes:
+    """Growing places in a slice, as steps."""
+    return packed.planes(np.diff(at, prepend=0).astype(np.int32))
+
+
+def _from_steps(cell: bytes) -> np.ndarray:
+    return np.cumsum(packed.from_planes(cell, np.int32), dtype=np.int64)
+
+
 def _sliced(slice_bytes: int):
     """Rows (lang, text) -> slices."""
 
@@ -94,7 +103,7 @@ def _sliced(slice_bytes: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number]),
-                        pa.array([packed.deltas(at)], pa.binary()),
+                        pa.array([_steps(at)], pa.binary()),
                         pa.array([packed.planes(item.astype(np.int32))], pa.binary()),
                         pa.array([data], pa.binary()),
                         pa.array([packed.planes(lengths)], pa.binary()),
@@ -138,7 +147,7 @@ def _asked_pairs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, at, name in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                _, _, left, right, n = _pairs(packed.from_deltas(at), packed.from_planes(name, np.int64))
+                _, _, left, right, n = _pairs(_from_steps(at), packed.from_planes(name, np.int64))
                 h = bt.mix(bt.mix(left.astype(np.uint64)) ^ right.astype(np.uint64))
                 out: dict[str, list] = {k: [] for k in _ITEMS}
                 by, starts = packed.parts(packed.bucket_of(h, buckets), buckets)
@@ -233,7 +242,7 @@ def _renamed(paired: bool):
         for number, at, item, name in zip(cells["slice"], cells["at"], cells["item"], cells["name"], strict=True):
             if at is None or number not in answers:
                 continue
-            places = packed.from_deltas(at)
+            places = _from_steps(at)
             if paired:
                 places, items, *_ = _pairs(places, packed.from_planes(name, np.int64))
             else:
@@ -243,7 +252,7 @@ def _renamed(paired: bool):
                 of[asked] = got
             new = of[items]
             has = new >= 0
-            yield packed.batch({"slice": [number], "at": [packed.deltas(places[has])], "name": [packed.planes(new[has])]}, _SEQUENCES)
+            yield packed.batch({"slice": [number], "at": [_steps(places[has])], "name": [packed.planes(new[has])]}, _SEQUENCES)
 
     return packed.gathered(each, list(_MEETING))
 
