@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytetools as bt
 
@@ -347,7 +348,7 @@ def find_leaks(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edit_distance int, similarity double, end_byte int"
     out = None
     for index in _indexes(items, item_id_col, item_text_col, similarity, repetitions):
-        part = _searched(narrow, index, schema)
+        part = _searched(narrow, index, to_arrow_type(items.schema[item_id_col].dataType), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -378,7 +379,7 @@ def _index_of(sent, key: object, similarity: float, repetitions: int) -> Callabl
     return index
 
 
-def _searched(narrow: DataFrame, index: Callable[[], ItemIndex], schema: str) -> DataFrame:
+def _searched(narrow: DataFrame, index: Callable[[], ItemIndex], item_kind: pa.DataType, schema: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index()
         for batch in batches:
@@ -390,7 +391,7 @@ def _searched(narrow: DataFrame, index: Callable[[], ItemIndex], schema: str) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array([row + k for k in t], pa.int64())),
-                        pa.array([own.ids[k] for k in i]),
+                        pa.array([own.ids[k] for k in i], item_kind),
                         pa.array(d, pa.int32()),
                         pa.array([1 - x / len(own.texts[k]) for x, k in zip(d, i, strict=True)], pa.float64()),
                         pa.array(e, pa.int32()),

@@ -45,10 +45,11 @@ def exact_dedup(
       and keeps none. ``kept`` is never null.
     * an empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_norm"))
+    # numbers that tell rows of one id, or of none, apart spread the hot groups
+    source = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_norm"), F.monotonically_increasing_id().alias("_row"))
     hashed = source.withColumn("_h", content_hash(F.col("_norm")))
     prints = written(
-        hashed.select("doc_id", "_h", F.sha2("_norm", 256).alias("text_sha256")), "exact-prints"
+        hashed.select("doc_id", "_row", "_h", F.sha2("_norm", 256).alias("text_sha256")), "exact-prints"
     )
     groups = prints.groupBy("_h").agg(
         F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")
@@ -79,7 +80,7 @@ def exact_dedup(
 def _with_groups(rows: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
     """With _keep and _n of each row's group, null where it is alone."""
     near = F.broadcast(hot.select(F.col("_h").alias("_hot"), F.col("_keep").alias("_hot_keep"), F.col("_n").alias("_hot_n")))  # under HOT rows
-    spread = F.concat(F.lit("hot "), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("string"))
+    spread = F.concat(F.lit("hot "), F.pmod(F.xxhash64("_row"), F.lit(SPREAD)).cast("string"))
     keyed = rows.join(near, F.col("_h") == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_h")).otherwise(spread))
     # merged at every size: broadcasting small sets of groups would only make runs differ
     met = keyed.join(groups.withColumnRenamed("_h", "_key").hint("merge"), "_key", "left")
@@ -98,7 +99,7 @@ def _collisions(members: DataFrame) -> DataFrame:
         .select("_h", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_kept_norm")
     )
     dealt = members.select(
-        "doc_id", "_h", "_norm", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("_salt")
+        "doc_id", "_h", "_norm", F.pmod(F.xxhash64("_row"), salts).cast("int").alias("_salt")
     )
     # left join: where a group has null ids only, its keeper is found by the null-safe test above
     found = dealt.join(keepers, ["_h", "_salt"]).where("_norm <> _kept_norm")

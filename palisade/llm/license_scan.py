@@ -46,33 +46,51 @@ SPDX-License-Identifier: MIT""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
 The software is provided "as is" and the author disclaims all warranties with regard to this software
 SPDX-License-Identifier: ISC""",
-    "GPL-3.0": """This work is licensed under the GNU General Public License, version 3
+    "GPL": """This work is licensed under the GNU General Public License, version 3
 This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
 You should have received a copy of the GNU General Public License along with this program
+GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version
 Licensed under the GPL version 3
+SPDX-License-Identifier: GPL-2.0-only
 SPDX-License-Identifier: GPL-3.0-or-later""",
-    "LGPL-3.0": """Licensed under the GNU Lesser General Public License, version 3
+    "LGPL": """Licensed under the GNU Lesser General Public License, version 3
 This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+SPDX-License-Identifier: LGPL-2.1-only
 SPDX-License-Identifier: LGPL-3.0-or-later""",
-    "AGPL-3.0": """Licensed under the GNU Affero General Public License, version 3
+    "AGPL": """Licensed under the GNU Affero General Public License, version 3
 it under the terms of the GNU Affero General Public License as published by the Free Software Foundation
 SPDX-License-Identifier: AGPL-3.0-or-later""",
-    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted under this license
+    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted under this license
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
 Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
 Released under the BSD 3-Clause License
+SPDX-License-Identifier: BSD-2-Clause
 SPDX-License-Identifier: BSD-3-Clause""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered
+SPDX-License-Identifier: BSL-1.0""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty
+In no event will the authors be held liable for any damages arising from the use of this software
+SPDX-License-Identifier: Zlib""",
+    "Artistic-2.0": """under the terms of the Artistic License (2.0)
+This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0
+SPDX-License-Identifier: Artistic-2.0""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0
 SPDX-License-Identifier: MPL-2.0""",
     "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
 SPDX-License-Identifier: EPL-2.0""",
-    "CC-BY-4.0": """This work is licensed under a Creative Commons Attribution 4.0 International License
-Licensed under CC BY 4.0""",
-    "CC-BY-NC-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License
-Licensed under CC BY-NC 4.0""",
-    "CC-BY-SA-4.0": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License
-Licensed under CC BY-SA 4.0""",
+    "CC-BY": """This work is licensed under a Creative Commons Attribution 4.0 International License
+Licensed under CC BY 4.0
+This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License
+Licensed under CC BY-NC 4.0
+This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License
+Licensed under CC BY-SA 4.0
+This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License
+Licensed under CC BY-NC-SA 4.0
+This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License
+SPDX-License-Identifier: CC-BY-4.0
+SPDX-License-Identifier: CC-BY-NC-SA-4.0""",
     "CC0-1.0": """To the extent possible under law, the author has waived all copyright under Creative Commons Zero
 Released into the public domain under the CC0 1.0 license""",
     "Unlicense": """This is free and unencumbered software released into the public domain
@@ -81,23 +99,42 @@ SPDX-License-Identifier: Unlicense""",
 Copyright, all rights reserved. No part may be reproduced without written permission""",
 }
 
+#: Words and pairs of words (fixed values) that tell versions of a family apart, looked for where a notice stands, then in
+#: all that the document says of licences. Without one, or with those of several, the family is named without a version.
+VERSIONS = {
+    "GPL": {"2.0": ("version 2", "gpl 2.0", "gpl 2", "gpl v2", "gplv2"), "3.0": ("version 3", "gpl 3.0", "gpl 3", "gpl v3", "gplv3")},
+    "LGPL": {
+        "2.0": ("version 2", "lgpl 2.0", "lgpl 2", "lgplv2"), "2.1": ("version 2.1", "lgpl 2.1", "lgplv2.1"), "3.0": ("version 3", "lgpl 3.0", "lgpl 3", "lgplv3"),
+    },
+    "AGPL": {"3.0": ("version 3", "agpl 3.0", "agpl 3", "agplv3")},
+    "BSD": {"2-Clause": ("bsd 2", "2 clause", "simplified bsd"), "3-Clause": ("bsd 3", "3 clause", "neither the", "new bsd", "revised bsd")},
+}
+#: Elements of a Creative Commons licence in the order of its name, and its versions.
+CC_ELEMENTS = {"NC": ("noncommercial", "nc"), "SA": ("sharealike", "sa"), "ND": ("noderivatives", "noderivs", "nd")}
+CC_VERSIONS = ("4.0", "3.0", "2.5", "2.0", "1.0")
+#: With these words, or as the line's last ones, reserved rights are a notice.
+NOTICE = ("copyright", "permission", "unauthorized", "prohibited")
+
 #: Sentences of the families that are in no template, to calibrate on.
 HELD_OUT = """Apache-2.0	This project is distributed under the Apache License 2.0, see the file for its terms
 Apache-2.0	Available under the terms of the Apache License, Version 2.0
 MIT	The code is distributed under the MIT License, see the license file
 MIT	This package is licensed under the terms of the MIT license
 ISC	Permission to use, copy, modify and distribute this software is hereby granted without fee for any purpose
-GPL-3.0	This program is distributed under the GNU General Public License, either version 3 or a later one
-GPL-3.0	You can redistribute it under the terms of the GNU General Public License as published
-LGPL-3.0	The library is released under the GNU Lesser General Public License, version 3 or later
-AGPL-3.0	The server is released under the GNU Affero General Public License, version 3
-BSD-3-Clause	Distributed under the 3-Clause BSD License, redistribution and use in source form are permitted
+GPL	This program is distributed under the GNU General Public License, either version 3 or a later one
+GPL	You can redistribute it under the terms of the GNU General Public License as published
+LGPL	The library is released under the GNU Lesser General Public License, version 3 or later
+AGPL	The server is released under the GNU Affero General Public License, version 3
+BSD	Distributed under the 3-Clause BSD License, redistribution and use in source form are permitted
 MPL-2.0	This file is subject to the Mozilla Public License, version 2.0
 EPL-2.0	Made available under the Eclipse Public License, version 2.0
-CC-BY-4.0	The text is available under the Creative Commons Attribution 4.0 International license
-CC-BY-NC-4.0	The images are available under a Creative Commons Attribution-NonCommercial 4.0 license
-CC-BY-SA-4.0	The text is available under a Creative Commons Attribution-ShareAlike 4.0 license
+CC-BY	The text is available under the Creative Commons Attribution 4.0 International license
+CC-BY	The images are available under a Creative Commons Attribution-NonCommercial 4.0 license
+CC-BY	The text is available under a Creative Commons Attribution-ShareAlike 4.0 license
 CC0-1.0	To the extent possible under law all copyright is waived with CC0 1.0
+BSL-1.0	The headers are distributed under the Boost Software License, Version 1.0, see the file
+Zlib	The library is provided as-is, without any express or implied warranty of the authors
+Artistic-2.0	You can redistribute the module under the terms of the Artistic License 2.0
 Unlicense	The author released this unencumbered software into the public domain
 Proprietary	All rights are reserved and no part may be reproduced without permission"""
 
@@ -230,6 +267,34 @@ def template_share(words: Column, family: Column) -> Column:
     return reduce(lambda e, s: e.when(family == s[0], s[1]), shares[1:], F.when(family == shares[0][0], shares[0][1])).otherwise(0.0)
 
 
+def named(family: Column, words: Column, around: Column, document: Column) -> Column:
+    """The family with its version. words: of the find; around: of its paragraph; document: of all paragraphs scored."""
+    out = F.when(family == "CC-BY", _creative_commons(words))
+    for name, versions in VERSIONS.items():
+        out = out.when(family == name, F.coalesce(_version(name, versions, words), _version(name, versions, around), _version(name, versions, document), F.lit(name)))
+    return out.otherwise(family)
+
+
+def _version(name: str, versions: dict[str, tuple[str, ...]], words: Column) -> Column:
+    """The version that the words tell, if they tell one."""
+    told = bound(features(words), lambda own: F.array_compact(F.array(*[
+        F.when(F.arrays_overlap(own, F.array(*map(F.lit, tells))), F.lit(f"{name}-{v}")) for v, tells in versions.items()
+    ])))
+    return F.when(F.size(told) == 1, told[0])
+
+
+def _creative_commons(words: Column) -> Column:
+    has = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws)))
+    parts = [F.when(has(ws), F.lit(k)) for k, ws in CC_ELEMENTS.items()]
+    version = F.coalesce(*[F.when(F.array_contains(words, v), F.lit(v)) for v in CC_VERSIONS])
+    return F.concat_ws("-", F.lit("CC-BY"), *parts, version)
+
+
+def is_notice(family: Column, words: Column) -> Column:
+    """Whether reserved rights stand in a notice; other families do anyway."""
+    return (family != "Proprietary") | (F.element_at(words, -1) == "reserved") | F.arrays_overlap(words, F.array(*map(F.lit, NOTICE)))
+
+
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w.]+|\.(?!\d)", text.lower()) if w]
 
@@ -239,7 +304,8 @@ def scan_licences(
 ) -> DataFrame:
     """One row per input row: doc_id, license, probability, n_paragraphs, families, n_unknown.
 
-    license is the family of the surest find (ties: the later name), null without any. n_paragraphs
+    license is the family of the surest find (ties: the later name), null without any, with its version if the text
+    tells one (see VERSIONS). n_paragraphs
     counts the lines that are finds, and each family that only windows find once a paragraph;
     n_unknown the lines with a needle that are neither finds nor in a paragraph with a find of windows;
     families names all found families, sorted and joined by commas (empty without any).
@@ -269,7 +335,15 @@ def scan_licences(
         "_best",
         lambda x: (x["b"]["family"] != UNKNOWN)
         & (x["b"]["p"] >= model.threshold)
-        & (template_share(x["w"], x["b"]["family"]) >= CONFIRM),
+        & (template_share(x["w"], x["b"]["family"]) >= CONFIRM)
+        & is_notice(x["b"]["family"], x["w"]),
+    )
+    judged = judged.withColumn("_found", sure)
+    all_words = F.flatten(F.transform("_several", lambda b: b["w"]))
+    judged = judged.withColumn("_all", F.when(F.size("_found") > 0, all_words))
+    name = lambda x: named(x["b"]["family"], x["w"], F.col("_several")[x["k"]]["w"], F.col("_all"))
+    sure = F.transform(
+        "_found", lambda x: F.struct(F.struct(x["b"]["p"].alias("p"), name(x).alias("family")).alias("b"), x["k"].alias("k"), x["line"].alias("line"))
     )
     found = judged.withColumn("_sure", F.transform(sure, lambda x: F.struct(x["b"].alias("b"), x["k"].alias("k"), x["line"].alias("line"))))
     of = lambda line: F.transform(

@@ -6,8 +6,8 @@ BLOCK from its document's start, as 2 * BLOCK - 1 <= WINDOW. So:
 1. each document's non-overlapping blocks are indexed by hash, and each rolling window of
    BLOCK words of every document probes the index. A probe hits if the block stands in a document
    with a smaller id; both ends of the hits are anchors (40 bits and more: a filter);
-2. anchors are extended: each WINDOW-word window around one is looked up by two independent
-   64-bit hashes, and is covered if a smaller document has it. The union of a document's covered
+2. anchors are extended: each WINDOW-word window around one is looked up by two
+   64-bit hashes, made of two different hashes of its words, and is covered if a smaller document has it. The union of a document's covered
    windows are its maximal exact repeats.
 
 Hashes travel packed (see packed.py). A block or window that is frequent within a batch of texts is
@@ -42,10 +42,15 @@ class Words:
 
     def __init__(self, b: np.ndarray, offsets: np.ndarray):
         self.start, self.end, self.text = bt.spans(bt.not_space(b), offsets)
-        self.hash = bt.span_hashes(b, self.start, self.end)
+        self.b, self.hash = b, bt.word_hashes(b, self.start, self.end)
         self.per = np.bincount(self.text, minlength=len(offsets) - 1)
         self.first = np.cumsum(self.per) - self.per
 
+    def windows(self, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes, made of different hashes of the words, of the windows that start there."""
+        other = bt.word_hashes(self.b, self.start, self.end, seed=1)
+        return bt.window_hashes(self.hash, width)[at], bt.window_hashes(other, width, _SECOND)[at]
+
     def whole(self, width: int) -> np.ndarray:
         """Where windows of that many words start that lie in one text, of WINDOW words at least."""
         m = len(self.text) - width + 1
@@ -191,7 +196,7 @@ def _window_messages(buckets: int, slice_bytes: int):
                 at = at[near[at]]
                 if not len(at):
                     continue
-                h, other = bt.window_hashes(w.hash, WINDOW)[at], bt.window_hashes(w.hash, WINDOW, _SECOND)[at]
+                h, other = w.windows(WINDOW, at)
                 ids = all_ids[row:end][w.text[at]]
                 is_open, message = np.ones(len(at), bool), Messages(w, all_ids[row:end], marks[row:end], buckets)
                 own, group = _repeats(h, other)

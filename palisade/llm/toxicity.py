@@ -294,13 +294,17 @@ def _log_odds(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(out)
 
 
+#: The log odds of all texts where labels of both kinds are missing: nothing is rejected.
+NOTHING_LEARNED = -30.0
+
+
 def train(texts: list[str], target: list[int], seed: int = 7) -> ToxicityModel:
-    """Fits on labelled texts. A text's windows with the highest scores stand for it; they are chosen
+    """Fits on labelled texts; without both labels among them, all texts score 0 to 12 digits. A text's windows with the highest scores stand for it; they are chosen
     by the log odds at first and twice more by the network itself."""
     net, r = Network(seed), np.random.default_rng(seed)
     y = np.array(target, np.float32)
     if not len(y) or y.min() == y.max():  # nothing to tell apart
-        return ToxicityModel(net, np.array([*[0.0] * len(_TOPS), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))]))
+        return ToxicityModel(net, np.array([*[0.0] * len(_TOPS), NOTHING_LEARNED]))
     v = read_texts([t.encode() for t in texts])
     word_odds, word_n, gram_odds, gram_n = _log_odds(v, y)
     mask = {"word": (word_n >= SUPPORT)[:, None].astype(np.float32), "gram": (gram_n >= SUPPORT)[:, None].astype(np.float32)}
@@ -357,7 +361,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text, label of at most TRAIN_TOXIC and TRAIN_CLEAN labelled rows that aren't held out."""
+    """_id, label, text of at most TRAIN_TOXIC and TRAIN_CLEAN labelled ids that aren't held out, a text of each: where
+    rows of one id differ, the one that hashes to least. An id with both labels is there with both."""
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")
     )
@@ -365,9 +370,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     ids = known.where("label = 1").orderBy(by, "_id").limit(TRAIN_TOXIC).unionByName(
         known.where("label = 0").orderBy(by, "_id").limit(TRAIN_CLEAN)
     )
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(ids.distinct()), "_id"  # bounded: TRAIN_TOXIC + TRAIN_CLEAN rows
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    met = texts.join(F.broadcast(ids.distinct()), "_id")  # bounded: TRAIN_TOXIC + TRAIN_CLEAN rows
+    return met.groupBy("_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit_toxicity(
@@ -387,7 +392,8 @@ def score_toxicity(
 
     Null and empty texts have no window and get the score of a text with none; very long ones are
     scored whole, a window each STRIDE words. Repeated rows get equal scores; null ids pass
-    through; an empty table gives an empty result; other columns are ignored.
+    through; an empty table gives an empty result; other columns are ignored. A model that was fitted
+    without labels of both kinds rejects nothing.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of parameters
 

@@ -321,7 +321,7 @@ You may obtain a copy of the License at
 
 def test_wrapped_licences(spark):
     prose = "The weather was fine and nobody at the lake wanted to go home before the evening.\n"
-    texts = {"MIT": MIT_TEXT, "GPL-3.0": GPL_TEXT, "BSD-3-Clause": BSD_TEXT, "Apache-2.0": APACHE_TEXT}
+    texts = {"MIT": MIT_TEXT, "GPL-3.0": GPL_TEXT, "BSD": BSD_TEXT, "Apache-2.0": APACHE_TEXT}
     rows, want = [], {}
     for family, t in texts.items():
         for form in (t, prose + "\n" + t + "\n" + prose, t.replace("\n", "\r\n"), "# " + t.replace("\n", "\n# "), prose * 9 + t + prose * 9, (prose * 9 + t + prose * 9).replace("\n", " ")):
