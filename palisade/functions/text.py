@@ -45,6 +45,17 @@ def replace_all(c: Column | str, pattern: str, by: str) -> Column:
 INVISIBLE = "[" + "".join(p[1:-1] for p in CLASSES.values()) + "]"
 
 
+#: Those of the classes that are ASCII.
+ASCII_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: What any text that is Morse code begins with.
+MAY_BE_MORSE = rf"\A[{SPACE}]*[.\-/]"
+
+
+def is_ascii(c: Column) -> Column:
+    """Every character takes one byte."""
+    return F.octet_length(c) == F.length(c)
+
+
 def invisible_counts(c: Column | str) -> dict[str, Column]:
     """The counts of a text that holds none are known from one pass."""
     c = F.col(c) if isinstance(c, str) else c

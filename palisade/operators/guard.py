@@ -29,21 +29,27 @@ def with_copies(df: DataFrame, text: str, policy: Policy, locale: Column | None
     df = df.withColumn("_text", tx.truncate_bytes(raw, policy.max_scan_bytes)).withColumn(
         "truncated", F.octet_length(raw) > policy.max_scan_bytes
     )
-    norm = tx.nfkc(F.when(F.col("_text").rlike(r"[^\x00-\x7f]"), F.col("_text"))) if policy.nfkc else F.lit(None)
+    df = df.withColumn("_ascii", tx.is_ascii(F.col("_text")))
+    norm = tx.nfkc(F.when(~F.col("_ascii"), F.col("_text"))) if policy.nfkc else F.lit(None)
     df = df.withColumn("_norm", norm).withColumn("_norm", F.coalesce("_norm", "_text"))
     norm = F.col("_norm")
-    # bound: a plain struct would be taken apart and counted anew at each use
-    counted = sc.bound(norm, lambda c: F.struct(*[v.alias(k) for k, v in tx.invisible_counts(c).items()]))
-    df = df.withColumn("_counts", counted)
+    # in ASCII without controls nothing is invisible, and nothing looks like something else
+    df = df.withColumn("_plain", F.col("_ascii") & ~norm.rlike(tx.ASCII_CONTROL))
+    plain = F.col("_plain")
+    df = df.withColumn("_some", ~plain & norm.rlike(tx.INVISIBLE))
+    counts = {k: F.when(F.col("_some"), F.regexp_count(norm, F.lit(p))).otherwise(0) for k, p in tx.CLASSES.items()}
+    df = df.withColumn("_counts", F.struct(*[v.alias(k) for k, v in counts.items()]))
     stripped = tx.strip_invisible(norm, policy.bidi)
     if locale is not None and policy.bidi == "strip":
         stripped = F.when(tx.locale_base(locale).isin(list(policy.rtl_locales)), tx.strip_invisible(norm, "isolate")).otherwise(stripped)
-    df = df.withColumn("model_copy", stripped)
-    fold = tx.fold_confusables(F.col("model_copy")) if policy.fold_confusables else F.struct(F.col("model_copy").alias("text"), F.lit(0).alias("n"))
+    df = df.withColumn("model_copy", F.when(F.col("_some"), stripped).otherwise(norm))
+    fold = F.struct(F.col("model_copy").alias("text"), F.lit(0).alias("n"))
+    if policy.fold_confusables:
+        fold = F.when(plain, fold).otherwise(tx.fold_confusables(F.col("model_copy")))
     df = df.withColumn("_fold", fold)
     folded = F.col("_fold.text")
     if policy.decode_encoded:
-        folded = F.coalesce(tx.morse(folded), folded)
+        folded = F.coalesce(F.when(folded.rlike(tx.MAY_BE_MORSE), tx.morse(folded)), folded)
     df = df.withColumn("_folded", folded).withColumn("decode_copy", tx.collapse_space(F.col("_folded")))
     joined = tx.join_spaced_letters(tx.join_split_words(F.col("_folded")))
     return df.withColumn("matching", F.lower(tx.collapse_space(joined)))
@@ -94,7 +100,7 @@ def guard(
     matching = F.col("matching")
     simple = [
         *rules.front_gate(F.col("_text"), F.col("truncated")),
-        *rules.invisible_reasons(counts, tx.utf16_length(F.col("_norm")), F.col("_fold.n")),
+        *rules.invisible_reasons(counts, F.when(F.col("_ascii"), F.length("_norm")).otherwise(tx.utf16_length(F.col("_norm"))), F.col("_fold.n")),
     ]
     made = made.withColumn("_l01", sc.reasons(*simple))
     second = rules.l2_reasons(matching, where, policy)
@@ -113,19 +119,22 @@ def guard(
         F.when(F.col("_entropy") > 5.5, sc.reason("entropy_anomaly", "obfuscation", F.lit(0.3))),
         F.when(n > 0, sc.reason("encoded_payload", "obfuscation", 0.8 + 0.05 * n)),
     ]
-    made = made.withColumn("_l3", rules.rule_reasons(matching))
+    made = rules.with_rule_reasons(made, "matching", "_l3")
     found = F.concat(F.col("_l01"), F.col("_second"), sc.reasons(*second), F.col("_l3"))
     if source:
         skipped = [s for s, (skip, _) in policy.per_source.items() if skip]
         hard = F.concat(F.col("_l01"), F.col("_l3"))
         kept = F.filter(hard, lambda r: r["hard"] | (F.lit(True) if policy.hard_block_rules is True else r["code"].isin(list(policy.hard_block_rules or ()))))
         found = F.when(F.col(source).isin(skipped), kept).otherwise(found)
-    made = made.withColumn("reasons", found).withColumn("score", sc.score_of(F.col("reasons")))
-    would = sc.would_verdict(F.col("score"), sc.hard_block(F.col("reasons"), policy.hard_block_rules), policy, risk)
-    sanitized = F.col("model_copy")
+    sanitized, changed = F.col("model_copy"), None
     if policy.neutralize != "off":
         blobs = F.coalesce(F.col("_decoded.blobs"), F.array().cast("array<string>"))
-        sanitized = decode.neutralised(sanitized, blobs, policy.neutralize)
+        made = made.withColumn("_sanitized", decode.neutralised(sanitized, blobs, policy.neutralize))
+        sanitized, changed = F.col("_sanitized"), F.col("_sanitized") != F.col("model_copy")
+        told = sc.reasons(F.when(changed, sc.reason("encoded_payload_neutralized", "obfuscation", F.lit(0.0))))
+        found = F.concat(found, told) if not source else F.when(F.col(source).isin(skipped), found).otherwise(F.concat(found, told))
+    made = made.withColumn("reasons", found).withColumn("score", sc.score_of(F.col("reasons")))
+    would = sc.would_verdict(F.col("score"), sc.hard_block(F.col("reasons"), policy.hard_block_rules), policy, risk)
     made = made.withColumn("would", would).withColumn("verdict", sc.enforced(F.col("would"), policy.mode)).withColumn("sanitized", sanitized)
     keep = [c for c in df.columns if c not in ("reasons", "score", "would", "verdict", "sanitized")]
     return made.select(*keep, "reasons", "score", "would", "verdict", "sanitized")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import floor_rank, nearest_rank, order_statistics
+
 
 def count_if(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("long")
@@ -100,10 +102,7 @@ def areas(curve_rows: DataFrame) -> DataFrame:
 
 def floor_percentile(df: DataFrame, column: str, share: float, by: list[str]) -> DataFrame:
     """by, value: the value at index floor(share * n) of each group's sorted values, counted from 0."""
-    n = df.groupBy(*by).agg(F.count(column).alias("_n"))
-    ranked = df.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1)
-    at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    return ranked.join(n, by).where(F.col("_i") == at).select(*by, F.col(column).alias("value"))
+    return order_statistics(df, column, by, {"value": floor_rank(share)})
 
 
 def report(df: DataFrame, label: Column, score: str, at: float, fprs: tuple[float, ...] = (0.005, 0.01, 0.05)) -> DataFrame:
@@ -126,11 +125,15 @@ def recall_at_fpr(curve_rows: DataFrame, most: float) -> DataFrame:
 
 
 def latency(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """p50, p95, p99 (nearest rank), mean and max."""
-    return df.groupBy(*by).agg(
-        *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)],
-        F.avg(column).alias("mean"), F.max(column).alias("max"),
-    )
+    """p50, p95, p99 (nearest rank), mean and max; a group without a value has nulls."""
+    by = list(by)
+    exact = order_statistics(df, column, by, {f"p{round(p * 100)}": nearest_rank(p) for p in (0.5, 0.95, 0.99)})
+    rest = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.max(column).alias("max"))
+    if not by:
+        return rest.join(exact, F.lit(True), "left").select("p50", "p95", "p99", "mean", "max")  # one row each
+    key = F.struct(F.lit(1), *by)
+    named = exact.select(key.alias("_k"), "p50", "p95", "p99")
+    return rest.withColumn("_k", key).join(named, "_k", "left").select(*by, "p50", "p95", "p99", "mean", "max")
 
 
 def slices(df: DataFrame, label: Column, positive: Column, by: list[str], least: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LATIN_LOCALES, Policy
@@ -38,6 +38,18 @@ def rule_reasons(matching: Column) -> Column:
     return bound(matching, counted)
 
 
+def with_rule_reasons(df: DataFrame, matching: str, into: str) -> DataFrame:
+    """Adds rule_reasons() of a column, by plain columns of its counts: these run as generated code, and a pattern's place
+    is looked for only where it was found."""
+    counts = {f"_n_{r.name}": F.least(F.lit(MOST_MATCHES), rx.rule_matches(matching, r)) for r in rx.RULES}
+    out = []
+    for r in rx.RULES:
+        n = F.col(f"_n_{r.name}")
+        start = F.regexp_instr(matching, F.lit(rx.java(r.pattern))) - 1
+        out.append(F.when(n > 0, reason(r.code, r.category, rule_weight(n, r), r.hard, start)))
+    return df.withColumns(counts).withColumn(into, reasons(*out)).drop(*counts)
+
+
 def marker_count(matching: Column) -> Column:
     """Matches of any rule, leftmost first."""
     count = lambda m: F.when(rx.may_match(m, *rx.RULES), rx.count(m, rx.COMBINED)).otherwise(0)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as cf
 from ..functions import scoring as sc
-from ..operators import chain, containment, remote
-from .registry import _CAN, _MARKS, _ROLE_SQL, SCORED_SQL, judged, marks_of, query, table
+from ..functions import regexlib as rx
+from ..operators import chain, containment, remote, rules, toolcalls, verdicts
+from ..sources import sinks
+from ..sources.shared import shared_dir, written
+from .registry import _CAN, _MARKS, _PAYLOADS, _ROLE_SQL, SCORED_SQL, judged, marks_of, query, seeded, table
 
 _WEIGHT = "round((length(m) - length(replace(m, '{0}', ''))) / length(m)::DOUBLE, 6)"
 _RISKY = "(doc_id % 7 = 0)"
@@ -112,3 +117,50 @@ def canary_table(spark, sf_dir):
     listed = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("ord"), canary.alias("canary"))
     out = containment.first_leaks(d.select("doc_id", told.alias("text")), listed, "canary-", 39)
     return out.where("leak is not null").select("doc_id", "leak.canary", F.col("leak.start").cast("long").alias("start"))
+
+
+@query("verdict_store", f"""WITH {SCORED_SQL}, k AS (SELECT doc_id, m, coalesce(source, 'user') AS src, lang, would, round(score, 6) AS score FROM judged)
+SELECT doc_id, would, score, EXISTS (SELECT 1 FROM k o WHERE o.doc_id % 3 <> 0 AND o.m = k.m AND o.src = k.src AND coalesce(o.lang, '') = coalesce(k.lang, '')) AS cached FROM k""")
+def verdict_store(spark, sf_dir):
+    """The second of two runs over one store; the first had two thirds of the rows."""
+    store = verdicts.VerdictStore(spark, f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}", buckets=16)
+    d = seeded(spark, sf_dir).select("doc_id", "source", "lang", "m")
+
+    def judge(rows):
+        found = rules.with_rule_reasons(rows, "m", "reasons").withColumn("score", sc.score_of(F.col("reasons")))
+        would = sc.would_verdict(F.col("score"), sc.hard_block(F.col("reasons"), cf.HARD_BLOCK_RULES), cf.Policy())
+        return found.select(*rows.columns, F.round("score", 6).alias("score"), would.alias("would"))
+
+    how = {"matching": "m", "source": "source", "locale": "lang"}
+    written(verdicts.cached_verdicts(d.where("doc_id % 3 <> 0"), store, judge, **how), "verdict-first")
+    return verdicts.cached_verdicts(d, store, judge, **how).select("doc_id", "would", "score", "cached")
+
+
+@query("metrics_sink", f"""WITH {SCORED_SQL} SELECT count(*) AS checks, count_if(would = 'allow') AS allow, count_if(would = 'flag') AS flag, count_if(would = 'block') AS block,
+count_if(would = 'block') AS shadowed, round(avg(score), 5) AS mean_score, round(max(score), 5) AS max_score, sum(len(ws))::BIGINT AS reasons FROM judged""")
+def metrics_sink(spark, sf_dir):
+    met = []
+    d = judged(spark, sf_dir).withColumn("verdict", F.col("would")).withColumn("other", sc.enforced(F.col("would"), "soft"))
+    sinks.told(d, met.append, lambda rows: rows.write.format("noop").mode("overwrite").save(), would="other")
+    kind = "checks long, allow long, flag long, block long, shadowed long, mean_score double, max_score double, reasons long"
+    row = [round(met[0][k], 5) if k.endswith("score") else met[0][k] for k in (x.split()[0] for x in kind.split(", "))]
+    return spark.createDataFrame([tuple(row)], kind)
+
+
+_NOTE = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {rx.quoted(p)}" for k, p in enumerate(_PAYLOADS)) + " ELSE 'nothing to tell' END"
+_TOOL_DOCS = f"docs AS (SELECT doc_id, lang, source, lower('{{\"doc_id\":' || doc_id || ',\"note\":\"' || replace({_NOTE}, '\"', '\\\"') || '\"}}') AS m FROM documents)"
+
+
+_TOKENS = rx.sql_count("m", rx.special_token_pattern(cf.SPECIAL_TOKENS))
+_SPECIAL = f"CASE WHEN {_TOKENS} > 0 THEN [least(0.95::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * (least(21, {_TOKENS}) - 1))] ELSE [] END"
+_TOOL_SCORED = "w AS (" + SCORED_SQL.split("), w AS (", 1)[1].replace(" AS ws, (", f" || {_SPECIAL} AS ws, (", 1)
+
+
+@query("tool_arguments", f"""WITH {_TOOL_DOCS}, {_TOOL_SCORED}
+SELECT doc_id, coalesce(lang IN ('en', 'de'), false) AS allowed, CASE WHEN lang IN ('en', 'de') THEN round(score, 6) ELSE 1.0 END AS score,
+CASE WHEN lang IN ('en', 'de') AND would = 'allow' THEN 'allow' ELSE 'block' END AS verdict FROM judged""")
+def tool_arguments(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.struct("doc_id", F.expr(_NOTE).alias("note")).alias("arguments"))
+    allow = spark.createDataFrame([("en",), ("de",)], "lang string")
+    out = toolcalls.judge_tool_calls(d, allow, name="lang")
+    return out.select("doc_id", "allowed", F.round("score", 6).alias("score"), "verdict")

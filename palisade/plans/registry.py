@@ -18,6 +18,7 @@ from ..operators import companions as cp
 from ..operators import decode, egress, escalation, metrics, rules, session, streamscan
 from ..operators.guard import guard
 from ..sources import readers
+from ..sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", F.expr(SEEDED).alias("s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).withColumn("s", F.expr(SEEDED))
     return d.withColumn("m", F.lower(F.regexp_replace("s", _WS, " ")))
 
 
@@ -98,7 +99,7 @@ judged AS (SELECT *, CASE WHEN hard OR score >= 0.85::DOUBLE THEN 'block' WHEN s
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = seeded(spark, sf_dir).withColumn("reasons", rules.rule_reasons(F.col("m"))).withColumn("score", sc.score_of(F.col("reasons")))
+    d = rules.with_rule_reasons(seeded(spark, sf_dir), "m", "reasons").withColumn("score", sc.score_of(F.col("reasons")))
     hard = sc.hard_block(F.col("reasons"), cf.HARD_BLOCK_RULES)
     return d.withColumn("hard", hard).withColumn("would", sc.would_verdict(F.col("score"), hard, cf.Policy()))
 
@@ -755,7 +756,13 @@ def degraded(spark, sf_dir):
     return judged(spark, sf_dir).select("doc_id", escalation.degraded(F.col("would"), error, F.lit(False), cf.Policy(fail_mode="closed")).alias("verdict"))
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", """WITH RECURSIVE log AS (SELECT event_type, ts, value > 20 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, value > 20 NULLS FIRST) AS i FROM events),
+f AS (SELECT DISTINCT event_type, 0::BIGINT AS i, 0 AS run, NULL::TIMESTAMP AS opened, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS ok, NULL::VARCHAR AS state FROM log
+UNION ALL SELECT event_type, i, CASE WHEN s = 'open' THEN run WHEN ok OR s = 'half-open' OR run + 1 >= 5 THEN 0 ELSE run + 1 END,
+  CASE WHEN s = 'open' THEN opened WHEN ok THEN NULL WHEN s = 'half-open' OR run + 1 >= 5 THEN ts END, ts, given, s
+FROM (SELECT l.event_type, l.i, f.run, f.opened, l.ts, coalesce(l.ok, false) AS ok, l.ok AS given,
+  CASE WHEN f.opened IS NULL THEN 'closed' WHEN l.ts - f.opened >= INTERVAL 30 SECOND THEN 'half-open' ELSE 'open' END AS s FROM f JOIN log l ON l.event_type = f.event_type AND l.i = f.i + 1))
+SELECT event_type, ts, ok, state, state <> 'open' AS allowed FROM f WHERE i > 0""")
 def circuit_breaker(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_type", "ts", (F.col("value") > 20).alias("ok"))
     return escalation.breaker_states(log, "event_type", "ts", "ok")

@@ -31,3 +31,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows in the same partitions and order whenever it is read."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows, dealt anew where it has fewer partitions than there are cores: a small file is one partition, however
+    much is then computed for its rows. Select the columns first; a large table is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
