@@ -14,8 +14,9 @@ where the item-sized window of the document lies; there the exact edit distance
 over the window's substrings, by a bit-parallel recurrence over many windows at once) decides,
 unless the window lacks more of the item's trigrams than the allowed edits could change.
 
-Items with fewer than LEAST_TRIALS chances to collide (short ones, say) aren't left to chance: the
-same recurrence goes over all of each text for them.
+Items with fewer than LEAST_TRIALS chances to collide (short ones, say) aren't left to chance. Cut into one piece more
+than they may have edits, one piece is left as it is; an automaton of all pieces finds these in the texts, and the same
+recurrence goes over what lies around them.
 
 Texts are compared after lower-casing A-Z and collapsing white space, in UTF-8 bytes.
 """
@@ -23,6 +24,7 @@ Texts are compared after lower-casing A-Z and collapsing white space, in UTF-8 b
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -46,7 +48,7 @@ LEAST_TRIALS = 12
 LONG_RUN, APART = 24, 4
 #: Items that are searched at once; more are taken block by block.
 BLOCK_BYTES = 8 << 20
-#: Bytes of text that are searched at once; of a window where all of a text is looked through; windows at once.
+#: Bytes of text that are searched at once; of a window around pieces; windows at once.
 SLICE, LOOK, MANY = 4 << 20, 512, 4096
 
 
@@ -264,7 +266,25 @@ class ItemIndex:
                     r.learn(padded, codes, start[use], item[use], (start - offsets[item])[use])
                     self.repetitions.append(r)
                     trials += np.bincount(item[use], minlength=len(items))
-        self.looked_through = np.flatnonzero((trials < LEAST_TRIALS) & (size > 0))
+        self.pieces = self._pieces(np.flatnonzero((trials < LEAST_TRIALS) & (size > 0)))
+
+    def _pieces(self, items: np.ndarray):
+        """An automaton of the pieces of the items that have too few starts. Cut into one piece more than it may have
+        edits, an item leaves one of them as it is wherever it is found."""
+        import ahocorasick
+
+        places: dict[str, list[tuple[int, int]]] = {}
+        for i in items.tolist():
+            cuts = np.linspace(0, len(self.texts[i]), self.most[i] + 2).astype(int).tolist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                places.setdefault(self.texts[i][s:e].decode("latin-1"), []).append((i, s))
+        if not places:
+            return None
+        automaton = ahocorasick.Automaton()
+        for piece, where in places.items():
+            automaton.add_word(piece, (len(piece), where))
+        automaton.make_automaton()
+        return automaton
 
     def find(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, end) of the items found in some texts, the best of each pair."""
@@ -299,7 +319,7 @@ class ItemIndex:
                 here[three[low : max(high - 2, low)]] = True
                 if np.count_nonzero(~here[grams]) <= 3 * most:  # an edit changes three trigrams at most
                     windows.append((t, i, low, high))
-        windows += self._all_windows(offsets)
+        windows += self._piece_windows(b, offsets)
         if not windows:
             return []
         t, i, low, high = np.array(windows, np.int64).T
@@ -311,15 +331,26 @@ class ItemIndex:
         first = np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]))[: len(t)]
         return list(zip(*(x[first].tolist() for x in (t, i, best, end)), strict=True))
 
-    def _all_windows(self, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Overlapping windows over all texts for the items that are looked for everywhere."""
-        out = []
-        for i in self.looked_through.tolist():
-            over = len(self.texts[i]) + self.most[i]
-            step = max(LOOK, 4 * over) - over
-            for t, (s, e) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-                out += [(t, i, low, min(low + step + over, e)) for low in range(s, max(e - over, s + 1), step) if e > s]
-        return out
+    def _piece_windows(self, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Windows around the pieces that stand in the texts; near ones are one."""
+        if self.pieces is None:
+            return []
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        ends = offsets.tolist()
+        for last, (size, where) in self.pieces.iter(b.tobytes().decode("latin-1")):
+            begin = last + 1 - size
+            t = bisect_right(ends, begin) - 1
+            if last >= ends[t + 1]:
+                continue  # across two texts
+            for i, at in where:
+                low, high = begin - at - self.most[i], begin - at + len(self.texts[i]) + self.most[i]
+                own, window = found.setdefault((t, i), []), (max(low, ends[t]), min(high, ends[t + 1]))
+                over = len(self.texts[i]) + self.most[i]
+                if own and own[-1][0] <= window[0] and window[1] - own[-1][0] <= max(LOOK, 4 * over):
+                    own[-1] = (own[-1][0], max(own[-1][1], window[1]))
+                else:
+                    own.append(window)
+        return [(t, i, low, high) for (t, i), own in found.items() for low, high in own]
 
 
 def find_leaks(
