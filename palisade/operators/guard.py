@@ -1,27 +1,19 @@
 """The whole first tier as a chain of column expressions, with Arrow UDFs behind native gates.
 
 Rows are read and normalised once, whatever passes the gates: the UDF for other than ASCII gets a null where a text
-needs nothing, and entropy and decoding are one Arrow pass over the finished copies. That pass also keeps the
-optimiser from writing the normalisation out again at each of its uses.
+needs nothing. Entropy and what may be decoded are one Arrow function over the two finished copies; what it finds is
+normalised and searched by column expressions, level by level (see rescan.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import Policy
 from ..functions import scoring as sc
 from ..functions import text as tx
-from . import decode, rules
-
-#: Texts with fewer different characters have less entropy than the gates ask for.
-LEAST_SYMBOLS = 28
-
+from . import decode, rescan, rules
 
 def with_copies(df: DataFrame, text: str, policy: Policy, locale: Column | None = None) -> DataFrame:
     """Adds truncated, model_copy, decode_copy, matching, and the counts that normalisation takes."""
@@ -55,30 +47,6 @@ def with_copies(df: DataFrame, text: str, policy: Policy, locale: Column | None
     return df.withColumn("matching", F.lower(tx.collapse_space(joined)))
 
 
-def _looked_into(df: DataFrame, policy: Policy) -> DataFrame:
-    """Adds _entropy (of the matching copy) and _decoded: n, codes, blobs of the decode copy, null where neither _gate
-    nor its entropy asks for a look."""
-    names, depth, on = df.columns, policy.decode_depth, policy.decode_encoded
-    at = [names.index(c) for c in ("matching", "decode_copy", "_gate")]
-    kind = pa.struct([("n", pa.int32()), ("codes", pa.list_(pa.string())), ("blobs", pa.list_(pa.string()))])
-
-    def one(text: str, gate: bool):
-        if not on or not (gate or len(text) >= LEAST_SYMBOLS and decode.bits(text) > decode.GATE_BITS):
-            return None
-        return dict(zip(("n", "codes", "blobs"), decode.looked_into(text, depth), strict=True))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matching, copies, gates = (batch.column(k).to_pylist() for k in at)
-            entropy = [decode.bits(t) if len(t) >= LEAST_SYMBOLS else None for t in matching]
-            decoded = [one(*x) for x in zip(copies, gates, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(entropy, pa.float64()), pa.array(decoded, kind)], [*names, "_entropy", "_decoded"])
-
-    decoded = "struct<n:int,codes:array<string>,blobs:array<string>>"
-    schema = StructType([*df.schema.fields, StructField("_entropy", DoubleType()), StructField("_decoded", StructType.fromDDL(f"d {decoded}")[0].dataType)])
-    return df.mapInArrow(look, schema)
-
-
 def guard(
     df: DataFrame,
     text: str = "text",
@@ -110,13 +78,15 @@ def guard(
         second.insert(1, F.when(n >= 3, sc.reason("adversarial_suffix", "obfuscation", 0.3 + 0.05 * F.least(n - 3, F.lit(6)))))
     copy = F.col("decode_copy")
     gate = decode.looks_encoded(copy) | (copy.rlike("[0-9=]") & copy.rlike(decode.MAY_SPLIT))
-    made = _looked_into(made.withColumn("_gate", gate), policy)
+    gate = gate if policy.decode_encoded else F.lit(None).cast("boolean")
+    made = made.withColumn("_looked", rescan.look(matching, copy, gate))
     # what follows needs the finished copies only
+    made = rescan.with_rescan(made.withColumn("_found", F.col("_looked.found")), "_found", "decode_copy", policy.decode_depth, "_decoded")
     made = made.withColumn("_second", sc.reasons(*second))
     second = []
     n = F.coalesce(F.col("_decoded.n"), F.lit(0))
     second += [
-        F.when(F.col("_entropy") > 5.5, sc.reason("entropy_anomaly", "obfuscation", F.lit(0.3))),
+        F.when(F.col("_looked.entropy") > 5.5, sc.reason("entropy_anomaly", "obfuscation", F.lit(0.3))),
         F.when(n > 0, sc.reason("encoded_payload", "obfuscation", 0.8 + 0.05 * n)),
     ]
     made = rules.with_rule_reasons(made, "matching", "_l3")
