@@ -1,10 +1,14 @@
 """Licence versions, labels that teach nothing, hot groups without ids, words that a polynomial hash confuses."""
 
+import math
+import re
+
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.llm import bytetools as bt
 from palisade.llm import decontamination, exact_dedup, license_scan, substring_dedup, toxicity
 
 #: Headers as their projects wrap them, and what they are.
@@ -87,18 +91,61 @@ def test_training_texts_are_bounded_by_the_labelled_ids(spark):
     assert {(r["_id"], r["label"]) for r in found} >= {(1, 0), (1, 1)} or toxicity.held_out is None
 
 
-def _plain_scores(model, text):
-    """The score of one text by loops: windows, steps of both directions, attention, and the text's features."""
-    own = model.scores(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
-    return float(own[0])
-
-
-def test_scores_do_not_hang_on_other_texts(spark):
+def _plain_score(model, text):
+    """The score of an ASCII text by loops: pieces of words, n-grams, windows, steps of both directions, attention, tops."""
+    p, t = model.network.p, toxicity
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    pieces = []
+    for word in re.findall("[a-z]+", text.lower()):
+        pieces += [word[k * t.PIECE : k * t.PIECE + t.LETTERS] for k in range(max(-(-(len(word) - t.LETTERS) // t.PIECE), 0) + 1)]
+    vectors = []
+    for word in pieces:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        bucket = int(bt.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) % (t.WORD_BUCKETS - 1) + 1
+        grams, own = [], "<" + word
+        for n in t.GRAM_SIZES:
+            for j in range(len(own) - n + 1):
+                h = n
+                for c in own[j : j + n]:
+                    h = (h ^ ord(c)) * 16777619 % 2**32
+                grams.append((h ^ (h >> 15)) % (t.GRAM_BUCKETS - 1) + 1)
+        mean = sum((p["gram"][g].astype(float) for g in grams), np.zeros(t.GRAM_DIM)) / max(len(grams), 1)
+        vectors.append(np.concatenate([p["word"][bucket], mean]))
+    starts = range(0, max(-(-(len(vectors) - t.WINDOW) // t.STRIDE), 0) * t.STRIDE + 1, t.STRIDE) if vectors else []
+    logits = []
+    for at in starts:
+        window = vectors[at : at + t.WINDOW]
+        window += [np.zeros(t.WORD_DIM + t.GRAM_DIM)] * (t.WINDOW - len(window))
+        states = []
+        for side, order in (("f", 1), ("b", -1)):
+            h, own = np.zeros(t.HIDDEN), []
+            for x in window[::order]:
+                xp, a = x @ p["w" + side] + p["b" + side], h @ p["u" + side]
+                r, z, n = (np.zeros(t.HIDDEN) for _ in range(3))
+                for k in range(t.HIDDEN):
+                    r[k], z[k] = sigmoid(xp[k] + a[k]), sigmoid(xp[t.HIDDEN + k] + a[t.HIDDEN + k])
+                    n[k] = math.tanh(xp[2 * t.HIDDEN + k] + r[k] * a[2 * t.HIDDEN + k])
+                h = n + z * (h - n)
+                own.append(h)
+            states.append(own[::order])
+        both = [np.concatenate(x) for x in zip(*states, strict=True)]
+        weight = [math.exp(float(h @ p["att"][:, 0])) for h in both]
+        logits.append(sum(w * float(h @ p["out"][:, 0]) for w, h in zip(weight, both, strict=True)) / sum(weight) + float(p["c"][0]))
+    logits.sort(reverse=True)
+    features = [sum(logits[:top]) / len(logits[:top]) if logits else -8.0 for top in t._TOPS]
+    return sigmoid(float(np.dot([*features, 1.0], model.weights)))
+
+
+def test_scores_equal_plain_loops(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     known = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, known)
-    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs.repartition(1), model).collect()}
-    assert all(got[k] == pytest.approx(_plain_scores(model, t), abs=1e-5) for k, t in TEXTS)
+    more = [(100, ""), (101, "... 123"), (102, "word " * 100 + "you utter fool and idiot " + "fine weather " * 40), (103, "Donaudampfschifffahrtsgesellschaftskapitaen you idiot"), (104, "a b c " * 30)]
+    rows = TEXTS[:10] + more
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    for k, text in rows:
+        assert got[k] == pytest.approx(_plain_score(model, text), abs=1e-5), k
+    assert max(got[k] for k, _ in rows) - min(got[k] for k, _ in rows) > 0.3
 
 
 def test_hot_groups_without_ids_are_spread(spark):
