@@ -296,6 +296,7 @@ def breaker_states(attempts: DataFrame, key: str, ts: str, ok: str, failures: in
 
 
 def verdict_cache(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds cached: whether a row repeats the keys of an earlier one."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("cached", F.row_number().over(w) > 1)
+    """Adds cached: whether a row repeats the keys of an earlier one. Of rows with one key and one ``order`` none is earlier."""
+    first = df.groupBy(F.struct(*keys).alias("_key")).agg(F.min(order).alias("_first"))
+    met = df.withColumn("_key", F.struct(*keys)).join(first, "_key")
+    return met.withColumn("cached", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")

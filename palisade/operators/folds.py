@@ -51,7 +51,7 @@ class Fold:
 
 def _runs(batch: pa.RecordBatch, keys: list[int]) -> Iterator[tuple[tuple, int, int]]:
     """(key, start, end) of runs of rows with one key."""
-    rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+    rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
     start = 0
     for at in range(1, len(rows) + 1):
         if at == len(rows) or rows[at] != rows[start]:
@@ -64,7 +64,8 @@ def _values(batch: pa.RecordBatch, inputs: list[int], start: int, end: int) -> l
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, parts: int | None = None) -> DataFrame:
-    """df with the fold's columns; rows of a group are taken by ``order``. Null keys form a group of their own.
+    """df with the fold's columns; rows of a group are taken by ``order``. Null keys form a group of their own; without
+    keys, all rows are one group.
 
     Rows that are equal in all keys and order columns lie in one partition, and are taken by their other columns'
     hash. Columns that df has already are replaced."""
@@ -73,7 +74,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, p
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     simple = [f.name for f in base.schema if f.dataType.typeName() not in ("map", "variant")]
     tie = F.xxhash64(*simple)
-    dealt = base.repartitionByRange(n, *keys, *order) if keys or order else base.coalesce(1)
+    dealt = base.repartitionByRange(n, *keys, *order)
     held = checkpointed(dealt.sortWithinPartitions(*keys, *order, tie))
     key_at, input_at = [base.columns.index(k) for k in keys], [base.columns.index(k) for k in fold.inputs]
     names, begins = [*base.columns, *fold.adds], _begins(held, key_at, input_at, fold)

@@ -89,7 +89,7 @@ def guard(
         F.when(F.col("_looked.entropy") > 5.5, sc.reason("entropy_anomaly", "obfuscation", F.lit(0.3))),
         F.when(n > 0, sc.reason("encoded_payload", "obfuscation", 0.8 + 0.05 * n)),
     ]
-    made = rules.with_rule_reasons(made, "matching", "_l3")
+    made = rules.with_rule_reasons(made, "matching", "_l3", F.col("_looked.may"))
     found = F.concat(F.col("_l01"), F.col("_second"), sc.reasons(*second), F.col("_l3"))
     if source:
         skipped = [s for s, (skip, _) in policy.per_source.items() if skip]

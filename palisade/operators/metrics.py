@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import running_total
 from .selection import floor_rank, nearest_rank, order_statistics
 
 
@@ -143,12 +144,13 @@ def slices(df: DataFrame, label: Column, positive: Column, by: list[str], least:
 
 
 def even_sample(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """Every floor(i * size / n)-th row of each stratum in the given order."""
-    w = Window.partitionBy(by)
-    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_size", F.count(F.lit(1)).over(w))
+    """Every floor(i * size / n)-th row of each stratum in the given order; strata are counted over ranges."""
+    sizes = df.groupBy(F.struct(by).alias("_stratum")).agg(F.count(F.lit(1)).alias("_size"))
+    numbered = running_total(df.withColumn("_one", F.lit(1)), [by], [order], "_one", "_i").drop("_one")
+    numbered = numbered.withColumn("_stratum", F.struct(by)).join(sizes, "_stratum")
     slot = F.ceil(F.col("_i") * n / F.col("_size"))
     chosen = (F.floor(slot * F.col("_size") / n) == F.col("_i")) & (slot < n)
-    return numbered.where((F.col("_size") <= n) | chosen).drop("_i", "_size")
+    return numbered.where((F.col("_size") <= n) | chosen).drop("_stratum", "_i", "_size")
 
 
 def release_gates(df: DataFrame, recall: float = 0.9, hard_recall: float = 1.0, fpr: float = 0.01, over_defense: float = 0.05) -> DataFrame:

@@ -38,10 +38,16 @@ def rule_reasons(matching: Column) -> Column:
     return bound(matching, counted)
 
 
-def with_rule_reasons(df: DataFrame, matching: str, into: str) -> DataFrame:
+def with_rule_reasons(df: DataFrame, matching: str, into: str, may: Column | None = None) -> DataFrame:
     """Adds rule_reasons() of a column, by plain columns of its counts: these run as generated code, and a pattern's place
-    is looked for only where it was found."""
-    counts = {f"_n_{r.name}": F.least(F.lit(MOST_MATCHES), rx.rule_matches(matching, r)) for r in rx.RULES}
+    is looked for only where it was found. ``may``: a bit for each rule that may match, if that is known already."""
+
+    def matches(k: int, r: rx.Rule) -> Column:
+        if may is None:
+            return rx.rule_matches(matching, r)
+        return F.when(may.bitwiseAND(F.lit(1 << k)) != 0, rx.count(matching, r.pattern)).otherwise(0)
+
+    counts = {f"_n_{r.name}": F.least(F.lit(MOST_MATCHES), matches(k, r)) for k, r in enumerate(rx.RULES)}
     out = []
     for r in rx.RULES:
         n = F.col(f"_n_{r.name}")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.metrics import range_of
+from ..operators.folds import running_total
 
 #: A labelled corpus entry.
 ENTRY = (
@@ -53,21 +53,16 @@ def labelled(df: DataFrame, text: Column, label: str, category: str, dataset: st
 
 def sequence_ids(df: DataFrame, prefix: str, order: str, dense: bool = True) -> DataFrame:
     """Adds id: prefix and a number padded to five digits. Numbers are dense over the whole table: each range of
-    ``order`` counts its rows and starts after those before it, so no task sorts all rows."""
-    ranged = df.withColumn("_part", range_of(df, order))
-    parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        parts.alias("a").join(parts.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-        .groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    )  # a row per range
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
-    return ranged.join(before, "_part").withColumn("id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 5, "0"))).drop("_part", "_before")
+    ``order``, a column of any type that sorts, counts on from those before it, so no task sorts all rows."""
+    numbered = running_total(df.withColumn("_one", F.lit(1)), [], [order], "_one", "_before")
+    number = (F.col("_before") + 1).cast("string")
+    return numbered.withColumn("id", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(5)), F.lit("0")))).drop("_one", "_before")
 
 
 def distinct_texts(df: DataFrame, text: str, order: str) -> DataFrame:
-    """The first row of each trimmed text."""
-    w = Window.partitionBy(F.trim(F.col(text))).orderBy(order)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The first row of each trimmed text: each task keeps one row of a text, however often it is there."""
+    first = df.groupBy(F.trim(F.col(text)).alias("_k")).agg(F.min_by(F.struct(*df.columns), order).alias("_row"))
+    return first.select("_row.*")
 
 
 def write_corpus(df: DataFrame, path: str) -> None:

@@ -68,3 +68,13 @@ def test_guard_looks_only_where_something_asks(spark):
     codes = lambda policy: {r["n"]: [x["code"] for x in r["reasons"]] for r in guard(df, "text", policy=policy).collect()}
     assert "encoded_payload" in codes(Policy())[1] and codes(Policy())[2] == codes(Policy())[3] == []
     assert "encoded_payload" not in codes(Policy(decode_encoded=False))[1]
+
+
+def test_literals_are_found_at_once(spark):
+    from test_tiers import texts
+
+    from palisade.functions import regexlib as rx
+
+    for t in texts(600):
+        want = [all(any(x in t for x in group) for group in r.needs) for r in rx.RULES]
+        assert [bool(rescan.may_match(t) >> k & 1) for k in range(len(rx.RULES))] == want
