@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,105 +218,115 @@ def _sets(words: int):
     return run
 
 
-_TOKENS = {"bucket": pa.int32(), "hash": pa.binary(), "ids": pa.binary(), "count": pa.binary(), "held": pa.binary(), "mark": pa.binary()}
-_TOKENS_SCHEMA = "bucket int, hash binary, ids binary, count binary, held binary, mark binary"
+#: Classes of a pack.
+PACK = 256
+_PACKS_SCHEMA = "pack long, ids binary, sizes binary, counts binary, tokens binary"
+_TOKENS = {"bucket": pa.int32(), "pack": pa.int64(), "hash": pa.binary(), "held": pa.binary(), "mark": pa.binary()}
+_TOKENS_SCHEMA = "bucket int, pack long, hash binary, held binary, mark binary"
 
 
-def _add_tokens(out: dict[str, list], bucket: int, h: np.ndarray, ids: np.ndarray, held: np.ndarray | None, mark: np.ndarray | None) -> None:
-    """ids: sorted, one per token"""
-    used, many = np.unique(ids, return_counts=True)
-    out["bucket"].append(int(bucket))
-    out["hash"].append(packed.planes(h))
-    out["ids"].append(packed.planes(used.astype(np.int64)))
-    out["count"].append(packed.planes(many.astype(np.int32)))
-    out["held"].append(b"" if held is None else packed.planes(held.astype(np.int32)))
-    out["mark"].append(b"" if mark is None else packed.planes(mark))
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, size, tokens), PACK in one."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for s in range(0, batch.num_rows, PACK):
+            ids, sizes = (batch.column(k).slice(s, PACK).to_numpy(zero_copy_only=False) for k in range(2))
+            cells = batch.column(2).slice(s, PACK).to_pylist()
+            counts = np.array([len(c) // 8 for c in cells], np.int32)
+            row = (packed.planes(ids.astype(np.int64)), packed.planes(sizes.astype(np.int32)), packed.planes(counts), b"".join(cells))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c], pa.binary()) for c in row)], ["pack", "ids", "sizes", "counts", "tokens"])
+            number += 1
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int, packs: np.ndarray, h: np.ndarray, held: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    """Entries (pack, hash, held, mark), a row for each bucket and pack."""
+    out: dict[str, list] = {k: [] for k in _TOKENS}
+    order = np.lexsort((packs, bucket))
+    bucket, packs, h, held, mark = bucket[order], packs[order], h[order], held[order], mark[order]
+    first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (packs[1:] != packs[:-1]))[: len(h)])
+    for s, e in zip(first, np.append(first[1:], len(h))[: len(first)], strict=True):
+        for k, v in zip(_TOKENS, (int(bucket[s]), int(packs[s]), packed.planes(h[s:e]), packed.planes(held[s:e].astype(np.int64)), packed.planes(mark[s:e])), strict=True):
+            out[k].append(v)
+    return packed.batch(out, _TOKENS)
 
 
 def _tokens_out(buckets: int):
+    """Rows of packs: each token once, with how many of the pack hold it and the sum of their marks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cells = batch.column(1).to_pylist()
-            for s in range(0, len(ids), 256):
-                order = s + np.argsort(ids[s : s + 256])
-                parts = [np.frombuffer(cells[k], np.uint64) for k in order]
-                h, owner = np.concatenate(parts), np.repeat(ids[order], [len(p) for p in parts])
-                by, starts = packed.parts(packed.bucket_of(bt.mix(h.copy()), buckets), buckets)
-                out: dict[str, list] = {k: [] for k in _TOKENS}
-                for k in np.flatnonzero(np.diff(starts)):
-                    own = by[starts[k] : starts[k + 1]]
-                    _add_tokens(out, k, h[own], owner[own], None, None)
-                yield packed.batch(out, _TOKENS)
+            for pack, ids, counts, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                ids, counts = packed.from_planes(ids, np.int64), packed.from_planes(counts, np.int32)
+                own = bt.mix(ids.view(np.uint64) ^ np.uint64(0x9FB21C651E98DF25))
+                h, number, held = np.unique(np.frombuffer(tokens, np.uint64), return_inverse=True, return_counts=True)
+                mark = np.zeros(len(h), np.uint64)
+                np.add.at(mark, number, np.repeat(own, counts))
+                yield _by_bucket(packed.bucket_of(bt.mix(h.copy()), buckets), buckets, np.full(len(h), pack), h, held, mark)
 
     return run
 
 
-def _unpack_tokens(cells: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([packed.from_planes(c, np.uint64) for c in cells["hash"]])
-    ids = np.concatenate(
-        [np.repeat(packed.from_planes(i, np.int64), packed.from_planes(c, np.int32)) for i, c in zip(cells["ids"], cells["count"], strict=True)]
-    )
-    return h, ids
+def _tokens_of(cells: dict[str, list]) -> tuple[np.ndarray, ...]:
+    h, mark = (np.concatenate([packed.from_planes(c, np.uint64) for c in cells[k]]) for k in ("hash", "mark"))
+    held = [packed.from_planes(c, np.int64) for c in cells["held"]]
+    return np.repeat(np.array(cells["pack"], np.int64), [len(c) for c in held]), h, np.concatenate(held), mark
 
 
 def _holders(buckets: int):
-    """A bucket of tokens: to each class its tokens that others hold too, with how many hold them and a
-    mark of who they are."""
+    """A bucket of tokens: to each pack its tokens that more than one class holds, with how many do and a mark of who they are."""
 
     def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        h, ids = _unpack_tokens(cells)
+        packs, h, held, mark = _tokens_of(cells)
         order = np.argsort(h)
-        h, ids = h[order], ids[order]
-        new = np.append(True, h[1:] != h[:-1])
-        group = np.cumsum(new) - 1
-        held = np.bincount(group)
-        mark = np.zeros(len(held), np.uint64)
-        np.add.at(mark, group, bt.mix(ids.view(np.uint64) ^ np.uint64(0x9FB21C651E98DF25)))
-        more = held[group] > 1
-        h, ids, group = h[more], ids[more], group[more]
-        by = np.argsort(ids, kind="stable")
-        h, ids, group = h[by], ids[by], group[by]
-        bucket = packed.bucket_of(bt.mix(ids.view(np.uint64).copy()), buckets)
-        by, starts = packed.parts(bucket, buckets)
-        out: dict[str, list] = {k: [] for k in _TOKENS}
-        for k in np.flatnonzero(np.diff(starts)):
-            own = by[starts[k] : starts[k + 1]]
-            _add_tokens(out, k, h[own], ids[own], held[group[own]], mark[group[own]])
-        yield packed.batch(out, _TOKENS)
+        packs, h, held, mark = packs[order], h[order], held[order], mark[order]
+        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+        all_held, all_marks = np.zeros(group[-1] + 1, np.int64), np.zeros(group[-1] + 1, np.uint64)
+        np.add.at(all_held, group, held)
+        np.add.at(all_marks, group, mark)
+        more = all_held[group] > 1
+        packs, h, group = packs[more], h[more], group[more]
+        to = packed.bucket_of(bt.mix(packs.view(np.uint64).copy()), buckets)
+        yield _by_bucket(to, buckets, packs, h, all_held[group], all_marks[group])
 
     return packed.gathered(each, list(_TOKENS))
 
 
-def _prefixes(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """A bucket of classes: (doc_id, tokens, held, mark) of each, in the global order: rare tokens first."""
-    h, ids = _unpack_tokens(cells)
-    held = np.concatenate([packed.from_planes(c, np.int32) for c in cells["held"]])
-    mark = np.concatenate([packed.from_planes(c, np.uint64) for c in cells["mark"]])
-    order = np.lexsort((h, held, ids))
-    h, ids, held, mark = h[order], ids[order], held[order], mark[order]
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    for s, e in zip(first, np.append(first[1:], len(ids)), strict=True):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[s : s + 1]), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (h, held, mark))],
-            ["doc_id", "tokens", "held", "mark"],
-        )
+def _answers(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """A row for each pack: its tokens that others hold too, sorted, with held and mark."""
+    packs, h, held, mark = _tokens_of(cells)
+    order = np.lexsort((h, packs))
+    packs, h, held, mark = packs[order], h[order], held[order], mark[order]
+    first = np.flatnonzero(np.append(True, packs[1:] != packs[:-1])[: len(packs)])
+    for s, e in zip(first, np.append(first[1:], len(packs))[: len(first)], strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array(packs[s : s + 1]), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (h, held, mark))], ["pack", "hash", "held", "mark"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, size, tokens, held, mark) -> (doc_id, size, tokens, keys, at, sign): the marks of the prefix's
-    tokens, and how many tokens of the set come before each one's first."""
+    """Packs and the answers to them -> (doc_id, size, tokens, keys, at, sign): of each class the tokens that others hold,
+    rare ones first, which is the global order; the marks of those in its prefix, and how many tokens of the set
+    come before each one's first."""
     for batch in batches:
-        out: list[tuple] = []
-        for doc, size, tokens, held, mark in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            alone = size - len(held) // 4  # tokens that no other class has come first
-            prefix = size - (size * PERCENT + 99) // 100 + 1 - alone
-            if prefix > 0:
-                keys, at = np.unique(np.frombuffer(mark, np.uint64)[:prefix], return_index=True)
-                out.append((doc, size, tokens, keys.tobytes(), (at + alone).astype(np.int32).tobytes(), b""))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "tokens", "keys", "at", "sign"])
+        for ids, sizes, counts, tokens, h, held, mark in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            ids, sizes, counts = packed.from_planes(ids, np.int64), packed.from_planes(sizes, np.int32), packed.from_planes(counts, np.int32)
+            h, held, mark = np.frombuffer(h, np.uint64), np.frombuffer(held, np.int64), np.frombuffer(mark, np.uint64)
+            tokens, owner = np.frombuffer(tokens, np.uint64), np.repeat(np.arange(len(ids)), counts)
+            at = np.minimum(np.searchsorted(h, tokens), len(h) - 1)
+            shared = h[at] == tokens
+            at, owner = at[shared], owner[shared]
+            order = np.lexsort((h[at], held[at], owner))
+            at, owner = at[order], owner[order]
+            ends = np.searchsorted(owner, np.arange(len(ids) + 1))
+            out: list[tuple] = []
+            for k, (doc, size) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
+                own = at[ends[k] : ends[k + 1]]
+                alone = size - len(own)  # tokens that no other class has come first
+                prefix = size - (size * PERCENT + 99) // 100 + 1 - alone
+                if prefix > 0 and len(own):
+                    keys, first = np.unique(mark[own[:prefix]], return_index=True)
+                    out.append((doc, size, h[own].tobytes(), keys.tobytes(), (first + alone).astype(np.int32).tobytes(), b""))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "tokens", "keys", "at", "sign"])
 
 
 _KEYS = {"bucket": pa.int32(), "key": pa.binary(), "ids": pa.binary(), "size": pa.binary(), "at": pa.binary(), "label": pa.binary(), "sign": pa.binary()}
@@ -596,14 +607,14 @@ def _joined(known: DataFrame, plan: packed.Layout, words: int, how: Keying, bloc
 
 
 def prefix_keyed(heads: DataFrame, buckets: int) -> DataFrame:
-    """The marks of the tokens in each class's prefix, in the global order of tokens."""
-    sent = packed.dealt(heads.select("doc_id", "tokens").mapInArrow(_tokens_out(buckets), _TOKENS_SCHEMA), buckets)
+    """The marks of the tokens in each class's prefix, in the global order of tokens. Tokens are counted by packs of classes, so
+    one that a third of all classes hold is an entry for each pack."""
+    packs = written(heads.where("size > 0").select("doc_id", "size", "tokens").mapInArrow(_packs, _PACKS_SCHEMA), "join-packs")
+    sent = packed.dealt(packs.select("pack", "ids", "counts", "tokens").mapInArrow(_tokens_out(buckets), _TOKENS_SCHEMA), buckets)
     held = packed.dealt(sent.mapInArrow(_holders(buckets), _TOKENS_SCHEMA), buckets)
-    shared = held.mapInArrow(
-        packed.gathered(_prefixes, list(_TOKENS)), "doc_id long, tokens binary, held binary, mark binary"
-    )
-    sized = shared.join(heads.select("doc_id", "size").hint("shuffle_hash"), "doc_id")
-    return sized.select("doc_id", "size", "tokens", "held", "mark").mapInArrow(_keyed, KEYED_SCHEMA)
+    answers = held.mapInArrow(packed.gathered(_answers, list(_TOKENS)), "pack long, hash binary, held binary, mark binary")
+    met = packs.join(answers.hint("shuffle_hash"), "pack")
+    return met.select("ids", "sizes", "counts", "tokens", "hash", "held", "mark").mapInArrow(_keyed, KEYED_SCHEMA)
 
 
 def _connected(keyed: DataFrame, buckets: int, block: int, how: Keying) -> DataFrame:
