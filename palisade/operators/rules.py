@@ -100,10 +100,11 @@ def special_tokens(matching: Column, tokens: tuple[str, ...]) -> Column:
     if pattern is None:
         return F.lit(None)
     n = F.least(F.lit(MOST_MATCHES), rx.count(matching, pattern))
-    on = n > 0
+    some = F.lit(True)
     if all(t[:1] in "<[" for t in tokens if t):
-        on = (matching.contains("<") | matching.contains("[")) & on
-    return F.when(on, reason("special_token_injection", "structural", F.least(F.lit(0.95), 0.6 + 0.1 * (n - 1))))
+        some = matching.contains("<") | matching.contains("[")
+    found = lambda k: F.when(k > 0, reason("special_token_injection", "structural", F.least(F.lit(0.95), 0.6 + 0.1 * (k - 1))))
+    return bound(F.when(some, n).otherwise(0), found)
 
 
 def mixed_letters(matching: Column) -> Column:
@@ -118,14 +119,16 @@ def mixed_letters(matching: Column) -> Column:
 
 
 def script_mixing(matching: Column) -> Column:
-    n = mixed_letters(matching)
-    return F.when(n > 0, reason("script_mixing", "obfuscation", 0.3 + 0.03 * n))
+    wide = ~tx.is_ascii(matching)
+    n = bound(matching, mixed_letters)
+    return bound(F.when(wide, n).otherwise(0), lambda k: F.when(k > 0, reason("script_mixing", "obfuscation", 0.3 + 0.03 * k)))
 
 
 def language_divergence(matching: Column, locale: Column) -> Column:
     s = script_counts(matching)
-    wide = F.octet_length(matching) - F.length(matching) > 10  # each character of another script takes a byte more at least
-    on = tx.locale_base(locale).isin(list(LATIN_LOCALES)) & wide & (s["other"] > 10) & (s["other"] > s["latin"])
+    more = F.octet_length(matching) - F.length(matching)  # each character beyond ASCII takes a byte more at least
+    # what is cheap first: few texts have more other characters than Latin letters
+    on = tx.locale_base(locale).isin(list(LATIN_LOCALES)) & (more > 10) & (more > s["latin"]) & (s["other"] > 10) & (s["other"] > s["latin"])
     return F.when(on, reason("lang_divergence", "semantic", F.lit(0.2)))
 
 
