@@ -192,7 +192,7 @@ def test_hard_negatives_equal_the_plain_version(spark):
     r = random.Random(8)
     rows = _vectors(r, 400)
     rows += [(1000 + k, rows[50][1], k % 3) for k in range(300)]  # ties
-    rows += [(2000, None, 1), (2001, [0.5] * 6, None), (2002, [0.5, None, 0, 0, 0, 0], 1), (2003, [math.nan] * 6, 1), (2004, [math.inf] * 6, 2), (2050, [0.0] * 6, 1)]
+    rows += [(2000, None, 1), (2001, [0.5] * 6, None), (2002, [0.5, None, 0.0, 0.0, 0.0, 0.0], 1), (2003, [math.nan] * 6, 1), (2004, [math.inf] * 6, 2), (2050, [0.0] * 6, 1)]
     rows += [(None, [0.4] * 6, 1), (2100, [0.3], 2), (2150, [], 3), (2200, [0.2] * 9, 3), (2250, [0.3] * 6, 77)]
     frame = spark.createDataFrame([(c, i, v, 0, "n") for i, v, c in rows], "label int, vec_id long, embedding array<double>, w int, id string").repartition(7)
     want = brute.mined(rows)
@@ -204,7 +204,7 @@ def test_hard_negatives_equal_the_plain_version(spark):
 def test_hard_negatives_of_small_batches_and_other_types(spark, monkeypatch):
     monkeypatch.setattr(hn, "CELLS", 200)
     r = random.Random(9)
-    rows = [(i, [x * 3e4 for x in v], c) for i, v, c in _vectors(r, 150)] + [(200 + i, [x * 3e9 for x in v], c) for i, v, c in _vectors(r, 60)]
+    rows = [(i, [x * 30 for x in v], c) for i, v, c in _vectors(r, 150)] + [(200 + i, [x * 4e5 for x in v], c) for i, v, c in _vectors(r, 60)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
     assert _told(hn.hard_negatives(frame, F.col("vec_id") % 50 == 0)) == brute.mined(rows)
 

@@ -156,7 +156,8 @@ def test_licences_against_a_plain_comparison(spark):
                 rows.append((len(rows), form))
             for start in range(0, max(len(words) - 4, 1), 4):
                 rows.append((len(rows), " ".join(words[start : start + 5])))
-    got = {x["doc_id"]: x["license"] for x in license_scan.scan_licences(made(spark, rows)).collect()}
+    family_of = lambda name: name and max((f for f in license_scan.TEMPLATES if name.startswith(f)), key=len)  # noqa: E731  without its version
+    got = {x["doc_id"]: family_of(x["license"]) for x in license_scan.scan_licences(made(spark, rows)).collect()}
     right = sum(got[k] == family for k, family in want.items())
     assert right >= 0.97 * len(want), {rows[k][1]: (got[k], f) for k, f in want.items() if got[k] != f}
     for k, family in got.items():
