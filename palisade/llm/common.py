@@ -30,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # several processes, local-cluster too
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='palisade-')}"
         spark.sparkContext.setCheckpointDir(given)
