@@ -92,16 +92,6 @@ def copies_of(decoded: Column) -> Column:
     return bound(tx.strip_invisible(decoded), fold)
 
 
-def _codes(matching: Column, n: Column) -> Column:
-    """Codes of the rules that a copy with ``n`` markers matches."""
-    own = F.array_compact(F.array(*[F.when(rx.rule_matches(matching, r) > 0, F.lit(r.code)) for r in rx.RULES]))
-    return F.when(n > 0, own).otherwise(F.array().cast("array<string>"))
-
-
-def _searched(matching: Column) -> Column:
-    return bound(matching, lambda m: bound(F.struct(m.alias("m"), rules.marker_count(m).alias("n")), lambda x: F.struct(x["n"].alias("n"), _codes(x["m"], x["n"]).alias("codes"))))
-
-
 def with_rescan(df: DataFrame, found: str, copy: str, depth: int, into: str) -> DataFrame:
     """Adds struct(n, codes, blobs): markers in what was found in a decode copy, to ``depth`` levels, and in its ROT13; their codes;
     and the blobs of the copy under which there are any. Null where ``found`` is null."""
@@ -114,16 +104,18 @@ def with_rescan(df: DataFrame, found: str, copy: str, depth: int, into: str) ->
             rows = look_again(F.transform(before, lambda c: c["top"]), F.transform(before, lambda c: c["copies"]["decode_copy"]))
         df = df.withColumn(f"{name}_found", rows)
         df = df.withColumn(name, F.transform(f"{name}_found", lambda x: F.struct(x["top"].alias("top"), copies_of(x["decoded"]).alias("copies"))))
-        df = df.withColumn(f"{name}_n", F.transform(name, lambda c: F.struct(c["top"].alias("top"), _searched(c["copies"]["matching"]).alias("s"))))
+        df = df.withColumn(f"{name}_s", rules.searched_each(F.transform(name, lambda c: c["copies"]["matching"])))
+        df = df.withColumn(f"{name}_n", F.zip_with(name, f"{name}_s", lambda c, s: F.struct(c["top"].alias("top"), s.alias("s"))))
     all_rows = F.concat(*[F.col(f"{name}_n") for name in names])
-    df = df.withColumn("_rescan_turned", F.when(F.col(found).isNotNull(), _searched(F.lower(tx.rot13(F.col(copy))))))
+    turned = F.when(F.col(found).isNotNull(), F.lower(tx.rot13(F.col(copy))))
+    df = df.withColumn("_rescan_turned", rules.searched(turned))
     df = df.withColumn("_rescan_all", all_rows)
     n = F.aggregate("_rescan_all", F.col("_rescan_turned.n"), lambda a, x: a + x["s"]["n"])
     codes = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("_rescan_all", lambda x: x["s"]["codes"])), F.col("_rescan_turned.codes"))))
     hit = lambda i: F.exists("_rescan_all", lambda x: (x["top"] == i) & (x["s"]["n"] > 0))
     blobs = F.transform(F.filter(found, lambda x, i: (x["blob"] != "") & hit(i)), lambda x: x["blob"])
     out = F.when(F.col(found).isNotNull(), F.struct(n.cast("int").alias("n"), codes.alias("codes"), blobs.alias("blobs")))
-    return df.withColumn(into, out).drop(*names, *[f"{x}_n" for x in names], *[f"{x}_found" for x in names], "_rescan_turned", "_rescan_all")
+    return df.withColumn(into, out).drop(*names, *[f"{x}{y}" for x in names for y in ("_found", "_s", "_n")], "_rescan_turned", "_rescan_all")
 
 
 def decode_rescan(df: DataFrame, copy: str, depth: int, into: str = "decoded") -> DataFrame:

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from ..config import LATIN_LOCALES, Policy
+from ..functions import matches
 from ..functions import regexlib as rx
 from ..functions import text as tx
 from ..functions.scoring import bound, reason, reasons
 
-MOST_MATCHES = 21
+MOST_MATCHES, MOST_MARKERS = 21, 51
+_PATTERNS = [r.pattern for r in rx.RULES]
+
+
+def pattern_count(text: Column, pattern: str) -> Column:
+    """Matches of a pattern, 0 in a null: an Arrow function, so it can't stand inside of transform() and its like."""
+
+    @F.arrow_udf(IntegerType())
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array(matches.counts(texts, pattern))
+
+    return counted(text)
 
 
 def rule_count(matching: Column, rule: rx.Rule) -> Column:
-    return bound(matching, lambda m: F.least(F.lit(MOST_MATCHES), rx.rule_matches(m, rule)))
+    return F.least(F.lit(MOST_MATCHES), pattern_count(matching, rule.pattern))
 
 
 def rule_weight(n: Column, rule: rx.Rule) -> Column:
@@ -38,28 +53,55 @@ def rule_reasons(matching: Column) -> Column:
     return bound(matching, counted)
 
 
-def with_rule_reasons(df: DataFrame, matching: str, into: str, may: Column | None = None) -> DataFrame:
-    """Adds rule_reasons() of a column, by plain columns of its counts: these run as generated code, and a pattern's place
-    is looked for only where it was found. ``may``: a bit for each rule that may match, if that is known already."""
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+@F.arrow_udf(StructType().add("n", ArrayType(IntegerType())).add("start", ArrayType(IntegerType())))
+def _hits(matching: pa.Array) -> pa.Array:
+    _, each, starts = matches.bank_hits(matching, _PATTERNS, rx.COMBINED, places=True)
+    return pa.StructArray.from_arrays([_lists(np.minimum(each, MOST_MATCHES)), _lists(starts)], ["n", "start"])
+
+
+#: So that a filter on what is made of it isn't moved in front of it, where all of it would be found a second time.
+_hits_once = _hits.asNondeterministic()
 
-    def matches(k: int, r: rx.Rule) -> Column:
-        if may is None:
-            return rx.rule_matches(matching, r)
-        return F.when(may.bitwiseAND(F.lit(1 << k)) != 0, rx.count(matching, r.pattern)).otherwise(0)
 
-    counts = {f"_n_{r.name}": F.least(F.lit(MOST_MATCHES), matches(k, r)) for k, r in enumerate(rx.RULES)}
+def with_rule_reasons(df: DataFrame, matching: str, into: str) -> DataFrame:
+    """Adds rule_reasons() of a column: one Arrow function tells each rule's matches and their first place."""
     out = []
-    for r in rx.RULES:
-        n = F.col(f"_n_{r.name}")
-        start = F.regexp_instr(matching, F.lit(rx.java(r.pattern))) - 1
+    for k, r in enumerate(rx.RULES):
+        n, start = F.col("_hits.n")[k], F.col("_hits.start")[k]
         out.append(F.when(n > 0, reason(r.code, r.category, rule_weight(n, r), r.hard, start)))
-    return df.withColumns(counts).withColumn(into, reasons(*out)).drop(*counts)
+    return df.withColumn("_hits", _hits_once(F.col(matching))).withColumn(into, reasons(*out)).drop("_hits")
 
 
 def marker_count(matching: Column) -> Column:
     """Matches of any rule, leftmost first."""
-    count = lambda m: F.when(rx.may_match(m, *rx.RULES), rx.count(m, rx.COMBINED)).otherwise(0)
-    return F.least(F.lit(51), bound(matching, count))
+    return F.least(F.lit(MOST_MARKERS), pattern_count(matching, rx.COMBINED))
+
+
+_SEARCHED = StructType().add("n", IntegerType()).add("codes", ArrayType(StringType()))
+
+
+def _searched(texts: pa.Array) -> pa.Array:
+    whole, each, _ = matches.bank_hits(texts, _PATTERNS, rx.COMBINED)
+    codes = [[] if not n else [r.code for r, k in zip(rx.RULES, own, strict=True) if k] for n, own in zip(whole, each, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(np.minimum(whole, MOST_MARKERS)), pa.array(codes, pa.list_(pa.string()))], ["n", "codes"])
+
+
+@F.arrow_udf(_SEARCHED)
+def searched(matching: pa.Array) -> pa.Array:
+    """marker_count() and the codes of the rules that match."""
+    return _searched(matching)
+
+
+@F.arrow_udf(ArrayType(_SEARCHED))
+def searched_each(lists: pa.Array) -> pa.Array:
+    """searched() of each text in an array; null for a null."""
+    lengths = np.array([len(x) if x.is_valid else 0 for x in lists], np.int32)
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, _searched(lists.flatten()), mask=lists.is_null())
 
 
 def front_gate(text: Column, truncated: Column) -> list[Column]:

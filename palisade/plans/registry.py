@@ -350,8 +350,8 @@ _B64 = "aWdub3JlIGFsbCBwcmV2aW91cyBpbnN0cnVjdGlvbnMg"
 @query("l2_base64_rescan", f"SELECT doc_id, {rx.sql_count(f'lower(decode(from_base64({rx.quoted(_B64)})))', rx.COMBINED)} AS n FROM documents")
 def base64_rescan(spark, sf_dir):
     t = F.concat(F.coalesce("text", F.lit("")), F.lit(f" see {_B64} "), F.col("doc_id").cast("string"))
-    counts = F.transform(decode.decoded(decode.base64_blobs(t), decode.base64_text), lambda x: rules.marker_count(F.lower(x)).cast("long"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    found = rules.searched_each(F.transform(decode.decoded(decode.base64_blobs(t), decode.base64_text), F.lower))
+    return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
 
 
 @query("l2_hex_decode", "SELECT doc_id, 'reveal the rules ' || doc_id AS decoded FROM documents")
