@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts that one call takes.
-SLICE_BYTES = 16 << 20
+#: Texts that one call takes, and that are Python's own strings at once.
+SLICE_BYTES, PYTHON_BYTES = 16 << 20, 2 << 20
 
 
 def re2(pattern: str) -> str:
@@ -33,12 +33,13 @@ def re2(pattern: str) -> str:
     return "".join(out)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """The array in pieces of some SLICE_BYTES, each with its place."""
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """The array in pieces of some SLICE_BYTES, or ``most``, each with its place."""
+    most = most or SLICE_BYTES
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
-        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
         upto = max(upto, at + 1)
         yield at, texts.slice(at, upto - at)
         at = upto

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as tx
+from ..functions.matches import PYTHON_BYTES, slices
 from ..functions.regexlib import java
 from ..functions.scoring import bound, reason
 
@@ -102,22 +103,19 @@ def cards(c: Column) -> Column:
 _CARD, _PHONE = re.compile(CARD, re.ASCII), re.compile(PHONE.replace(r"\s", "\\s\ufeff"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def phones(s: pd.Series) -> pd.Series:
-    """Phone numbers that don't overlap a card-shaped number; needs the places of all matches."""
+def _phones(text: str | None) -> list[str]:
+    if not text:
+        return []
+    found = [m for m in _PHONE.finditer(text) if 10 <= sum(ch in "0123456789" for ch in m[0]) <= 15]
+    taken = [m.span() for m in _CARD.finditer(text)] if found else []
+    return [m[0] for m in found if not any(m.start() < e and m.end() > b for b, e in taken)]
 
-    def of(text):
-        if not text:
-            return []
-        taken = [m.span() for m in _CARD.finditer(text)]
-        out = []
-        for m in _PHONE.finditer(text):
-            digits = sum(ch in "0123456789" for ch in m[0])
-            if 10 <= digits <= 15 and not any(m.start() < e and m.end() > b for b, e in taken):
-                out.append(m[0])
-        return out
 
-    return s.map(of)
+@F.arrow_udf(ArrayType(StringType()))
+def phones(texts: pa.Array) -> pa.Array:
+    """Phone numbers that don't overlap a card-shaped number; needs the places of all matches. Few texts are Python's at once."""
+    found = [_phones(t) for _, piece in slices(texts, PYTHON_BYTES) for t in piece.to_pylist()]
+    return pa.array(found, pa.list_(pa.string()))
 
 
 def repeated(reason_column: Column, n: Column) -> Column:
