@@ -91,9 +91,9 @@ async def _share_of_o(text: str) -> dict:
 
 @query("remote_calls", "SELECT doc_id, CASE WHEN length(text) % 17 <> 1 THEN length(text) - length(replace(text, 'o', '')) END AS hits, CASE WHEN length(text) % 17 = 1 THEN 'OSError: refused' END AS error FROM documents")
 def remote_calls(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = remote.remote_scores(d.withColumn("asked", F.col("text")), "asked", lambda: _share_of_o, concurrency=32, seconds=30.0)
-    return out.select("doc_id", F.round(F.col("score") * F.length("text")).cast("long").alias("hits"), "error")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), "text")
+    out = remote.remote_scores(d, "text", lambda: _share_of_o, concurrency=32, seconds=30.0, passed=["doc_id", "n"])
+    return out.select("doc_id", F.round(F.col("score") * F.col("n")).cast("long").alias("hits"), "error")
 
 
 @query("taint_containment", f"WITH {_MARKS} SELECT d.doc_id, m.mark_seq, instr(d.text, m.text) - 1 AS start FROM documents d JOIN marks m ON length(m.text) > 0 AND contains(d.text, m.text)")
