@@ -6,6 +6,7 @@ and unites (gated_apply).
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -229,27 +230,52 @@ def _best_of_task(sent, key: str, kind: pa.DataType, k: int):
     return search
 
 
+def _perturbed(seed: str, text: str, p: float, state: np.random.RandomState) -> str:
+    """The text with each character, at a chance of ``p``, dropped or swapped with the next: Python's generator, seeded by a
+    string, whose numbers are drawn all at once. A character takes a number, and one that is changed another."""
+    state.seed(_seed_words(seed))
+    out, drawn = list(text), state.random_sample(len(text) + len(text) // 4 + 16)
+    at = done = events = 0  # done: numbers that are looked through; events: characters changed
+    last = -1
+    while True:
+        upto = len(drawn)
+        for k in (np.flatnonzero(drawn[done:] < p) + done).tolist():
+            at = k - events
+            if at >= len(out):
+                return "".join(out)
+            if k == last:  # it said how to change the character before
+                continue
+            if k + 1 >= len(drawn):
+                drawn = np.concatenate([drawn, state.random_sample(16)])
+            events, last = events + 1, k + 1
+            if drawn[k + 1] < 0.5 or at + 1 >= len(out):
+                out[at] = ""
+            else:
+                out[at], out[at + 1] = out[at + 1], out[at]
+        done = upto
+        if done - events >= len(out) and last < done:
+            return "".join(out)
+        drawn = np.concatenate([drawn, state.random_sample(len(text) // 4 + 16)])
+
+
+def _seed_words(seed: str) -> np.ndarray:
+    """What random.Random(seed) is seeded by, in words of 32 bits."""
+    raw = seed.encode()
+    raw += hashlib.sha512(raw).digest()
+    return np.frombuffer(raw[::-1] + bytes(-len(raw) % 4), "<u4")
+
+
 def smoothing(df: DataFrame, key: str, text: str, scorer: Callable[[list[str]], list[float]], n: int = 5, p: float = 0.1) -> DataFrame:
     """(key, score, attack): mean score and majority over n seeded perturbations of each text."""
 
-    @F.pandas_udf("double")
-    def score(k: pd.Series, t: pd.Series, i: pd.Series) -> pd.Series:
-        import random
-
-        def changed(key, text, turn):
-            r, out = random.Random(f"{key}:{turn}"), list(text or "")
-            for at in range(len(out)):
-                if r.random() < p:
-                    if r.random() < 0.5 or at + 1 >= len(out):
-                        out[at] = ""
-                    else:
-                        out[at], out[at + 1] = out[at + 1], out[at]
-            return "".join(out)
-
-        return pd.Series(scorer([changed(*x) for x in zip(k, t, i, strict=True)]))
+    @F.pandas_udf("array<double>")
+    def scores(k: pd.Series, t: pd.Series) -> pd.Series:
+        state = np.random.RandomState()  # noqa: NPY002  its numbers are Python's
+        turns = range(1, n + 1)
+        return pd.Series([list(scorer([_perturbed(f"{key}:{i}", text or "", p, state) for i in turns])) for key, text in zip(k, t, strict=True)])
 
-    many = df.select(key, text, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_i"))
-    scored = many.withColumn("_s", score(F.col(key), F.col(text), F.col("_i")))
+    # a text goes to Python once for all its turns
+    scored = df.select(key, F.explode(scores(F.col(key), F.col(text))).alias("_s"))
     return scored.groupBy(key).agg(
         F.avg("_s").alias("score"), (F.sum((F.col("_s") >= 0.5).cast("int")) * 2 > n).alias("attack")
     )

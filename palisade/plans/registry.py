@@ -701,7 +701,7 @@ def ml_chunk_max(spark, sf_dir):
 
 @query("ml_smoothing")
 def ml_smoothing(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return escalation.smoothing(d, "doc_id", "text", _letters)
 
 
