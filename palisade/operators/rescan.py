@@ -11,7 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions import regexlib as rx
 from ..functions import text as tx
@@ -58,17 +58,16 @@ def may_match(matching: str) -> int:
     return sum(1 << r for r, bits in enumerate(whole) if held & bits == bits)
 
 
-@F.arrow_udf(StructType().add("entropy", DoubleType()).add("may", LongType()).add("found", _FOUND_TYPE))
+@F.arrow_udf(StructType().add("entropy", DoubleType()).add("found", _FOUND_TYPE))
 def look(matching: pa.Array, copy: pa.Array, gate: pa.Array) -> pa.Array:
-    """Bits of entropy of the matching copy and which rules it may match, and what the decode copy holds, null where
+    """Bits of entropy of the matching copy, and what the decode copy holds, null where
     neither ``gate`` nor its entropy asks."""
-    entropy, may, found = [], [], []
+    entropy, found = [], []
     for m, c, g in zip(matching.to_pylist(), copy.to_pylist(), gate.to_pylist(), strict=True):
         entropy.append(decode.bits(m) if m is not None and len(m) >= LEAST_SYMBOLS else None)
-        may.append(None if m is None else may_match(m))
         asked = c is not None and g is not None and (g or len(c) >= LEAST_SYMBOLS and decode.bits(c) > decode.GATE_BITS)
         found.append(_candidates(c) if asked and decode.asks_for_a_look(c) else None)
-    return pa.StructArray.from_arrays([pa.array(entropy, pa.float64()), pa.array(may, pa.int64()), pa.array(found, _FOUND)], ["entropy", "may", "found"])
+    return pa.StructArray.from_arrays([pa.array(entropy, pa.float64()), pa.array(found, _FOUND)], ["entropy", "found"])
 
 
 @F.arrow_udf(ArrayType(StructType().add("top", IntegerType()).add("decoded", StringType())))
