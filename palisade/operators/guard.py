@@ -81,7 +81,7 @@ def guard(
     gate = gate if policy.decode_encoded else F.lit(None).cast("boolean")
     made = made.withColumn("_looked", rescan.look(matching, copy, gate))
     # what follows needs the finished copies only
-    made = rescan.with_rescan(made.withColumn("_found", F.col("_looked.found")), "_found", "decode_copy", policy.decode_depth, "_decoded")
+    made = rescan.with_rescan(made, "_looked.looked", policy.decode_depth, "_decoded")
     made = made.withColumn("_second", sc.reasons(*second))
     second = []
     n = F.coalesce(F.col("_decoded.n"), F.lit(0))

@@ -1,21 +1,24 @@
 """Bounded decode-and-rescan, level by level: find and decode, normalise, search, look into what came out.
 
-Arrow functions find and decode, as what they find hangs on the text; they get the copies alone, or null where nothing asks for
-a look. All else are column expressions over arrays of what was found, so rows stay where they are: no shuffle, no join.
+Arrow functions find, decode, normalise (functions/copies.py) and search, all texts of a batch at once; they get the copies alone,
+or null where nothing asks for a look. All else are column expressions over arrays of what was found, so rows stay where they are:
+no shuffle, no join.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
+from ..functions import copies as cp
+from ..functions import matches
 from ..functions import regexlib as rx
-from ..functions import text as tx
-from ..functions.scoring import bound
 from . import decode, rules
 
 _FOUND = pa.list_(pa.struct([("decoded", pa.string()), ("blob", pa.string())]))
@@ -25,7 +28,12 @@ LEAST_SYMBOLS = 28
 
 
 def _candidates(text: str) -> list[dict]:
-    return [{"decoded": d if d.isascii() else unicodedata.normalize("NFKC", d), "blob": b} for d, b in decode.candidates(text)]
+    return [{"decoded": d if d.isascii() else unicodedata.normalize("NFKC", _paired(d)), "blob": b} for d, b in decode.candidates(text)]
+
+
+def _paired(decoded: str) -> str:
+    """Escapes may stand for halves of a character: two make one, and one alone is replaced, as Arrow takes none."""
+    return decoded.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _needed():
@@ -58,68 +66,108 @@ def may_match(matching: str) -> int:
     return sum(1 << r for r, bits in enumerate(whole) if held & bits == bits)
 
 
-@F.arrow_udf(StructType().add("entropy", DoubleType()).add("found", _FOUND_TYPE))
-def look(matching: pa.Array, copy: pa.Array, gate: pa.Array) -> pa.Array:
-    """Bits of entropy of the matching copy, and what the decode copy holds, null where
-    neither ``gate`` nor its entropy asks."""
-    entropy, found = [], []
-    for m, c, g in zip(matching.to_pylist(), copy.to_pylist(), gate.to_pylist(), strict=True):
-        entropy.append(decode.bits(m) if m is not None and len(m) >= LEAST_SYMBOLS else None)
-        asked = c is not None and g is not None and (g or len(c) >= LEAST_SYMBOLS and decode.bits(c) > decode.GATE_BITS)
-        found.append(_candidates(c) if asked and decode.asks_for_a_look(c) else None)
-    return pa.StructArray.from_arrays([pa.array(entropy, pa.float64()), pa.array(found, _FOUND)], ["entropy", "found"])
+_SEARCHED = pa.struct([("n", pa.int32()), ("codes", pa.list_(pa.string()))])
+_LOOKED_TYPE = StructType().add("found", _FOUND_TYPE).add("turned", rules.SEARCHED)
 
 
-@F.arrow_udf(ArrayType(StructType().add("top", IntegerType()).add("decoded", StringType())))
-def look_again(tops: pa.Array, texts: pa.Array) -> pa.Array:
-    """What a row's texts hold, each with the number that its text has in ``tops``."""
-    out = []
-    for numbers, row in zip(tops.to_pylist(), texts.to_pylist(), strict=True):
-        out.append(None if row is None else [{"top": n, "decoded": c["decoded"]} for n, t in zip(numbers, row, strict=True) for c in _candidates(t)])
-    return pa.array(out, pa.list_(pa.struct([("top", pa.int32()), ("decoded", pa.string())])))
+def _looked(copies: pa.Array, gate: np.ndarray) -> pa.StructArray:
+    """What decode copies hold, and the markers in their ROT13: both null where neither ``gate`` nor the copy asks for a look."""
+    found, turned = [], []
+    for at, piece in matches.slices(copies):
+        asked = gate[at : at + len(piece)].copy()
+        rows = np.flatnonzero(asked)
+        asked[rows] = decode.ask_for_a_look(piece.take(pa.array(rows)))
+        held = piece.filter(pa.array(asked))
+        own = np.full(len(piece), -1)
+        own[asked] = np.arange(len(held))
+        where = pa.array(own, mask=~asked)
+        found.append(pa.array([_candidates(t) for t in held.to_pylist()], _FOUND).take(where))
+        turned.append(rules.search(cp.lower(cp.rot13(held))).take(where))
+    whole = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
+    return pa.StructArray.from_arrays([whole(found, _FOUND), whole(turned, _SEARCHED)], ["found", "turned"])
 
 
-def copies_of(decoded: Column) -> Column:
-    """struct(matching, decode_copy) of a text that is normalised by NFKC, as with_copies() makes them."""
+@F.arrow_udf(StructType().add("entropy", DoubleType()).add("looked", _LOOKED_TYPE))
+def look(matching: pa.Array, copy: pa.Array, gate: pa.Array) -> pa.Array:
+    """Bits of entropy of the matching copy, and what the decode copy holds, null where
+    neither ``gate`` nor its entropy asks."""
+    entropy = [decode.bits(m) if m is not None and len(m) >= LEAST_SYMBOLS else None for m in matching.to_pylist()]
+    asked = pc.fill_null(gate, False).to_numpy(zero_copy_only=False).copy()
+    for k in np.flatnonzero(~asked & pc.is_valid(gate).to_numpy(zero_copy_only=False)):
+        c = copy[int(k)].as_py()
+        asked[k] = c is not None and len(c) >= LEAST_SYMBOLS and decode.bits(c) > decode.GATE_BITS
+    asked &= pc.is_valid(copy).to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([pa.array(entropy, pa.float64()), _looked(copy, asked)], ["entropy", "looked"])
+
+
+@F.arrow_udf(_LOOKED_TYPE)
+def look_at(copy: pa.Array) -> pa.Array:
+    """The same of a decode copy, whatever it looks like at first sight; null for a null."""
+    some = pc.is_valid(copy)
+    out = _looked(copy, some.to_numpy(zero_copy_only=False))
+    return pa.StructArray.from_arrays(out.flatten(), out.type.names, mask=pc.invert(some))
+
+
+@F.arrow_udf(StringType())
+def collapsed_space(text: pa.Array) -> pa.Array:
+    """text.collapse_space() by RE2."""
+    return cp.collapse_space(text)
+
+
+_AGAIN = pa.list_(pa.struct([("top", pa.int32()), ("decoded", pa.string())]))
+_LEVEL_TYPE = StructType().add("hits", ArrayType(rules.SEARCHED)).add("found", ArrayType(StructType().add("top", IntegerType()).add("decoded", StringType())))
+
+
+def _level(tops: pa.Array, texts: pa.Array, more: bool) -> pa.Array:
+    """The markers in each of a row's texts and, for ``more``, what the texts hold, each with the number that its text has in ``tops``."""
+    lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    numbers, hits, found = tops.flatten().to_pylist(), [], []
+    for at, piece in matches.slices(texts.flatten()):
+        matching, copies = cp.copies_of(piece)
+        hits.append(rules.search(matching))
+        if more:
+            found += [[{"top": n, "decoded": c["decoded"]} for c in _candidates(t)] for n, t in zip(numbers[at:], copies.to_pylist(), strict=False)]
+    none = texts.is_null()
+    hits = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(hits) if hits else pa.array([], _SEARCHED), mask=none)
+    rows = [[x for own in found[i:j] for x in own] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.StructArray.from_arrays([hits, pa.array(rows, _AGAIN, mask=none.to_numpy(zero_copy_only=False))], ["hits", "found"])
+
+
+@F.arrow_udf(_LEVEL_TYPE)
+def look_again(tops: pa.Array, texts: pa.Array) -> pa.Array:
+    return _level(tops, texts, True)
 
-    def of(x: Column) -> Column:
-        joined = tx.join_spaced_letters(tx.join_split_words(x))
-        return F.struct(F.lower(tx.collapse_space(joined)).alias("matching"), tx.collapse_space(x).alias("decode_copy"))
 
-    morse = lambda x: bound(F.coalesce(F.when(x.rlike(tx.MAY_BE_MORSE), tx.morse(x)), x), of)
-    fold = lambda x: bound(F.when(tx.is_ascii(x), x).otherwise(tx.fold_confusables(x)["text"]), morse)
-    return bound(tx.strip_invisible(decoded), fold)
+@F.arrow_udf(_LEVEL_TYPE)
+def look_last(tops: pa.Array, texts: pa.Array) -> pa.Array:
+    return _level(tops, texts, False)
 
 
-def with_rescan(df: DataFrame, found: str, copy: str, depth: int, into: str) -> DataFrame:
-    """Adds struct(n, codes, blobs): markers in what was found in a decode copy, to ``depth`` levels, and in its ROT13; their codes;
-    and the blobs of the copy under which there are any. Null where ``found`` is null."""
+def with_rescan(df: DataFrame, looked: str, depth: int, into: str) -> DataFrame:
+    """Adds struct(n, codes, blobs): markers in what a look found, to ``depth`` levels, and in the copy's ROT13; their codes;
+    and the blobs of the copy under which there are any. Null where nothing was looked for."""
     names = [f"_rescan_{k}" for k in range(depth)]
+    found = F.col(f"{looked}.found")
+    rows = F.transform(found, lambda x, i: F.struct(i.alias("top"), x["decoded"].alias("decoded")))
     for k, name in enumerate(names):
-        if k == 0:
-            rows = F.transform(found, lambda x, i: F.struct(i.alias("top"), x["decoded"].alias("decoded")))
-        else:
-            before = names[k - 1]
-            rows = look_again(F.transform(before, lambda c: c["top"]), F.transform(before, lambda c: c["copies"]["decode_copy"]))
-        df = df.withColumn(f"{name}_found", rows)
-        df = df.withColumn(name, F.transform(f"{name}_found", lambda x: F.struct(x["top"].alias("top"), copies_of(x["decoded"]).alias("copies"))))
-        df = df.withColumn(f"{name}_s", rules.searched_each(F.transform(name, lambda c: c["copies"]["matching"])))
-        df = df.withColumn(f"{name}_n", F.zip_with(name, f"{name}_s", lambda c, s: F.struct(c["top"].alias("top"), s.alias("s"))))
-    all_rows = F.concat(*[F.col(f"{name}_n") for name in names])
-    turned = F.when(F.col(found).isNotNull(), F.lower(tx.rot13(F.col(copy))))
-    df = df.withColumn("_rescan_turned", rules.searched(turned))
-    df = df.withColumn("_rescan_all", all_rows)
-    n = F.aggregate("_rescan_all", F.col("_rescan_turned.n"), lambda a, x: a + x["s"]["n"])
-    codes = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("_rescan_all", lambda x: x["s"]["codes"])), F.col("_rescan_turned.codes"))))
+        df = df.withColumn(f"{name}_rows", rows)
+        seen = look_again if k + 1 < depth else look_last
+        df = df.withColumn(f"{name}_seen", seen(F.transform(f"{name}_rows", lambda x: x["top"]), F.transform(f"{name}_rows", lambda x: x["decoded"])))
+        df = df.withColumn(name, F.zip_with(f"{name}_rows", f"{name}_seen.hits", lambda x, s: F.struct(x["top"].alias("top"), s.alias("s"))))
+        rows = F.col(f"{name}_seen.found")
+    df = df.withColumn("_rescan_all", F.concat(*[F.col(name) for name in names]))
+    turned = F.col(f"{looked}.turned")
+    n = F.aggregate("_rescan_all", turned["n"], lambda a, x: a + x["s"]["n"])
+    codes = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("_rescan_all", lambda x: x["s"]["codes"])), turned["codes"])))
     hit = lambda i: F.exists("_rescan_all", lambda x: (x["top"] == i) & (x["s"]["n"] > 0))
     blobs = F.transform(F.filter(found, lambda x, i: (x["blob"] != "") & hit(i)), lambda x: x["blob"])
-    out = F.when(F.col(found).isNotNull(), F.struct(n.cast("int").alias("n"), codes.alias("codes"), blobs.alias("blobs")))
-    return df.withColumn(into, out).drop(*names, *[f"{x}{y}" for x in names for y in ("_found", "_s", "_n")], "_rescan_turned", "_rescan_all")
+    out = F.when(found.isNotNull(), F.struct(n.cast("int").alias("n"), codes.alias("codes"), blobs.alias("blobs")))
+    return df.withColumn(into, out).drop(*names, *[f"{x}{y}" for x in names for y in ("_rows", "_seen")], "_rescan_all")
 
 
 def decode_rescan(df: DataFrame, copy: str, depth: int, into: str = "decoded") -> DataFrame:
     """with_rescan() of a column of decode copies, whatever they look like at first sight."""
-    df = df.withColumn("_asked", look(F.lit(None).cast("string"), F.col(copy), F.col(copy).isNotNull())["found"])
-    out = with_rescan(df, "_asked", copy, depth, into)
+    out = with_rescan(df.withColumn("_looked", look_at(F.col(copy))), "_looked", depth, into)
     none = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("codes"), F.array().cast("array<string>").alias("blobs"))
-    return out.withColumn(into, F.when(F.col(copy).isNotNull(), F.coalesce(into, none))).drop("_asked")
+    return out.withColumn(into, F.when(F.col("_looked").isNotNull(), F.coalesce(into, none))).drop("_looked")

@@ -81,27 +81,27 @@ def marker_count(matching: Column) -> Column:
     return F.least(F.lit(MOST_MARKERS), pattern_count(matching, rx.COMBINED))
 
 
-_SEARCHED = StructType().add("n", IntegerType()).add("codes", ArrayType(StringType()))
+SEARCHED = StructType().add("n", IntegerType()).add("codes", ArrayType(StringType()))
 
 
-def _searched(texts: pa.Array) -> pa.Array:
+def search(texts: pa.Array) -> pa.Array:
     whole, each, _ = matches.bank_hits(texts, _PATTERNS, rx.COMBINED)
     codes = [[] if not n else [r.code for r, k in zip(rx.RULES, own, strict=True) if k] for n, own in zip(whole, each, strict=True)]
     return pa.StructArray.from_arrays([pa.array(np.minimum(whole, MOST_MARKERS)), pa.array(codes, pa.list_(pa.string()))], ["n", "codes"])
 
 
-@F.arrow_udf(_SEARCHED)
+@F.arrow_udf(SEARCHED)
 def searched(matching: pa.Array) -> pa.Array:
     """marker_count() and the codes of the rules that match."""
-    return _searched(matching)
+    return search(matching)
 
 
-@F.arrow_udf(ArrayType(_SEARCHED))
+@F.arrow_udf(ArrayType(SEARCHED))
 def searched_each(lists: pa.Array) -> pa.Array:
     """searched() of each text in an array; null for a null."""
     lengths = np.array([len(x) if x.is_valid else 0 for x in lists], np.int32)
     ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-    return pa.ListArray.from_arrays(ends, _searched(lists.flatten()), mask=lists.is_null())
+    return pa.ListArray.from_arrays(ends, search(lists.flatten()), mask=lists.is_null())
 
 
 def front_gate(text: Column, truncated: Column) -> list[Column]:
