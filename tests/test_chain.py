@@ -115,3 +115,32 @@ def test_chain_of_functions_and_odd_texts(spark):
     assert [c["code"] for c in out[1]["reasons"]] == ["ml_classifier"] and out[1]["reasons"][0]["category"] == "semantic"
     assert chain.staged_chain(d.limit(0), Policy(), source="source", ml=chain.Scorer(chain.udf_scorer(load))).count() == 0
     assert escalation.ml_reason(F.lit(0.5)) is not None
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_texts_are_written_once(spark, table, monkeypatch, threshold):
+    """What a stage leaves behind has no text and none of the caller's columns, and only texts that may be asked for are read again."""
+    from palisade.functions.scoring import score_of
+
+    seen, write = {}, chain.written
+    monkeypatch.setattr(chain, "written", lambda df, name: seen.setdefault(name, df.columns) and write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        scorers = {k: chain.Scorer(_stub(k, {})) for k in _SCORES}
+        d = table.withColumn("score", score_of(F.col("reasons"))).withColumn("would", F.lit("flag")).withColumn("t", F.when(F.col("n") % 3 > 0, F.col("t")))
+        out = chain.staged_chain(d, Policy(), "t", "source", "risk", scorers["ml"], scorers["embedding"], scorers["remote"], passed=["n", "fails"])
+        assert out.columns == ["n", "risk", "source", "fails", "t", "reasons", "score", "would", "verdict", "tier", "degraded", "calls"]
+        assert {r["n"]: r["t"] for r in out.collect()} == {r["n"]: r["t"] for r in d.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [k for k, columns in seen.items() if {"text", "_own", "_passed"} & set(columns)] == ["chain-rows"]
+
+
+def test_the_query_writes_one_copy_of_a_text(spark, data, monkeypatch):
+    from palisade.plans import registry
+
+    kinds, write = {}, chain.written
+    monkeypatch.setattr(chain, "written", lambda df, name: kinds.setdefault(name, df.schema) and write(df, name))
+    registry.queries()["staged_chain"](spark, data)
+    assert {f.name for f in kinds["chain-rows"]["_own"].dataType} == {"_any", "doc_id", "risk", "src"}
