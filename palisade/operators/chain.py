@@ -46,7 +46,8 @@ def _policy_of(policy: Policy, source: Column | None) -> tuple[Column, Column]:
 def _scored(df: DataFrame, texts: DataFrame | None, gate: Column, scorer: Scorer, name: str) -> DataFrame:
     """df with _asked, _score and _error of the rows that pass the gate. Their texts are df's own, or met by row in ``texts``."""
     asked = df.where(gate)
-    asked = (asked if texts is None else texts.join(asked.select(ROW), ROW, "left_semi")).select(ROW, F.coalesce("text", F.lit("")).alias("text"), "_passed.*")
+    # merged at any size, so that the work grows with the rows and none of them goes through the driver
+    asked = (asked if texts is None else texts.join(asked.select(ROW).hint("merge"), ROW, "left_semi")).select(ROW, F.coalesce("text", F.lit("")).alias("text"), "_passed.*")
     found = written(scorer.apply(asked).select(ROW, F.col("score").cast("double").alias("_score"), F.col("error").cast("string").alias("_error")), f"chain-{name}")
     met = df.select(*[c for c in df.columns if c not in _WIDE]).join(found.withColumn("_asked", F.lit(True)), ROW, "left")
     # a score that is neither there nor wrong counts as a failure
