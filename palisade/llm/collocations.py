@@ -75,11 +75,11 @@ def _bytes_of(strings: pa.Array) -> tuple[bytes, np.ndarray]:
 
 def _steps(at: np.ndarray) -> bytes:
     """Growing places in a slice, as steps."""
-    return packed.planes(np.diff(at, prepend=0).astype(np.int32))
+    return packed.narrow(np.diff(at, prepend=0).astype(np.int32))
 
 
 def _from_steps(cell: bytes) -> np.ndarray:
-    return np.cumsum(packed.from_planes(cell, np.int32), dtype=np.int64)
+    return np.cumsum(packed.from_narrow(cell, np.int32), dtype=np.int64)
 
 
 def _sliced(slice_bytes: int):
@@ -104,9 +104,9 @@ def _sliced(slice_bytes: int):
                     [
                         pa.array([number]),
                         pa.array([_steps(at)], pa.binary()),
-                        pa.array([packed.planes(item.astype(np.int32))], pa.binary()),
+                        pa.array([packed.narrow(item.astype(np.int32))], pa.binary()),
                         pa.array([data], pa.binary()),
-                        pa.array([packed.planes(lengths)], pa.binary()),
+                        pa.array([packed.narrow(lengths)], pa.binary()),
                         pa.array([lang.dictionary.to_pylist()], pa.list_(pa.string())),
                         pa.array([total.tolist()], pa.list_(pa.int64())),
                     ],
@@ -129,15 +129,15 @@ def _asked_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, item, keys, lengths in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                ends = np.append(0, np.cumsum(packed.from_planes(lengths, np.int32), dtype=np.int64))
-                n = np.bincount(packed.from_planes(item, np.int32), minlength=len(ends) - 1)
+                ends = np.append(0, np.cumsum(packed.from_narrow(lengths, np.int32), dtype=np.int64))
+                n = np.bincount(packed.from_narrow(item, np.int32), minlength=len(ends) - 1)
                 h = bt.word_hashes(np.frombuffer(keys, np.uint8), ends[:-1], ends[1:])
                 words, out = _strings(keys, ends), {k: [] for k in _ITEMS}
                 by, starts = packed.parts(packed.bucket_of(h, buckets), buckets)
                 for k in np.flatnonzero(np.diff(starts)):
                     own = by[starts[k] : starts[k + 1]]
                     data, size = _bytes_of(words.take(pa.array(own)))
-                    _add(out, k, number, own, n[own], data, packed.planes(size))
+                    _add(out, k, number, own, n[own], data, packed.narrow(size))
                 yield packed.batch(out, _ITEMS)
 
     return run
@@ -147,40 +147,40 @@ def _asked_pairs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, at, name in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                _, _, left, right, n = _pairs(_from_steps(at), packed.from_planes(name, np.int64))
+                _, _, left, right, n = _pairs(_from_steps(at), packed.from_narrow(name, np.int64))
                 h = bt.mix(bt.mix(left.astype(np.uint64)) ^ right.astype(np.uint64))
                 out: dict[str, list] = {k: [] for k in _ITEMS}
                 by, starts = packed.parts(packed.bucket_of(h, buckets), buckets)
                 for k in np.flatnonzero(np.diff(starts)):
                     own = by[starts[k] : starts[k + 1]]
-                    _add(out, k, number, own, n[own], packed.planes(left[own]), packed.planes(right[own]))
+                    _add(out, k, number, own, n[own], packed.narrow(left[own]), packed.narrow(right[own]))
                 yield packed.batch(out, _ITEMS)
 
     return run
 
 
 def _add(out: dict[str, list], bucket: int, number: int, item: np.ndarray, n: np.ndarray, left: bytes, right: bytes) -> None:
-    cells = (int(bucket), number, packed.planes(item.astype(np.int32)), packed.planes(n.astype(np.int64)), left, right)
+    cells = (int(bucket), number, packed.narrow(item.astype(np.int32)), packed.narrow(n.astype(np.int64)), left, right)
     for k, v in zip(_ITEMS, cells, strict=True):
         out[k].append(v)
 
 
 def _grouped_words(cells: dict[str, list]) -> tuple[np.ndarray, int, Callable]:
     """The group of each word of a bucket, how many there are, and what gives some groups' cells in a fixed order."""
-    lengths = np.concatenate([packed.from_planes(c, np.int32) for c in cells["right"]])
+    lengths = np.concatenate([packed.from_narrow(c, np.int32) for c in cells["right"]])
     found = _strings(b"".join(cells["left"]), np.append(0, np.cumsum(lengths, dtype=np.int64))).dictionary_encode()
 
     def chosen(groups: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
         words = found.dictionary.take(pa.array(groups))
         order = pc.sort_indices(words)
         data, size = _bytes_of(words.take(order))
-        return groups[order.to_numpy()], data, packed.planes(size)
+        return groups[order.to_numpy()], data, packed.narrow(size)
 
     return found.indices.to_numpy(), len(found.dictionary), chosen
 
 
 def _grouped_pairs(cells: dict[str, list]) -> tuple[np.ndarray, int, Callable]:
-    left, right = (np.concatenate([packed.from_planes(c, np.int64) for c in cells[k]]) for k in ("left", "right"))
+    left, right = (np.concatenate([packed.from_narrow(c, np.int64) for c in cells[k]]) for k in ("left", "right"))
     order = np.lexsort((right, left))
     new = np.append(True, (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0))[: len(order)]
     group = np.empty(len(order), np.int64)
@@ -188,7 +188,7 @@ def _grouped_pairs(cells: dict[str, list]) -> tuple[np.ndarray, int, Callable]:
     first = order[new]
 
     def chosen(groups: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
-        return groups, packed.planes(left[first[groups]]), packed.planes(right[first[groups]])
+        return groups, packed.narrow(left[first[groups]]), packed.narrow(right[first[groups]])
 
     return group, len(first), chosen
 
@@ -198,7 +198,7 @@ def _named(buckets: int, grouped: Callable, least: int):
 
     def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
         group, many, chosen = grouped(cells)
-        counts = [packed.from_planes(c, np.int64) for c in cells["n"]]
+        counts = [packed.from_narrow(c, np.int64) for c in cells["n"]]
         total = np.zeros(many, np.int64)
         np.add.at(total, group, np.concatenate(counts))
         frequent, left, right = chosen(np.flatnonzero(total >= least))
@@ -211,13 +211,13 @@ def _named(buckets: int, grouped: Callable, least: int):
                 out[k].append(v)
 
         if len(frequent):
-            add(None, b"", packed.planes(name[frequent]), packed.planes(total[frequent]), left, right)
+            add(None, b"", packed.narrow(name[frequent]), packed.narrow(total[frequent]), left, right)
         ends = np.cumsum([len(c) for c in counts])
         for number, item, s, e in zip(cells["slice"], cells["item"], ends - [len(c) for c in counts], ends, strict=True):
             own = name[group[s:e]]
             has = own >= 0
             if has.any():
-                add(number, packed.planes(packed.from_planes(item, np.int32)[has]), packed.planes(own[has]), b"", b"", b"")
+                add(number, packed.narrow(packed.from_narrow(item, np.int32)[has]), packed.narrow(own[has]), b"", b"", b"")
             if len(out["slice"]) >= 500:
                 yield packed.batch(out, _NAMED)
                 for v in out.values():
@@ -238,21 +238,21 @@ def _renamed(paired: bool):
         answers: dict[int, list] = {}
         for number, at, item, name in zip(cells["slice"], cells["at"], cells["item"], cells["name"], strict=True):
             if at is None:
-                answers.setdefault(number, []).append((packed.from_planes(item, np.int32), packed.from_planes(name, np.int64)))
+                answers.setdefault(number, []).append((packed.from_narrow(item, np.int32), packed.from_narrow(name, np.int64)))
         for number, at, item, name in zip(cells["slice"], cells["at"], cells["item"], cells["name"], strict=True):
             if at is None or number not in answers:
                 continue
             places = _from_steps(at)
             if paired:
-                places, items, *_ = _pairs(places, packed.from_planes(name, np.int64))
+                places, items, *_ = _pairs(places, packed.from_narrow(name, np.int64))
             else:
-                items = packed.from_planes(item, np.int32)
+                items = packed.from_narrow(item, np.int32)
             of = np.full(int(items.max(initial=-1)) + 1, -1, np.int64)
             for asked, got in answers.pop(number):
                 of[asked] = got
             new = of[items]
             has = new >= 0
-            yield packed.batch({"slice": [number], "at": [_steps(places[has])], "name": [packed.planes(new[has])]}, _SEQUENCES)
+            yield packed.batch({"slice": [number], "at": [_steps(places[has])], "name": [packed.narrow(new[has])]}, _SEQUENCES)
 
     return packed.gathered(each, list(_MEETING))
 
@@ -263,12 +263,12 @@ def _told(named: DataFrame, word: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, n, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                columns = [pa.array(packed.from_planes(name, np.int64)), pa.array(packed.from_planes(n, np.int64))]
+                columns = [pa.array(packed.from_narrow(name, np.int64)), pa.array(packed.from_narrow(n, np.int64))]
                 if word:
-                    ends = np.append(0, np.cumsum(packed.from_planes(right, np.int32), dtype=np.int64))
+                    ends = np.append(0, np.cumsum(packed.from_narrow(right, np.int32), dtype=np.int64))
                     columns.append(_strings(left, ends).cast(pa.binary()))
                 else:
-                    columns += [pa.array(packed.from_planes(c, np.int64)) for c in (left, right)]
+                    columns += [pa.array(packed.from_narrow(c, np.int64)) for c in (left, right)]
                 yield pa.RecordBatch.from_arrays(columns, ["name", "f", "key"] if word else ["name", "f", "left", "right"])
 
     rows = named.where("slice is null").select("name", "n", "left", "right")

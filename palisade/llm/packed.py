@@ -67,6 +67,22 @@ def from_planes(cell: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """planes() of non-negative numbers without the planes of zeros at the end, behind a byte with how many are left:
+    these would cost nothing once compressed, but take memory wherever a cell is held."""
+    size = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.dtype.itemsize)[:, :size].T.tobytes()
+
+
+def from_narrow(cell: bytes, kind) -> np.ndarray:
+    if len(cell) < 2:
+        return np.zeros(0, kind)
+    rows = np.frombuffer(cell, np.uint8, offset=1).reshape(cell[0], -1)
+    out = np.zeros((rows.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : len(rows)] = rows.T
+    return out.reshape(-1).view(kind)
+
+
 def deltas(sorted_numbers: np.ndarray) -> bytes:
     """planes() of the steps of a non-decreasing array of non-negative numbers."""
     return planes(np.diff(sorted_numbers.astype(np.int64), prepend=0))

@@ -49,6 +49,33 @@ def test_phrases_without_any(spark):
         assert _told(collocations(docs)) == brute.phrases(rows, 100)
 
 
+def test_slices_of_phrases_take_a_few_bytes_a_word(spark):
+    from palisade.llm.collocations import _ITEMS_SCHEMA, _SLICES, _asked_words, _sliced
+
+    r = random.Random(4)
+    rows = [("en", " ".join(f"w{r.randrange(200)}" for _ in range(500))) for _ in range(40)]
+    slices = spark.createDataFrame(rows, "lang string, text string").coalesce(1).mapInArrow(_sliced(1 << 20), _SLICES)
+    places, items = slices.select(F.sum(F.octet_length("at")), F.sum(F.octet_length("item"))).first()
+    assert places + items < 3 * 40 * 500
+    asked = slices.select("slice", "item", "keys", "lengths").mapInArrow(_asked_words(1), _ITEMS_SCHEMA)
+    number, n, length = asked.select(F.octet_length("item"), F.octet_length("n"), F.octet_length("right")).first()
+    assert number + n + length < 6 * 200
+
+
+def test_narrow_numbers_come_back():
+    from palisade.llm import packed
+
+    for top in (0, 1, 255, 256, 65535, 65536, 2**31 - 1, 2**40, 2**63 - 1):
+        for kind in (np.int32, np.int64):
+            for numbers in ([], [0], [0, top, 1, top, 7]):
+                if top <= np.iinfo(kind).max:
+                    own = np.array(numbers, kind)
+                    got = packed.from_narrow(packed.narrow(own), kind)
+                    assert got.dtype == own.dtype and got.tolist() == numbers
+    assert len(packed.narrow(np.array([1, 300], np.int64))) == 5
+    assert packed.from_narrow(b"", np.int64).tolist() == []
+
+
 def test_scores_are_exact(spark):
     from palisade.llm.collocations import _ranked
 
