@@ -1,16 +1,17 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 1. Documents that can't have a partner are left out by an exact filter, and those with one set form a class
-   (both as in ngram_join.py, with shingles of WORDS words).
+   (both as in ngram_join.py, with shingles of WORDS words). Then so are classes: each is told how many of its shingles no
+   other class has, and the others bound its overlap with any, here and in all that follows.
 2. A class's signature has FIELDS fields of FIELD_BITS bits: the low bits of the least value of its shingles
    under as many hash functions. The distance of two signatures is the number of fields that differ.
 3. Signatures are split into chunks of CHUNK fields. If two are at most DISTANCE apart, the pigeonhole
    principle leaves some chunk with at most ERRORS differing fields. All ways to leave ERRORS fields out of a
    chunk are enumerated, on both sides, so such a pair shares a key: (chunk, fields left out, the others).
 4. Classes meet at keys with their signatures. Those go on that have a partner there, of another component so far,
-   with a signature at most NEAR away and no earlier key in common; so a pair is looked at once.
-5. These meet with their full sets, on which links are confirmed. Large groups meet in blocks, by turns, and
-   components are those of ngram_join.py.
+   with a signature at most NEAR away, an overlap that may suffice and no earlier key in common; so a pair is looked at once.
+5. These meet with their full sets, on which links are confirmed, pair by pair, until a class is connected with all that it
+   may link with. Large groups meet in blocks, by turns, and components are those of ngram_join.py.
 
 With 12 chunks of 4 fields and one error the join is complete up to a distance of 23 of 48. Two sets of similarity 0.8
 differ in 9.6 fields on average; all chunks fail at once with probability 1e-9, and the distance passes NEAR with 1e-8.
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytetools as bt
-from .ngram_join import BLOCK, KEYED_SCHEMA, Keying, joined
+from .ngram_join import BLOCK, KEYED_SCHEMA, PERCENT, Keying, joined, lone
+from .prefix_tree import SetRows
 
 WORDS = 4
 FIELDS, FIELD_BITS, CHUNK, ERRORS = 48, 16, 4, 1
@@ -62,8 +64,9 @@ def keys_of(fields: np.ndarray) -> np.ndarray:
     return bt.mix(key ^ (place << np.uint64(64 - 10))).reshape(-1)
 
 
-def near(key: int, signs: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Which classes of a key have a partner there: of another label, near, and with no earlier key in common."""
+def near(key: int, signs: np.ndarray, labels: np.ndarray, size: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+    """Which classes of a key have a partner there: of another label, near, and with no earlier key in common; if sizes and
+    numbers of lone tokens are given, one that these allow."""
     fields = np.ascontiguousarray(signs).view(np.uint16)
     _, label, many = np.unique(labels, return_inverse=True, return_counts=True)
     rest = np.flatnonzero(label != many.argmax())  # a pair has an end outside the most frequent label
@@ -78,21 +81,25 @@ def near(key: int, signs: np.ndarray, labels: np.ndarray) -> np.ndarray:
         common = same.reshape(len(own), len(fields), -1, CHUNK).sum(3) >= CHUNK - ERRORS
         whole = same[:, :, chunk * CHUNK : (chunk + 1) * CHUNK].all(2)  # all choices of the chunk are in common
         pair = (label[own, None] != label) & (FIELDS - same.sum(2) <= NEAR) & ~common[:, :, :chunk].any(2) & (~whole | (choice == 0))
+        if size is not None and at is not None:
+            overlap = np.minimum((size - at)[own, None], size - at)  # at most
+            pair &= (100 + PERCENT) * overlap >= PERCENT * (size[own, None] + size)
         out[own] |= pair.any(1)
         out |= pair.any(0)
     return out
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, size, tokens) with their keys and signature; the keys say nothing of places in the set."""
+    """Rows (doc_id, size, tokens, lone) with their keys and signature; before what any two share come the lone tokens."""
     for batch in batches:
         signs = [signature(np.frombuffer(cell, np.uint64)) for cell in batch.column(2).to_pylist()]
         keys = [np.unique(keys_of(sign)) for sign in signs]
+        alone = batch.column(3).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(k) for k in range(3)),
                 pa.array([k.tobytes() for k in keys], pa.binary()),
-                pa.array([np.zeros(len(k), np.int32).tobytes() for k in keys], pa.binary()),
+                pa.array([np.full(len(k), n, np.int32).tobytes() for k, n in zip(keys, alone, strict=True)], pa.binary()),
                 pa.array([sign.tobytes() for sign in signs], pa.binary()),
             ],
             ["doc_id", "size", "tokens", "keys", "at", "sign"],
@@ -100,7 +107,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature_keyed(heads: DataFrame, buckets: int) -> DataFrame:
-    return heads.where("size > 0").select("doc_id", "size", "tokens").mapInArrow(_keyed, KEYED_SCHEMA)
+    told = heads.join(lone(heads, buckets).hint("shuffle_hash"), "doc_id")
+    return told.select("doc_id", "size", "tokens", "lone").mapInArrow(_keyed, KEYED_SCHEMA)
 
 
 def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -114,5 +122,5 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
       documents of their own. A row with a null id links with nothing, has a null component and is kept.
       An empty table gives an empty result; other columns are ignored.
     """
-    out = joined(docs, id_col, text_col, WORDS, Keying(signature_keyed, near, (1, 2)), block)
+    out = joined(docs, id_col, text_col, WORDS, Keying(signature_keyed, near, (1, 2), SetRows), block)
     return out.selectExpr("doc_id", "n_shingles", "component_id", "doc_id <=> component_id AS kept")

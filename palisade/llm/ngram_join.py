@@ -3,13 +3,14 @@
 1. Filter. A document that links with another shares most of its shingles, and so most of those whose
    hash is below a bound: at most a fifth of its whole set may be missing there. Documents whose
    sampled shingles aren't repeated often enough have no partner. The bound is exact: no link is lost.
+   ``lone`` asks the same of the classes of step 2 and of all their shingles.
 2. Documents with one set form a class. Over the classes left, shingles are ordered by their number of
    classes. Of two similar sets each has a common shingle among its rarest n - ceil(0.8 n) + 1.
    Shingles of the same classes are one key. Ids, sizes and places of keys are dealt first, and only
    classes that may link there by their sizes and the key's places go on, with their sets.
 3. The classes of a key meet in one task, or, if there are more than BLOCK, in several. There a trie of
-   their ordered sets is probed (see prefix_tree.py), and the links that connect what all similar
-   pairs connect are kept. It takes three turns, each between classes that aren't connected yet: at
+   their ordered sets is probed (see prefix_tree.py) for those that may link with any that they aren't
+   connected with yet, and the links that connect what all similar pairs connect are kept. It takes three turns, each between classes that aren't connected yet: at
    each class's rarest key, in blocks that don't meet; at all keys with several blocks, dealt anew; and
    at all keys, where the blocks of what is connected most at a key meet the blocks of all else
    there, and these meet each other. By then large groups of near copies are connected, so that few
@@ -34,7 +35,7 @@ from . import bytetools as bt
 from . import packed
 from .common import fresh, written
 from .components import components
-from .prefix_tree import spanning_links
+from .prefix_tree import RUN, PrefixTree, SetRows, runs_of, spanning_links
 
 WORDS, PERCENT = 5, 80
 SLICE = 1 << 20
@@ -56,12 +57,13 @@ class Keying:
     ``keyed(heads, buckets)`` gives the classes (doc_id, size, tokens) that may link with others their keys:
     KEYED_SCHEMA, so that two classes that link share a key at least. ``at`` says how many of the set's tokens come
     before those that both classes can share, if the key is the first that they have in common. ``sign`` is what
-    ``near(key, signs, labels)`` needs to tell which classes have a partner of another label at that key; without
-    near it is empty. In the turns of ``one_key`` a class goes to one key only."""
+    ``near(key, signs, labels, size, at)`` needs to tell which classes have a partner of another label at that key; without
+    near it is empty. In the turns of ``one_key`` a class goes to one key only. ``sets`` is how the sets that meet are probed."""
 
     keyed: Callable[[DataFrame, int], DataFrame]
-    near: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None
+    near: Callable[..., np.ndarray] | None = None
     one_key: tuple[int, ...] = (1,)
+    sets: type[PrefixTree] | type[SetRows] = PrefixTree
 
 
 def shingles(b: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -96,42 +98,60 @@ def _add(out: dict[str, list], bucket: int, kind: int, h: np.ndarray | None, ids
     out["size"].append(b"" if size is None else packed.planes(size.astype(np.int32)))
 
 
+def _asked(ids: np.ndarray, size: np.ndarray, text: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Shingles of some texts (text, hash), dealt to ask whether they are repeated; and, dealt by the first text, of each how
+    many of these must be."""
+    sample = np.bincount(text, minlength=len(ids))
+    order = np.argsort(h)
+    same = np.append(False, h[order][1:] == h[order][:-1]) if len(h) else np.zeros(0, bool)
+    again = same | np.append(same[1:], False)
+    known = np.zeros(len(h), bool)
+    known[order[again]] = True  # repeated within these texts
+    tell = np.zeros(len(h), bool)
+    tell[order[again & ~same]] = True
+    count = np.bincount(text[known], minlength=len(ids))
+    out: dict[str, list] = {k: [] for k in _KINDS}
+    # missing that a partner allows, less those known to be repeated
+    needed = sample - (size * (100 - PERCENT)) // 100 - count
+    _add(out, packed.bucket_of(bt.mix(ids[:1].view(np.uint64).copy()), buckets)[0], _COUNT, None, ids, needed, size)
+    for kind, mask in ((_ASK, ~known), (_TELL, tell)):
+        t, g = text[mask], h[mask]
+        spread = packed.bucket_of(bt.mix(g.copy()), buckets)
+        by, starts = packed.parts(spread, buckets)
+        for k in np.flatnonzero(np.diff(starts)):
+            own = by[starts[k] : starts[k + 1]]
+            used, many = np.unique(t[own], return_counts=True)
+            _add(out, k, kind, g[own].astype(np.uint32), ids[used], many)
+    return packed.batch(out, _KINDS)
+
+
 def _sampled(buckets: int, slice_bytes: int, words: int):
     bound = np.uint64(int(SAMPLED * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
             all_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, end, b, offsets in bt.text_slices(batch.column(1), slice_bytes):
-                ids = all_ids[row:end]
                 text, h = shingles(b, offsets, words)
-                size = np.bincount(text, minlength=len(ids))
+                size = np.bincount(text, minlength=end - row)
                 use = h < bound
-                text, h = text[use], h[use]
-                sample = np.bincount(text, minlength=len(ids))
-                order = np.argsort(h)
-                same = np.append(False, h[order][1:] == h[order][:-1]) if len(h) else np.zeros(0, bool)
-                again = same | np.append(same[1:], False)
-                known = np.zeros(len(h), bool)
-                known[order[again]] = True  # repeated within these texts
-                tell = np.zeros(len(h), bool)
-                tell[order[again & ~same]] = True
-                count = np.bincount(text[known], minlength=len(ids))
-                out: dict[str, list] = {k: [] for k in _KINDS}
-                turn += 1
-                # missing that a partner allows, less those known to be repeated
-                needed = sample - (size * (100 - PERCENT)) // 100 - count
-                _add(out, (row + turn) % buckets, _COUNT, None, ids, needed, size)
-                for kind, mask in ((_ASK, ~known), (_TELL, tell)):
-                    t, g = text[mask], h[mask]
-                    spread = packed.bucket_of(bt.mix(g.copy()), buckets)
-                    by, starts = packed.parts(spread, buckets)
-                    for k in np.flatnonzero(np.diff(starts)):
-                        own = by[starts[k] : starts[k + 1]]
-                        used, many = np.unique(t[own], return_counts=True)
-                        _add(out, k, kind, g[own].astype(np.uint32), ids[used], many)
-                yield packed.batch(out, _KINDS)
+                yield _asked(all_ids[row:end], size, text[use], h[use], buckets)
+
+    return run
+
+
+def _all_asked(buckets: int):
+    """The same of rows (doc_id, size, tokens) and all their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, size = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+            text = np.repeat(np.arange(len(ids)), size)
+            first = np.append(0, np.cumsum(size))
+            for s, e in runs_of(text, len(ids), RUN):
+                row, end = np.searchsorted(first, (s, e))
+                h = np.frombuffer(b"".join(batch.column(2).slice(row, end - row).to_pylist()), np.uint64)
+                yield _asked(ids[row:end], size[row:end], text[s:e] - row, h, buckets)
 
     return run
 
@@ -172,7 +192,8 @@ def _repeated(buckets: int):
 
 
 def _decided(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n_shingles, active) of a bucket of documents, a row per row of the input."""
+    """Rows (doc_id, n_shingles, spare) of a bucket of documents, a row per row of the input: how many more of the shingles
+    that were looked up a partner may lack; none has one that lacks more than it may."""
     rows, counts = [], []
     for i, c, s in zip(cells["ids"], cells["count"], cells["size"], strict=True):
         i, c = packed.from_planes(i, np.int64), packed.from_planes(c, np.int32)
@@ -188,11 +209,24 @@ def _decided(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
         at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
         got = np.where(own[at] == ids, total[at], 0)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array(size.astype(np.int64)), pa.array((size > 0) & (got >= needed))],
-        ["doc_id", "n_shingles", "active"],
+        [pa.array(ids), pa.array(size.astype(np.int64)), pa.array(got - needed)],
+        ["doc_id", "n_shingles", "spare"],
     )
 
 
+def _spared(asked: DataFrame, buckets: int) -> DataFrame:
+    """Rows of _asked -> (doc_id, n_shingles, spare)."""
+    counted = packed.dealt(asked, buckets).mapInArrow(_repeated(buckets), _SCHEMA)
+    return packed.dealt(counted, buckets).mapInArrow(packed.gathered(_decided, list(_KINDS)), "doc_id long, n_shingles long, spare long")
+
+
+def lone(heads: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, lone) of the classes (doc_id, size, tokens) that may link with any other: how many of its tokens no other
+    class has, but for those that share 32 bits with another's."""
+    spared = _spared(heads.where("size > 0").select("doc_id", "size", "tokens").mapInArrow(_all_asked(buckets), _SCHEMA), buckets)
+    return spared.where("spare >= 0").selectExpr("doc_id", f"CAST(n_shingles * {100 - PERCENT} DIV 100 - spare AS INT) AS lone")
+
+
 def _sets(words: int):
     """Rows (doc_id, size, one, other, tokens): sets with 128 bits of identity."""
 
@@ -399,14 +433,14 @@ def _partnered(buckets: int, least: int, block: int, near: Callable | None):
         signs = np.frombuffer(b"".join(cells["sign"]), np.uint8)
         signs = signs.reshape(len(order), -1) if len(signs) else None
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(first[1:], len(key))
+        use = (ends - first >= least) & (np.minimum.reduceat(label, first) < np.maximum.reduceat(label, first))
         docs, marks, counts, seen = [], [], [], set()
-        for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
-            if e - s < least:
-                continue
+        for s, e in zip(first[use], ends[use], strict=True):
             may = _may_link(size[s:e], at[s:e], label[s:e])
             if near is not None and signs is not None and may.any():
                 left = np.flatnonzero(may)
-                may[left] = near(int(key[s]), signs[order[s + left]], label[s + left])
+                may[left] = near(int(key[s]), signs[order[s + left]], label[s + left], size[s + left], at[s + left])
             own, labels = ids[s:e][may], label[s:e][may]
             if len(own) < least:
                 continue
@@ -501,27 +535,31 @@ def _meetings(buckets: int, block: int, turn: int):
     return run
 
 
-def _linked(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
+def _linked(sets: type[PrefixTree] | type[SetRows]):
     """A bucket of meetings: links between classes."""
-    key, pair, doc, label = (np.array(cells[k], np.int64) for k in ("key", "pair", "doc_id", "label"))
-    order = np.lexsort((doc, pair, key))
-    new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0))
-    first = np.flatnonzero(new)
-    seen: set[tuple[int, int]] = set()
-    for s, e in zip(first, np.append(first[1:], len(order)), strict=True):
-        own = order[s:e]
-        if len(own) < 2:
-            continue
-        sizes = np.array([np.frombuffer(cells["tokens"][k], np.int32, 1)[0] for k in own], np.int64)
-        parts = [np.frombuffer(cells["tokens"][k], np.uint64, offset=4) for k in own]
-        owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(p) for p in parts])
-        tokens = np.concatenate(parts)
-        parts.clear()
-        for k in own:
-            cells["tokens"][k] = None  # a row is in one group only
-        seen.update((int(doc[own[x]]), int(doc[own[y]])) for x, y in spanning_links(tokens, owner, sizes, PERCENT, label[own]))
-    a, b = zip(*sorted(seen), strict=True) if seen else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def each(cells: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        key, pair, doc, label = (np.array(cells[k], np.int64) for k in ("key", "pair", "doc_id", "label"))
+        order = np.lexsort((doc, pair, key))
+        new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0))
+        first = np.flatnonzero(new)
+        seen: set[tuple[int, int]] = set()
+        for s, e in zip(first, np.append(first[1:], len(order)), strict=True):
+            own = order[s:e]
+            if len(own) < 2:
+                continue
+            sizes = np.array([np.frombuffer(cells["tokens"][k], np.int32, 1)[0] for k in own], np.int64)
+            parts = [np.frombuffer(cells["tokens"][k], np.uint64, offset=4) for k in own]
+            owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(p) for p in parts])
+            tokens = np.concatenate(parts)
+            parts.clear()
+            for k in own:
+                cells["tokens"][k] = None  # a row is in one group only
+            seen.update((int(doc[own[x]]), int(doc[own[y]])) for x, y in spanning_links(tokens, owner, sizes, PERCENT, label[own], sets))
+        a, b = zip(*sorted(seen), strict=True) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return packed.gathered(each, list(_MEETING))
 
 
 def _links(labelled: DataFrame, buckets: int, block: int, turn: int, how: Keying) -> DataFrame:
@@ -534,7 +572,7 @@ def _links(labelled: DataFrame, buckets: int, block: int, turn: int, how: Keying
     )
     met = labelled.select("doc_id", "label", "size", "tokens").join(chosen.hint("shuffle_hash"), "doc_id")
     meetings = met.select("doc_id", "label", "size", "tokens", "keys", "many").mapInArrow(_meetings(buckets, block, turn), _MEETING_SCHEMA)
-    return packed.dealt(meetings, buckets).mapInArrow(packed.gathered(_linked, list(_MEETING)), "a long, b long")
+    return packed.dealt(meetings, buckets).mapInArrow(_linked(how.sets), "a long, b long")
 
 
 def _labelled(keyed: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -584,10 +622,7 @@ def _joined(known: DataFrame, plan: packed.Layout, words: int, how: Keying, bloc
     """joined() of rows (doc_id, text) whose ids stand for one text each."""
     buckets = plan.buckets
     sampled = known.mapInArrow(_sampled(buckets, plan.slice_bytes(SLICE), words), _SCHEMA)
-    asked = packed.dealt(sampled, buckets).mapInArrow(_repeated(buckets), _SCHEMA)
-    decided = packed.dealt(asked, buckets).mapInArrow(
-        packed.gathered(_decided, list(_KINDS)), "doc_id long, n_shingles long, active boolean"
-    )
+    decided = _spared(sampled, buckets).selectExpr("doc_id", "n_shingles", "n_shingles > 0 AND spare >= 0 AS active")
     decided = written(decided, "join-decided")
     active = decided.where("active").select("doc_id").distinct()
     texts = known.join(active.hint("shuffle_hash"), "doc_id").select("doc_id", "text")

@@ -14,11 +14,11 @@ import numpy as np
 RUN = 1 << 20
 
 
-def _runs(owner: np.ndarray, members: int) -> list[tuple[int, int]]:
-    """(start, end) of runs of whole sets with about RUN tokens; a larger set has a run of its own."""
+def runs_of(owner: np.ndarray, members: int, run: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of whole sets with about so many tokens; a larger set has a run of its own."""
     ends, runs, s = np.searchsorted(owner, np.arange(members), side="right"), [], 0
     while s < len(owner):
-        at = max(int(np.searchsorted(ends, s + RUN, side="right")) - 1, int(owner[s]))
+        at = max(int(np.searchsorted(ends, s + run, side="right")) - 1, int(owner[s]))
         runs.append((s, int(ends[at])))
         s = int(ends[at])
     return runs
@@ -31,7 +31,7 @@ class PrefixTree:
 
     def __init__(self, tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int):
         m, self.sizes, self.percent = len(sizes), sizes, percent
-        runs = _runs(owner, m)
+        runs = runs_of(owner, m, RUN)
         own = np.zeros(0, tokens.dtype)
         for s, e in runs:
             own = np.union1d(own, tokens[s:e])
@@ -106,20 +106,68 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def spanning_links(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int, labels: np.ndarray) -> list[tuple[int, int]]:
+class SetRows:
+    """The same sets one after another, of which a probe reads those it is to be compared with."""
+
+    #: Sets that a probe is compared with at first, and how many times more each time after.
+    FEW, MORE = 16, 4
+
+    def __init__(self, tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int):
+        self.tokens, self.sizes, self.percent = tokens, sizes, percent
+        self.begin = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        self.has = np.zeros(int(tokens.max(initial=-1)) + 1, bool)
+
+    def among(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of some members with tokens whose Jaccard similarity with x reaches the percentage."""
+        own = self.tokens[self.begin[x] : self.begin[x + 1]]
+        self.has[own] = True
+        rows = [self.tokens[self.begin[y] : self.begin[y + 1]] for y in others]
+        starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
+        overlap = np.add.reduceat(self.has[np.concatenate(rows)], starts, dtype=np.int64)
+        self.has[own] = False
+        return others[100 * overlap >= self.percent * (self.sizes[x] + self.sizes[others] - overlap)]
+
+
+def shared(tokens: np.ndarray, owner: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that more than one member holds, as numbers, and their owners; a run of sets at a time."""
+    runs, own = runs_of(owner, members, RUN), np.zeros(0, tokens.dtype)
+    for s, e in runs:
+        own = np.union1d(own, tokens[s:e])
+    number, held = np.empty(len(tokens), np.int32), np.zeros(len(own), np.int32)
+    for s, e in runs:
+        number[s:e] = np.searchsorted(own, tokens[s:e])
+        np.add.at(held, number[s:e], 1)
+    more = held[number] > 1
+    return number[more], owner[more]
+
+
+def spanning_links(
+    tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int, labels: np.ndarray, sets: type[PrefixTree] | type[SetRows] = PrefixTree
+) -> list[tuple[int, int]]:
     """Links (between members' numbers) that connect just what all similar pairs connect, where members of one
     label are connected already. Each link between labels has an end outside the most frequent label, so
-    only members there are probed, until all is connected."""
-    tree = PrefixTree(tokens, owner, sizes, percent)
+    only members there are probed, until all is connected, and only for members that they aren't connected with and may
+    link with: what two sets have in common is at most what each has in common with all the others."""
+    tokens, owner = shared(tokens, owner, len(sizes))
+    reach = np.bincount(owner, minlength=len(sizes))
+    fits = lambda x, y: (100 + percent) * np.minimum(reach[x], reach[y]) >= percent * (sizes[x] + sizes[y])
     _, root, many = np.unique(labels, return_inverse=True, return_counts=True)
-    links, parts = [], len(many)
+    links, parts, every, made = [], len(many), np.argsort(reach - sizes, kind="stable")[::-1], None
     for x in np.flatnonzero(root != many.argmax()):
         if parts == 1:
             break
-        for y in tree.similar(x):
-            if root[y] != root[x]:
-                old, new = max(root[x], root[y]), min(root[x], root[y])
-                root[root == old] = new
-                links.append((int(x), int(y)))
-                parts -= 1
+        left, few = every[fits(x, every) & (root[every] != root[x])], SetRows.FEW
+        while len(left):
+            made = made or sets(tokens, owner, sizes, percent)
+            if isinstance(made, PrefixTree):
+                found, left = made.similar(x), left[:0]
+            else:
+                found, left, few = made.among(x, left[:few]), left[few:], few * SetRows.MORE
+            for y in found:
+                if root[y] != root[x]:
+                    old, new = max(root[x], root[y]), min(root[x], root[y])
+                    root[root == old] = new
+                    links.append((int(x), int(y)))
+                    parts -= 1
+            left = left[root[left] != root[x]]
     return links

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from palisade.llm import bytetools as bt
 from palisade.llm import hard_negatives as hn
 from palisade.llm import minhash_join as mj
+from palisade.llm import prefix_tree
 from palisade.llm.collocations import collocations
 from palisade.llm.components import components
-from palisade.llm.ngram_join import Keying, joined, ngram_join, prefix_keyed
+from palisade.llm.ngram_join import Keying, joined, lone, ngram_join, prefix_keyed
 
 
 def _told(frame):
@@ -149,6 +151,86 @@ def test_pairs_are_looked_at_once():
     assert seen and set(seen.values()) == {1}
 
 
+def test_lone_tokens_are_counted_and_classes_without_a_partner_left_out(spark):
+    r = random.Random(7)
+    sets = {k: {r.randrange(1 << 62) for _ in range(r.randint(1, 9))} for k in range(40)}
+    for k in range(40, 300):
+        kept = [t for t in sets[k % 40] if r.random() > 0.1]
+        sets[k] = {*kept, *(r.randrange(1 << 62) for _ in range(r.choice([0, 0, 1, 5])))} or {k}
+    rows = [(k, len(s), bytearray(np.array(sorted(s), np.uint64).tobytes())) for k, s in sets.items()]
+    heads = spark.createDataFrame([*rows, (999, 0, bytearray())], "doc_id long, size int, tokens binary").repartition(3)
+    held = Counter(t for s in sets.values() for t in s)
+    alone = {k: sum(held[t] == 1 for t in s) for k, s in sets.items()}
+    want = {k: n for k, n in alone.items() if n <= len(sets[k]) * 20 // 100}
+    assert 0 < len(want) < len(sets)
+    assert {x["doc_id"]: x["lone"] for x in lone(heads, 5).collect()} == want
+
+
+def test_near_leaves_out_what_sizes_and_lone_tokens_exclude():
+    fields = np.zeros((3, mj.FIELDS), np.uint16)
+    key, signs = int(mj.keys_of(fields[0])[0]), fields.view(np.uint8).reshape(3, -1)
+    size, labels = np.array([100, 100, 79]), np.arange(3)
+    for alone, want in (([0, 0, 0], [1, 1, 0]), ([11, 0, 0], [1, 1, 0]), ([12, 0, 0], [0, 0, 0]), ([20, 12, 0], [0, 0, 0])):
+        assert mj.near(key, signs, labels, size, np.array(alone)).tolist() == [bool(w) for w in want]
+
+
+def _copies(r, many, lone_most):
+    """Sets of 300 tokens, of which some are common to all and up to so many are each set's own."""
+    alone = [r.randint(0, lone_most) for _ in range(many)]
+    sets = [np.array(sorted([*r.sample(range(300), 300 - n), *range(1000 * (k + 1), 1000 * (k + 1) + n)]), np.uint64) for k, n in enumerate(alone)]
+    return np.concatenate(sets), np.repeat(np.arange(many), 300), np.full(many, 300)
+
+
+@pytest.mark.parametrize("kind", [prefix_tree.PrefixTree, prefix_tree.SetRows])
+def test_sets_that_can_not_link_are_not_probed(monkeypatch, kind):
+    def never(*args):
+        raise AssertionError("probed")
+
+    monkeypatch.setattr(kind, "similar" if kind is prefix_tree.PrefixTree else "among", never)
+    n, own = 60, np.arange(60) * 1000
+    tokens = np.concatenate([[*range(260), *range(1000 + k, 1040 + k)] for k in own]).astype(np.uint64)  # 260 of 340 are common
+    assert prefix_tree.spanning_links(tokens, np.repeat(np.arange(n), 300), np.full(n, 300), 80, np.arange(n), kind) == []
+
+
+def test_probes_of_a_large_group_grow_with_its_size(monkeypatch):
+    seen, among = [], prefix_tree.SetRows.among
+    monkeypatch.setattr(prefix_tree.SetRows, "among", lambda self, x, others: seen.append(len(others)) or among(self, x, others))
+    r = random.Random(8)
+    for many in (100, 400):
+        seen.clear()
+        tokens, owner, sizes = _copies(r, many, 60)
+        links = prefix_tree.spanning_links(tokens, owner, sizes, 80, np.arange(many), prefix_tree.SetRows)
+        plain = prefix_tree.spanning_links(tokens, owner, sizes, 80, np.arange(many))
+        assert len(links) == len(plain) > many // 4
+        assert sum(seen) <= 20 * many  # of many * (many - 1) / 2 pairs
+
+
+def test_spanning_links_connect_what_all_similar_pairs_connect(monkeypatch):
+    r = random.Random(9)
+    for turn in range(200):
+        monkeypatch.setattr(prefix_tree, "RUN", (1 << 20, 1, 25)[turn % 3])
+        monkeypatch.setattr(prefix_tree.SetRows, "FEW", (1, 16)[turn % 2])
+        base, many = set(r.sample(range(40), 20)), r.randint(2, 14)
+        sets = [base ^ set(r.sample(range(60), r.randint(0, 5))) for _ in range(many)]
+        sizes = np.array([len(s) + r.randrange(3) for s in sets])
+        labels = [r.randrange(many) for _ in sets]
+        pairs = [(x, y) for x in range(many) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 80 * (sizes[x] + sizes[y] - len(sets[x] & sets[y]))]
+        given = (np.concatenate([sorted(s) for s in sets]).astype(np.uint64), np.repeat(np.arange(many), [len(s) for s in sets]), sizes, 80, np.array(labels))
+        for kind in (prefix_tree.PrefixTree, prefix_tree.SetRows):
+            links = prefix_tree.spanning_links(*given, kind)
+            assert _parts(links, labels) == _parts(pairs, labels) and all((max(p), min(p)) in pairs for p in links)
+
+
+def _parts(links, labels):
+    """The least label that each one's is connected with."""
+    least = list(labels)
+    for _ in labels:
+        for x, y in links:
+            low, high = sorted((least[x], least[y]))
+            least = [low if n == high else n for n in least]
+    return least
+
+
 def test_similar_sets_share_keys_with_high_recall():
     r = np.random.default_rng(6)
     for size in (5, 20, 300):
