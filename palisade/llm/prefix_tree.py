@@ -12,6 +12,8 @@ import numpy as np
 
 #: Tokens that are looked at together.
 RUN = 1 << 20
+#: Probes that go down a tree together at most, and numbers that these may hold for its symbols.
+MOST_PROBES, PROBED = 32, 1 << 20
 
 
 def runs_of(owner: np.ndarray, members: int, run: int) -> list[tuple[int, int]]:
@@ -82,28 +84,40 @@ class PrefixTree:
 
     def similar(self, x: int) -> np.ndarray:
         """Members (x too) whose Jaccard similarity with x reaches the percentage."""
-        p, size = self.percent, int(self.sizes[x])
-        own = self.symbol[self.begin[x] : self.begin[x + 1]]
-        has = np.zeros(len(self.weight), np.int64)
-        has[own] = self.weight[own]
-        beyond = np.append(np.cumsum(has[::-1])[::-1], 0)  # weight of x from a symbol on
-        found = []
-        overlap_above = np.zeros(1, np.int64)
-        on_above = np.ones(1, bool)
+        return self.similar_to(np.array([x]))[0]
+
+    def at_once(self) -> int:
+        """Probes that go down together: what a level costs besides its nodes is shared."""
+        return min(max(PROBED // (len(self.weight) + 1), 1), MOST_PROBES)
+
+    def similar_to(self, probes: np.ndarray) -> list[np.ndarray]:
+        """The same for each of several members."""
+        p, size = self.percent, self.sizes[probes].astype(np.int64)
+        has = np.zeros((len(self.weight), len(probes)), np.int64)
+        for k, x in enumerate(probes):
+            own = self.symbol[self.begin[x] : self.begin[x + 1]]
+            has[own, k] = self.weight[own]
+        beyond = np.zeros((len(has) + 1, len(probes)), np.int64)  # weight of a probe from a symbol on
+        beyond[:-1] = np.cumsum(has[::-1], axis=0)[::-1]
+        number, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        overlap_above = np.zeros((1, len(probes)), np.int64)
+        on_above = np.ones((1, len(probes)), bool)
         for symbol, parent, rest, least, ends, at in self.levels:
             on = on_above[parent]
             if not on.any():
                 break
             overlap = overlap_above[parent] + has[symbol]
-            reach = overlap + np.minimum(rest, beyond[symbol + 1])
+            reach = overlap + np.minimum(rest[:, None], beyond[symbol + 1])
             # 100 o >= p (size + n - o) for some n of at least ``least``
-            on &= (100 + p) * reach >= p * (size + least.astype(np.int64))
+            on &= (100 + p) * reach >= p * (size + least[:, None])
             if len(ends):
                 o = overlap[at]
-                fit = on[at] & (100 * o >= p * (size + self.sizes[ends] - o))
-                found.append(ends[fit])
+                end, probe = np.nonzero(on[at] & (100 * o >= p * (size + self.sizes[ends][:, None] - o)))
+                number.append(probe)
+                found.append(ends[end])
             overlap_above, on_above = overlap, on
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        one, other = np.concatenate(number), np.concatenate(found)
+        return np.split(other[np.argsort(one, kind="stable")], np.cumsum(np.bincount(one, minlength=len(probes)))[:-1])
 
 
 class SetRows:
@@ -131,6 +145,13 @@ class SetRows:
 def shared(tokens: np.ndarray, owner: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens that more than one member holds, as numbers, and their owners; a run of sets at a time."""
     runs, own = runs_of(owner, members, RUN), np.zeros(0, tokens.dtype)
+    if len(runs) == 1:
+        order = np.argsort(tokens, kind="stable")
+        group = np.cumsum(np.append(True, tokens[order][1:] != tokens[order][:-1])) - 1
+        number = np.empty(len(tokens), np.int32)
+        number[order] = group
+        more = np.bincount(group)[number] > 1
+        return number[more], owner[more]
     for s, e in runs:
         own = np.union1d(own, tokens[s:e])
     number, held = np.empty(len(tokens), np.int32), np.zeros(len(own), np.int32)
@@ -152,22 +173,36 @@ def spanning_links(
     reach = np.bincount(owner, minlength=len(sizes))
     fits = lambda x, y: (100 + percent) * np.minimum(reach[x], reach[y]) >= percent * (sizes[x] + sizes[y])
     _, root, many = np.unique(labels, return_inverse=True, return_counts=True)
-    links, parts, every, made = [], len(many), np.argsort(reach - sizes, kind="stable")[::-1], None
-    for x in np.flatnonzero(root != many.argmax()):
-        if parts == 1:
-            break
-        left, few = every[fits(x, every) & (root[every] != root[x])], SetRows.FEW
-        while len(left):
-            made = made or sets(tokens, owner, sizes, percent)
-            if isinstance(made, PrefixTree):
-                found, left = made.similar(x), left[:0]
-            else:
-                found, left, few = made.among(x, left[:few]), left[few:], few * SetRows.MORE
-            for y in found:
-                if root[y] != root[x]:
-                    old, new = max(root[x], root[y]), min(root[x], root[y])
-                    root[root == old] = new
-                    links.append((int(x), int(y)))
-                    parts -= 1
-            left = left[root[left] != root[x]]
+    links, parts, every = [], len(many), np.argsort(reach - sizes, kind="stable")[::-1]
+    to_do, made = np.flatnonzero(root != many.argmax()).tolist()[::-1], None
+
+    def left(x: int, others: np.ndarray) -> np.ndarray:
+        return others[fits(x, others) & (root[others] != root[x])]
+
+    def joined(x: int, found: np.ndarray) -> int:
+        before = len(links)
+        for y in found:
+            if root[y] != root[x]:
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root[root == old] = new
+                links.append((int(x), int(y)))
+        return len(links) - before
+
+    while to_do and parts > 1:
+        x = to_do.pop()
+        if not len(others := left(x, every)):
+            continue
+        made = made or sets(tokens, owner, sizes, percent)
+        if isinstance(made, PrefixTree):
+            probes = [x]
+            while to_do and len(probes) < made.at_once():
+                if len(left(y := to_do.pop(), every)):
+                    probes.append(y)
+            for y, found in zip(probes, made.similar_to(np.array(probes)), strict=True):
+                parts -= joined(y, found)
+            continue
+        few = made.FEW
+        while len(others):
+            parts -= joined(x, made.among(x, others[:few]))
+            others, few = left(x, others[few:]), few * made.MORE
     return links

@@ -186,7 +186,7 @@ def test_sets_that_can_not_link_are_not_probed(monkeypatch, kind):
     def never(*args):
         raise AssertionError("probed")
 
-    monkeypatch.setattr(kind, "similar" if kind is prefix_tree.PrefixTree else "among", never)
+    monkeypatch.setattr(kind, "similar_to" if kind is prefix_tree.PrefixTree else "among", never)
     n, own = 60, np.arange(60) * 1000
     tokens = np.concatenate([[*range(260), *range(1000 + k, 1040 + k)] for k in own]).astype(np.uint64)  # 260 of 340 are common
     assert prefix_tree.spanning_links(tokens, np.repeat(np.arange(n), 300), np.full(n, 300), 80, np.arange(n), kind) == []
@@ -210,6 +210,7 @@ def test_spanning_links_connect_what_all_similar_pairs_connect(monkeypatch):
     for turn in range(200):
         monkeypatch.setattr(prefix_tree, "RUN", (1 << 20, 1, 25)[turn % 3])
         monkeypatch.setattr(prefix_tree.SetRows, "FEW", (1, 16)[turn % 2])
+        monkeypatch.setattr(prefix_tree, "PROBED", (1 << 20, 1, 60)[turn % 3])
         base, many = set(r.sample(range(40), 20)), r.randint(2, 14)
         sets = [base ^ set(r.sample(range(60), r.randint(0, 5))) for _ in range(many)]
         sizes = np.array([len(s) + r.randrange(3) for s in sets])
